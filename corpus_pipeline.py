@@ -1,11 +1,16 @@
-"""The training-data pipeline: language, near duplicates, benchmark passages, personal data, packing."""
+"""The training-data pipeline: language, near duplicates, benchmark passages, personal data, packing.
+
+Every stage takes all that its predecessor kept. Null or odd values in any column are carried along; texts that are null, empty or without letters
+are rejected by the first stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelspark.llm import common, language, packing
+from voxelspark.llm import common, decontaminate, language, near_dup, packing, pseudonyms
+from voxelspark.llm.queries import PSEUDONYM_KEY
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document whose best language scores less is rejected, as is one without letters.
@@ -18,11 +23,35 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return language.keep_identified(docs, model, LEAST_SCORE)
 
 
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of rows that share a kept id, all stay: ids are unique in ``documents``."""
+    docs = docs.select(*COLUMNS)
+    gone = near_dup.group_near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return decontaminate.remove_contaminated(docs.select(*COLUMNS), items)
+
+
+def replace_private_numbers(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    new = pseudonyms.pseudonymize(docs.select(*COLUMNS), PSEUDONYM_KEY)
+    return new.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, packing.tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES = [("language", keep_known_languages), ("packing", pack)]
+STAGES = [
+    ("language", keep_known_languages),
+    ("near_duplicates", keep_one_of_each_group),
+    ("benchmark_passages", drop_benchmark_passages),
+    ("pseudonyms", replace_private_numbers),
+    ("packing", pack),
+]
+#: Neither the language model nor the tokenizer can be expressed in SQL.
 ORACLE_SQL = None
 
 

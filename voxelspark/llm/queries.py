@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_main, language, packing, telephony, url_filter
+from . import decontaminate, html_main, language, near_dup, packing, pseudonyms, telephony, url_filter
 from .common import table
 
+#: In production the key comes from a secret store; equal keys give equal pseudonyms.
+PSEUDONYM_KEY = "voxelspark pseudonyms"
 BLOCKED, ALLOWED = ["net/", "example.com/de/"], ["example.net/en/", "org/fr/"]
 
 
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filter_urls(table(spark, sf_dir, "pages", "page_id", "url"), BLOCKED, ALLOWED)
+    return url_filter.filter_urls(table(spark, sf_dir, "pages", "page_id", "url"), #: In production the key comes from a secret store; equal keys give equal pseudonyms.
+PSEUDONYM_KEY = "voxelspark pseudonyms"
+BLOCKED, ALLOWED)
 
 
 def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,15 +36,44 @@ def audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.audio_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.group_near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def private_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymize(table(spark, sf_dir, "documents", "doc_id", "text"), PSEUDONYM_KEY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pseudonyms": private_numbers,
     "op2_url_filter": url_rules,
     "op3_main_text": main_texts,
     "op4_packing": packed,
+    "op6_benchmark_passages": benchmark_passages,
     "op7_language": languages,
+    "op8_near_duplicates": near_duplicates,
     "op10_telephony": audio,
 }
 
 ORACLES = {
+    "op6_benchmark_passages": r"""
+WITH split AS (
+  SELECT 'd' AS kind, doc_id AS id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+  UNION ALL
+  SELECT 'i', item_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') FROM benchmark),
+shingled AS (
+  SELECT kind, id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                               WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM split),
+items AS (SELECT id AS item_id, s, count(*) OVER (PARTITION BY id) AS n FROM (SELECT DISTINCT id, s FROM shingled WHERE kind = 'i')),
+docs AS (SELECT DISTINCT id AS doc_id, s FROM shingled WHERE kind = 'd')
+SELECT doc_id, item_id, CAST(max(n) AS BIGINT) AS item_shingles, CAST(count(*) AS BIGINT) AS shared_shingles
+FROM docs JOIN items USING (s) GROUP BY doc_id, item_id HAVING count(*) * 100 >= max(n) * 75
+""",
     "op2_url_filter": r"""
 WITH parts AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
