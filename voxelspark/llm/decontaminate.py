@@ -33,27 +33,27 @@ def _shingled(w: Column, size: int, join) -> Column:
     return F.when(F.size(w) >= size, F.transform(starts, lambda i: join([F.element_at(w, i + k) for k in range(size)]))).otherwise(F.transform(short, lambda i: join([F.try_element_at(w, F.lit(k + 1)) for k in range(size)])))
 
 
-def shingle_hashes(w: Column, size: int = 5) -> Column:
-    return _shingled(w, size, lambda parts: F.xxhash64(*parts))
+def shingle_hashes(text: Column, size: int = 5) -> Column:
+    return C.bound(words(text), lambda w: _shingled(w, size, lambda parts: F.xxhash64(*parts)))
 
 
-def shingle_texts(w: Column, size: int = 5) -> Column:
-    return F.array_distinct(_shingled(w, size, lambda parts: F.concat_ws(" ", *parts)))
+def shingle_texts(text: Column, size: int = 5) -> Column:
+    return F.array_distinct(C.bound(words(text), lambda w: _shingled(w, size, lambda parts: F.concat_ws(" ", *parts))))
 
 
 def find_items(docs: DataFrame, items: DataFrame, percent: int = 75, size: int = 5, doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
     """doc_id, item_id, item_shingles, shared_shingles of every item found in a document."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), "text")
-    item = items.select(F.col(item_id).alias("item_id"), words(F.col("text")).alias("w")).withColumn("shingles", shingle_texts(F.col("w"), size)).where("size(shingles) > 0")
-    item = C.materialize(item.withColumn("hashes", F.array_sort(F.array_distinct(shingle_hashes(F.col("w"), size)))).drop("w").distinct())
+    item = items.select(F.col(item_id).alias("item_id"), shingle_texts(F.col("text"), size).alias("shingles"), F.array_sort(F.array_distinct(shingle_hashes(F.col("text"), size))).alias("hashes")).where("size(shingles) > 0")
+    item = C.materialize(item.distinct())
     n = F.size("hashes")
     sketch = item.select("item_id", F.explode(F.slice("hashes", F.lit(1), n - F.ceil(n * percent / F.lit(100)).cast("int") + 1)).alias("hash"))
     if sketch.count() <= BROADCAST_ROWS:
         sketch = F.broadcast(sketch)
-    hashed = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(shingle_hashes(F.col("w"), size)).alias("hash"))
+    hashed = docs.select("doc_id", F.explode(shingle_hashes(F.col("text"), size)).alias("hash"))
     candidates = C.materialize(hashed.join(sketch, "hash").select("doc_id", "item_id").distinct())
     suspects = candidates.groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))  # at most all items of the benchmark
-    texts = docs.join(suspects, "doc_id").select("doc_id", F.explode("items").alias("item_id"), shingle_texts(words(F.col("text")), size).alias("own"))
+    texts = docs.join(suspects, "doc_id").select("doc_id", "items", shingle_texts(F.col("text"), size).alias("own")).select("doc_id", F.explode("items").alias("item_id"), "own")
     both = texts.join(item.select("item_id", "shingles"), "item_id")
     shared = F.size(F.array_intersect("shingles", "own"))
     found = both.select("doc_id", "item_id", F.size("shingles").cast("long").alias("item_shingles"), shared.cast("long").alias("shared_shingles"))

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 ROUNDS = 8
 CYCLE_START, CYCLE_DAYS, CYCLE_PARTS = "1800-01-01", 146097, (189, 773)  # 400 Gregorian years; their days as a product
 
@@ -106,13 +108,14 @@ def _refill(template: Column, digits: Column) -> Column:
 def _card(m: Column, key: Column) -> Column:
     d = _digits(m)
     body = permute_text(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
-    return _refill(m, F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string")))
+    number = C.bound(body, lambda b: F.concat(b, ((10 - _luhn(F.concat(b, F.lit("0")))) % 10).cast("string")))
+    return C.bound(number, lambda n: _refill(m, n))
 
 
 def _ipv4(m: Column, key: Column) -> Column:
     octets = F.transform(F.split(m, "\\."), lambda o: o.cast("long"))
     n = permute_number(F.aggregate(octets, F.lit(0).cast("long"), lambda s, o: s * 256 + o), (65536, 65536), key, "ipv4")
-    return F.array_join(F.transform(F.array(*[F.lit(256**k).cast("long") for k in (3, 2, 1, 0)]), lambda p: (F.floor(n / p) % 256).cast("string")), ".")
+    return C.bound(n, lambda x: F.concat_ws(".", *[(F.shiftright(x, 8 * k) % 256).cast("string") for k in (3, 2, 1, 0)]))
 
 
 def _date(m: Column) -> Column:
@@ -127,26 +130,27 @@ def _date(m: Column) -> Column:
 def _new_date(m: Column, key: Column) -> Column:
     start = F.to_date(F.lit(CYCLE_START))
     d = F.date_add(start, permute_number(F.date_diff(_date(m), start).cast("long"), CYCLE_PARTS, key, "date").cast("int"))
-    y, mo, da = (F.date_format(d, p) for p in ("yyyy", "MM", "dd"))
     sep = F.substring(m, 3, 1)
     day_first = F.try_to_date(F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2)), "yyyy-MM-dd").isNotNull()
-    return F.when(m.rlike("^[0-9]{4}-"), F.concat_ws("-", y, mo, da)).when(day_first, F.concat(da, sep, mo, sep, y)).otherwise(F.concat(mo, sep, da, sep, y))
+    order = lambda x, *parts: F.array_join(F.array(*[F.date_format(x, p) for p in parts]), "|")
+    return C.bound(d, lambda x: F.when(m.rlike("^[0-9]{4}-"), F.date_format(x, "yyyy-MM-dd")).when(day_first, F.replace(order(x, "dd", "MM", "yyyy"), F.lit("|"), sep)).otherwise(F.replace(order(x, "MM", "dd", "yyyy"), F.lit("|"), sep)))
 
 
 def _iban(m: Column, key: Column) -> Column:
     s = F.regexp_replace(m, " ", "")
     body = permute_text(F.substring(s, F.lit(5), F.length(s)), key, "iban")
     country = F.substring(s, 1, 2)
-    new = F.concat(country, F.lpad((98 - _mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0"), body)
+    new = C.bound(body, lambda b: F.concat(country, F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
     place = lambda i: F.length(F.regexp_replace(F.substring(m, F.lit(1), i), " ", ""))
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), lambda i: F.when(F.substring(m, i, F.lit(1)) == " ", F.lit(" ")).otherwise(F.substring(new, place(i), F.lit(1)))), "")
+    return C.bound(new, lambda n: F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), lambda i: F.when(F.substring(m, i, F.lit(1)) == " ", F.lit(" ")).otherwise(F.substring(n, place(i), F.lit(1)))), ""))
 
 
 def _phone(m: Column, key: Column) -> Column:
     """The country's digits stay: those after the plus sign up to the first separator, two if there is none."""
     d, lead = _digits(m), F.regexp_extract(m, r"^\+(\d+)", 1)
     kept = F.when(F.length(lead) > 3, F.lit(2)).otherwise(F.length(lead))
-    return _refill(m, F.concat(F.substring(d, F.lit(1), kept), permute_text(F.substring(d, kept + 1, F.length(d)), key, "phone")))
+    new = F.concat(F.substring(d, F.lit(1), kept), permute_text(F.substring(d, kept + 1, F.length(d)), key, "phone"))
+    return C.bound(new, lambda n: _refill(m, n))
 
 
 def _email(m: Column, key: Column) -> Column:
@@ -165,7 +169,7 @@ def pseudonym(m: Column, key: Column) -> Column:
         .when(whole(IPV4), F.when(F.forall(F.split(m, "\\."), lambda o: o.cast("int") < 256), _ipv4(m, key)))
         .when(m.rlike("^[A-Z]"), F.when(_mod97(F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4))) == 1, _iban(m, key)))
         .when(whole(DATE), F.when(day.between(F.to_date(F.lit(CYCLE_START)), F.to_date(F.lit("2199-12-31"))), _new_date(m, key)))
-        .when(whole(SSN), F.when(~m.rlike("^(?:000|666|9)") & ~m.rlike("-00-|-0000$"), _refill(m, permute_text(d, key, "ssn"))))
+        .when(whole(SSN), F.when(~m.rlike("^(?:000|666|9)") & ~m.rlike("-00-|-0000$"), C.bound(permute_text(d, key, "ssn"), lambda n: _refill(m, n))))
         .when(whole(PHONE), _phone(m, key))
         .when((_luhn(d) == 0) & ~d.rlike("^0*$"), _card(m, key))
     )
@@ -174,11 +178,18 @@ def pseudonym(m: Column, key: Column) -> Column:
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "n_pseudonyms") -> DataFrame:
     """``docs`` with the text's personal numbers, dates and addresses replaced, and their number in ``count_col``."""
     text, secret = F.col(text_col), F.lit(key)
-    found = docs.withColumn("_found", F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    found = found.withColumn("_new", F.transform("_found", lambda m: pseudonym(m, secret)))
-    # the pieces between matches, each followed by its match's replacement
-    filled = F.concat(F.transform(F.zip_with("_found", "_new", lambda m, n: F.coalesce(n, m)), lambda x: x), F.array(F.lit("")))
-    pieces = F.zip_with(F.split(text, ANY, -1), filled, lambda p, x: F.concat(p, x))
-    new = F.when(F.size("_found") > 0, F.array_join(pieces, "")).otherwise(text)
-    count = F.size(F.filter("_new", lambda x: x.isNotNull())).cast("long")
-    return found.withColumn(text_col, new).withColumn(count_col, F.coalesce(count, F.lit(0).cast("long"))).drop("_found", "_new")
+    none = F.lit(0).cast("long")
+
+    def replaced(found: Column, new: Column) -> Column:
+        # the pieces between matches, each followed by its match's replacement
+        filled = F.concat(F.zip_with(found, new, lambda m, n: F.coalesce(n, m)), F.array(F.lit("")))
+        pieces = F.zip_with(F.split(text, ANY, -1), filled, lambda p, x: F.concat(p, x))
+        return F.struct(F.array_join(pieces, "").alias("text"), F.size(F.filter(new, lambda x: x.isNotNull())).cast("long").alias("n"))
+
+    def treated(found: Column) -> Column:
+        as_is = F.struct(text.alias("text"), none.alias("n"))
+        return F.when(F.size(found) == 0, as_is).otherwise(C.bound(F.transform(found, lambda m: pseudonym(m, secret)), lambda new: replaced(found, new)))
+
+    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    out = docs.withColumn("_pseudonyms", C.bound(found, treated))
+    return out.withColumn(text_col, F.col("_pseudonyms.text")).withColumn(count_col, F.coalesce("_pseudonyms.n", none)).drop("_pseudonyms")
