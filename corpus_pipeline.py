@@ -26,8 +26,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows that share a kept id, all stay: ids are unique in ``documents``."""
     docs = docs.select(*COLUMNS)
-    gone = near_dup.group_near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    gone = common.materialize(near_dup.group_near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct())
+    return docs.join(common.checked_broadcast(gone), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,6 +54,15 @@ def bound(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: A join side of at most so many narrow rows (some 16 MB) is broadcast; a longer one is joined by shuffling.
+BROADCAST_ROWS = 500_000
+
+
+def checked_broadcast(small: DataFrame) -> DataFrame:
+    """``small``, marked for broadcast if a count finds it within ``BROADCAST_ROWS``."""
+    return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
 

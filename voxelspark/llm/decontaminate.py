@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: A sketch table of at most so many rows (about 16 MB) is broadcast; a longer one is joined by shuffling.
-BROADCAST_ROWS = 500_000
 _SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -48,12 +46,10 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = 75, size: int =
     item = C.materialize(item.distinct())
     n = F.size("hashes")
     sketch = item.select("item_id", F.explode(F.slice("hashes", F.lit(1), n - F.ceil(n * percent / F.lit(100)).cast("int") + 1)).alias("hash"))
-    if sketch.count() <= BROADCAST_ROWS:
-        sketch = F.broadcast(sketch)
     hashed = docs.select("doc_id", F.explode(shingle_hashes(F.col("text"), size)).alias("hash"))
-    candidates = C.materialize(hashed.join(sketch, "hash").select("doc_id", "item_id").distinct())
-    suspects = candidates.groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))  # at most all items of the benchmark
-    texts = docs.join(suspects, "doc_id").select("doc_id", "items", shingle_texts(F.col("text"), size).alias("own")).select("doc_id", F.explode("items").alias("item_id"), "own")
+    candidates = C.materialize(hashed.join(C.checked_broadcast(sketch), "hash").select("doc_id", "item_id").distinct())
+    suspects = C.materialize(candidates.groupBy("doc_id").agg(F.collect_set("item_id").alias("items")))  # at most all items of the benchmark
+    texts = docs.join(C.checked_broadcast(suspects), "doc_id").select("doc_id", "items", shingle_texts(F.col("text"), size).alias("own")).select("doc_id", F.explode("items").alias("item_id"), "own")
     both = texts.join(item.select("item_id", "shingles"), "item_id")
     shared = F.size(F.array_intersect("shingles", "own"))
     found = both.select("doc_id", "item_id", F.size("shingles").cast("long").alias("item_shingles"), shared.cast("long").alias("shared_shingles"))
@@ -62,4 +58,5 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = 75, size: int =
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of ``docs`` in which no item is found."""
-    return docs.join(find_items(docs, items, percent).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = C.materialize(find_items(docs, items, percent).select("doc_id").distinct())
+    return docs.join(C.checked_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)

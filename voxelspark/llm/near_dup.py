@@ -148,6 +148,7 @@ def group_near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc
     pairs = C.materialize(members.where("key != center").select(F.col("center").alias("a"), F.col("key").alias("b")).distinct())
     # shingle sets of all classes in any bucket
     used = members.select("key").distinct().join(classes.select("key", "first"), "key").select(F.col("first").alias("doc_id")).distinct()
+    used = C.checked_broadcast(C.materialize(used))
     sets = C.materialize(_sets(docs.join(used, "doc_id", "left_semi")))
     links = C.materialize(_linked(pairs, sets, percent))
     roots, covered, ranked = components(links), 1, None
