@@ -1,9 +1,9 @@
 """Near-duplicate documents: SuperMinHash signatures, banding, verification on full sets, union-find grouping.
 
 A document's set holds the hashes of its distinct word shingles. Documents with equal sets are one class, collapsed before anything else. A class's signature
-has ``VALUES`` SuperMinHash components, cut in ``BANDS`` bands; classes that share a band are candidates. Candidates are verified star-wise: round 0 compares all
-members of a bucket with one of them, round t with up to 8**t of them, and only members that are not yet in the same component, until no bucket is left with
-untested members of different components. So copies never become pairs with each other, and no candidate is skipped.
+has ``VALUES`` SuperMinHash components, cut in ``BANDS`` bands; classes that share a band are candidates, and the components of the candidate graph hold every
+link. Within such a rough component all members are compared on their full sets through posting lists; a large one is dealt out in blocks, two of which meet in a task.
+Tasks give spanning forests of the verified links, never pairs, and a distributed union-find joins these.
 
 At a similarity of 0.75 a pair shares no band with a probability below 6e-6.
 
@@ -22,6 +22,8 @@ from . import common as C
 from .components import components
 
 VALUES, BANDS = 128, 32
+#: Classes of a rough component that meet in one task, at most about twice.
+BLOCK = 2048
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -118,23 +120,49 @@ def _sets(docs: DataFrame) -> DataFrame:
     return C.map_arrow(docs.select("text"), run, "key binary, hashes binary")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """For each set that links reach a smaller number from: (the set's number, the least number reached).
 
-    def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = 0
-                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], schema=schema).filter(pa.array(keep))
-
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
-    return C.map_arrow(both.select("a", "b", "x", "y"), run, "a binary, b binary")
+    A posting list of every element that several sets have gives a set's intersections with all others at once, so no pair is ever stored.
+    """
+    n, size = len(sets), np.array([len(x) for x in sets])
+    ids, inverse, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), size)
+    order = np.argsort(inverse, kind="stable")
+    posting, start = owner[order], C.from_offsets(many)
+    at = C.from_offsets(size)
+    root = list(range(n))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for i in range(1, n):
+        own = inverse[at[i] : at[i + 1]]
+        own = own[many[own] > 1]
+        length = many[own]
+        places = np.repeat(start[own] - C.from_offsets(length)[:-1], length) + np.arange(int(length.sum()))
+        both = np.bincount(posting[places], minlength=n)[:i]
+        for j in np.flatnonzero((both > 0) & (100 * both >= percent * (size[i] + size[:i] - both))):
+            x, y = find(i), find(int(j))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    return [(i, r) for i in range(n) if (r := find(i)) != i]
+
+
+def _links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that span the components of each group of ``members`` (group columns root, i, j; key, hashes)."""
+
+    def run(table):
+        table = table.sort_by("key")
+        keys = table.column("key").to_pylist()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
+        found = forest(sets, percent) if len(keys) > 1 else []
+        return pa.table({"a": pa.array([keys[r] for _, r in found], pa.binary()), "b": pa.array([keys[i] for i, _ in found], pa.binary())})
+
+    C.ship(members.sparkSession)
+    return members.groupBy("root", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
 def group_near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,38 +172,15 @@ def group_near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc
     classes = C.materialize(signed.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), F.min("bands").alias("bands")))
     rows = classes.select("key", F.posexplode("bands").alias("band", "bucket"))
     shared = rows.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("key").alias("center")).where("n > 1").drop("n")
-    members = C.materialize(rows.join(shared, ["band", "bucket"]))
-    pairs = C.materialize(members.where("key != center").select(F.col("center").alias("a"), F.col("key").alias("b")).distinct())
-    # shingle sets of all classes in any bucket
-    used = members.select("key").distinct().join(classes.select("key", "first"), "key").select(F.col("first").alias("doc_id")).distinct()
-    used = C.checked_broadcast(C.materialize(used))
-    sets = C.materialize(_sets(docs.join(used, "doc_id", "left_semi")))
-    links = C.materialize(_linked(pairs, sets, percent))
-    roots, covered, ranked = components(links), 1, None
-    while True:
-        roots = C.materialize(roots)
-        own = members.join(roots, members["key"] == roots["node"], "left").select("band", "bucket", "key", "center", F.coalesce("root", "key").alias("root"))
-        mixed = own.groupBy("band", "bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where(f"low != high AND n > {covered}").select("band", "bucket")
-        rest = own.join(mixed, ["band", "bucket"])
-        if ranked is None:
-            from pyspark.sql import Window
-
-            # the center has been compared with all; the others follow in an order of their own in each bucket
-            ranked = C.materialize(rest.withColumn("rank", F.row_number().over(Window.partitionBy("band", "bucket").orderBy(F.col("key") != F.col("center"), F.xxhash64("band", "key"), "key"))).select("band", "bucket", "key", "rank"))
-        rest = C.materialize(ranked.join(rest.select("band", "bucket", "key", "root"), ["band", "bucket", "key"]))
-        centers = rest.where(f"rank > {covered} AND rank <= {covered * 8}").select("band", "bucket", F.col("key").alias("k"), F.col("root").alias("r"), F.col("rank").alias("at"))
-        found = rest.join(centers, ["band", "bucket"]).where("rank > at AND root != r").select(F.least("key", "k").alias("a"), F.greatest("key", "k").alias("b")).distinct()
-        found = C.materialize(found.join(pairs, ["a", "b"], "left_anti"))
-        last = rest.agg(F.max("rank")).first()[0] or 0
-        if not found.isEmpty():
-            pairs = pairs.unionByName(found)
-            more = C.materialize(_linked(found, sets, percent))
-            if not more.isEmpty():
-                links = links.unionByName(more)
-                roots = components(links)
-        covered *= 8
-        if covered >= last:
-            break
+    rough = C.materialize(components(rows.join(shared, ["band", "bucket"]).where("key != center").select(F.col("center").alias("a"), F.col("key").alias("b"))))
+    # a rough component of many classes is dealt out in blocks, and every two blocks meet in a group of their own
+    blocks = rough.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    placed = rough.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), "n").cast("int"))
+    placed = placed.select("root", F.col("node").alias("key"), "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    placed = placed.select("root", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    used = C.materialize(rough.join(classes, rough["node"] == classes["key"]).select(F.col("first").alias("doc_id")).distinct())
+    sets = C.materialize(_sets(docs.join(C.checked_broadcast(used), "doc_id", "left_semi")).dropDuplicates(["key"]))
+    roots = components(C.materialize(_links(placed.join(sets, "key"), percent)))
     named = classes.join(C.materialize(roots), classes["key"] == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("root"))
     named = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("key", "component_id")
     own = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
