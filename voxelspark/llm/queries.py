@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_main, language, near_dup, packing, pseudonyms, telephony, url_filter
+from . import debruijn_dedup, decontaminate, html_main, language, near_dup, packing, pseudonyms, suffix_dedup, telephony, url_filter
 from .common import table
 
 #: In production the key comes from a secret store; equal keys give equal pseudonyms.
@@ -46,14 +46,24 @@ def private_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymize(table(spark, sf_dir, "documents", "doc_id", "text"), PSEUDONYM_KEY)
 
 
+def repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn_dedup.remove_repeated_words(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pseudonyms": private_numbers,
     "op2_url_filter": url_rules,
     "op3_main_text": main_texts,
     "op4_packing": packed,
+    "op5_repeated_words": repeated_words,
     "op6_benchmark_passages": benchmark_passages,
     "op7_language": languages,
     "op8_near_duplicates": near_duplicates,
+    "op9_repeated_bytes": repeated_bytes,
     "op10_telephony": audio,
 }
 
