@@ -2,9 +2,270 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.constants import BLOB_SIZE, CLASS_RUNS, PALETTE, TISSUES
+from .operators import acoustics, components, geometry, labels, sampling, stencil
+from .sources import catalog
+from .sources.fixtures import PLANE, SHAPE, raster, table, volume
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+# ---------------------------------------------------------------- oracle pieces
+
+VOL = """vol AS (
+  SELECT CAST(l_partkey % 32 AS INT) AS x, CAST(l_orderkey % 32 AS INT) AS y, CAST(l_suppkey % 16 AS INT) AS z,
+         CAST(sum(l_linenumber + l_partkey) % 118 AS INT) AS tot, CAST(sum(l_linenumber) % 4 AS INT) AS tis,
+         CAST(CASE WHEN power(l_partkey % 32 - 16, 2) + power(l_orderkey % 32 - 16, 2) <= 144 AND l_suppkey % 16 BETWEEN 2 AND 13 THEN 1 ELSE 0 END AS INT) AS bod,
+         CAST(sum(CAST(l_quantity AS INT) * 20) % 1000 - 500 AS INT) AS hu
+  FROM lineitem GROUP BY l_partkey % 32, l_orderkey % 32, l_suppkey % 16)"""
+RUNS = "runs(lo, hi, label) AS (VALUES " + ", ".join(map(str, CLASS_RUNS)) + "), lmap AS (SELECT CAST(cls AS INT) AS cls, CAST(label AS INT) AS label FROM runs, range(118) g(cls) WHERE cls BETWEEN lo AND hi)"
+RAS = "ras AS (SELECT CAST(vec_id AS INT) AS r, CAST(i - 1 AS INT) AS c, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) g(i) WHERE vec_id < 64)"
+TIS = "tissue(label, name, imp, alpha, mu0, mu1, sigma0) AS (VALUES " + ", ".join(f"({a}, '{b}', {', '.join(f'CAST({x!r} AS DOUBLE)' for x in rest)})" for a, b, *rest in TISSUES) + ")"
+
+
+def near(name: str, source: str, element: list[tuple], where: str = "TRUE") -> str:
+    """A dilation of the 3-D mask ``source``."""
+    return f"{name}_o(i, j, k) AS (VALUES {', '.join(map(str, element))}), {name} AS (SELECT DISTINCT CAST(x + i AS INT) AS x, CAST(y + j AS INT) AS y, CAST(z + k AS INT) AS z FROM {source}, {name}_o WHERE x + i BETWEEN 0 AND 31 AND y + j BETWEEN 0 AND 31 AND z + k BETWEEN 0 AND 15)"
+
+
+def all_near(name: str, source: str, element: list[tuple]) -> str:
+    """An erosion with background outside: cells all of whose neighbours are foreground."""
+    return f"{name}_o(i, j, k) AS (VALUES {', '.join(map(str, element))}), {name} AS (SELECT CAST(x - i AS INT) AS x, CAST(y - j AS INT) AS y, CAST(z - k AS INT) AS z FROM {source}, {name}_o WHERE x - i BETWEEN 0 AND 31 AND y - j BETWEEN 0 AND 31 AND z - k BETWEEN 0 AND 15 GROUP BY ALL HAVING count(*) = {len(element)})"
+
+
+GRID = "grid AS (SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(z AS INT) AS z FROM range(32) a(x), range(32) b(y), range(16) c(z))"
+MASK = "m AS (SELECT x, y, z FROM vol WHERE bod = 1)"
+BALL1, BALL3, BOX2, CUBE = stencil.ball(1), stencil.ball(3), stencil.box(-1, 0), stencil.box(-1, 1)
+SKIN = ", ".join([VOL, "m AS (SELECT x, y, z FROM vol WHERE bod = 1)", near("big", "m", BALL1), "m0 AS (SELECT x, y, z FROM vol WHERE bod <> 0)", all_near("inner_", "m0", BALL3), "shell AS (SELECT x, y, z FROM (FROM big EXCEPT FROM inner_) JOIN vol USING (x, y, z) WHERE hu > -200 AND hu < 250)", near("skin", "shell", BOX2)])
+ASSEMBLED = f"WITH {SKIN}, {RUNS}, lab AS (SELECT vol.x, vol.y, vol.z, CAST(CASE WHEN skin.x IS NOT NULL THEN 12 WHEN tis IN (1, 2) THEN 3 WHEN coalesce(lmap.label, 0) <> 0 THEN lmap.label ELSE 9 END AS INT) AS label, hu FROM vol LEFT JOIN lmap ON tot = cls LEFT JOIN skin USING (x, y, z))"
+
+
+def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.assemble(volume(spark, sf_dir), SHAPE)
+
+
+def body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return volume(spark, sf_dir).where("bod = 1").select("x", "y", "z")
+
+
+# ---------------------------------------------------------------- labels
+
+query("label_remap", f"WITH {VOL}, {RUNS} SELECT x, y, z, coalesce(label, 0) AS label FROM vol LEFT JOIN lmap ON tot = cls")(lambda s, d: labels.remap(volume(s, d)).select("x", "y", "z", "label"))
+query("label_map_invert", f"WITH {RUNS} SELECT label, CAST(list(cls ORDER BY cls) AS VARCHAR) AS classes FROM lmap GROUP BY label")(lambda s, d: labels.invert_map(labels.class_table(s)).select("label", F.concat(F.lit("["), F.array_join("classes", ", "), F.lit("]")).alias("classes")))
+query("tissue_overlay", f"WITH {VOL}, {RUNS} SELECT x, y, z, CAST(CASE WHEN tis IN (1, 2) THEN 3 ELSE coalesce(label, 0) END AS INT) AS label FROM vol LEFT JOIN lmap ON tot = cls")(
+    lambda s, d: labels.remap(volume(s, d)).select("x", "y", "z", F.when(labels.is_fat(F.col("tis")), 3).otherwise(F.col("label")).alias("label"))
+)
+query("tissue_overlay_fast", f"WITH {VOL}, {RUNS} SELECT x, y, z, CAST(CASE WHEN tis IN (1, 2, 3) THEN 3 ELSE coalesce(label, 0) END AS INT) AS label FROM vol LEFT JOIN lmap ON tot = cls")(
+    lambda s, d: labels.remap(volume(s, d)).select("x", "y", "z", F.when(labels.is_fat(F.col("tis"), fast=True), 3).otherwise(F.col("label")).alias("label"))
+)
+query("body_skin", f"WITH {SKIN} SELECT x, y, z FROM skin")(lambda s, d: labels.skin(volume(s, d), SHAPE))
+query("label_assembly", f"{ASSEMBLED} SELECT x, y, z, label FROM lab")(assembled)
+query("label_counts", f"{ASSEMBLED} SELECT label, count(*) AS n FROM lab GROUP BY label")(lambda s, d: assembled(s, d).groupBy("label").agg(F.count("*").alias("n")))
+query("distinct_labels", f"{ASSEMBLED} SELECT DISTINCT label FROM lab")(lambda s, d: assembled(s, d).select("label").distinct())
+query("quota_cap", f"{ASSEMBLED} SELECT label, least(count(*), 400) AS n FROM lab GROUP BY label")(lambda s, d: assembled(s, d).groupBy("label").agg(F.least(F.count("*"), F.lit(400)).alias("n")))
+query("density_mask", f"WITH {VOL} SELECT x, y, z FROM vol WHERE hu > -200 AND hu < 250")(lambda s, d: volume(s, d).where(labels.dense(F.col("hu"))).select("x", "y", "z"))
+query("prelabeled_bypass", f"WITH {VOL} SELECT x, y, z, CAST(tot % 14 AS INT) AS label FROM vol")(lambda s, d: volume(s, d).select("x", "y", "z", (F.col("tot") % 14).alias("label")))
+query("tissue_masks", f"{ASSEMBLED}, {TIS} SELECT x, y, z, label, name AS tissue FROM lab JOIN tissue USING (label) WHERE label <> 9")(
+    lambda s, d: assembled(s, d).join(F.broadcast(acoustics.tissue_table(s).select("label", "tissue")), "label").where("label <> 9").select("x", "y", "z", "label", "tissue")
+)
+query("cast_wrap", f"WITH {VOL} SELECT x, y, z, CAST((hu % 256 + 256) % 256 AS INT) AS v FROM vol")(lambda s, d: volume(s, d).select("x", "y", "z", F.pmod("hu", F.lit(256)).alias("v")))
+query("slice_stride", f"WITH {VOL} SELECT * FROM vol WHERE z % 3 = 0")(lambda s, d: volume(s, d).where("z % 3 = 0"))
+PALETTE_SQL = "pal(label, red, green, blue, alpha) AS (VALUES " + ", ".join(map(str, PALETTE)) + ")"
+query("palette", f"{ASSEMBLED}, {PALETTE_SQL} SELECT x, y, z, label, coalesce(red, 0) AS red, coalesce(green, 0) AS green, coalesce(blue, 0) AS blue, coalesce(alpha, 255) AS alpha FROM lab LEFT JOIN pal USING (label)")(lambda s, d: sampling.with_colors(assembled(s, d)))
+query("preview_slices", f"{ASSEMBLED}, {PALETTE_SQL} SELECT z AS plane, y AS row, CAST(31 - x AS INT) AS col, coalesce(red, 0) AS red, coalesce(green, 0) AS green, coalesce(blue, 0) AS blue FROM lab LEFT JOIN pal USING (label) WHERE z % 4 = 0")(
+    lambda s, d: sampling.with_colors(assembled(s, d).where("z % 4 = 0")).select(F.col("z").alias("plane"), F.col("y").alias("row"), (31 - F.col("x")).alias("col"), "red", "green", "blue")
+)
+
+# ---------------------------------------------------------------- morphology
+
+query("dilate", f"WITH {VOL}, {MASK}, {near('o', 'm', stencil.ball(2))} FROM o")(lambda s, d: stencil.dilate(body(s, d), stencil.ball(2), SHAPE))
+query("erode", f"WITH {VOL}, {MASK}, {all_near('o', 'm', BALL3)} FROM o")(lambda s, d: stencil.erode(body(s, d), BALL3, SHAPE))
+query("closing", f"WITH {VOL}, {MASK}, {near('g', 'm', BALL3)}, {all_near('o', 'g', BALL3)} FROM o")(lambda s, d: stencil.closing(body(s, d), BALL3, SHAPE))
+query("dilate_box", f"WITH {VOL}, {MASK}, {near('o', 'm', BOX2)} FROM o")(lambda s, d: stencil.dilate(body(s, d), BOX2, SHAPE))
+query("pool_dilate", f"WITH {VOL}, {MASK}, {near('o', 'm', CUBE)} FROM o")(lambda s, d: stencil.dilate(body(s, d), CUBE, SHAPE))
+POOL_ERODE = lambda name, source: f"{name}_n AS (FROM grid EXCEPT SELECT x, y, z FROM {source}), {near(name + '_d', name + '_n', CUBE)}, {name} AS (FROM grid EXCEPT FROM {name}_d)"
+query("pool_erode", f"WITH {VOL}, {MASK}, {GRID}, {POOL_ERODE('o', 'm')} FROM o")(lambda s, d: stencil.erode(body(s, d), CUBE, SHAPE, "ignore"))
+query("pool_closing", f"WITH {VOL}, {MASK}, {GRID}, {near('g', 'm', CUBE)}, {POOL_ERODE('o', 'g')} FROM o")(lambda s, d: stencil.closing(body(s, d), CUBE, SHAPE, "ignore"))
+query("pool_opening", f"WITH {VOL}, {MASK}, {GRID}, {POOL_ERODE('g', 'm')}, {near('o', 'g', CUBE)} FROM o")(lambda s, d: stencil.opening(body(s, d), CUBE, SHAPE, "ignore"))
+
+
+def plane_near(name: str, source: str, element: list[tuple]) -> str:
+    return f"{name}_o(i, j) AS (VALUES {', '.join(map(str, element))}), {name} AS (SELECT DISTINCT CAST(r + i AS INT) AS r, CAST(c + j AS INT) AS c FROM {source}, {name}_o WHERE r + i BETWEEN 0 AND 63 AND c + j BETWEEN 0 AND 63)"
+
+
+def plane_all_near(name: str, source: str, element: list[tuple]) -> str:
+    return f"{name}_o(i, j) AS (VALUES {', '.join(map(str, element))}), {name} AS (SELECT CAST(r - i AS INT) AS r, CAST(c - j AS INT) AS c FROM {source}, {name}_o WHERE r - i BETWEEN 0 AND 63 AND c - j BETWEEN 0 AND 63 GROUP BY ALL HAVING count(*) = {len(element)})"
+
+
+def plane_mask(spark: SparkSession, sf_dir: str, over: float = 0.06) -> DataFrame:
+    return raster(spark, sf_dir).where(F.col("v") > over).select("r", "c")
+
+
+DISC = stencil.disc(2)
+PM = f"WITH RECURSIVE {RAS}, m AS (SELECT r, c FROM ras WHERE v > CAST(0.06 AS DOUBLE))"
+query("disc_dilate", f"{PM}, {plane_near('o', 'm', DISC)} FROM o")(lambda s, d: stencil.dilate(plane_mask(s, d), DISC, PLANE))
+query("disc_erode", f"{PM}, {plane_all_near('o', 'm', stencil.disc(1))} FROM o")(lambda s, d: stencil.erode(plane_mask(s, d), stencil.disc(1), PLANE))
+query("disc_closing", f"{PM}, {plane_near('g', 'm', DISC)}, {plane_all_near('o', 'g', DISC)} FROM o")(lambda s, d: stencil.closing(plane_mask(s, d), DISC, PLANE))
+KERNEL = acoustics.gaussian_kernel()
+KSQL = "k(i, j, w) AS (VALUES " + ", ".join(f"({i}, {j}, CAST({w!r} AS DOUBLE))" for (i, j), w in KERNEL.items()) + ")"
+query("gauss_kernel", "WITH g AS (SELECT i, j, exp(-0.5 * power(i / CAST(0.5 AS DOUBLE), 2)) * exp(-0.5 * power(j / CAST(1.5 AS DOUBLE), 2)) AS w FROM range(-3, 4) a(i), range(-3, 4) b(j)) SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(w / sum(w) OVER (), 9) AS w FROM g")(
+    lambda s, d: s.createDataFrame([(i, j, w) for (i, j), w in KERNEL.items()], "i int, j int, w double").select("i", "j", F.round("w", 9).alias("w"))
+)
+query("gauss_conv", f"WITH {RAS}, {KSQL} SELECT CAST(r - i AS INT) AS r, CAST(c - j AS INT) AS c, round(sum(v * w), 6) AS v FROM ras, k WHERE r - i BETWEEN 0 AND 63 AND c - j BETWEEN 0 AND 63 GROUP BY ALL")(
+    lambda s, d: stencil.convolve(raster(s, d), KERNEL, PLANE).select(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.round("v", 6).alias("v"))
+)
+
+# ---------------------------------------------------------------- components
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.label(plane_mask(spark, sf_dir).withColumn("plane", F.lit(0)), PLANE, "plane")
+
+
+def closure(mask: str) -> str:
+    return f"walk AS (SELECT r, c, r * 64 + c AS comp FROM {mask} UNION SELECT n.r, n.c, comp FROM walk w JOIN {mask} n ON abs(n.r - w.r) + abs(n.c - w.c) = 1), comps AS (SELECT r, c, CAST(min(comp) AS BIGINT) AS comp FROM walk GROUP BY r, c)"
+
+
+query("components", f"{PM}, {closure('m')} SELECT r, c, comp FROM comps")(lambda s, d: labelled(s, d).select("r", "c", "comp"))
+query("component_sizes", f"{PM}, {closure('m')} SELECT comp, count(*) AS n FROM comps GROUP BY comp")(lambda s, d: components.sizes(labelled(s, d), "plane").select("comp", "n"))
+query("component_count", f"{PM}, {closure('m')} SELECT count(DISTINCT comp) AS n FROM comps")(lambda s, d: labelled(s, d).agg(F.countDistinct("comp").alias("n")))
+query("blob_filter", f"{PM}, {closure('m')} SELECT r, c, comp FROM (SELECT *, count(*) OVER (PARTITION BY comp) AS n FROM comps) WHERE n > 10 AND n <= 30")(lambda s, d: components.blob_filter(labelled(s, d), "plane", *BLOB_SIZE).select("r", "c", "comp"))
+query("fill_holes", f"WITH RECURSIVE {RAS}, m AS (SELECT r, c FROM ras WHERE v > 0), b AS (SELECT r, c FROM ras WHERE v <= 0), outside AS (SELECT r, c FROM b WHERE r IN (0, 63) OR c IN (0, 63) UNION SELECT n.r, n.c FROM outside w JOIN b n ON abs(n.r - w.r) + abs(n.c - w.c) = 1) SELECT r, c FROM ras EXCEPT SELECT r, c FROM outside")(
+    lambda s, d: components.fill_holes(plane_mask(s, d, 0.0).withColumn("plane", F.lit(0)), PLANE, "plane").select("r", "c")
+)
+
+
+def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    closed = stencil.closing(plane_mask(spark, sf_dir), stencil.ball(3, 2), PLANE)
+    return components.fill_holes(stencil.dilate(closed, stencil.ball(2, 2), PLANE).withColumn("plane", F.lit(0)), PLANE, "plane").select("r", "c")
+
+
+query("mask_cleanup", f"{PM}, {plane_near('g', 'm', stencil.ball(3, 2))}, {plane_all_near('q', 'g', stencil.ball(3, 2))}, {plane_near('o', 'q', stencil.ball(2, 2))}, b AS (SELECT r, c FROM ras EXCEPT SELECT r, c FROM o), outside AS (SELECT r, c FROM b WHERE r IN (0, 63) OR c IN (0, 63) UNION SELECT n.r, n.c FROM outside w JOIN b n ON abs(n.r - w.r) + abs(n.c - w.c) = 1) SELECT r, c FROM ras EXCEPT SELECT r, c FROM outside")(cleaned)
+
+# ---------------------------------------------------------------- acoustics
+
+LABELLED_RASTER = f"{RAS}, {RUNS}, {TIS}, lr AS (SELECT r, c, CAST(CASE WHEN label = 0 THEN 9 ELSE label END AS INT) AS label FROM ras JOIN lmap ON cls = (r * 64 + c) % 118)"
+MAPS = f"{LABELLED_RASTER}, maps AS (SELECT r, c, label, imp, alpha, mu0, mu1, sigma0 FROM lr JOIN tissue USING (label))"
+FACES = f"{MAPS}, f1 AS (SELECT *, coalesce(imp - lead(imp) OVER w, 0) AS d, imp + coalesce(lag(imp) OVER w, 0) AS s FROM maps WINDOW w AS (PARTITION BY r ORDER BY c)), faces AS (SELECT *, 1 - exp(-d * d / CAST(0.1 AS DOUBLE)) AS boundary, 1 / (1 + exp(-power(d / CASE WHEN s = 0 THEN 1 ELSE s END, 2))) AS refl FROM f1)"
+DEEP = f"{FACES}, d1 AS (SELECT *, product(exp(-alpha * (4.0::DOUBLE / 63))) OVER w AS att, product(1 - refl * boundary) OVER w AS trans FROM faces WINDOW w AS (PARTITION BY r ORDER BY c ROWS UNBOUNDED PRECEDING)), deep AS (SELECT *, att * (1 + 7.0::DOUBLE * c / 63) AS att_tgc FROM d1)"
+
+
+def slice_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = raster(spark, sf_dir).select("r", "c", ((F.col("r") * 64 + F.col("c")) % 118).alias("tot"))
+    return labels.remap(cells).select("r", "c", F.when(F.col("label") == 0, 9).otherwise(F.col("label")).cast("int").alias("label"))
+
+
+def maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return acoustics.lookup(slice_labels(spark, sf_dir))
+
+
+def deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return acoustics.depth_maps(acoustics.interfaces(acoustics.clamp_maps(maps(spark, sf_dir))), 64)
+
+
+def _rounded(*names: str):
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+query("acoustic_maps", f"WITH {MAPS} FROM maps")(maps)
+query("clamp_maps", f"WITH {MAPS} SELECT r, c, greatest(0, least(10, imp * 3 - 2)) AS imp, greatest(0, least(1, mu0 * 3 - 1)) AS mu0 FROM maps")(
+    lambda s, d: acoustics.clamp_maps(maps(s, d).withColumn("imp", F.col("imp") * 3 - 2).withColumn("mu0", F.col("mu0") * 3 - 1)).select("r", "c", "imp", "mu0")
+)
+query("impedance_diff", f"WITH {FACES} SELECT r, c, round(d, 6) AS d FROM faces")(lambda s, d: acoustics.interfaces(maps(s, d)).select("r", "c", *_rounded("d")))
+query("boundary_map", f"WITH {FACES} SELECT r, c, round(boundary, 6) AS boundary FROM faces")(lambda s, d: acoustics.interfaces(maps(s, d)).select("r", "c", *_rounded("boundary")))
+query("reflection_map", f"WITH {FACES} SELECT r, c, round(refl, 6) AS refl FROM faces")(lambda s, d: acoustics.interfaces(maps(s, d)).select("r", "c", *_rounded("refl")))
+query("attenuation", f"WITH {DEEP} SELECT r, c, round(att, 6) AS att FROM deep")(lambda s, d: deep(s, d).select("r", "c", *_rounded("att")))
+query("attenuation_tgc", f"WITH {DEEP} SELECT r, c, round(att_tgc, 6) AS att_tgc FROM deep")(lambda s, d: deep(s, d).select("r", "c", *_rounded("att_tgc")))
+query("transmission", f"WITH {DEEP} SELECT r, c, round(trans, 6) AS trans, round(ln(trans + CAST(1.1920929e-7 AS DOUBLE)), 3) AS log_trans FROM deep")(
+    lambda s, d: deep(s, d).select("r", "c", *_rounded("trans"), F.round(F.log(F.col("trans") + F.lit(1.1920929e-7)), 3).alias("log_trans"))
+)
+NOISE = lambda seed: f"(sqrt(3) * (2 * (CAST(('0x' || substr(md5('{seed}:' || r || ':' || c), 1, 12)) AS BIGINT) / CAST({2**48} AS DOUBLE)) - 1))"
+SCAT = f"{DEEP}, scat AS (SELECT *, 1 / (1 + exp(-10 * (mu1 - {NOISE(5)}))) * ({NOISE(6)} * sigma0 + mu0) AS scat FROM deep)"
+query("scatter_det", f"WITH {SCAT} SELECT r, c, round(scat, 6) AS scat FROM scat")(lambda s, d: acoustics.scatter(maps(s, d), 5).select("r", "c", *_rounded("scat")))
+BLUR = lambda n: f"{n}_g AS (SELECT r - i AS r, c - j AS c, sum({n} * w) AS {n}_g FROM scat, k WHERE r - i BETWEEN 0 AND 63 AND c - j BETWEEN 0 AND 63 GROUP BY ALL)"
+US = f"{SCAT}, {KSQL}, {BLUR('scat')}, {BLUR('boundary')}, us AS (SELECT CAST(r AS INT) AS r, CAST(c AS INT) AS c, greatest(0, least(1, att_tgc * scat_g + att_tgc * trans * refl * boundary_g)) AS v FROM scat JOIN scat_g USING (r, c) JOIN boundary_g USING (r, c))"
+
+
+def us_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return acoustics.intensity(acoustics.scatter(deep(spark, sf_dir), 5), PLANE)
+
+
+query("us_intensity", f"WITH {US} SELECT r, c, round(v, 4) AS intensity FROM us")(lambda s, d: us_slice(s, d).select(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.round("intensity", 4).alias("intensity")))
+
+# ---------------------------------------------------------------- geometry
+
+
+def warp_sql(source: str) -> str:
+    return f"""pix AS (SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, atan2(CAST(i - 180 AS DOUBLE), CAST(j + 120 AS DOUBLE)) AS angle, sqrt(CAST((i - 180) * (i - 180) + (j + 120) * (j + 120) AS DOUBLE)) AS radius FROM range(360) a(i), range(220) b(j)),
+    uv AS (SELECT i, j, (angle + pi() / 6) / (pi() / 3) * 64 AS u, (radius - 140) / CAST(200 AS DOUBLE) * 64 AS v FROM pix WHERE abs(angle) < pi() / 6 AND radius > 140 AND radius < 340),
+    taps AS (SELECT i, j, floor(u) + a AS r, floor(v) + b AS c, (CASE a WHEN 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) * (CASE b WHEN 1 THEN v - floor(v) ELSE 1 - (v - floor(v)) END) AS w FROM uv, range(2) p(a), range(2) q(b)),
+    hit AS (SELECT t.i, t.j, sum(s.v * t.w) AS v FROM taps t JOIN {source} s ON s.r = t.r AND s.c = t.c GROUP BY ALL), warped AS (SELECT pix.i, pix.j, coalesce(hit.v, 0) AS v FROM pix LEFT JOIN hit USING (i, j))"""
+
+
+query("polar_warp", f"WITH {RAS}, {warp_sql('ras')} SELECT i, j, round(v, 6) AS v FROM warped")(lambda s, d: geometry.polar_warp(raster(s, d), 64, 64).select("i", "j", *_rounded("v")))
+query("us_render", f"WITH {US}, {warp_sql('us')} SELECT j AS r, CAST(359 - i AS INT) AS c, round(v, 4) AS v FROM warped")(
+    lambda s, d: geometry.rotate_warped(geometry.polar_warp(us_slice(s, d).withColumnRenamed("intensity", "v"), 64, 64).toDF("r", "c", "v"), 360).select("r", "c", F.round("v", 4).alias("v"))
+)
+query("warp_rotate", f"WITH {RAS} SELECT c AS r, CAST(63 - r AS INT) AS c, v FROM ras")(lambda s, d: geometry.rotate_warped(raster(s, d), 64))
+query("resize_nearest", f"WITH {RAS} SELECT CAST(i AS INT) AS r, CAST(j AS INT) AS c, v FROM range(380) a(i), range(380) b(j), ras WHERE ras.r = i * 64 // 380 AND ras.c = j * 64 // 380")(lambda s, d: geometry.resize_nearest(raster(s, d), PLANE, 380))
+query("center_crop", f"WITH {RAS} SELECT CAST(i - 62 AS INT) AS r, CAST(j - 62 AS INT) AS c, v FROM range(62, 318) a(i), range(62, 318) b(j), ras WHERE ras.r = i * 64 // 380 AND ras.c = j * 64 // 380")(lambda s, d: geometry.crop_center(geometry.resize_nearest(raster(s, d), PLANE, 380), 380, 256))
+SAMPLE = f"{ASSEMBLED}, q AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('11:' || x || ':' || y || ':' || z), x, y, z) AS n FROM lab), pts AS (SELECT x, y, z, label FROM q WHERE label <> 9 AND n <= 300)"
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.stratified(assembled(spark, sf_dir), dict.fromkeys(sampling.DEFAULT_QUOTA, 300), 11)
+
+
+query("stratified_sample", f"{SAMPLE} FROM pts")(points)
+query("pcd_normalize", f"{SAMPLE} SELECT label, x / CAST(32 AS DOUBLE) - 0.5 AS x, y / CAST(32 AS DOUBLE) - 0.5 AS y, z / CAST(16 AS DOUBLE) - 0.5 AS z FROM pts")(lambda s, d: geometry.normalize_points(points(s, d), SHAPE))
+query("pcd_rotate", f"{SAMPLE} SELECT label, -(z / CAST(16 AS DOUBLE) - 0.5) AS x, -(y / CAST(32 AS DOUBLE) - 0.5) AS y, -(x / CAST(32 AS DOUBLE) - 0.5) AS z FROM pts")(lambda s, d: geometry.rotate_points(geometry.normalize_points(points(s, d), SHAPE)))
+query("axis_plane", "SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, 5 AS z FROM range(32) a(x), range(32) b(y)")(lambda s, d: sampling.axis_plane(s, 5, 32, 32))
+AXIS = "axis AS (SELECT i AS draw, CAST(('0x' || substr(md5('3:' || i), 1, 12)) AS BIGINT) % 1024 AS cell FROM range(2000) g(i))"
+query("axis_sample", f"WITH {AXIS} SELECT draw, CAST(cell % 32 AS INT) AS x, CAST(cell // 32 AS INT) AS y, 5 AS z FROM axis")(lambda s, d: sampling.axis_sample(sampling.axis_plane(s, 5, 32, 32), 2000, 3, 32, 32))
+query("pcd_with_axis", f"{SAMPLE}, {AXIS} SELECT label, x, y, z FROM pts UNION ALL SELECT -1, CAST(cell % 32 AS INT), CAST(cell // 32 AS INT), 5 FROM axis")(
+    lambda s, d: points(s, d).select("label", "x", "y", "z").unionByName(sampling.axis_sample(sampling.axis_plane(s, 5, 32, 32), 2000, 3, 32, 32).select(F.lit(-1).alias("label"), "x", "y", "z"))
+)
+
+# ---------------------------------------------------------------- files
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("path"))
+
+
+NAMES = "f AS (SELECT page_id, url AS path FROM pages)"
+query("file_catalog", f"WITH {NAMES} FROM f WHERE path NOT LIKE '%\\_processed\\_%' ESCAPE '\\'")(lambda s, d: catalog.unprocessed(files(s, d)))
+query("dedup_basename", f"WITH {NAMES} SELECT list_last(string_split(path, '/')) AS name, min(path) AS path FROM f GROUP BY 1")(lambda s, d: catalog.first_of_each_name(files(s, d)))
+PATHS = "replace(replace(url, '/en/', '/imgs/'), '.html', '.nii.gz')"
+query("path_derivation", f"WITH p AS (SELECT {PATHS} AS path FROM pages) SELECT path, replace(replace(path, '.nii.gz', '_label.nii.gz'), '/imgs/', '/labels/') AS dest_label, replace(replace(path, '.nii.gz', '_us'), '/imgs/', '/us/') AS dest_us FROM p")(
+    lambda s, d: catalog.derived_paths(files(s, d).select(F.replace(F.replace("path", F.lit("/en/"), F.lit("/imgs/")), F.lit(".html"), F.lit(".nii.gz")).alias("path")))
+)
+query("sample_files", f"WITH {NAMES} FROM f ORDER BY md5('2:' || path), path LIMIT 5")(lambda s, d: sampling.first_rows(files(s, d), 5, 2, "path"))
+query("batch_collate", f"WITH {NAMES} SELECT batch_id, string_agg(path, ' ' ORDER BY page_id) AS paths FROM (SELECT *, CAST((row_number() OVER (ORDER BY page_id) - 1) // 8 AS BIGINT) AS batch_id FROM f) GROUP BY batch_id")(
+    lambda s, d: sampling.batches(files(s, d), "page_id", 8).groupBy("batch_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "path"))), lambda x: x["path"]), " ").alias("paths"))
+)
+query("point_lookup", f"WITH {NAMES} FROM f WHERE page_id = 7")(lambda s, d: files(s, d).where("page_id = 7"))
+AFFINE = [[i * 3 + j for j in range(3)] for i in range(3)]
+query("affine_matrix", "WITH e AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings) SELECT vec_id, " + ", ".join(f"round({f'e[{i * 3 + j + 1}] * e[{10 + j}]' if i < 3 and j < 3 else f'e[{13 + i}]' if i < 3 else str(float(j == 3)) + '::DOUBLE'}, 9) AS a{i}{j}" for i, j in itertools.product(range(4), range(4))) + " FROM e")(
+    lambda s, d: table(s, d, "embeddings")
+    .select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    .select("vec_id", catalog.affine(F.slice("e", 1, 9), F.slice("e", 10, 3), F.slice("e", 13, 3)).alias("a"))
+    .select("vec_id", *[F.round(F.col("a")[i][j], 9).alias(f"a{i}{j}") for i, j in itertools.product(range(4), range(4))])
+)
