@@ -54,12 +54,12 @@ def interfaces(maps: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 
 def depth_maps(maps: DataFrame, depth: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """att, att_tgc and trans: running products along the ray, as sums of logarithms and a product."""
+    """att, att_tgc and trans: running products along the ray, the first as a sum of exponents."""
     w = _ray(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     step = 4.0 / (depth - 1)
     out = maps.withColumn("att", F.exp(-F.lit(step) * F.sum("alpha").over(w)))
     out = out.withColumn("att_tgc", F.col("att") * (1 + F.lit(TGC - 1) * F.col("c") / F.lit(float(depth - 1))))
-    return out.withColumn("trans", F.exp(F.sum(F.log(1 - F.col("refl") * F.col("boundary"))).over(w)))
+    return out.withColumn("trans", F.product(1 - F.col("refl") * F.col("boundary")).over(w))
 
 
 def gaussian_kernel(size: int = 3, std: tuple[float, float] = (0.5, 1.5)) -> dict[tuple[int, int], float]:
