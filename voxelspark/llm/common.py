@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
+#: Drops an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Texts are processed in slices of about this many bytes, which bounds a worker's memory; one longer text makes a slice of its own.
 SLICE_BYTES = 2 << 20
 
@@ -30,12 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors. The write's own shuffle files go with it."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
     gc.collect()
-    df.sparkSession._jvm.System.gc()  # so that shuffle files of finished steps are released
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark._jvm.System.gc()  # releases shuffle files of finished steps
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

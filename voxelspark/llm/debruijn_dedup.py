@@ -54,8 +54,8 @@ def _resolve(segments: DataFrame) -> DataFrame:
     order = Window.partitionBy("c").orderBy("at")
     starts = joined.withColumn("new", F.when(F.col("least") == F.lag("least").over(order), 0).otherwise(1)).withColumn("path", F.sum("new").over(order))
     paths = starts.groupBy("c", "path").agg(F.min("at").alias("at"), F.count("*").cast("int").alias("length"), F.first("least").alias("least"))
-    placed = paths.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("at", "length", "least"))).alias("paths"))
-    return placed.select("c", F.flatten(F.transform("paths", lambda p: F.array_repeat(p["least"], p["length"]))).alias("mins"))
+    path = F.struct(F.col("at").cast("int").alias("at"), "length", "least")
+    return paths.groupBy("c").agg(F.array_sort(F.collect_list(path)).alias("runs"))
 
 
 def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -65,10 +65,10 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def run(batches):
         for b in batches:
             rows = []
-            for doc, text, marks in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                data = (text or "").encode()
-                s, e, _ = C.words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
-                gone = repeats.covered(len(s), doc, marks, WINDOW)
+            for i, doc, units in repeats.rows(b):
+                s, e, _ = C.words(units, np.array([0, len(units)]))
+                data = units.tobytes()
+                gone = repeats.covered(b, i, len(s), WINDOW)
                 kept = b" ".join(data[x:y] for x, y in zip(s[~gone].tolist(), e[~gone].tolist(), strict=True))
                 rows.append((doc, len(s), int(gone.sum()), hashlib.sha256(kept).hexdigest()))
             if rows:

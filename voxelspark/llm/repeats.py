@@ -78,37 +78,48 @@ def _scan(docs: DataFrame, units: Units, k: int, window: int, counted: bool) ->
     return C.map_arrow(docs, run, ", ".join(f"{x} long" for x in names))
 
 
+def _shared(counted: DataFrame) -> DataFrame:
+    """Contents of anchors that several documents have, with their least document and whether the anchor has several contents."""
+    by_content = counted.repartition("h").groupBy("h", "c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    anchor = Window.partitionBy("h")
+    out = by_content.withColumn("low", F.min("lo").over(anchor)).withColumn("high", F.max("hi").over(anchor)).withColumn("mixed", F.count("*").over(anchor) > 1)
+    return out.where("low < high").select("h", "c", "lo", "mixed")
+
+
 def marked(docs: DataFrame, units: Units, k: int, window: int, resolve: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``docs`` (doc_id, text) with ``marks``: per block that has windows in smaller documents its first window, their number, the least document, and,
-    where windows differ, each window's least document.
+    """``docs`` (doc_id, text) with ``marks``: the runs of windows (first, number) that also start in smaller documents.
 
-    ``resolve`` gets the segments (h, c, lo, n, text slice as bytes in ``units``' input form) and returns (c, mins).
+    ``resolve`` gets documents with the blocks to cut from them (doc_id, text, cuts of pos, n, h, c) and returns ``RUNS``: for each content the runs of its windows with one least document.
     """
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    by_content = _scan(known, units, k, window, True).repartition("h").groupBy("h", "c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    anchor = Window.partitionBy("h")
-    shared = by_content.withColumn("low", F.min("lo").over(anchor)).withColumn("high", F.max("hi").over(anchor)).withColumn("mixed", F.count("*").over(anchor) > 1)
-    shared = C.materialize(shared.where("low < high").select("h", "c", "lo", "mixed"))
+    shared = C.materialize(_shared(_scan(known, units, k, window, True)))
     found = _scan(known, units, k, window, False).join(shared, "c").where("mixed OR lo < doc")
     hits = C.materialize(found.select("doc", F.col("pos").cast("int").alias("pos"), F.col("n").cast("short").alias("n"), "lo", "mixed", F.when(F.col("mixed"), F.col("c")).alias("c"), F.when(F.col("mixed") & (F.col("lo") == F.col("doc")), F.col("h")).alias("h")))
     wanted = hits.where("h IS NOT NULL").groupBy("doc").agg(F.collect_list(F.struct("pos", "n", "h", "c")).alias("cuts"))
     segments = known.join(wanted, known["doc_id"] == wanted["doc"]).select("doc_id", "text", "cuts")
-    mins = C.materialize(resolve(segments))
-    plain = hits.where("NOT mixed").select("doc", "pos", "n", "lo", F.lit(None).cast("array<long>").alias("mins"))
-    mixed = hits.where("mixed").join(mins, "c").where(F.array_min("mins") < F.col("doc")).select("doc", "pos", "n", "lo", "mins")
-    marks = plain.unionByName(mixed).groupBy("doc").agg(F.collect_list(F.struct("pos", "n", "lo", "mins")).alias("marks"))
+    runs = C.materialize(resolve(segments))
+    plain = hits.where("NOT mixed").select("doc", F.col("pos").alias("begin"), F.col("n").cast("int").alias("many"))
+    runs = hits.where("mixed").select("doc", "pos", "c").join(runs, "c").select("doc", "pos", F.explode("runs").alias("run")).where("run.least < doc")
+    mixed = runs.select("doc", (F.col("pos") + F.col("run.at")).cast("int").alias("begin"), F.col("run.length").cast("int").alias("many"))
+    marks = plain.unionByName(mixed).groupBy("doc").agg(F.collect_list(F.struct("begin", "many")).alias("marks"))
     return docs.join(marks, docs["doc_id"] == marks["doc"], "left").select("doc_id", "text", "marks")
 
 
-def covered(size: int, doc: int, marks: list | None, window: int) -> np.ndarray:
-    """Which of a document's ``size`` units a marked window covers."""
-    turn = np.zeros(size + 1, np.int64)
-    for m in marks or []:
-        if m["mins"] is None:
-            begin, end = np.array([m["pos"]]), np.array([m["pos"] + m["n"] - 1 + window])
-        else:
-            begin = m["pos"] + np.flatnonzero(np.array(m["mins"]) < doc)
-            end = begin + window
-        np.add.at(turn, np.minimum(begin, size), 1)
-        np.add.at(turn, np.minimum(end, size), -1)
-    return np.cumsum(turn[:-1]) > 0
+RUNS = "c long, runs array<struct<at: int, length: int, least: long>>"
+
+
+def covered(batch: pa.RecordBatch, row: int, size: int, window: int) -> np.ndarray:
+    """Which of the ``size`` units of a row of ``marked`` a marked window covers."""
+    marks = batch.column(2)[row].values
+    if marks is None or not len(marks):
+        return np.zeros(size, bool)
+    begin, many = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in marks.flatten())
+    turn = np.bincount(np.minimum(begin, size), minlength=size + 1) - np.bincount(np.minimum(begin + many - 1 + window, size), minlength=size + 1)
+    return np.cumsum(turn[:size]) > 0
+
+
+def rows(batch: pa.RecordBatch):
+    """(row, id, bytes of the text) of a batch of ``marked``."""
+    data, at = C.utf8(batch.column(1))
+    for i, doc in enumerate(batch.column(0).to_pylist()):
+        yield i, doc, data[at[i] : at[i + 1]]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import repeats
 
-WINDOW, K = 50, 20
+WINDOW, K = 50, 18
 #: Bytes of passages that meet in one task, about.
 BUCKET_BYTES = 4 << 20
 SEPARATOR = 0xFF  # no byte of UTF-8
@@ -79,8 +79,8 @@ def common_runs(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     return np.cumsum(new) - 1
 
 
-def least_documents(segments: list[np.ndarray], docs: np.ndarray, window: int) -> list[np.ndarray]:
-    """For every window of every segment the least document of any segment that has the same window."""
+def least_documents(segments: list[np.ndarray], docs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every window of every segment, in order: the least document of any segment that has the same window, its segment and its place there."""
     size = np.array([len(x) for x in segments])
     gap = np.array([SEPARATOR], np.uint8)
     text = np.concatenate([y for x in segments for y in (x, gap)])
@@ -92,7 +92,8 @@ def least_documents(segments: list[np.ndarray], docs: np.ndarray, window: int) -
     best = np.minimum.reduceat(docs[owner[order]], np.flatnonzero(np.append(True, run[1:] != run[:-1])))
     out = np.zeros(len(text), np.int64)
     out[order] = best[run]
-    return [out[b : b + n - window + 1] for b, n in zip(begin.tolist(), size.tolist(), strict=True)]
+    window_at = np.flatnonzero(np.arange(len(text)) + window <= (begin + size)[owner])
+    return out[window_at], owner[window_at], window_at - begin[owner[window_at]]
 
 
 def _resolve(segments: DataFrame) -> DataFrame:
@@ -111,11 +112,15 @@ def _resolve(segments: DataFrame) -> DataFrame:
 
     def solve(table):
         seg = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("seg")]
-        mins = least_documents(seg, table.column("lo").to_numpy(), WINDOW)
-        return pa.table({"c": table.column("c"), "mins": pa.array([x.tolist() for x in mins], pa.list_(pa.int64()))})
+        least, owner, at = least_documents(seg, table.column("lo").to_numpy(), WINDOW)
+        first = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])))
+        length = np.diff(np.append(first, len(least)))
+        runs = pa.StructArray.from_arrays([pa.array(at[first].astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(least[first])], ["at", "length", "least"])
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[first], np.arange(len(seg) + 1)).astype(np.int32)), runs)
+        return pa.table({"c": table.column("c"), "runs": lists})
 
     C.ship(pieces.sparkSession)
-    return pieces.groupBy(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")).applyInArrow(solve, "c long, mins array<long>")
+    return pieces.groupBy(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")).applyInArrow(solve, repeats.RUNS)
 
 
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,9 +130,8 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def run(batches):
         for b in batches:
             rows = []
-            for doc, text, marks in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                data = np.frombuffer((text or "").encode(), np.uint8)
-                gone = repeats.covered(len(data), doc, marks, WINDOW)
+            for i, doc, data in repeats.rows(b):
+                gone = repeats.covered(b, i, len(data), WINDOW)
                 rows.append((doc, len(data), int(gone.sum()), int((gone & ~np.append(False, gone[:-1])).sum()) if len(gone) else 0, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
             if rows:
                 yield C.batches(schema, [list(x) for x in zip(*rows, strict=True)])
