@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,11 @@ from pyspark.sql import functions as F
 
 from .functions.constants import BLOB_SIZE, CLASS_RUNS, PALETTE, TISSUES
 from .operators import acoustics, components, geometry, labels, sampling, stencil
-from .sources import catalog
+from .plans import registry
+from .session import shared_dir
+from .sources import catalog, demo, nifti, pictures
 from .sources.fixtures import PLANE, SHAPE, raster, table, volume
+from .streaming import landing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -269,3 +273,32 @@ query("affine_matrix", "WITH e AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN em
     .select("vec_id", catalog.affine(F.slice("e", 1, 9), F.slice("e", 10, 3), F.slice("e", 13, 3)).alias("a"))
     .select("vec_id", *[F.round(F.col("a")[i][j], 9).alias(f"a{i}{j}") for i, j in itertools.product(range(4), range(4))])
 )
+
+# ---------------------------------------------------------------- formats, methods, streams
+
+
+def nifti_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Densities written as a file of signed samples and read back; cells that the volume lacks are 0."""
+    folder = f"{shared_dir(spark)}/nifti-{uuid.uuid4().hex}"
+    nifti.write(volume(spark, sf_dir).withColumn("volume_id", F.lit("one")), SHAPE, folder, "hu", code=4)
+    return nifti.voxels(nifti.planes(spark, folder)).select("x", "y", "z", F.col("v").cast("int").alias("hu"))
+
+
+def picture_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = raster(spark, sf_dir).select(F.lit(0).alias("z"), "r", "c", F.pmod(F.col("r") * 31 + F.col("c") * 7, F.lit(256)).alias("g")).withColumn("intensity", F.col("g") / 255)
+    return pictures.decoded(pictures.slice_pictures(cells, PLANE), "png")
+
+
+def cloud_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    colored = sampling.with_colors(points(spark, sf_dir)).withColumn("volume", F.lit("one"))
+    return pictures.decoded(pictures.clouds(colored, "volume"), "glb")
+
+
+query("nifti_round_trip", f"WITH {VOL}, {GRID} SELECT x, y, z, coalesce(hu, 0) AS hu FROM grid LEFT JOIN vol USING (x, y, z)")(nifti_round_trip)
+query("picture_round_trip", "SELECT 'slice__0.png' AS name, CAST(vec_id AS INT) AS r, CAST(c AS INT) AS c, CAST((vec_id * 31 + c * 7) % 256 AS INT) AS v FROM embeddings, range(64) g(c) WHERE vec_id < 64")(picture_round_trip)
+query("cloud_round_trip", f"{SAMPLE}, {PALETTE_SQL} SELECT 'one.glb' AS name, x, y, z, coalesce(red, 0) AS red, coalesce(green, 0) AS green, coalesce(blue, 0) AS blue, coalesce(alpha, 255) AS alpha FROM pts LEFT JOIN pal USING (label)")(cloud_round_trip)
+query("demo_cloud")(lambda s, d: demo.cloud(s, tuple(sampling.DEFAULT_QUOTA), 200, 1))
+query("registry_counts", f"{ASSEMBLED} SELECT label, count(*) AS n FROM lab GROUP BY label")(lambda s, d: registry.run(volume(s, d), SHAPE)["counts"])
+query("stream_counts", "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n FROM events GROUP BY ALL")(
+    lambda s, d: landing.drain(landing.windowed_counts(landing.arrivals(s, f"{d}/events.parquet*", table(s, d, "events").schema), "ts", "event_type", "1 hour", "1 day"))
+)

@@ -25,3 +25,14 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(ROOT.rglob("*.py")):
             z.write(p, p.relative_to(ROOT.parent))
     sc.addPyFile(str(path))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder (``spark.checkpoint.dir``); a local one is made only where it is unset, as in tests."""
+    sc = spark.sparkContext
+    configured = sc.getConf().get("spark.checkpoint.dir")
+    if configured:
+        return configured
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="voxelspark-"))
+    return sc.getCheckpointDir()
