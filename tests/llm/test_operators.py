@@ -201,3 +201,25 @@ def test_pipeline(spark, tmp_path):
 
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert rows and {"doc_id", "sequence_id"} <= {*rows[0].asDict()}
+
+
+@pytest.mark.parametrize("hub_links", [20, 500])
+def test_components_with_hubs_equal_a_plain_union_find(spark, monkeypatch, hub_links):
+    """Broadcast rows of hubs and shuffled rows of other nodes together give the same components."""
+    from voxelspark.llm import components as stars
+
+    monkeypatch.setattr(stars, "HUB_LINKS", hub_links)
+    links = [(0, i) for i in range(1, 700)] + [(1000 + i, 1001 + i) for i in range(30)] + [(2000 + i * 7 % 400, 2000 + i * 11 % 400) for i in range(150)] + [(5, 5)]
+    root: dict[int, int] = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = {x: find(x) for link in links if link[0] != link[1] for x in link}
+    assert {r.node: r.root for r in stars.components(spark.createDataFrame(links, "a long, b long")).collect()} == want

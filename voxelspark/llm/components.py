@@ -8,14 +8,24 @@ from pyspark.sql import functions as F
 from . import common as C
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Large star: every neighbour above a node points to the least of its neighbourhood. Small star: the neighbours below do, and the node itself."""
+#: A node of more links than this, and than 2 * links / ``HUBS``, is a hub; so there are at most ``HUBS`` hubs, however many links there are.
+HUB_LINKS, HUBS = 500, 100_000
+
+
+def _star(edges: DataFrame, large: bool, links: int) -> DataFrame:
+    """Large star: every neighbour above a node points to the least of its neighbourhood. Small star: the neighbours below do, and the node itself.
+
+    Rows of hubs learn their least neighbour from a broadcast table, so that no task gets all rows of a hub; the other rows are joined by shuffling.
+    """
     if large:
         near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = near.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    joined = near.join(least, "a")
+    least = near.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
+    most = max(HUB_LINKS, 2 * links // HUBS)
+    hubs = F.broadcast(least.where(F.col("n") > most).select("a", "m"))
+    usual = least.where(F.col("n") <= most).select("a", "m")
+    joined = near.join(hubs, "a").unionByName(near.join(hubs, "a", "left_anti").join(usual, "a"))
     if large:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -32,5 +42,5 @@ def components(links: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
-        edges = C.materialize(_star(_star(edges, large=True), large=False))
+        edges = C.materialize(_star(_star(edges, True, now[0]), False, now[0]))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
