@@ -203,12 +203,10 @@ def test_pipeline(spark, tmp_path):
     assert rows and {"doc_id", "sequence_id"} <= {*rows[0].asDict()}
 
 
-@pytest.mark.parametrize("hub_links", [20, 500])
-def test_components_with_hubs_equal_a_plain_union_find(spark, monkeypatch, hub_links):
-    """Broadcast rows of hubs and shuffled rows of other nodes together give the same components."""
+def test_components_equal_a_plain_union_find(spark):
+    """A hub, a chain, random links and a loop."""
     from voxelspark.llm import components as stars
 
-    monkeypatch.setattr(stars, "HUB_LINKS", hub_links)
     links = [(0, i) for i in range(1, 700)] + [(1000 + i, 1001 + i) for i in range(30)] + [(2000 + i * 7 % 400, 2000 + i * 11 % 400) for i in range(150)] + [(5, 5)]
     root: dict[int, int] = {}
 
