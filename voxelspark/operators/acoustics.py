@@ -80,10 +80,10 @@ def scatter(maps: DataFrame, seed: int) -> DataFrame:
     return maps.withColumn("scat", sigmoid(F.lit(SCATTER_SLOPE) * (F.col("mu1") - noise(seed, *place))) * (noise(seed + 1, *place) * F.col("sigma0") + F.col("mu0")))
 
 
-def intensity(maps: DataFrame, shape: dict[str, int]) -> DataFrame:
-    """r, c, intensity in [0, 1] of one slice: backscatter and specular echo, both blurred by the kernel."""
+def intensity(maps: DataFrame, shape: dict[str, int], keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys``, r, c, intensity in [0, 1] of each slice: backscatter and specular echo, both blurred by the kernel."""
     kernel = gaussian_kernel()
-    blurred = [stencil.convolve(maps.select("r", "c", F.col(name).alias("v")), kernel, shape).withColumnRenamed("v", f"{name}_g") for name in ("scat", "boundary")]
-    out = maps.join(blurred[0], ["r", "c"]).join(blurred[1], ["r", "c"])
+    blurred = [stencil.convolve(maps.select(*keys, "r", "c", F.col(name).alias("v")), kernel, shape).withColumnRenamed("v", f"{name}_g") for name in ("scat", "boundary")]
+    out = maps.join(blurred[0], [*keys, "r", "c"]).join(blurred[1], [*keys, "r", "c"])
     echo = F.col("att_tgc") * F.col("scat_g") + F.col("att_tgc") * F.col("trans") * F.col("refl") * F.col("boundary_g")
-    return out.select("r", "c", clamp(echo, 0.0, 1.0).alias("intensity"))
+    return out.select(*keys, "r", "c", clamp(echo, 0.0, 1.0).alias("intensity"))

@@ -25,12 +25,12 @@ def crop_center(raster: DataFrame, size: int, crop: int, axes: tuple[str, ...] =
     return raster
 
 
-def rotate_warped(raster: DataFrame, n: int) -> DataFrame:
-    return raster.select(F.col("c").alias("r"), (F.lit(n - 1) - F.col("r")).cast("int").alias("c"), "v")
+def rotate_warped(raster: DataFrame, n: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    return raster.select(*keys, F.col("c").alias("r"), (F.lit(n - 1) - F.col("r")).cast("int").alias("c"), "v")
 
 
-def polar_warp(raster: DataFrame, w: int, h: int, label_interp: str = "bilinear") -> DataFrame:
-    """i, j, v of the 360 x 220 sector picture of a raster (ray r, depth c); pixels outside the sector are 0.
+def polar_warp(raster: DataFrame, w: int, h: int, label_interp: str = "bilinear", keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys``, i, j, v of the 360 x 220 sector picture of each raster (ray r, depth c); pixels outside the sector are 0.
 
     Bilinear: four taps at pixel indices, outside 0. ``nearest`` takes the rounded place, for labels.
     """
@@ -48,8 +48,11 @@ def polar_warp(raster: DataFrame, w: int, h: int, label_interp: str = "bilinear"
         fu, fv = F.col("u") - F.floor("u"), F.col("v_") - F.floor("v_")
         four = [F.struct((F.floor("u") + a).cast("int").alias("r"), (F.floor("v_") + b).cast("int").alias("c"), ((fu if a else 1 - fu) * (fv if b else 1 - fv)).alias("weight")) for a in (0, 1) for b in (0, 1)]
         taps = place.select("i", "j", F.explode(F.array(*four)).alias("t")).select("i", "j", "t.*")
-    found = taps.join(raster, ["r", "c"]).groupBy("i", "j").agg(F.sum(F.col("v") * F.col("weight")).alias("v"))
-    return pixels.select("i", "j").join(found, ["i", "j"], "left").select("i", "j", F.coalesce("v", F.lit(0.0)).alias("v"))
+    found = raster.join(F.broadcast(taps), ["r", "c"]).groupBy(*keys, "i", "j").agg(F.sum(F.col("v") * F.col("weight")).alias("v"))
+    all_pixels = pixels.select("i", "j")
+    if keys:
+        all_pixels = raster.select(*keys).distinct().crossJoin(F.broadcast(all_pixels))
+    return all_pixels.join(found, [*keys, "i", "j"], "left").select(*keys, "i", "j", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
 def normalize_points(points: DataFrame, shape: dict[str, int]) -> DataFrame:

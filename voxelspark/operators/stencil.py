@@ -73,8 +73,9 @@ def opening(mask: DataFrame, offsets: Offsets, shape: dict[str, int], border: st
 
 
 def convolve(raster: DataFrame, weights: dict[tuple[int, int], float], shape: dict[str, int], value: str = "v") -> DataFrame:
-    """Correlation of a 2-D raster (two axes and ``value``) with a table of weights; outside is 0."""
+    """Correlation of 2-D rasters (two axes, ``value`` and columns that name the raster) with a table of weights; outside is 0."""
     a, b = shape
+    keys = [c for c in raster.columns if c not in (a, b, value)]
     taps = F.array(*[F.struct(F.lit(-i).alias("i"), F.lit(-j).alias("j"), F.lit(float(w)).alias("w")) for (i, j), w in weights.items()])
-    spread = raster.withColumn("_t", F.explode(taps)).select((F.col(a) + F.col("_t.i")).alias(a), (F.col(b) + F.col("_t.j")).alias(b), (F.col(value) * F.col("_t.w")).alias("_p"))
-    return _inside(spread, shape).groupBy(a, b).agg(F.sum("_p").alias(value))
+    spread = raster.withColumn("_t", F.explode(taps)).select(*keys, (F.col(a) + F.col("_t.i")).alias(a), (F.col(b) + F.col("_t.j")).alias(b), (F.col(value) * F.col("_t.w")).alias("_p"))
+    return _inside(spread, shape).groupBy(*keys, a, b).agg(F.sum("_p").alias(value))

@@ -31,6 +31,17 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def planes_query(name: str, sql: str):
+    """A query of rasters (plane, r, c, v): ``name`` gives the first plane, which is what its SQL is about, and ``name``_planes all of them, with their number."""
+
+    def keep(f):
+        query(name, sql)(lambda s, d: f(raster(s, d).where("plane = 0")).drop("plane"))
+        query(f"{name}_planes")(lambda s, d: f(raster(s, d)))
+        return f
+
+    return keep
+
+
 # ---------------------------------------------------------------- oracle pieces
 
 VOL = """vol AS (
@@ -118,50 +129,56 @@ def plane_all_near(name: str, source: str, element: list[tuple]) -> str:
     return f"{name}_o(i, j) AS (VALUES {', '.join(map(str, element))}), {name} AS (SELECT CAST(r - i AS INT) AS r, CAST(c - j AS INT) AS c FROM {source}, {name}_o WHERE r - i BETWEEN 0 AND 63 AND c - j BETWEEN 0 AND 63 GROUP BY ALL HAVING count(*) = {len(element)})"
 
 
-def plane_mask(spark: SparkSession, sf_dir: str, over: float = 0.06) -> DataFrame:
-    return raster(spark, sf_dir).where(F.col("v") > over).select("r", "c")
+def plane_mask(ras: DataFrame, over: float = 0.06) -> DataFrame:
+    return ras.where(F.col("v") > over).select("plane", "r", "c")
 
 
 DISC = stencil.disc(2)
 PM = f"WITH RECURSIVE {RAS}, m AS (SELECT r, c FROM ras WHERE v > CAST(0.06 AS DOUBLE))"
-query("disc_dilate", f"{PM}, {plane_near('o', 'm', DISC)} FROM o")(lambda s, d: stencil.dilate(plane_mask(s, d), DISC, PLANE))
-query("disc_erode", f"{PM}, {plane_all_near('o', 'm', stencil.disc(1))} FROM o")(lambda s, d: stencil.erode(plane_mask(s, d), stencil.disc(1), PLANE))
-query("disc_closing", f"{PM}, {plane_near('g', 'm', DISC)}, {plane_all_near('o', 'g', DISC)} FROM o")(lambda s, d: stencil.closing(plane_mask(s, d), DISC, PLANE))
+planes_query("disc_dilate", f"{PM}, {plane_near('o', 'm', DISC)} FROM o")(lambda ras: stencil.dilate(plane_mask(ras), DISC, PLANE))
+planes_query("disc_erode", f"{PM}, {plane_all_near('o', 'm', stencil.disc(1))} FROM o")(lambda ras: stencil.erode(plane_mask(ras), stencil.disc(1), PLANE))
+planes_query("disc_closing", f"{PM}, {plane_near('g', 'm', DISC)}, {plane_all_near('o', 'g', DISC)} FROM o")(lambda ras: stencil.closing(plane_mask(ras), DISC, PLANE))
 KERNEL = acoustics.gaussian_kernel()
 KSQL = "k(i, j, w) AS (VALUES " + ", ".join(f"({i}, {j}, CAST({w!r} AS DOUBLE))" for (i, j), w in KERNEL.items()) + ")"
 query("gauss_kernel", "WITH g AS (SELECT i, j, exp(-0.5 * power(i / CAST(0.5 AS DOUBLE), 2)) * exp(-0.5 * power(j / CAST(1.5 AS DOUBLE), 2)) AS w FROM range(-3, 4) a(i), range(-3, 4) b(j)) SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(w / sum(w) OVER (), 9) AS w FROM g")(
     lambda s, d: s.createDataFrame([(i, j, w) for (i, j), w in KERNEL.items()], "i int, j int, w double").select("i", "j", F.round("w", 9).alias("w"))
 )
-query("gauss_conv", f"WITH {RAS}, {KSQL} SELECT CAST(r - i AS INT) AS r, CAST(c - j AS INT) AS c, round(sum(v * w), 6) AS v FROM ras, k WHERE r - i BETWEEN 0 AND 63 AND c - j BETWEEN 0 AND 63 GROUP BY ALL")(
-    lambda s, d: stencil.convolve(raster(s, d), KERNEL, PLANE).select(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.round("v", 6).alias("v"))
+planes_query("gauss_conv", f"WITH {RAS}, {KSQL} SELECT CAST(r - i AS INT) AS r, CAST(c - j AS INT) AS c, round(sum(v * w), 6) AS v FROM ras, k WHERE r - i BETWEEN 0 AND 63 AND c - j BETWEEN 0 AND 63 GROUP BY ALL")(
+    lambda ras: stencil.convolve(ras, KERNEL, PLANE).select("plane", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.round("v", 6).alias("v"))
 )
 
 # ---------------------------------------------------------------- components
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components.label(plane_mask(spark, sf_dir).withColumn("plane", F.lit(0)), PLANE, "plane")
+def labelled(ras: DataFrame) -> DataFrame:
+    return components.label(plane_mask(ras), PLANE, "plane")
+
+
+def counted(ras: DataFrame) -> DataFrame:
+    """A plane without foreground has 0 components."""
+    found = labelled(ras).groupBy("plane").agg(F.countDistinct("comp").alias("n"))
+    return ras.select("plane").distinct().join(found, "plane", "left").select("plane", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def closure(mask: str) -> str:
     return f"walk AS (SELECT r, c, r * 64 + c AS comp FROM {mask} UNION SELECT n.r, n.c, comp FROM walk w JOIN {mask} n ON abs(n.r - w.r) + abs(n.c - w.c) = 1), comps AS (SELECT r, c, CAST(min(comp) AS BIGINT) AS comp FROM walk GROUP BY r, c)"
 
 
-query("components", f"{PM}, {closure('m')} SELECT r, c, comp FROM comps")(lambda s, d: labelled(s, d).select("r", "c", "comp"))
-query("component_sizes", f"{PM}, {closure('m')} SELECT comp, count(*) AS n FROM comps GROUP BY comp")(lambda s, d: components.sizes(labelled(s, d), "plane").select("comp", "n"))
-query("component_count", f"{PM}, {closure('m')} SELECT count(DISTINCT comp) AS n FROM comps")(lambda s, d: labelled(s, d).agg(F.countDistinct("comp").alias("n")))
-query("blob_filter", f"{PM}, {closure('m')} SELECT r, c, comp FROM (SELECT *, count(*) OVER (PARTITION BY comp) AS n FROM comps) WHERE n > 10 AND n <= 30")(lambda s, d: components.blob_filter(labelled(s, d), "plane", *BLOB_SIZE).select("r", "c", "comp"))
-query("fill_holes", f"WITH RECURSIVE {RAS}, m AS (SELECT r, c FROM ras WHERE v > 0), b AS (SELECT r, c FROM ras WHERE v <= 0), outside AS (SELECT r, c FROM b WHERE r IN (0, 63) OR c IN (0, 63) UNION SELECT n.r, n.c FROM outside w JOIN b n ON abs(n.r - w.r) + abs(n.c - w.c) = 1) SELECT r, c FROM ras EXCEPT SELECT r, c FROM outside")(
-    lambda s, d: components.fill_holes(plane_mask(s, d, 0.0).withColumn("plane", F.lit(0)), PLANE, "plane").select("r", "c")
+planes_query("components", f"{PM}, {closure('m')} SELECT r, c, comp FROM comps")(lambda ras: labelled(ras).select("plane", "r", "c", "comp"))
+planes_query("component_sizes", f"{PM}, {closure('m')} SELECT comp, count(*) AS n FROM comps GROUP BY comp")(lambda ras: components.sizes(labelled(ras), "plane").select("plane", "comp", "n"))
+planes_query("component_count", f"{PM}, {closure('m')} SELECT count(DISTINCT comp) AS n FROM comps")(counted)
+planes_query("blob_filter", f"{PM}, {closure('m')} SELECT r, c, comp FROM (SELECT *, count(*) OVER (PARTITION BY comp) AS n FROM comps) WHERE n > 10 AND n <= 30")(lambda ras: components.blob_filter(labelled(ras), "plane", *BLOB_SIZE).select("plane", "r", "c", "comp"))
+planes_query("fill_holes", f"WITH RECURSIVE {RAS}, m AS (SELECT r, c FROM ras WHERE v > 0), b AS (SELECT r, c FROM ras WHERE v <= 0), outside AS (SELECT r, c FROM b WHERE r IN (0, 63) OR c IN (0, 63) UNION SELECT n.r, n.c FROM outside w JOIN b n ON abs(n.r - w.r) + abs(n.c - w.c) = 1) SELECT r, c FROM ras EXCEPT SELECT r, c FROM outside")(
+    lambda ras: components.fill_holes(plane_mask(ras, 0.0), PLANE, "plane").select("plane", "r", "c")
 )
 
 
-def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    closed = stencil.closing(plane_mask(spark, sf_dir), stencil.ball(3, 2), PLANE)
-    return components.fill_holes(stencil.dilate(closed, stencil.ball(2, 2), PLANE).withColumn("plane", F.lit(0)), PLANE, "plane").select("r", "c")
+def cleaned(ras: DataFrame) -> DataFrame:
+    closed = stencil.closing(plane_mask(ras), stencil.ball(3, 2), PLANE)
+    return components.fill_holes(stencil.dilate(closed, stencil.ball(2, 2), PLANE), PLANE, "plane")
 
 
-query("mask_cleanup", f"{PM}, {plane_near('g', 'm', stencil.ball(3, 2))}, {plane_all_near('q', 'g', stencil.ball(3, 2))}, {plane_near('o', 'q', stencil.ball(2, 2))}, b AS (SELECT r, c FROM ras EXCEPT SELECT r, c FROM o), outside AS (SELECT r, c FROM b WHERE r IN (0, 63) OR c IN (0, 63) UNION SELECT n.r, n.c FROM outside w JOIN b n ON abs(n.r - w.r) + abs(n.c - w.c) = 1) SELECT r, c FROM ras EXCEPT SELECT r, c FROM outside")(cleaned)
+planes_query("mask_cleanup", f"{PM}, {plane_near('g', 'm', stencil.ball(3, 2))}, {plane_all_near('q', 'g', stencil.ball(3, 2))}, {plane_near('o', 'q', stencil.ball(2, 2))}, b AS (SELECT r, c FROM ras EXCEPT SELECT r, c FROM o), outside AS (SELECT r, c FROM b WHERE r IN (0, 63) OR c IN (0, 63) UNION SELECT n.r, n.c FROM outside w JOIN b n ON abs(n.r - w.r) + abs(n.c - w.c) = 1) SELECT r, c FROM ras EXCEPT SELECT r, c FROM outside")(cleaned)
 
 # ---------------------------------------------------------------- acoustics
 
@@ -171,47 +188,52 @@ FACES = f"{MAPS}, f1 AS (SELECT *, coalesce(imp - lead(imp) OVER w, 0) AS d, imp
 DEEP = f"{FACES}, d1 AS (SELECT *, product(exp(-alpha * (4.0::DOUBLE / 63))) OVER w AS att, product(1 - refl * boundary) OVER w AS trans FROM faces WINDOW w AS (PARTITION BY r ORDER BY c ROWS UNBOUNDED PRECEDING)), deep AS (SELECT *, att * (1 + 7.0::DOUBLE * c / 63) AS att_tgc FROM d1)"
 
 
-def slice_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = raster(spark, sf_dir).select("r", "c", ((F.col("r") * 64 + F.col("c")) % 118).alias("tot"))
-    return labels.remap(cells).select("r", "c", F.when(F.col("label") == 0, 9).otherwise(F.col("label")).cast("int").alias("label"))
+def slice_labels(ras: DataFrame) -> DataFrame:
+    vector = F.col("plane").cast("long") * 64 + F.col("r")
+    cells = ras.select("plane", "r", "c", ((vector * 64 + F.col("c")) % 118).cast("int").alias("tot"))
+    return labels.remap(cells).select("plane", "r", "c", F.when(F.col("label") == 0, 9).otherwise(F.col("label")).cast("int").alias("label"))
+
+
+def maps(ras: DataFrame) -> DataFrame:
+    return acoustics.lookup(slice_labels(ras))
 
 
-def maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return acoustics.lookup(slice_labels(spark, sf_dir))
+def faces(ras: DataFrame) -> DataFrame:
+    return acoustics.interfaces(maps(ras), ("plane",))
 
 
-def deep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return acoustics.depth_maps(acoustics.interfaces(acoustics.clamp_maps(maps(spark, sf_dir))), 64)
+def deep(ras: DataFrame) -> DataFrame:
+    return acoustics.depth_maps(acoustics.interfaces(acoustics.clamp_maps(maps(ras)), ("plane",)), 64, ("plane",))
 
 
 def _rounded(*names: str):
     return [F.round(n, 6).alias(n) for n in names]
 
 
-query("acoustic_maps", f"WITH {MAPS} FROM maps")(maps)
-query("clamp_maps", f"WITH {MAPS} SELECT r, c, greatest(0, least(10, imp * 3 - 2)) AS imp, greatest(0, least(1, mu0 * 3 - 1)) AS mu0 FROM maps")(
-    lambda s, d: acoustics.clamp_maps(maps(s, d).withColumn("imp", F.col("imp") * 3 - 2).withColumn("mu0", F.col("mu0") * 3 - 1)).select("r", "c", "imp", "mu0")
+planes_query("acoustic_maps", f"WITH {MAPS} FROM maps")(maps)
+planes_query("clamp_maps", f"WITH {MAPS} SELECT r, c, greatest(0, least(10, imp * 3 - 2)) AS imp, greatest(0, least(1, mu0 * 3 - 1)) AS mu0 FROM maps")(
+    lambda ras: acoustics.clamp_maps(maps(ras).withColumn("imp", F.col("imp") * 3 - 2).withColumn("mu0", F.col("mu0") * 3 - 1)).select("plane", "r", "c", "imp", "mu0")
 )
-query("impedance_diff", f"WITH {FACES} SELECT r, c, round(d, 6) AS d FROM faces")(lambda s, d: acoustics.interfaces(maps(s, d)).select("r", "c", *_rounded("d")))
-query("boundary_map", f"WITH {FACES} SELECT r, c, round(boundary, 6) AS boundary FROM faces")(lambda s, d: acoustics.interfaces(maps(s, d)).select("r", "c", *_rounded("boundary")))
-query("reflection_map", f"WITH {FACES} SELECT r, c, round(refl, 6) AS refl FROM faces")(lambda s, d: acoustics.interfaces(maps(s, d)).select("r", "c", *_rounded("refl")))
-query("attenuation", f"WITH {DEEP} SELECT r, c, round(att, 6) AS att FROM deep")(lambda s, d: deep(s, d).select("r", "c", *_rounded("att")))
-query("attenuation_tgc", f"WITH {DEEP} SELECT r, c, round(att_tgc, 6) AS att_tgc FROM deep")(lambda s, d: deep(s, d).select("r", "c", *_rounded("att_tgc")))
-query("transmission", f"WITH {DEEP} SELECT r, c, round(trans, 6) AS trans, round(ln(trans + CAST(1.1920929e-7 AS DOUBLE)), 3) AS log_trans FROM deep")(
-    lambda s, d: deep(s, d).select("r", "c", *_rounded("trans"), F.round(F.log(F.col("trans") + F.lit(1.1920929e-7)), 3).alias("log_trans"))
+planes_query("impedance_diff", f"WITH {FACES} SELECT r, c, round(d, 6) AS d FROM faces")(lambda ras: faces(ras).select("plane", "r", "c", *_rounded("d")))
+planes_query("boundary_map", f"WITH {FACES} SELECT r, c, round(boundary, 6) AS boundary FROM faces")(lambda ras: faces(ras).select("plane", "r", "c", *_rounded("boundary")))
+planes_query("reflection_map", f"WITH {FACES} SELECT r, c, round(refl, 6) AS refl FROM faces")(lambda ras: faces(ras).select("plane", "r", "c", *_rounded("refl")))
+planes_query("attenuation", f"WITH {DEEP} SELECT r, c, round(att, 6) AS att FROM deep")(lambda ras: deep(ras).select("plane", "r", "c", *_rounded("att")))
+planes_query("attenuation_tgc", f"WITH {DEEP} SELECT r, c, round(att_tgc, 6) AS att_tgc FROM deep")(lambda ras: deep(ras).select("plane", "r", "c", *_rounded("att_tgc")))
+planes_query("transmission", f"WITH {DEEP} SELECT r, c, round(trans, 6) AS trans, round(ln(trans + CAST(1.1920929e-7 AS DOUBLE)), 3) AS log_trans FROM deep")(
+    lambda ras: deep(ras).select("plane", "r", "c", *_rounded("trans"), F.round(F.log(F.col("trans") + F.lit(1.1920929e-7)), 3).alias("log_trans"))
 )
 NOISE = lambda seed: f"(sqrt(3) * (2 * (CAST(('0x' || substr(md5('{seed}:' || r || ':' || c), 1, 12)) AS BIGINT) / CAST({2**48} AS DOUBLE)) - 1))"
 SCAT = f"{DEEP}, scat AS (SELECT *, 1 / (1 + exp(-10 * (mu1 - {NOISE(5)}))) * ({NOISE(6)} * sigma0 + mu0) AS scat FROM deep)"
-query("scatter_det", f"WITH {SCAT} SELECT r, c, round(scat, 6) AS scat FROM scat")(lambda s, d: acoustics.scatter(maps(s, d), 5).select("r", "c", *_rounded("scat")))
+planes_query("scatter_det", f"WITH {SCAT} SELECT r, c, round(scat, 6) AS scat FROM scat")(lambda ras: acoustics.scatter(maps(ras), 5).select("plane", "r", "c", *_rounded("scat")))
 BLUR = lambda n: f"{n}_g AS (SELECT r - i AS r, c - j AS c, sum({n} * w) AS {n}_g FROM scat, k WHERE r - i BETWEEN 0 AND 63 AND c - j BETWEEN 0 AND 63 GROUP BY ALL)"
 US = f"{SCAT}, {KSQL}, {BLUR('scat')}, {BLUR('boundary')}, us AS (SELECT CAST(r AS INT) AS r, CAST(c AS INT) AS c, greatest(0, least(1, att_tgc * scat_g + att_tgc * trans * refl * boundary_g)) AS v FROM scat JOIN scat_g USING (r, c) JOIN boundary_g USING (r, c))"
 
 
-def us_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return acoustics.intensity(acoustics.scatter(deep(spark, sf_dir), 5), PLANE)
+def us_slice(ras: DataFrame) -> DataFrame:
+    return acoustics.intensity(acoustics.scatter(deep(ras), 5), PLANE, ("plane",))
 
 
-query("us_intensity", f"WITH {US} SELECT r, c, round(v, 4) AS intensity FROM us")(lambda s, d: us_slice(s, d).select(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.round("intensity", 4).alias("intensity")))
+planes_query("us_intensity", f"WITH {US} SELECT r, c, round(v, 4) AS intensity FROM us")(lambda ras: us_slice(ras).select("plane", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.round("intensity", 4).alias("intensity")))
 
 # ---------------------------------------------------------------- geometry
 
@@ -223,13 +245,13 @@ def warp_sql(source: str) -> str:
     hit AS (SELECT t.i, t.j, sum(s.v * t.w) AS v FROM taps t JOIN {source} s ON s.r = t.r AND s.c = t.c GROUP BY ALL), warped AS (SELECT pix.i, pix.j, coalesce(hit.v, 0) AS v FROM pix LEFT JOIN hit USING (i, j))"""
 
 
-query("polar_warp", f"WITH {RAS}, {warp_sql('ras')} SELECT i, j, round(v, 6) AS v FROM warped")(lambda s, d: geometry.polar_warp(raster(s, d), 64, 64).select("i", "j", *_rounded("v")))
-query("us_render", f"WITH {US}, {warp_sql('us')} SELECT j AS r, CAST(359 - i AS INT) AS c, round(v, 4) AS v FROM warped")(
-    lambda s, d: geometry.rotate_warped(geometry.polar_warp(us_slice(s, d).withColumnRenamed("intensity", "v"), 64, 64).toDF("r", "c", "v"), 360).select("r", "c", F.round("v", 4).alias("v"))
+planes_query("polar_warp", f"WITH {RAS}, {warp_sql('ras')} SELECT i, j, round(v, 6) AS v FROM warped")(lambda ras: geometry.polar_warp(ras, 64, 64, keys=("plane",)).select("plane", "i", "j", *_rounded("v")))
+planes_query("us_render", f"WITH {US}, {warp_sql('us')} SELECT j AS r, CAST(359 - i AS INT) AS c, round(v, 4) AS v FROM warped")(
+    lambda ras: geometry.rotate_warped(geometry.polar_warp(us_slice(ras).withColumnRenamed("intensity", "v"), 64, 64, keys=("plane",)).toDF("plane", "r", "c", "v"), 360, ("plane",)).select("plane", "r", "c", F.round("v", 4).alias("v"))
 )
-query("warp_rotate", f"WITH {RAS} SELECT c AS r, CAST(63 - r AS INT) AS c, v FROM ras")(lambda s, d: geometry.rotate_warped(raster(s, d), 64))
-query("resize_nearest", f"WITH {RAS} SELECT CAST(i AS INT) AS r, CAST(j AS INT) AS c, v FROM range(380) a(i), range(380) b(j), ras WHERE ras.r = i * 64 // 380 AND ras.c = j * 64 // 380")(lambda s, d: geometry.resize_nearest(raster(s, d), PLANE, 380))
-query("center_crop", f"WITH {RAS} SELECT CAST(i - 62 AS INT) AS r, CAST(j - 62 AS INT) AS c, v FROM range(62, 318) a(i), range(62, 318) b(j), ras WHERE ras.r = i * 64 // 380 AND ras.c = j * 64 // 380")(lambda s, d: geometry.crop_center(geometry.resize_nearest(raster(s, d), PLANE, 380), 380, 256))
+planes_query("warp_rotate", f"WITH {RAS} SELECT c AS r, CAST(63 - r AS INT) AS c, v FROM ras")(lambda ras: geometry.rotate_warped(ras, 64, ("plane",)))
+planes_query("resize_nearest", f"WITH {RAS} SELECT CAST(i AS INT) AS r, CAST(j AS INT) AS c, v FROM range(380) a(i), range(380) b(j), ras WHERE ras.r = i * 64 // 380 AND ras.c = j * 64 // 380")(lambda ras: geometry.resize_nearest(ras, PLANE, 380))
+planes_query("center_crop", f"WITH {RAS} SELECT CAST(i - 62 AS INT) AS r, CAST(j - 62 AS INT) AS c, v FROM range(62, 318) a(i), range(62, 318) b(j), ras WHERE ras.r = i * 64 // 380 AND ras.c = j * 64 // 380")(lambda ras: geometry.crop_center(geometry.resize_nearest(ras, PLANE, 380), 380, 256))
 SAMPLE = f"{ASSEMBLED}, q AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('11:' || x || ':' || y || ':' || z), x, y, z) AS n FROM lab), pts AS (SELECT x, y, z, label FROM q WHERE label <> 9 AND n <= 300)"
 
 
@@ -284,8 +306,9 @@ def nifti_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nifti.voxels(nifti.planes(spark, folder)).select("x", "y", "z", F.col("v").cast("int").alias("hu"))
 
 
-def picture_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = raster(spark, sf_dir).select(F.lit(0).alias("z"), "r", "c", F.pmod(F.col("r") * 31 + F.col("c") * 7, F.lit(256)).alias("g")).withColumn("intensity", F.col("g") / 255)
+def picture_round_trip(ras: DataFrame) -> DataFrame:
+    """Pictures are named by their planes."""
+    cells = ras.select(F.col("plane").alias("z"), "r", "c", F.pmod(F.col("r") * 31 + F.col("c") * 7, F.lit(256)).alias("g")).withColumn("intensity", F.col("g") / 255)
     return pictures.decoded(pictures.slice_pictures(cells, PLANE), "png")
 
 
@@ -295,7 +318,7 @@ def cloud_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("nifti_round_trip", f"WITH {VOL}, {GRID} SELECT x, y, z, coalesce(hu, 0) AS hu FROM grid LEFT JOIN vol USING (x, y, z)")(nifti_round_trip)
-query("picture_round_trip", "SELECT 'slice__0.png' AS name, CAST(vec_id AS INT) AS r, CAST(c AS INT) AS c, CAST((vec_id * 31 + c * 7) % 256 AS INT) AS v FROM embeddings, range(64) g(c) WHERE vec_id < 64")(picture_round_trip)
+planes_query("picture_round_trip", "SELECT 'slice__0.png' AS name, CAST(vec_id AS INT) AS r, CAST(c AS INT) AS c, CAST((vec_id * 31 + c * 7) % 256 AS INT) AS v FROM embeddings, range(64) g(c) WHERE vec_id < 64")(picture_round_trip)
 query("cloud_round_trip", f"{SAMPLE}, {PALETTE_SQL} SELECT 'one.glb' AS name, x, y, z, coalesce(red, 0) AS red, coalesce(green, 0) AS green, coalesce(blue, 0) AS blue, coalesce(alpha, 255) AS alpha FROM pts LEFT JOIN pal USING (label)")(cloud_round_trip)
 query("demo_cloud")(lambda s, d: demo.cloud(s, tuple(sampling.DEFAULT_QUOTA), 200, 1))
 query("registry_counts", f"{ASSEMBLED} SELECT label, count(*) AS n FROM lab GROUP BY label")(lambda s, d: registry.run(volume(s, d), SHAPE)["counts"])

@@ -24,6 +24,7 @@ def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """r, c, v: a 64 x 64 plane of the first vectors."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 64")
-    return e.select(F.col("vec_id").cast("int").alias("r"), F.posexplode("embedding").alias("c", "v")).select("r", "c", F.col("v").cast("double").alias("v"))
+    """plane, r, c, v: all vectors as 64 x 64 planes of 64 vectors each, the last one as far as they go."""
+    e = table(spark, sf_dir, "embeddings")
+    place = [F.floor(F.col("vec_id") / 64).cast("int").alias("plane"), F.pmod("vec_id", F.lit(64)).cast("int").alias("r")]
+    return e.select(*place, F.posexplode("embedding").alias("c", "v")).select("plane", "r", "c", F.col("v").cast("double").alias("v"))
