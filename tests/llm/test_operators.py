@@ -110,6 +110,22 @@ def test_pseudonyms(spark):
     assert int(iban[4:] + "1314" + iban[2:4]) % 97 == 1
 
 
+def test_pseudonyms_of_adjacent_values(spark):
+    """Values beside each other are found like the same values alone; {} stands for what stays."""
+    card, dashed, ip, phone, iban, abroad = "4845168114407329", "4111 1111 1111 1111", "190.137.223.204", "+1 (826) 555-4081", "DE89 3704 0044 0532 0130 00", "+44 20 7946 0958"
+    alone = [card, dashed, ip, phone, iban, abroad, "2024-02-29", "123-45-6789", "a.b@example.com"]
+    joined = [[phone, ip], [card, ip], [dashed, "{12/26}"], [dashed, "{123}"], ["{12}", "{34}", dashed], ["{1234}", dashed], ["{1234}", "{5678}", dashed], [dashed, card, dashed], [phone, card], [abroad, dashed], [abroad, ip], [abroad, card],
+              [abroad, "2024-02-29"], [iban, "{1234}", "{5678}"], [iban, card], [iban.replace(" ", ""), dashed], [phone, "{190}", "{items}"], [dashed, "123-45-6789"], [card, "2024-02-29"], [abroad, "a.b@example.com"], [phone, phone], [ip, card, phone, iban, ip]]
+    plain = lambda parts: " ".join(p.strip("{}") for p in parts)
+    alone.append(iban.replace(" ", ""))
+    rows = pseudonyms.pseudonymize(spark.createDataFrame([(i, plain(p)) for i, p in enumerate([[a] for a in alone] + joined)], "doc_id long, text string"), "k").collect()
+    got = {r.doc_id: r for r in rows}
+    new = {a: got[i].text for i, a in enumerate(alone)}
+    assert all(got[i].n_pseudonyms == 1 and new[a] != a for i, a in enumerate(alone))
+    for i, parts in enumerate(joined, len(alone)):
+        assert (got[i].text, got[i].n_pseudonyms) == (" ".join(new.get(p, p.strip("{}")) for p in parts), sum(p in new for p in parts)), parts
+
+
 def test_url_rules(spark):
     urls = ["http://A.example.NET/en/x", "http://net/q", "https://x.org/fr/1?a", "http://example.com/de", "no", None, "http://notexample.com/de/", "http://example.com/de/?x"]
     rows = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), ["net/", "example.com/de/"], ["example.net/en/", "org/fr/"]).collect()

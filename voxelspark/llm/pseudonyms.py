@@ -21,11 +21,25 @@ CYCLE_START, CYCLE_DAYS, CYCLE_PARTS = "1800-01-01", 146097, (189, 773)  # 400 G
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])"
 IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: Characters of an IBAN by country, without blanks.
+IBAN_SIZES = {
+    15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = r"(?<![A-Za-z0-9])(?:" + "|".join(rf"(?:{names.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN_SIZES.items()) + r")(?![A-Za-z0-9])"
 DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\d/-])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<![\w+])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)"
-CARD = r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d])"
+#: Where another value or a card's month of expiry begins, a blank does not join groups of digits.
+OTHER = r"(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)|\d{4}-\d{2}-\d{2}(?!\d)|\d{2}[./]\d{2}[./]\d{4}(?!\d)|\d{3}-\d{2}-\d{4}(?!\d)|\d{3}[.-]\d{3}[.-]\d{4}(?!\d)|\d{2}/\d{2}(?!\d)|[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9]"
+OTHER_CARD = r"\d{13,19}(?!\d)|\d{4}(?<gap>[ -])\d{4}\k<gap>\d{4}\k<gap>\d|\d{4}[ -]\d{6}[ -]\d{4}"
+PHONE = (
+    r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+    rf"|(?<![\w+])\+\d{{1,3}}[ .-]?\(?\d{{2,4}}\)?(?:(?:[.-]| (?!{OTHER}|\d{{13,19}}(?!\d)))?\d{{2,4}}){{2}}(?:(?:[.-]| (?!{OTHER}|{OTHER_CARD}))?\d{{2,4}})?(?!\d)"
+    r"|(?<![\w+])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)"
+)
+#: A whole run of digit groups, in which ``_cards`` looks for cards.
+CARD = rf"(?<![\d.-])\d(?:(?:-| (?!{OTHER}))?\d){{12,}}+"
+CARD_SHAPE = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,4}|\d{4}([ -])\d{4}\2\d{4}\2\d{4}\2\d{1,3}|\d{4}([ -])\d{6}\3\d{4,5})[ -]?$"
 ANY = "|".join((EMAIL, IPV4, IBAN, DATE, SSN, PHONE, CARD))
 
 
@@ -112,6 +126,33 @@ def _card(m: Column, key: Column) -> Column:
     return C.bound(number, lambda n: _refill(m, n))
 
 
+def _cards(m: Column, key: Column) -> Column:
+    """A run of digit groups with its cards replaced, and their number.
+
+    From left to right, the longest neighbouring groups that are valid and in a card's grouping are a card. At the start of the run any grouping is tried too, up to 19 digits.
+    """
+
+    def treated(groups: Column) -> Column:
+        last = F.size(groups) - 1
+        joined = lambda i, j: F.array_join(F.slice(groups, i + 1, j - i + 1), "")
+
+        def valid(i: Column, j: Column) -> Column:
+            x = joined(i, j)
+            n = F.length(_digits(x))
+            longest = (i == 0) & ((j == last) | (F.length(_digits(joined(i, j + 1))) > 19))
+            return n.between(13, 19) & (longest | x.rlike(CARD_SHAPE)) & C.bound(_digits(x), lambda d: (_luhn(d) == 0) & ~d.rlike("^0*$"))
+
+        def step(s: Column, i: Column) -> Column:
+            end = F.array_max(F.filter(F.sequence(i, F.least(i + 18, last)), lambda j: valid(i, j)))
+            made = lambda text, n, to: F.struct(F.concat(s["text"], text).alias("text"), (s["n"] + n).alias("n"), to.alias("to"))
+            return F.when(i < s["to"], s).otherwise(C.bound(end, lambda e: F.when(e.isNull(), made(F.element_at(groups, i + 1), 0, i + 1)).otherwise(made(_card(joined(i, e), key), 1, e + 1))))
+
+        start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"), F.lit(0).alias("to"))
+        return F.aggregate(F.sequence(F.lit(0), last), start, step, lambda s: F.struct(F.when(s["n"] > 0, s["text"]).alias("text"), s["n"].alias("n")))
+
+    return C.bound(F.regexp_extract_all(m, F.lit(r"\d+[ -]?"), F.lit(0)), treated)
+
+
 def _ipv4(m: Column, key: Column) -> Column:
     octets = F.transform(F.split(m, "\\."), lambda o: o.cast("long"))
     n = permute_number(F.aggregate(octets, F.lit(0).cast("long"), lambda s, o: s * 256 + o), (65536, 65536), key, "ipv4")
@@ -159,20 +200,22 @@ def _email(m: Column, key: Column) -> Column:
 
 
 def pseudonym(m: Column, key: Column) -> Column:
-    """The pseudonym of a match of ``ANY``; null if it is not valid."""
+    """The pseudonym of a match of ``ANY``, null if it is not valid, and the number of values in it."""
+    one = lambda x: C.bound(x, lambda t: F.struct(t.alias("text"), t.isNotNull().cast("int").alias("n")))
     whole = lambda p: m.rlike(f"^(?:{p})$")
     d = _digits(m)
     iban = F.regexp_replace(m, " ", "")
     day = _date(m)
-    return (
+    other = (
         F.when(m.contains("@"), _email(m, key))
         .when(whole(IPV4), F.when(F.forall(F.split(m, "\\."), lambda o: o.cast("int") < 256), _ipv4(m, key)))
         .when(m.rlike("^[A-Z]"), F.when(_mod97(F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4))) == 1, _iban(m, key)))
         .when(whole(DATE), F.when(day.between(F.to_date(F.lit(CYCLE_START)), F.to_date(F.lit("2199-12-31"))), _new_date(m, key)))
         .when(whole(SSN), F.when(~m.rlike("^(?:000|666|9)") & ~m.rlike("-00-|-0000$"), C.bound(permute_text(d, key, "ssn"), lambda n: _refill(m, n))))
         .when(whole(PHONE), _phone(m, key))
-        .when((_luhn(d) == 0) & ~d.rlike("^0*$"), _card(m, key))
     )
+    numeric = ~m.contains("@") & m.rlike(f"^(?:{CARD})$") & ~whole(f"{DATE}|{SSN}|{PHONE}")
+    return F.when(numeric, _cards(m, key)).otherwise(one(other))
 
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "n_pseudonyms") -> DataFrame:
@@ -182,9 +225,9 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", count_col: s
 
     def replaced(found: Column, new: Column) -> Column:
         # the pieces between matches, each followed by its match's replacement
-        filled = F.concat(F.zip_with(found, new, lambda m, n: F.coalesce(n, m)), F.array(F.lit("")))
+        filled = F.concat(F.zip_with(found, new, lambda m, n: F.coalesce(n["text"], m)), F.array(F.lit("")))
         pieces = F.zip_with(F.split(text, ANY, -1), filled, lambda p, x: F.concat(p, x))
-        return F.struct(F.array_join(pieces, "").alias("text"), F.size(F.filter(new, lambda x: x.isNotNull())).cast("long").alias("n"))
+        return F.struct(F.array_join(pieces, "").alias("text"), F.aggregate(new, none, lambda s, x: s + x["n"]).alias("n"))
 
     def treated(found: Column) -> Column:
         as_is = F.struct(text.alias("text"), none.alias("n"))
