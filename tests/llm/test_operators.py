@@ -57,6 +57,24 @@ def test_repeated_bytes(docs):
     assert got == {i: (len(u), sum(gone[i]), len(re.findall(b"\x01+", bytes(gone[i]))), hashlib.sha256(bytes(b for b, g in zip(u, gone[i]) if not g)).hexdigest()) for i, u in units}
 
 
+def test_repeated_bytes_of_a_split_anchor(spark, monkeypatch):
+    """A line that most documents have between different neighbours, and others between equal ones; its passages are more than a task may hold."""
+    r = random.Random(5)
+    made = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    line, long_line, ends = "the line of all the texts", made(60), [made(40) for _ in range(6)]
+    texts = [made(60) + line + made(60) for _ in range(60)] + [made(30) + r.choice(ends) + line + r.choice(ends) for _ in range(60)] + [made(50) + long_line + made(50) for _ in range(40)]
+    units = [(i, t.encode()) for i, t in enumerate(texts)]
+    gone = windows_removed(units)
+    met = []
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 1000)
+    split = suffix_dedup.by_windows
+    monkeypatch.setattr(suffix_dedup, "by_windows", lambda pieces: met.append(pieces.groupBy("h").agg({"*": "count"}).count()) or split(pieces))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup.remove_repeated_bytes(docs).collect()}
+    assert got == {i: (sum(gone[i]), hashlib.sha256(bytes(b for b, g in zip(u, gone[i], strict=True) if not g)).hexdigest()) for i, u in units}
+    assert any(map(any, gone.values())) and met and met[0] > 0
+
+
 def test_suffix_order():
     r = random.Random(1)
     for _ in range(30):

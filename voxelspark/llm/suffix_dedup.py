@@ -3,6 +3,7 @@
 ``repeats`` brings together one copy of every differing passage around a shared anchor. A task joins the passages of its anchors, sorts their suffixes in two stages
 (suffixes smaller than their successors are sorted directly, the rest is induced by scanning the buckets of first bytes), and takes adjacent common prefixes:
 suffixes next to each other that share ``window`` bytes hold the same string, whose least document is that of the run.
+An anchor whose passages are too many for a task is split: its windows are grouped by their bytes, so no task holds all of its passages.
 
 Defined results: as in ``repeats``; a null text is empty; an empty table gives no rows; other columns are ignored.
 """
@@ -13,14 +14,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 from . import repeats
 
 WINDOW, K = 50, 18
-#: Bytes of passages that meet in one task, about.
+#: Bytes of passages that meet in one task, about; an anchor that has more is split.
 BUCKET_BYTES = 4 << 20
 SEPARATOR = 0xFF  # no byte of UTF-8
 
@@ -96,6 +97,32 @@ def least_documents(segments: list[np.ndarray], docs: np.ndarray, window: int) -
     return out[window_at], owner[window_at], window_at - begin[owner[window_at]]
 
 
+def hot_anchors(pieces: DataFrame) -> DataFrame:
+    """h of the anchors whose passages are more than ``BUCKET_BYTES``."""
+    return C.materialize(pieces.groupBy("h").agg(F.sum(F.octet_length("seg")).alias("size")).where(F.col("size") > BUCKET_BYTES).select("h"))
+
+
+def by_windows(pieces: DataFrame) -> DataFrame:
+    """The runs of ``_resolve`` by grouping windows on their bytes; a window is in the passages of one anchor only."""
+
+    def cut(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 1000):
+                c, lo, seg = (b.column(k).slice(i, 1000).to_pylist() for k in range(3))
+                rows = [(*x, at, text[at : at + WINDOW]) for *x, text in zip(c, lo, seg, strict=True) for at in range(len(text) - WINDOW + 1)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["c", "lo", "at", "piece"])
+
+    rows = C.map_arrow(pieces.select("c", "lo", "seg"), cut, "c long, lo long, at int, piece binary")
+    least = rows.groupBy("piece").agg(F.min("lo").alias("least"), F.count("*").alias("copies"))
+    # only windows of several passages can have another least document than their own
+    joined = rows.join(least.where("copies > 1").drop("copies"), "piece", "left").select("c", "at", F.coalesce("least", "lo").alias("least"))
+    order = Window.partitionBy("c").orderBy("at")
+    starts = joined.withColumn("new", F.when(F.col("least") == F.lag("least").over(order), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
+    runs = starts.groupBy("c", "run").agg(F.min("at").alias("at"), F.count("*").cast("int").alias("length"), F.first("least").alias("least"))
+    return runs.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("at", "length", "least"))).alias("runs"))
+
+
 def _resolve(segments: DataFrame) -> DataFrame:
     def cut(batches):
         for b in batches:
@@ -107,6 +134,11 @@ def _resolve(segments: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(doc, pa.int64()), pa.array(seg, pa.binary())], ["h", "c", "lo", "seg"])
 
     pieces = C.materialize(C.map_arrow(segments, cut, "h long, c long, lo long, seg binary").dropDuplicates(["c"]))
+    hot = hot_anchors(pieces)
+    split = None
+    if not hot.isEmpty():  # at most one for every BUCKET_BYTES
+        split = by_windows(pieces.join(C.checked_broadcast(hot), "h", "left_semi"))
+        pieces = pieces.join(C.checked_broadcast(hot), "h", "left_anti")
     total = pieces.agg(F.sum(F.octet_length("seg"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
 
@@ -120,7 +152,8 @@ def _resolve(segments: DataFrame) -> DataFrame:
         return pa.table({"c": table.column("c"), "runs": lists})
 
     C.ship(pieces.sparkSession)
-    return pieces.groupBy(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")).applyInArrow(solve, repeats.RUNS)
+    runs = pieces.groupBy(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")).applyInArrow(solve, repeats.RUNS)
+    return runs if split is None else runs.unionByName(split)
 
 
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
