@@ -167,6 +167,27 @@ def test_main_text():
     assert html_main.main_text(None, tree) == html_main.main_text("", tree) == ""
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<html><head><title>t</title><body><p>One <p>two</body></html>", ["One", "two"]),
+        ("<head><meta charset=x><title>t</title><style>a</style><p>One</p>", ["One"]),
+        ("<head><title>t</title> One <b>two</b><p>three", ["One two", "three"]),
+        ("<head><template><i>no</i></template><link rel=x><title>t</title></head><p>One", ["One"]),
+        ("<div><button>no<p>One</p></div><p>two", ["One", "two"]),
+        ("<div><button>no<button>no</button> One</div>", ["One"]),
+        ("<div><select><option>no<option>no<p>One</p><ul><li>two</ul></div>", ["One", "two"]),
+        ("<select><option>no<option><div>no</div></select><p>One", ["One"]),
+        ("<select><option>no <input> One <select><option>no</select> two", ["One", "two"]),
+        ("<svg><text>no<p>One</p><object>no<div>two</div>", ["One", "two"]),
+        ("<object><object>no</object><p>no</p></object><p>One", ["One"]),
+        ("<video src=x>no<h2>One</h2>two", ["One", "two"]),
+    ],
+)
+def test_left_out_end_tags(page, texts):
+    assert [t for t, _ in html_main.blocks(page)] == texts
+
+
 def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 

@@ -24,6 +24,12 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea button datalist option".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
+#: What may stand in head; any other tag or text ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+#: Tags that end a hidden element whose end tag was left out.
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+ENDED_BY = {"select": frozenset(("select", "input", "textarea")), "button": frozenset(("button",)), "option": frozenset(("option", "optgroup", "select"))}
+NESTED = frozenset("svg math object canvas audio video template datalist".split())
 FRAME = frozenset("nav header footer aside form menu dialog".split())
 HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav\w*|footer|foot|header|masthead|top-?bar|cookies?|consent|notices?|alert|comments?|respond|reply|replies|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|breadcrumbs?|pagination|pager|popup|modal|overlay|widget|login|search|toolbar|copyright|legal|disclaimer|tags?)(?=$|[\s_-])", re.I)
 BODY = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|text|body)(?=$|[\s_-])", re.I)
@@ -40,6 +46,27 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
     linked: list[str] = []
     stack: list[tuple[str, int]] = []  # (tag, flags)
     flags = anchors = hidden = 0
+    unended: set[int] = set()  # depths of hidden elements without an end tag
+    ends: dict[str, int] = {}  # the next end tags
+
+    def leave(depth: int) -> None:
+        """Ends the element at ``depth`` and what is in it."""
+        nonlocal flags, anchors, hidden
+        while len(stack) > depth:
+            old, flags = stack.pop()
+            anchors -= old == "a"
+            hidden -= old in HIDDEN
+            unended.discard(len(stack))
+
+    def has_end(tag: str, at: int) -> bool:
+        """Whether an end tag follows, before a further start tag if the element cannot be nested."""
+        if tag not in NESTED:
+            found = re.compile(rf"<(/?){tag}[\s/>]", re.I).search(page, at)
+            return bool(found) and bool(found[1])
+        if ends.get(tag, -1) < at:
+            found = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
+            ends[tag] = found.start() if found else len(page)
+        return ends[tag] < len(page)
 
     def close() -> None:
         words = " ".join(entities.unescape("".join(text)).split())
@@ -55,6 +82,8 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
     while at < end:
         m = TOKEN.search(page, at)
         data = page[at : m.start()] if m else page[at:]
+        if stack and stack[-1][0] == "head" and data.strip():
+            leave(len(stack) - 1)
         if data and not hidden:
             text.append(data)
             if anchors:
@@ -65,6 +94,14 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
         if m[2] is None:
             continue
         tag = m[2].lower()
+        if stack and not m[1]:
+            if stack[-1][0] == "head" and tag not in IN_HEAD:
+                leave(len(stack) - 1)
+            elif tag == "body" and any(t == "head" for t, _ in stack):
+                leave(next(i for i, (t, _) in enumerate(stack) if t == "head"))
+            ended = [i for i in unended if tag in BLOCK or tag in ENDED_BY.get(stack[i][0], ())]
+            if ended:
+                leave(min(ended))
         if tag == "br":
             text.append(" ")
             continue
@@ -72,12 +109,10 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
             close()
         if m[1]:
             while any(t == tag for t, _ in stack):
-                old, had = stack.pop()
-                anchors -= old == "a"
-                hidden -= old in HIDDEN
+                old = stack[-1][0]
+                leave(len(stack) - 1)
                 if old not in INLINE and old != tag:
                     close()
-                flags = had
                 if old == tag:
                     break
             continue
@@ -85,12 +120,12 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
             continue
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag or tag == "p" and any(t == "p" for t, _ in stack):
             while stack and any(t == tag for t, _ in stack) and stack[-1][0] not in ("ul", "ol", "table", "dl", "div", "article", "section"):
-                old, had = stack.pop()
-                anchors -= old == "a"
-                hidden -= old in HIDDEN
-                flags = had
+                old = stack[-1][0]
+                leave(len(stack) - 1)
                 if old == tag:
                     break
+        if tag in HIDDEN and tag != "head" and tag not in RAW and not has_end(tag, at):
+            unended.add(len(stack))
         stack.append((tag, flags))
         anchors += tag == "a"
         hidden += tag in HIDDEN
