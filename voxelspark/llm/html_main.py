@@ -12,6 +12,8 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,138 +24,235 @@ from . import common as C
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea button datalist option".split())
+#: Hidden elements that part no text.
+SILENT = frozenset("script style noscript template svg math".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 #: What may stand in head; any other tag or text ends it.
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
-#: Tags that end a hidden element whose end tag was left out.
+#: Tags that end a hidden element whose end tag was left out, and most of them an open paragraph.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+ENDS_PARAGRAPH = BLOCK - frozenset("body caption tbody td tfoot th thead tr".split()) | {"hr"}
 ENDED_BY = {"select": frozenset(("select", "input", "textarea")), "button": frozenset(("button",)), "option": frozenset(("option", "optgroup", "select"))}
 NESTED = frozenset("svg math object canvas audio video template datalist".split())
+#: Elements without an end tag end at a tag of these, within the nearest of the others.
+SIBLINGS = {
+    "li": (("li",), ("ul", "ol", "menu")),
+    **dict.fromkeys(("dt", "dd"), (("dt", "dd"), ("dl",))),
+    **dict.fromkeys(("td", "th"), (("td", "th"), ("table", "tr"))),
+    **dict.fromkeys(("tr", "tbody", "thead", "tfoot"), (("tr", "td", "th"), ("table",))),
+    "option": (("option",), ("select", "datalist")),
+}
 FRAME = frozenset("nav header footer aside form menu dialog".split())
+HEADINGS, ITEMS = ("h1", "h2", "h3", "h4", "h5", "h6"), ("li", "dt", "dd")
+#: Within an article only these are judged by their class names.
+GROUPS = frozenset("div section ul ol dl table details figure span".split())
 HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav\w*|footer|foot|header|masthead|top-?bar|cookies?|consent|notices?|alert|comments?|respond|reply|replies|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|breadcrumbs?|pagination|pager|popup|modal|overlay|widget|login|search|toolbar|copyright|legal|disclaimer|tags?)(?=$|[\s_-])", re.I)
+HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?=$|[\s_-])", re.I)
 BODY = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|text|body)(?=$|[\s_-])", re.I)
 ROLES = {"navigation": "nav", "banner": "header", "contentinfo": "footer", "complementary": "aside", "search": "form", "main": "main", "article": "article"}
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>\"']*)>")
+TAG_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "framed", "hinted", "in_article", "in_body", "heading", "item", "framed_outside")
 
 
-def blocks(page: str) -> list[tuple[str, list[float]]]:
-    """Text blocks of a page and each one's own features (words, link density, enclosure), in page order."""
-    out: list[tuple[str, list[float]]] = []
-    text: list[str] = []
-    linked: list[str] = []
-    stack: list[tuple[str, int]] = []  # (tag, flags)
-    flags = anchors = hidden = 0
-    unended: set[int] = set()  # depths of hidden elements without an end tag
-    ends: dict[str, int] = {}  # the next end tags
+def tokens(page: str) -> Iterator[tuple[str, str, str, str, int]]:
+    """(text before it, "/" of an end tag, name, attributes, place after it) of every tag; the last has no name. Comments and declarations are left out;
+    what a raw element holds is text.
 
-    def leave(depth: int) -> None:
+    A quote in a tag counts only after an equals sign. Where a tag's quotes leave it without an end, quotes are no longer heeded from there on, so the time stays in proportion to the page.
+    """
+    at, quoted, begin = 0, True, 0
+    text: list[str] = []
+    while (at := page.find("<", at)) >= 0:
+        after = page[at + 1 : at + 2]
+        if after in ("!", "?"):
+            close = "-->" if page.startswith("<!--", at) else "]]>" if page.startswith("<![CDATA[", at) else ">"
+            end = page.find(close, at)
+            text.append(page[begin:at])
+            at = begin = len(page) if end < 0 else end + len(close)
+            continue
+        m = PLAIN_TAG.match(page, at)
+        if m:
+            end, attributes = m.end(), m[3]
+        else:
+            m = TAG_NAME.match(page, at)
+            if not m:
+                at += 1
+                continue
+            end = (_tag_end(page, m.end()) if quoted else -1) + 1
+            if not end:
+                quoted, end = False, page.find(">", at) + 1
+                if not end:
+                    break
+            attributes = page[m.end() : end - 1]
+        text.append(page[begin:at])
+        name = m[2].lower()
+        yield "".join(text), m[1], name, attributes, end
+        text.clear()
+        at = begin = end
+        if name in RAW and not m[1]:
+            stop = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
+            at = stop.start() if stop else len(page)
+    text.append(page[begin:])
+    yield "".join(text), "", "", "", len(page)
+
+
+def _tag_end(page: str, at: int) -> int:
+    """The place of the ``>`` that ends a tag's attributes, -1 if none does."""
+    while True:
+        close, equals = page.find(">", at), page.find("=", at)
+        if close < 0 or equals < 0 or close < equals:
+            return close
+        at = equals + 1
+        while page[at : at + 1].isspace():
+            at += 1
+        if (quote := page[at : at + 1]) in ('"', "'"):
+            at = page.find(quote, at + 1) + 1
+            if not at:
+                return -1
+
+
+class _Page:
+    """Text blocks of a page, with the elements that are open."""
+
+    def __init__(self, page: str):
+        self.page, self.out = page, []
+        self.text: list[str] = []
+        self.linked: list[str] = []
+        self.stack: list[list] = []  # [name, flags outside]
+        self.open: dict[str, list[int]] = defaultdict(list)  # places in the stack by name
+        self.blocks: list[int] = []  # places of elements that are not inline
+        self.unended: dict[str, list[int]] = defaultdict(list)  # places of hidden elements without an end tag
+        self.flags = self.hidden = 0
+        self.ends: dict[str, int] = {}
+
+    def leave(self, depth: int) -> None:
         """Ends the element at ``depth`` and what is in it."""
-        nonlocal flags, anchors, hidden
-        while len(stack) > depth:
-            old, flags = stack.pop()
-            anchors -= old == "a"
-            hidden -= old in HIDDEN
-            unended.discard(len(stack))
-
-    def has_end(tag: str, at: int) -> bool:
+        while len(self.stack) > depth:
+            name, self.flags = self.stack.pop()
+            at = len(self.stack)
+            if name:
+                self.open[name].pop()
+            self.hidden -= name in HIDDEN
+            if self.blocks and self.blocks[-1] == at:
+                self.blocks.pop()
+            if self.unended[name] and self.unended[name][-1] == at:
+                self.unended[name].pop()
+
+    def last(self, names) -> int:
+        return max((self.open[n][-1] for n in names if self.open[n]), default=-1)
+
+    def has_end(self, name: str, at: int) -> bool:
         """Whether an end tag follows, before a further start tag if the element cannot be nested."""
-        if tag not in NESTED:
-            found = re.compile(rf"<(/?){tag}[\s/>]", re.I).search(page, at)
+        if name not in NESTED:
+            found = re.compile(rf"<(/?){name}[\s/>]", re.I).search(self.page, at)
             return bool(found) and bool(found[1])
-        if ends.get(tag, -1) < at:
-            found = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
-            ends[tag] = found.start() if found else len(page)
-        return ends[tag] < len(page)
-
-    def close() -> None:
-        words = " ".join(entities.unescape("".join(text)).split())
+        if self.ends.get(name, -1) < at:
+            found = re.compile(rf"</{name}[\s/>]", re.I).search(self.page, at)
+            self.ends[name] = found.start() if found else len(self.page)
+        return self.ends[name] < len(self.page)
+
+    def close(self) -> None:
+        """Ends the text block."""
+        words = " ".join(entities.unescape("".join(self.text)).split())
         if words:
             n = words.count(" ") + 1
-            inside = len(entities.unescape(" ".join(linked)).split())
-            names = [t for t, _ in stack]
-            out.append((words, [n, min(1.0, inside / n), bool(flags & 1), bool(flags & 2), bool(flags & 4), bool(flags & 8), any(re.fullmatch("h[1-6]", t) for t in names), bool({"li", "dt", "dd"} & {*names}), bool(flags & 16)]))
-        text.clear()
-        linked.clear()
-
-    at, end = 0, len(page)
-    while at < end:
-        m = TOKEN.search(page, at)
-        data = page[at : m.start()] if m else page[at:]
-        if stack and stack[-1][0] == "head" and data.strip():
-            leave(len(stack) - 1)
-        if data and not hidden:
-            text.append(data)
-            if anchors:
-                linked.append(data)
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if stack and not m[1]:
-            if stack[-1][0] == "head" and tag not in IN_HEAD:
-                leave(len(stack) - 1)
-            elif tag == "body" and any(t == "head" for t, _ in stack):
-                leave(next(i for i, (t, _) in enumerate(stack) if t == "head"))
-            ended = [i for i in unended if tag in BLOCK or tag in ENDED_BY.get(stack[i][0], ())]
-            if ended:
-                leave(min(ended))
-        if tag == "br":
-            text.append(" ")
-            continue
-        if tag not in INLINE:
-            close()
-        if m[1]:
-            while any(t == tag for t, _ in stack):
-                old = stack[-1][0]
-                leave(len(stack) - 1)
-                if old not in INLINE and old != tag:
-                    close()
-                if old == tag:
-                    break
-            continue
-        if tag in VOID or m[3].endswith("/"):
-            continue
-        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag or tag == "p" and any(t == "p" for t, _ in stack):
-            while stack and any(t == tag for t, _ in stack) and stack[-1][0] not in ("ul", "ol", "table", "dl", "div", "article", "section"):
-                old = stack[-1][0]
-                leave(len(stack) - 1)
-                if old == tag:
-                    break
-        if tag in HIDDEN and tag != "head" and tag not in RAW and not has_end(tag, at):
-            unended.add(len(stack))
-        stack.append((tag, flags))
-        anchors += tag == "a"
-        hidden += tag in HIDDEN
-        if tag in FRAME:
-            flags |= 1 if not (tag == "header" and flags & 4) else 0
-            flags |= 16 if not flags & 4 else 0
-        if tag in ("article", "main"):
-            flags = flags | 4
-        if tag not in INLINE and m[3]:
-            found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m[3])}
-            names = f"{found.get('class', '')} {found.get('id', '')}"
-            role = ROLES.get(found.get("role", "").lower())
-            if role in FRAME:
-                flags |= 1
-            elif role:
-                flags |= 4
-            if tag not in ("body", "html", "article", "main"):
-                if HINT.search(names):
-                    flags |= 2
-                elif BODY.search(names):
-                    flags |= 8
-            if "display:none" in found.get("style", "").replace(" ", ""):
-                flags |= 2
-        if tag in RAW:
-            stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = stop.start() if stop else end
-    close()
-    return out
+            inside = len(entities.unescape(" ".join(self.linked)).split())
+            f = self.flags
+            self.out.append((words, [n, min(1.0, inside / n), bool(f & 1), bool(f & 2), bool(f & 4), bool(f & 8), self.last(HEADINGS) >= 0, self.last(ITEMS) >= 0, bool(f & 16)]))
+        self.text.clear()
+        self.linked.clear()
+
+    def say(self, data: str) -> None:
+        if data and not self.hidden:
+            self.text.append(data)
+            if self.open["a"]:
+                self.linked.append(data)
+
+    def end(self, name: str) -> None:
+        if not self.open[name]:
+            return
+        at = self.open[name][-1]
+        if name in INLINE and self.blocks and self.blocks[-1] > at:  # the blocks in it stay open
+            self.open[name].pop()
+            self.stack[at][0] = ""
+        else:
+            self.leave(at)
+
+    def start(self, name: str, attributes: str, at: int) -> None:
+        if name in ENDS_PARAGRAPH and self.open["p"] and self.open["p"][-1] > self.last(("td", "th", "caption", "object", "template", "button")):
+            self.leave(self.open["p"][-1])
+        if name in SIBLINGS:
+            mine, around = SIBLINGS[name]
+            limit = self.last(around)
+            if (found := min((self.open[n][-1] for n in mine if self.open[n] and self.open[n][-1] > limit), default=-1)) >= 0:
+                self.leave(found)
+        if name in HIDDEN and name != "head" and name not in RAW and not self.has_end(name, at):
+            self.unended[name].append(len(self.stack))
+        if name not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.open[name].append(len(self.stack))
+        self.stack.append([name, self.flags])
+        self.hidden += name in HIDDEN
+        if name in FRAME:
+            self.flags |= 0 if name == "header" and self.flags & 4 else 1
+            self.flags |= 0 if self.flags & 4 else 16
+        if name in ("article", "main"):
+            self.flags |= 4
+        if attributes and name not in ("body", "html", *HIDDEN):
+            self.marked(name, {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)})
+
+    def marked(self, name: str, found: dict[str, str]) -> None:
+        """Flags that an element's attributes set."""
+        role = ROLES.get(found.get("role", "").lower())
+        if role in FRAME:
+            self.flags |= 1
+        elif role:
+            self.flags |= 4
+        names = f"{found.get('class', '')} {found.get('id', '')}"
+        inside = self.flags & 4
+        if name not in ("article", "main") and (name in GROUPS or not inside):
+            if HINT.search(HEADER.sub(" ", names) if inside else names):
+                self.flags |= 2
+            elif name not in INLINE and BODY.search(names):
+                self.flags |= 8
+        if "display:none" in found.get("style", "").replace(" ", "").lower() or "hidden" in found:
+            self.flags |= 2
+
+    def read(self) -> list[tuple[str, list[float]]]:
+        for data, slash, name, attributes, at in tokens(self.page):
+            top = self.stack[-1][0] if self.stack else ""
+            if top == "head" and data.strip():
+                self.leave(len(self.stack) - 1)
+            self.say(data)
+            if not name:
+                break
+            if self.stack and not slash:
+                if self.stack[-1][0] == "head" and name not in IN_HEAD:
+                    self.leave(len(self.stack) - 1)
+                elif name == "body" and self.open["head"]:
+                    self.leave(self.open["head"][0])
+                depths = [d[0] for k, d in self.unended.items() if d and (name in BLOCK or name in ENDED_BY.get(k, ()))]
+                if depths:
+                    self.leave(min(depths))
+            if name == "br":
+                self.say(" ")
+                continue
+            if name not in INLINE and name not in SILENT:
+                self.close()
+            if slash:
+                self.end(name)
+            elif name not in VOID and not (attributes.endswith("/") and (name in ("svg", "math") or self.open["svg"] or self.open["math"])):
+                self.start(name, attributes, at)
+        self.close()
+        return self.out
+
+
+def blocks(page: str) -> list[tuple[str, list[float]]]:
+    """Text blocks of a page and each one's own features (words, link density, enclosure), in page order."""
+    return _Page(page).read()
 
 
 def features(found: list[tuple[str, list[float]]]) -> np.ndarray:
@@ -180,32 +279,39 @@ def labelled_blocks(pages: int = 400, seed: int = 7) -> tuple[np.ndarray, np.nda
     link = lambda n, mark: f'<a href="/">{words(n, mark)}</a>'
     pick = r.choice
 
+    many = lambda: round(300 ** r.random())  # noqa: E731 words of a block, main text or not: 1 to 300, so that length alone tells nothing
+
     def menu() -> str:
-        items = "".join(f"<li>{link(r.randint(1, 3), 'y')}</li>" for _ in range(r.randint(3, 9)))
-        return pick(["<nav><ul>{}</ul></nav>", '<div class="menu"><ul>{}</ul></div>', '<ul id="nav">{}</ul>', "<header><ul>{}</ul></header>", '<div role="navigation">{}</div>', "<ul>{}</ul>"]).format(items)
+        items = "".join(f"<li>{link(r.randint(1, 5), 'y')}</li>" for _ in range(r.randint(2, 12)))
+        return pick(["<nav><ul>{}</ul></nav>", '<div class="menu"><ul>{}</ul></div>', '<ul id="nav">{}</ul>', "<header><ul>{}</ul></header>", '<div role="navigation">{}</div>', "<ul>{}</ul>", "<div>{}</div>"]).format(items)
+
+    def boiler(inside: bool) -> str:
+        body = words(many(), "y")
+        shapes = ['<div class="ad">{}</div>', "<aside><p>{}</p></aside>", '<div class="sidebar"><h3>{}</h3></div>', '<div id="cookie-notice"><p>{}</p></div>', "<form><label>{}</label><input></form>", '<div class="comments"><p>{}</p><p>{}</p></div>', '<section id="comments"><div class="comment"><p>{}</p></div></section>', '<div class="share">{}</div>', '<div class="related-posts">{}</div>', '<div class="newsletter"><p>{}</p></div>', '<div class="banner">{}</div>', "<footer><p>{}</p></footer>", "<nav><h2>{}</h2></nav>", "<aside><ul><li>{}</li></ul></aside>"]
+        return pick(shapes + ([] if inside else ["<header><p>{}</p></header>", "<header><h1>{}</h1></header>", '<p class="ad">{}</p>'])).replace("{}", body)
 
-    def boiler() -> str:
-        body = words(r.randint(2, 60), "y")
-        return pick(['<div class="ad">{}</div>', "<aside><p>{}</p></aside>", '<div class="sidebar"><h3>{}</h3></div>', '<div id="cookie-notice"><p>{}</p></div>', "<form><label>{}</label><input></form>", '<div class="comments"><p>{}</p><p>{}</p></div>', '<section id="comments"><div class="comment"><p>{}</p></div></section>', '<div class="share">{}</div>', '<div class="related-posts">{}</div>', '<div class="newsletter"><p>{}</p></div>', '<div class="banner">{}</div>', "<header><p>{}</p></header>"]).replace("{}", body)
+    def piece() -> str:
+        shapes = ["<p>{}</p>"] * 6 + ["<p><b>{}</b></p>", "<h2>{}</h2>", "<h3>{}</h3>", "<ul><li>{}</li><li>{}</li></ul>", "<ol><li><p>{}</p></li></ol>", "<dl><dt>{}</dt><dd>{}</dd></dl>", "<blockquote><p>{}</p></blockquote>", "<pre>{}</pre>", "<figure><figcaption>{}</figcaption></figure>", "<table><tr><td>{}</td><td>{}</td></tr></table>", "<div>{}</div>", "<section><p>{}</p></section>", f"<p>{link(r.randint(1, 5), 'x')} {{}}</p>"]
+        return pick(shapes).replace("{}", words(many(), "x"))
 
     def main() -> str:
-        out = [f"<h1>{words(r.randint(1, 14), 'x')}</h1>"] if r.random() < 0.8 else []
+        out = [pick(["<h1>{}</h1>", "<header><h1>{}</h1></header>", "<header><h1>{}</h1><p>{}</p></header>"]).replace("{}", words(many(), "x"))] if r.random() < 0.8 else []
+        linked = [f"<p>{link(4, 'x')}</p>", f"<ul><li>{link(3, 'x')}</li><li>{link(2, 'x')}</li></ul>", f"<h2>{link(3, 'x')}</h2>"]
         for _ in range(r.randint(1, 12)):
-            body = words(r.choice([1, 2, 4, 15, 40, 90]), "x")
-            out.append(pick(["<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<p><b>{}</b></p>", "<h2>{}</h2>", "<ul><li>{}</li><li>{}</li></ul>", "<blockquote><p>{}</p></blockquote>", "<pre>{}</pre>", f"<p>{link(2, 'x')} {{}}</p>", f"<p>{link(4, 'x')}</p>", f"<ul><li>{link(3, 'x')}</li><li>{link(2, 'x')}</li></ul>", f"<h2>{link(3, 'x')}</h2>", "<table><tr><td>{}</td></tr></table>"]).replace("{}", body))
-            if r.random() < 0.06:
-                out.append(boiler())
+            out.append(pick(linked) if r.random() < 0.1 else piece())
+            if r.random() < 0.08:
+                out.append(boiler(True))
         return "".join(out)
 
     def bare() -> str:
-        return "".join(f"<p>{words(r.randint(18, 120), 'x')}</p>" for _ in range(r.randint(1, 8)))
+        return "".join(piece() for _ in range(r.randint(1, 8)))
 
     xs, ys = [], []
     for _ in range(pages):
         inside = pick(["<article>{}</article>", "<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>', '<div id="main-content">{}</div>', '<div class="post"><div class="entry-content">{}</div></div>', "bare"])
-        inside = f"<div>{bare()}</div>" if inside == "bare" else inside.replace("{}", main())
-        foot = pick(["<footer>{}</footer>", '<div class="footer"><p>{}</p></div>', '<div id="copyright">{}</div>']).replace("{}", words(r.randint(3, 25), "y"))
-        before, after = [menu()] + [boiler() for _ in range(r.randint(0, 2))], [boiler() for _ in range(r.randint(0, 3))] + [foot]
+        inside = pick(["<div>{}</div>", "{}"]).replace("{}", bare()) if inside == "bare" else inside.replace("{}", main())
+        foot = pick(["<footer>{}</footer>", '<div class="footer"><p>{}</p></div>', '<div id="copyright">{}</div>']).replace("{}", words(many(), "y"))
+        before, after = [menu()] + [boiler(False) for _ in range(r.randint(0, 2))], [boiler(False) for _ in range(r.randint(0, 3))] + [menu()] * r.randint(0, 1) + [foot]
         found = blocks(f"<html><head><title>{words(4, 'y')}</title></head><body>{''.join(before)}{inside}{''.join(after)}</body></html>")
         xs.append(features(found))
         ys += ["x" in t for t, _ in found]
