@@ -276,3 +276,30 @@ def test_components_equal_a_plain_union_find(spark):
         root[max(a, b)] = min(a, b)
     want = {x: find(x) for link in links if link[0] != link[1] for x in link}
     assert {r.node: r.root for r in stars.components(spark.createDataFrame(links, "a long, b long")).collect()} == want
+
+
+def test_benchmark_passages_against_brute_force(spark):
+    """Items of many sizes, taken with gaps from long documents, around the bound of 75 %; ties, nulls, repeated rows and clashing columns."""
+    r = random.Random(8)
+    words = [f"W{i}" for i in range(300)]
+    texts = [" ".join(r.choices(words, k=n)) for n in (3000, 700, 700, 60, 5, 4, 1)] + [None, "", " \t"]
+    texts.append(texts[1])
+    items = []
+    for n in (1, 3, 5, 6, 9, 12, 20, 40, 90, 200):
+        for lost in (0, 0.02, 0.05, 0.1):
+            source = r.choice(texts[:3]).split()
+            at = r.randrange(len(source) - n)
+            items.append(" ".join(w if r.random() > lost else "other" for w in source[at : at + n]).lower())
+    items += [texts[4], texts[5].upper(), None, "", items[8]]
+
+    def shingles(t):
+        w = WORD.findall((t or "").lower())
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+
+    want = {(d, i, len(b), len(a & b)) for d, a in enumerate(map(shingles, texts)) for i, b in enumerate(map(shingles, items)) if b and 100 * len(a & b) >= 75 * len(b)}
+    docs = spark.createDataFrame([(i, t, 1, "x", 5) for i, t in enumerate(texts)] + [(0, texts[0], 2, "y", 6), (None, texts[0], 3, "z", 7)], "doc_id long, text string, item_id int, hash string, n int")
+    rows = decontaminate.find_items(docs, spark.createDataFrame([*enumerate(items), (None, items[0])], "item_id long, text string")).collect()
+    assert len(rows) == len(want) > 20 and {tuple(x) for x in rows} == want
+    assert decontaminate.find_items(docs.limit(0), docs.limit(0)).count() == decontaminate.find_items(docs, docs.limit(0).select("item_id", "text")).count() == 0
+    kept = decontaminate.remove_contaminated(docs, spark.createDataFrame([(1, texts[4])], "item_id long, text string"))
+    assert kept.count() == docs.count() - 1 and kept.columns == docs.columns

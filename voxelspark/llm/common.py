@@ -50,13 +50,15 @@ def bound(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-#: A join side of at most so many narrow rows (some 16 MB) is broadcast; a longer one is joined by shuffling.
-BROADCAST_ROWS = 500_000
+#: A join side of at most so many rows and bytes is broadcast; a larger one is joined by shuffling.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
 
 def checked_broadcast(small: DataFrame) -> DataFrame:
-    """``small``, marked for broadcast if a count finds it within ``BROADCAST_ROWS``."""
-    return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
+    """``small``, marked for broadcast if its rows and the bytes of its values are counted and within bounds. The count runs where the rows lie."""
+    wide = [F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) if "<" in t else F.lit(8) for c, t in small.dtypes]
+    rows, size = small.agg(F.count("*"), F.sum(sum(wide, F.lit(16)).cast("long"))).first()
+    return F.broadcast(small) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else small
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:

@@ -1,17 +1,22 @@
 """Benchmark passages inside documents: size-partitioned MinHash containment search in DataFrame operations only.
 
-An item is found in a document if at least ``percent`` % of the item's distinct word shingles are among the document's. Item and document differ far
-too much in size for a similarity of whole signatures, so every item is searched by a MinHash sketch as long as its own size asks for: of n shingles it takes the
-n - ceil(n * percent / 100) + 1 least hashes. A document that contains the item has at least one of these (else it lacks more shingles than allowed), so the search
-misses nothing; documents look up all their shingle hashes. Candidates are verified on the shingles themselves.
+An item is found in a document if at least ``percent`` % of the item's distinct word shingles are among the document's. Items are short and documents long, so the similarity of
+whole signatures says nothing; both sides get MinHash sketches whose thresholds are set by the size of the item instead.
+
+1. Items are partitioned by size (powers of two of their number n of shingles). A partition asks for ``needed`` common hashes, more for larger items.
+2. An item's sketch holds its n - ceil(n * percent / 100) + needed least shingle hashes. A document that contains the item lacks at most n - ceil(n * percent / 100) of its
+   shingles, so it has at least ``needed`` hashes of the sketch, whichever they are.
+3. A partition's threshold is the greatest hash in its items' sketches; a document's sketch for the partition holds its hashes up to that threshold. Documents' sketches
+   nest, so one table, up to the greatest threshold, serves all partitions.
+4. Sketches meet in one join; pairs with ``needed`` common hashes are candidates, so none is missed (recall 1), and are verified by counting equal shingles, word for word.
 
 Defined results: null, empty or blank texts and items have no shingle and are never found; a text or item of fewer words than a shingle has its whole sequence as one;
-repeated rows give one row; empty tables give no rows; other columns are ignored.
+repeated rows give one row, and rows that share an id count with all their shingles together; a null doc_id or item_id is never found; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -39,24 +44,38 @@ def shingle_texts(text: Column, size: int = 5) -> Column:
     return F.array_distinct(C.bound(words(text), lambda w: _shingled(w, size, lambda parts: F.concat_ws(" ", *parts))))
 
 
-def find_items(docs: DataFrame, items: DataFrame, percent: int = 75, size: int = 5, doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
-    """doc_id, item_id, item_shingles, shared_shingles of every item found in a document."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), "text")
-    item = items.select(F.col(item_id).alias("item_id"), shingle_texts(F.col("text"), size).alias("shingles"), F.array_sort(F.array_distinct(shingle_hashes(F.col("text"), size))).alias("hashes")).where("size(shingles) > 0")
-    item = C.materialize(item.distinct())
+def needed(n: Column) -> Column:
+    """Common sketch hashes that a candidate must have, by the item's partition: 1 below 8 shingles, then one more for each doubling, 4 at most."""
+    return F.least(F.lit(4), F.greatest(F.lit(1), F.floor(F.log2(n.cast("double"))).cast("int") - 1))
+
+
+def item_sketches(items: DataFrame, percent: int) -> DataFrame:
+    """item_id, needed and one sketch hash a row, of items with distinct ``hashes``."""
     n = F.size("hashes")
-    sketch = item.select("item_id", F.explode(F.slice("hashes", F.lit(1), n - F.ceil(n * percent / F.lit(100)).cast("int") + 1)).alias("hash"))
-    hashed = docs.select("doc_id", F.explode(shingle_hashes(F.col("text"), size)).alias("hash"))
-    candidates = C.materialize(hashed.join(C.checked_broadcast(sketch), "hash").select("doc_id", "item_id").distinct())
-    suspects = C.materialize(candidates.groupBy("doc_id").agg(F.collect_set("item_id").alias("items")))  # at most all items of the benchmark
-    texts = docs.join(C.checked_broadcast(suspects), "doc_id").select("doc_id", "items", shingle_texts(F.col("text"), size).alias("own")).select("doc_id", F.explode("items").alias("item_id"), "own")
-    both = texts.join(item.select("item_id", "shingles"), "item_id")
-    shared = F.size(F.array_intersect("shingles", "own"))
-    found = both.select("doc_id", "item_id", F.size("shingles").cast("long").alias("item_shingles"), shared.cast("long").alias("shared_shingles"))
-    return found.where(F.col("shared_shingles") * 100 >= F.col("item_shingles") * percent).distinct()
+    length = n - F.ceil(n * percent / F.lit(100)).cast("int") + needed(n)
+    return items.select("item_id", needed(n).alias("needed"), F.explode(F.slice(F.array_sort("hashes"), F.lit(1), length)).alias("hash"))
+
+
+def find_items(docs: DataFrame, items: DataFrame, percent: int = 75, size: int = 5, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text") -> DataFrame:
+    """doc_id, item_id, item_shingles, shared_shingles of every item found in a document."""
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
+    items = items.select(F.col(item_id).alias("item_id"), F.col(text_col).alias("text")).where("item_id IS NOT NULL")
+    pieces = items.select("item_id", F.explode(shingle_texts(F.col("text"), size)).alias("shingle")).distinct()
+    hashed_items = items.select("item_id", F.explode(shingle_hashes(F.col("text"), size)).alias("hash")).groupBy("item_id").agg(F.collect_set("hash").alias("hashes"))
+    sketch = C.materialize(item_sketches(hashed_items, percent))
+    threshold = sketch.agg(F.max("hash")).first()[0]
+    own = F.filter(F.array_distinct(shingle_hashes(F.col("text"), size)), lambda h: h <= F.lit(threshold)) if threshold is not None else F.array().cast("array<long>")
+    met = docs.select("doc_id", F.explode(own).alias("hash")).join(C.checked_broadcast(sketch), "hash")
+    candidates = C.materialize(met.groupBy("doc_id", "item_id").agg(F.countDistinct("hash").alias("n"), F.first("needed").alias("needed")).where("n >= needed").select("doc_id", "item_id"))
+    # verification: a suspected document's shingles meet those of all items, and count where the pair is a candidate
+    counted = C.materialize(pieces.withColumn("n", F.count("*").over(Window.partitionBy("item_id"))))
+    texts = docs.join(C.checked_broadcast(candidates.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", F.explode(shingle_texts(F.col("text"), size)).alias("shingle"))
+    both = texts.join(C.checked_broadcast(counted), "shingle").join(C.checked_broadcast(candidates), ["doc_id", "item_id"], "left_semi")
+    found = both.groupBy("doc_id", "item_id").agg(F.max("n").alias("item_shingles"), F.countDistinct("shingle").alias("shared_shingles"))
+    return found.where(F.col("shared_shingles") * 100 >= F.col("item_shingles") * percent)
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` in which no item is found."""
+    """The rows of ``docs`` in which no item is found, with all their columns; rows without an id stay."""
     gone = C.materialize(find_items(docs, items, percent).select("doc_id").distinct())
     return docs.join(C.checked_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
