@@ -1,11 +1,13 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Letters are lower-cased, runs of anything else count as one blank, and n-grams of one to three characters are hashed into ``DIMENSIONS`` features. Document frequencies
-are counted over all learnable documents. The weights are learned by follow-the-regularised-leader with elastic-net penalties on a bounded sample
-(``TRAIN_ROWS`` rows with the smallest hashes of their ids); a fifth of that sample sets the temperature of the scores.
+are counted over all learnable documents. The weights are learned by follow-the-regularised-leader with elastic-net penalties on a bounded sample: about ``TRAIN_ROWS`` rows
+by the hashes of their ids, and of every language about ``LANGUAGE_ROWS`` at least (or all, if it has fewer); of a row, its ``TRAIN_FEATURES`` most frequent features.
+A fifth of that sample is kept aside and sets the temperature of the scores, over pieces of its texts of a few letters up to the whole: short pieces are hard enough to be mistaken.
 
 Defined results: a null text or one without letters is ``und`` with score 0; rows without a language teach nothing; without any learnable row, all are
-``und``; repeated rows and extra columns change nothing but document frequencies; an empty table gives no rows.
+``und``; repeated rows and extra columns change nothing but document frequencies; a null id is held out and its row is predicted; an empty table gives no rows. Long texts are
+read in pieces that add up to the whole.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-DIMENSIONS = 1 << 14
-TRAIN_ROWS = 3000
+DIMENSIONS = 1 << 18
+TRAIN_ROWS, LANGUAGE_ROWS, TRAIN_FEATURES = 3000, 100, 3000
+#: Letters of the pieces on which the temperature is fitted; 0: whole texts.
+PIECES = (4, 8, 16, 32, 0)
 _SLICE = 256 << 10
 
 
@@ -30,7 +34,7 @@ _SLICE = 256 << 10
 def _letters() -> np.ndarray:
     """By code point: its lower-case letter, or 0 where it is no letter."""
     out = np.zeros(0x110000, np.uint32)
-    for i in [*range(0x30000), *range(0xE0000, 0xE1000)]:
+    for i in range(0x110000):
         c = chr(i)
         if c.isalpha():
             low = c.lower()
@@ -42,9 +46,9 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Feature numbers and row numbers of all n-grams of a slice of texts, and whether each row has a letter."""
     rows = len(offsets) - 1
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    begin = np.zeros(len(data) + 1, np.int64)
+    begin = np.zeros(len(data) + 1, np.int32)
     np.cumsum((data & 0xC0) != 0x80, out=begin[1:])
-    row = np.repeat(np.arange(rows), np.diff(begin[offsets]))
+    row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(begin[offsets]))
     letter = _letters()[points]
     keep = letter > 0
     has = np.zeros(rows, bool)
@@ -61,18 +65,60 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         g = h ^ np.uint32(0x85EBCA6B * n & 0xFFFFFFFF)
         g = (g ^ (g >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
         g ^= g >> np.uint32(13)
-        grams.append((g & np.uint32(DIMENSIONS - 1)).astype(np.int64)[same])
+        grams.append((g & np.uint32(DIMENSIONS - 1))[same])
         at.append(row[:m][same])
     return np.concatenate(grams), np.concatenate(at), has
 
 
-def counts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, dense counts, whether a row has a letter) of successive row ranges; a long text makes a range of its own."""
+@dataclass(frozen=True)
+class Counts:
+    """Sparse counts of successive rows: entries (row, feature, n), sorted by row and feature."""
+
+    first: int
+    rows: int
+    row: np.ndarray
+    feature: np.ndarray
+    n: np.ndarray
+    has: np.ndarray  # whether a row has a letter
+
+    def each(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        at = np.searchsorted(self.row, np.arange(self.rows + 1))
+        for i, j in zip(at[:-1], at[1:], strict=True):
+            yield self.feature[i:j], self.n[i:j]
+
+
+def _long_row(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Features, their counts and whether there is a letter, of one long text read in pieces. A piece ends before a byte that starts a character; an n-gram across that is counted by itself."""
+    total, has, at = np.zeros(DIMENSIONS, np.int64), False, 0
+    while at < len(data):
+        end = at + _SLICE
+        while end < len(data) and data[end] & 0xC0 == 0x80:
+            end += 1
+        # up to 64 bytes before the piece hold the n-grams across its start: those of them alone are taken off
+        back = max(0, at - 64)
+        while back > 0 and data[back] & 0xC0 == 0x80:
+            back -= 1
+        piece, before = data[back:end], data[back:at]
+        grams, _, some = ngrams(piece, np.array([0, len(piece)]))
+        total += np.bincount(grams, minlength=DIMENSIONS)
+        if len(before):
+            total -= np.bincount(ngrams(before, np.array([0, len(before)]))[0], minlength=DIMENSIONS)
+        has |= bool(some[0])
+        at = end
+    feature = np.flatnonzero(total)
+    return feature, total[feature], has
+
+
+def counts(column: pa.Array) -> Iterator[Counts]:
+    """Counts of successive row ranges; a long text makes a range of its own."""
     for i, j, data, offsets in C.slices(column, _SLICE):
-        for k in range(0, j - i, 256):  # many short texts
-            o = offsets[k : k + 257]
-            grams, row, has = ngrams(data[o[0] : o[-1]], o - o[0])
-            yield i + k, i + k + len(o) - 1, np.bincount(row * DIMENSIONS + grams, minlength=(len(o) - 1) * DIMENSIONS).reshape(-1, DIMENSIONS), has
+        if j - i == 1 and len(data) > 2 * _SLICE:
+            feature, n, has = _long_row(data)
+            yield Counts(i, 1, np.zeros(len(feature), np.int64), feature, n, np.array([has]))
+            continue
+        grams, row, has = ngrams(data, offsets)
+        key, n = np.unique(row.astype(np.int64) * DIMENSIONS + grams, return_counts=True)
+        yield Counts(i, j - i, key // DIMENSIONS, key % DIMENSIONS, n, has)
 
 
 @dataclass(frozen=True)
@@ -82,14 +128,24 @@ class Model:
     weights: np.ndarray  # (DIMENSIONS, languages)
     bias: np.ndarray
     temperature: float
+    seen: np.ndarray  # whether a feature is in some learnable document
+
+    def logits(self, c: Counts) -> np.ndarray:
+        """(rows, languages), from the weights of the features that a row has."""
+        v = c.n * self.idf[c.feature]
+        norm = np.sqrt(np.bincount(c.row, v * v, c.rows))
+        z = np.stack([np.bincount(c.row, v * self.weights[c.feature, k], c.rows) for k in range(len(self.languages))], 1)
+        return z / np.maximum(norm, 1e-9)[:, None] + self.bias
 
-    def scores(self, counted: np.ndarray) -> np.ndarray:
-        x = counted * self.idf
-        norm = np.sqrt((x * x).sum(1))
-        z = ((x @ self.weights) / np.maximum(norm, 1e-9)[:, None] + self.bias) / self.temperature
+    def scores(self, c: Counts) -> np.ndarray:
+        z = self.logits(c) / self.temperature
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
+    def known(self, c: Counts) -> np.ndarray:
+        """The share of each row's n-grams that some learnable document has."""
+        return np.bincount(c.row, c.n * self.seen[c.feature], c.rows) / np.maximum(np.bincount(c.row, c.n, c.rows), 1)
+
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, epochs: int = 6, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and bias by FTRL-proximal; a row is (feature numbers, values)."""
@@ -116,9 +172,9 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int,
 
 
 def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    """The temperature with the least log loss among powers between 1/8 and 8."""
+    """The temperature with the least log loss among powers of two between 2**-8 and 2**8, in steps of a sixteenth."""
     best = (np.inf, 1.0)
-    for t in np.exp2(np.linspace(-3, 3, 49)):
+    for t in np.exp2(np.linspace(-8, 8, 257)):
         z = logits / t
         z = z - z.max(1, keepdims=True)
         loss = (np.log(np.exp(z).sum(1)) - z[np.arange(len(y)), y]).mean()
@@ -126,21 +182,28 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return best[1]
 
 
+def _pieces(text: str) -> list[str]:
+    """Pieces of a text from places that its own bytes draw, one for each of ``PIECES``."""
+    draw = np.random.default_rng(len(text))
+    return [text[(at := int(draw.integers(0, max(1, len(text) - n)))) : at + n] if n else text for n in PIECES]
+
+
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 0, F.lit(True))
 
 
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
     """``docs``: doc_id, text, lang of learnable rows."""
-    learnable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    learnable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
 
     def frequencies(batches):
         df = np.zeros(DIMENSIONS + 1, np.int64)
         for b in batches:
-            for i, j, x, _ in counts(b.column(0)):
-                df[:-1] += (x > 0).sum(0)
-                df[-1] += j - i
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMENSIONS + 1)), pa.array(df)], ["feature", "df"])
+            for c in counts(b.column(0)):
+                np.add.at(df, c.feature, 1)
+                df[-1] += c.rows
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["feature", "df"])
 
     found = C.map_arrow(learnable.select("text"), frequencies, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).toPandas()
     df = np.zeros(DIMENSIONS + 1)
@@ -150,28 +213,44 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
     def sparse(batches):
+        """The features of a sampled row and of its pieces, and the piece's number."""
         for b in batches:
-            for i, j, x, _ in counts(b.column(1)):
-                at = [np.flatnonzero(r) for r in x]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([a.astype("<u2").tobytes() for a in at]), pa.array([x[k, a].astype("<u4").tobytes() for k, a in enumerate(at)])], ["lang", "at", "n"])
-
-    rank = F.xxhash64(F.lit("train"), "doc_id")
-    chosen = learnable.select(rank.alias("rank")).orderBy("rank").limit(train_rows).distinct()
-    sample = C.map_arrow(learnable.withColumn("rank", rank).join(F.broadcast(chosen), "rank", "left_semi").select("lang", "text"), sparse, "lang string, at binary, n binary").toPandas()
-    sample = sample.sort_values(["lang", "at", "n"], kind="stable").reset_index(drop=True)  # the same order whatever the partitions
+            for lang, text, aside in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                rows = []
+                for k, piece in enumerate(_pieces(text) if aside else [text]):
+                    for c in counts(pa.array([piece])):
+                        feature, n = next(c.each())
+                        most = np.sort(np.argsort(-n, kind="stable")[:TRAIN_FEATURES])
+                        if c.has[0]:
+                            rows.append((lang, k, aside, feature[most].astype("<u4").tobytes(), n[most].astype("<u4").tobytes()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], ["lang", "piece", "aside", "at", "n"])
+
+    # a row is taken by the hash of its id; every language has a rate of its own, so none is missing
+    sizes = learnable.groupBy("lang").agg(F.count("*").alias("rows"))
+    total = float(df[-1])
+    rate = F.greatest(F.lit(train_rows / total), F.lit(float(LANGUAGE_ROWS)) / F.col("rows"))
+    share = lambda *x: F.pmod(F.xxhash64(*x), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = learnable.join(C.checked_broadcast(sizes.select("lang", rate.alias("rate"))), "lang").where(share(F.lit("train"), F.col("doc_id")) < F.col("rate"))
+    sample = C.map_arrow(chosen.select("lang", "text", (share(F.lit("aside"), F.col("doc_id")) < 0.2).alias("aside")), sparse, "lang string, piece int, aside boolean, at binary, n binary").toPandas()
+    sample = sample.sort_values(["lang", "piece", "at", "n"], kind="stable").reset_index(drop=True)  # the same order whatever the partitions
+    if not len(sample):
+        return None
     languages = tuple(sorted(sample["lang"].unique()))
     y = np.array([languages.index(x) for x in sample["lang"]])
     rows = []
     for at, n in zip(sample["at"], sample["n"], strict=True):
-        i = np.frombuffer(at, "<u2").astype(np.int64)
+        i = np.frombuffer(at, "<u4").astype(np.int64)
         v = np.frombuffer(n, "<u4") * idf[i]
         rows.append((i, v / max(1e-9, float(np.sqrt((v * v).sum())))))
-    aside = np.arange(len(rows)) % 5 == 0
-    fitted = [k for k in range(len(rows)) if not aside[k]] or list(range(len(rows)))
+    aside = sample["aside"].to_numpy(bool)
+    fitted = [k for k in range(len(rows)) if not aside[k]]
+    if len({int(y[k]) for k in fitted}) < len(languages):  # too few rows to keep some aside
+        fitted = [k for k in range(len(rows)) if not aside[k] or sample["piece"][k] == len(PIECES) - 1]
     weights, bias = ftrl([rows[k] for k in fitted], y[fitted], len(languages))
-    tested = np.flatnonzero(aside)
+    tested = np.flatnonzero(aside) if aside.any() else np.arange(len(rows))
     logits = np.array([rows[k][1] @ weights[rows[k][0]] + bias for k in tested])
-    return Model(languages, idf.astype(np.float32), weights.astype(np.float32), bias.astype(np.float32), fit_temperature(logits, y[tested]))
+    return Model(languages, idf.astype(np.float32), weights.astype(np.float32), bias.astype(np.float32), fit_temperature(logits, y[tested]), df[:-1] > 0)
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,14 +259,14 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
     def run(batches):
         for b in batches:
-            for i, j, x, has in counts(b.column(1)):
+            for c in counts(b.column(1)):
                 if model is None:
-                    lang, score = ["und"] * (j - i), np.zeros(j - i)
+                    lang, score = ["und"] * c.rows, np.zeros(c.rows)
                 else:
-                    p = model.scores(x.astype(np.float32)).astype(np.float64)
-                    lang = [model.languages[k] if h else "und" for k, h in zip(p.argmax(1), has, strict=True)]
-                    score = np.where(has, np.clip(p.max(1), 0, 1), 0.0)
-                yield C.batches(schema, [b.column(0).slice(i, j - i), lang, score])
+                    p = model.scores(c)
+                    lang = [model.languages[k] if h else "und" for k, h in zip(p.argmax(1), c.has, strict=True)]
+                    score = np.where(c.has, np.clip(p.max(1), 0, 1), 0.0)
+                yield C.batches(schema, [b.column(0).slice(c.first, c.rows), lang, score])
 
     return C.map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, lang_pred string, score double")
 
@@ -198,16 +277,20 @@ def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     return predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, model: Model | None, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language is known with a score of ``least`` or more."""
+def keep_identified(docs: DataFrame, model: Model | None, least: float, least_known: float = 0.0, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is known with a score of ``least`` or more.
+
+    A row is also rejected if less than ``least_known`` of its n-grams are in any learnable document, as in a script that was not learned; this does not depend on how many languages were.
+    Null texts, texts without letters and, without a model, all rows are rejected.
+    """
 
     def run(batches):
         for b in batches:
             at = b.schema.get_field_index(text_col)
             keep = np.zeros(b.num_rows, bool)
             if model is not None:
-                for i, j, x, has in counts(b.column(at)):
-                    keep[i:j] = has & (model.scores(x.astype(np.float32)).max(1) >= least)
+                for c in counts(b.column(at)):
+                    keep[c.first : c.first + c.rows] = c.has & (model.scores(c).max(1) >= least) & (model.known(c) >= least_known)
             yield b.filter(pa.array(keep))
 
     return C.map_arrow(docs, run, docs.schema)
