@@ -16,7 +16,7 @@ from ..session import shared_dir, ship
 #: Drops an execution's shuffle files at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Texts are processed in slices of about this many bytes, which bounds a worker's memory; one longer text makes a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -109,13 +109,15 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _POW.get(base)
     if have is None or len(have) < n:
-        out = np.ones(max(n, SLICE_BYTES + 1024), np.uint64)
+        out = np.ones(max(n, 2 * SLICE_BYTES), np.uint64)
         size = 1
         while size < len(out):
             step = min(size, len(out) - size)
             out[size : size + step] = out[:step] * U64(pow(base, size, 2**64))
             size += step
-        _POW[base] = have = out
+        have = out
+        if len(out) == 2 * SLICE_BYTES:  # those of a longer text are not kept
+            _POW[base] = out
     return have[:n]
 
 

@@ -1,14 +1,18 @@
 """Near-duplicate documents: SuperMinHash signatures, banding, verification on full sets, union-find grouping.
 
-A document's set holds the hashes of its distinct word shingles. Documents with equal sets are one class, collapsed before anything else. A class's signature
-has ``VALUES`` SuperMinHash components, cut in ``BANDS`` bands; classes that share a band are candidates, and the components of the candidate graph hold every
-link. Within such a rough component all members are compared on their full sets through posting lists; a large one is dealt out in blocks, two of which meet in a task.
-Tasks give spanning forests of the verified links, never pairs, and a distributed union-find joins these.
+A document's set holds the hashes of its distinct word shingles. Documents with equal sets are one class, collapsed before anything else, and named by its least id. A class's signature
+has ``VALUES`` SuperMinHash components, cut in ``BANDS`` bands; classes that share a band's bucket are candidates.
 
-At a similarity of 0.75 a pair shares no band with a probability below 6e-6.
+1. Every class is compared with the least one of each of its buckets, on full sets. The larger side of such a star is salted: copies of a hub's set serve ``STAR`` neighbours each.
+2. A distributed union-find joins the verified links. A bucket whose classes are now all in one component has nothing more to tell; groups of near copies end here.
+3. The classes of the other buckets form rough components. In each of these, the largest verified component needs no comparison within itself; all others are compared with
+   everything, in blocks of bounded number and bytes, through posting lists. Tasks give spanning forests of the verified links, never pairs, and the union-find joins these.
+
+At a similarity of 0.75 a pair shares no band with a probability below 6e-6; no candidate is left unverified.
 
 Defined results: null, empty or blank texts have an empty set and are linked with nothing; shorter texts than a shingle have their whole sequence as one; repeated rows
-are copies; a row without an id is linked with nothing and has no component; an empty table gives no rows; other columns are ignored.
+are copies; rows that share an id are one node of the links, whatever their texts; a row without an id is linked with nothing and has no component; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +26,12 @@ from . import common as C
 from .components import components
 
 VALUES, BANDS = 128, 32
-#: Classes of a rough component that meet in one task, at most about twice.
-BLOCK = 2048
+#: Neighbours that one copy of a hub's set serves.
+STAR = 256
+#: Classes and bytes of sets of a block; two blocks meet in a task.
+BLOCK, BLOCK_BYTES = 2048, 24 << 20
+#: Posting entries that are counted at once.
+PIECE = 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -108,29 +116,28 @@ def _signed(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """key and sorted set (bytes of uint64) of documents."""
-    schema = pa.schema([("key", pa.binary()), ("hashes", pa.binary())])
+    """id, key and sorted set of documents (doc_id, text)."""
+    schema = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("hashes", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in batches:
-            for _, _, data, offsets in C.slices(b.column(0)):
+            for i, j, data, offsets in C.slices(b.column(1)):
                 sets, at = shingle_sets(data, offsets)
-                yield C.batches(schema, [_keys(sets, at), [sets[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]])
+                yield C.batches(schema, [b.column(0).slice(i, j - i), _keys(sets, at), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64)))])
 
-    return C.map_arrow(docs.select("text"), run, "key binary, hashes binary")
+    return C.map_arrow(docs.select("doc_id", "text"), run, "id long, key binary, hashes array<long>").dropDuplicates(["id", "key"])
 
 
-def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """For each set that links reach a smaller number from: (the set's number, the least number reached).
+def forest(sets: list[np.ndarray], percent: int, asked: np.ndarray) -> list[tuple[int, int]]:
+    """For each set that links reach a smaller number from: (the set's number, the least number reached). Only links with a set that is ``asked`` about are looked for.
 
-    A posting list of every element that several sets have gives a set's intersections with all others at once, so no pair is ever stored.
+    A posting list of every element that several sets have gives an asked set's intersections with all others at once, so no pair is ever stored; long lists are counted in pieces.
     """
     n, size = len(sets), np.array([len(x) for x in sets])
-    ids, inverse, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(n), size)
-    order = np.argsort(inverse, kind="stable")
-    posting, start = owner[order], C.from_offsets(many)
-    at = C.from_offsets(size)
+    _, inverse, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    inverse = inverse.astype(np.int32)
+    posting = np.repeat(np.arange(n, dtype=np.int32), size)[np.argsort(inverse, kind="stable")]
+    start, at = C.from_offsets(many), C.from_offsets(size)
     root = list(range(n))
 
     def find(x: int) -> int:
@@ -138,51 +145,86 @@ def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
             root[x] = x = root[root[x]]
         return x
 
-    for i in range(1, n):
+    for i in np.flatnonzero(asked).tolist():
         own = inverse[at[i] : at[i + 1]]
         own = own[many[own] > 1]
-        length = many[own]
-        places = np.repeat(start[own] - C.from_offsets(length)[:-1], length) + np.arange(int(length.sum()))
-        both = np.bincount(posting[places], minlength=n)[:i]
-        for j in np.flatnonzero((both > 0) & (100 * both >= percent * (size[i] + size[:i] - both))):
+        total, both = np.cumsum(many[own]), np.zeros(n, np.int64)
+        cuts = np.append(np.searchsorted(total, np.arange(0, total[-1] if len(total) else 0, PIECE)), len(own))
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            length = many[own[x:y]]
+            places = np.repeat(start[own[x:y]] - C.from_offsets(length)[:-1], length) + np.arange(int(length.sum()))
+            both += np.bincount(posting[places], minlength=n)
+        both[i] = 0
+        for j in np.flatnonzero((both > 0) & (100 * both >= percent * (size[i] + size - both))):
             x, y = find(i), find(int(j))
             if x != y:
                 root[max(x, y)] = min(x, y)
     return [(i, r) for i in range(n) if (r := find(i)) != i]
 
 
-def _links(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that span the components of each group of ``members`` (group columns root, i, j; key, hashes)."""
+def _star_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The verified links (a, b) of each class with the least one of its buckets."""
+    pairs = C.materialize(members.where("center != id").select("center", "id").distinct())
+    copies = C.checked_broadcast(pairs.groupBy("center").agg(F.ceil(F.count("*") / STAR).cast("int").alias("copies")))
+    dealt = pairs.join(copies, "center").select("center", "id", F.pmod(F.xxhash64("id"), "copies").cast("int").alias("salt"))
+    hubs = sets.join(copies, sets["id"] == copies["center"]).select("center", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.col("hashes").alias("own"))
+    both = dealt.join(sets.select("id", "hashes"), "id").join(hubs, ["center", "salt"])
+    common = F.size(F.array_intersect("hashes", "own"))
+    return both.where(common * 100 >= (F.size("hashes") + F.size("own") - common) * percent).select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def _block_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that span what each group of ``placed`` (root, i, j; id, minor) has in common."""
 
     def run(table):
-        table = table.sort_by("key")
-        keys = table.column("key").to_pylist()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
-        found = forest(sets, percent) if len(keys) > 1 else []
-        return pa.table({"a": pa.array([keys[r] for _, r in found], pa.binary()), "b": pa.array([keys[i] for i, _ in found], pa.binary())})
+        table = table.sort_by("id")
+        ids, hashes = table.column("id").to_pylist(), table.column("hashes").combine_chunks()
+        at, values = hashes.offsets.to_numpy(), hashes.values.to_numpy()
+        found = forest([values[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], percent, table.column("minor").to_numpy(zero_copy_only=False)) if len(ids) > 1 else []
+        return pa.table({"a": pa.array([ids[r] for _, r in found], pa.int64()), "b": pa.array([ids[i] for i, _ in found], pa.int64())})
 
-    C.ship(members.sparkSession)
-    return members.groupBy("root", "i", "j").applyInArrow(run, "a binary, b binary")
+    C.ship(placed.sparkSession)
+    return placed.join(sets.select("id", "hashes"), "id").groupBy("root", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _open_pairs(members: DataFrame, found: DataFrame) -> DataFrame | None:
+    """The classes of buckets that hold several components, dealt out so that every two of different components meet: root, i, j, id, minor. None if there are none.
+
+    Within a rough component the classes of its largest verified component are dealt in blocks after those of the others (``minor``); a pair of blocks has a block of others in it.
+    """
+    named = members.join(found.withColumnRenamed("node", "id").withColumnRenamed("root", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    named = C.materialize(named)
+    mixed = named.groupBy("band", "bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("id").alias("least")).where("low < high").select("band", "bucket", "least")
+    mixed = C.materialize(named.join(C.checked_broadcast(C.materialize(mixed)), ["band", "bucket"]).select("id", "size", "comp", "least").distinct())
+    if mixed.isEmpty():
+        return None
+    rough = C.materialize(components(mixed.select(F.col("least").alias("a"), F.col("id").alias("b"))))
+    rough = C.materialize(mixed.select("id", "size", "comp").distinct().join(rough.withColumnRenamed("node", "id"), "id"))
+    largest = rough.groupBy("root", "comp").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"))
+    blocks = lambda minor: F.greatest(F.ceil(F.count(F.when(minor, 1)) / BLOCK), F.ceil(F.sum(F.when(minor, F.col("size")).otherwise(0)) * 8 / BLOCK_BYTES)).cast("int")
+    rough = rough.join(C.checked_broadcast(C.materialize(largest)), "root").withColumn("minor", F.col("comp") != F.col("largest"))
+    dealt = C.materialize(rough.groupBy("root").agg(blocks(F.col("minor")).alias("minors"), blocks(~F.col("minor")).alias("majors")))
+    placed = rough.join(C.checked_broadcast(dealt), "root").withColumn("block", F.when(F.col("minor"), F.pmod(F.xxhash64("id"), "minors")).otherwise(F.col("minors") + F.pmod(F.xxhash64("id"), "majors")).cast("int"))
+    others = F.when(F.col("minor"), F.sequence(F.lit(0), F.col("minors") + F.col("majors") - 1)).otherwise(F.sequence(F.lit(0), F.col("minors") - 1))
+    placed = placed.select("root", "id", "minor", "block", F.explode(others).alias("other"))
+    return placed.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "minor")
 
 
 def group_near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (least id that links reach) and kept of every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = C.materialize(_signed(docs))
-    classes = C.materialize(signed.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), F.min("bands").alias("bands")))
-    rows = classes.select("key", F.posexplode("bands").alias("band", "bucket"))
-    shared = rows.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("key").alias("center")).where("n > 1").drop("n")
-    rough = C.materialize(components(rows.join(shared, ["band", "bucket"]).where("key != center").select(F.col("center").alias("a"), F.col("key").alias("b"))))
-    # a rough component of many classes is dealt out in blocks, and every two blocks meet in a group of their own
-    blocks = rough.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    placed = rough.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), "n").cast("int"))
-    placed = placed.select("root", F.col("node").alias("key"), "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    placed = placed.select("root", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    used = C.materialize(rough.join(classes, rough["node"] == classes["key"]).select(F.col("first").alias("doc_id")).distinct())
-    sets = C.materialize(_sets(docs.join(C.checked_broadcast(used), "doc_id", "left_semi")).dropDuplicates(["key"]))
-    roots = components(C.materialize(_links(placed.join(sets, "key"), percent)))
-    named = classes.join(C.materialize(roots), classes["key"] == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("root"))
-    named = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("key", "component_id")
-    own = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    classes = C.materialize(signed.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("size"), F.min("bands").alias("bands")))
+    rows = classes.select(F.col("first").alias("id"), "size", F.posexplode("bands").alias("band", "bucket"))
+    shared = rows.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("id").alias("center")).where("n > 1").drop("n")
+    members = C.materialize(rows.join(shared, ["band", "bucket"]))
+    sets = C.materialize(_sets(docs.join(C.checked_broadcast(members.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi")))
+    found = C.materialize(components(_star_links(members, sets, percent)))
+    placed = _open_pairs(members, found)
+    if placed is not None:
+        links = found.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(_block_links(placed, sets, percent))
+        found = C.materialize(components(links))
+    named = classes.join(found, F.col("first") == F.col("node"), "left").select("key", F.coalesce("root", "first").alias("component_id"))
+    own = F.when(F.col("key").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = signed.drop("bands").join(named, "key", "left").select("doc_id", "n_shingles", own.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
