@@ -11,8 +11,8 @@ has ``VALUES`` SuperMinHash components, cut in ``BANDS`` bands; classes that sha
 At a similarity of 0.75 a pair shares no band with a probability below 6e-6; no candidate is left unverified.
 
 Defined results: null, empty or blank texts have an empty set and are linked with nothing; shorter texts than a shingle have their whole sequence as one; repeated rows
-are copies; rows that share an id are one node of the links, whatever their texts; a row without an id is linked with nothing and has no component; an empty table gives no rows;
-other columns are ignored.
+are copies; ids are taken as unique: of rows that share an id each is grouped by its own text, and classes with the same least id count as one; a row without an id is linked with nothing
+and has no component; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
