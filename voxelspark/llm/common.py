@@ -99,6 +99,7 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
 U64 = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+BYTE_CODES_2 = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 MIX = tuple(_RNG.integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1))
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 2**64)
@@ -109,14 +110,14 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _POW.get(base)
     if have is None or len(have) < n:
-        out = np.ones(max(n, 2 * SLICE_BYTES), np.uint64)
+        out = np.ones(max(n, SLICE_BYTES + 4096), np.uint64)
         size = 1
         while size < len(out):
             step = min(size, len(out) - size)
             out[size : size + step] = out[:step] * U64(pow(base, size, 2**64))
             size += step
         have = out
-        if len(out) == 2 * SLICE_BYTES:  # those of a longer text are not kept
+        if len(out) == SLICE_BYTES + 4096:  # those of a longer text are not kept
             _POW[base] = out
     return have[:n]
 

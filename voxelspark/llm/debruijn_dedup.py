@@ -1,8 +1,11 @@
 """Removal of repeated word passages through a de Bruijn graph of token k-mers.
 
-``repeats`` samples the graph's anchors and leaves one copy of every differing passage around a shared anchor. There every window of ``WINDOW`` words is an edge. Edges are joined
-across passages to find each one's least document; consecutive edges of a passage on which this does not change (a path that does not branch) are compacted to one row,
-and the passage's own coordinates put the paths back in place. An anchor with one content only lies on such a path as a whole.
+The graph's edges are windows of ``WINDOW`` words and its nodes the ``WINDOW`` - 1 words that two consecutive windows share. As an edge can repeat across documents only with its anchor,
+``repeats`` deals the graph out by anchors (as super-k-mers, one row for the consecutive edges with one anchor) and leaves those of shared anchors, one copy of each different passage. Then
+
+1. every node of a passage gives a row with the edge before and the edge after it (or the passage's start or end); one aggregate tells nodes with several of either: these branch;
+2. a join with the branching nodes cuts the passages there, which compacts their edges to paths that no passage enters or leaves on the way;
+3. the words of each path are read at its source's coordinates, and equal paths are those with equal words; the least document of a path holds for all its edges.
 
 Defined results: as in ``repeats``; a null text has no words; an empty table gives no rows; other columns are ignored.
 """
@@ -13,7 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -22,40 +25,72 @@ from . import repeats
 WINDOW, K = 50, 9
 
 
-def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_units(data: np.ndarray, offsets: np.ndarray, second: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
     s, e, rows = C.words(data, offsets)
-    return C.word_hashes(data, s, e), rows
+    other = C.range_hash(C.prefix_codes(C.BYTE_CODES_2[data], repeats.BASE2), s, e, repeats.BASE2_INV) if second else None
+    return C.word_hashes(data, s, e), other, rows
 
 
-def _resolve(segments: DataFrame) -> DataFrame:
-    """Least documents of the windows of each segment, by joins of edges and compacted paths."""
+#: Stand for the start and the end of a passage among the edges of a node.
+START, END = 1, 2
+
+
+def passages(segments: DataFrame) -> DataFrame:
+    """c, d, lo, words (joined by blanks), edges and nodes (one more) of the passages to cut from documents."""
+    schema = pa.schema([("c", pa.int64()), ("d", pa.int64()), ("lo", pa.int64()), ("words", pa.binary()), ("edges", pa.list_(pa.int64())), ("nodes", pa.list_(pa.int64()))])
 
-    def edges(batches):
+    def cut(batches):
         for b in batches:
             for i, j, data, offsets in C.slices(b.column(1), repeats.SLICE):
-                codes, rows = word_units(data, offsets)
-                prefix = C.prefix_codes(codes)
-                at, c, doc, place = [], [], [], []
+                s, e, rows = C.words(data, offsets)
+                prefix = C.prefix_codes(C.word_hashes(data, s, e))
+                out, raw = [], data.tobytes()
                 for r in range(i, j):
+                    doc = b.column(0)[r].as_py()
                     for x in b.column(2)[r].as_py():
-                        at.append(rows[r - i] + x["pos"] + np.arange(x["n"]))
-                        place.append(np.arange(x["n"]))
-                        c.append(np.full(x["n"], x["c"]))
-                        doc.append(np.full(x["n"], b.column(0)[r].as_py()))
-                if at:
-                    at = np.concatenate(at)
-                    columns = [C.range_hash(prefix, at, at + WINDOW).view(np.int64), np.concatenate(c), np.concatenate(doc), np.concatenate(place)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["edge", "c", "lo", "at"])
-
-    rows = C.materialize(C.map_arrow(segments, edges, "edge long, c long, lo long, at long").dropDuplicates(["c", "at"]))
-    least = rows.groupBy("edge").agg(F.min("lo").alias("least"), F.count("*").alias("copies"))
-    # only edges of several passages can have another least document than their own
-    joined = rows.join(least.where("copies > 1").drop("copies"), "edge", "left").select("c", "at", F.coalesce("least", "lo").alias("least"))
-    order = Window.partitionBy("c").orderBy("at")
-    starts = joined.withColumn("new", F.when(F.col("least") == F.lag("least").over(order), 0).otherwise(1)).withColumn("path", F.sum("new").over(order))
-    paths = starts.groupBy("c", "path").agg(F.min("at").alias("at"), F.count("*").cast("int").alias("length"), F.first("least").alias("least"))
-    path = F.struct(F.col("at").cast("int").alias("at"), "length", "least")
-    return paths.groupBy("c").agg(F.array_sort(F.collect_list(path)).alias("runs"))
+                        at = rows[r - i] + x["pos"] + np.arange(x["n"] + 1)
+                        last = at[-1] + WINDOW - 1
+                        words = b" ".join(raw[p:q] for p, q in zip(s[at[0] : last].tolist(), e[at[0] : last].tolist(), strict=True))
+                        out.append((x["c"], x["d"], doc, words, C.range_hash(prefix, at[:-1], at[:-1] + WINDOW).view(np.int64), C.range_hash(prefix, at, at + WINDOW - 1).view(np.int64)))
+                        if len(out) == 5000:
+                            yield C.batches(schema, [list(x) for x in zip(*out, strict=True)])
+                            out = []
+                if out:
+                    yield C.batches(schema, [list(x) for x in zip(*out, strict=True)])
+
+    found = C.map_arrow(segments, cut, "c long, d long, lo long, words binary, edges array<long>, nodes array<long>")
+    return found.select("c", "d", "lo", F.col("words").cast("string").alias("words"), "edges", "nodes")
+
+
+def branches(cut: DataFrame) -> DataFrame:
+    """The nodes (node) with more than one edge before or after them, starts and ends of passages counted as edges."""
+    before = F.concat(F.array(F.lit(START).cast("long")), "edges")
+    after = F.concat("edges", F.array(F.lit(END).cast("long")))
+    sides = cut.select(F.explode(F.arrays_zip(F.col("nodes").alias("node"), before.alias("before"), after.alias("after"))).alias("x")).select("x.*")
+    degree = sides.groupBy("node").agg(*[f(c).alias(f"{c}_{n}") for c in ("before", "after") for n, f in (("low", F.min), ("high", F.max))])
+    return degree.where("before_low <> before_high OR after_low <> after_high").select("node")
+
+
+def paths(cut: DataFrame) -> DataFrame:
+    """c, d, lo, at, length and words of the paths that passages consist of, cut at branching nodes."""
+    inner = cut.select("c", "d", F.posexplode(F.slice("nodes", F.lit(2), F.size("edges") - 1)).alias("i", "node"))
+    cuts = inner.join(branches(cut), "node", "left_semi").groupBy("c", "d").agg(F.array_sort(F.collect_set(F.col("i") + 1)).alias("cuts"))  # a passage has at most WINDOW - K + 1 edges
+    starts = F.concat(F.array(F.lit(0)), F.coalesce("cuts", F.array().cast("array<int>")))
+    ends = F.concat(F.coalesce("cuts", F.array().cast("array<int>")), F.array(F.size("edges")))
+    cut = cut.select("c", "d", "lo", "words", "edges").join(cuts, ["c", "d"], "left")
+    out = cut.select("c", "d", "lo", F.split("words", " ").alias("words"), F.explode(F.arrays_zip(starts.alias("at"), ends.alias("end"))).alias("x"))
+    length = F.col("x.end") - F.col("x.at")
+    return out.select("c", "d", "lo", F.col("x.at").alias("at"), length.alias("length"), F.array_join(F.slice("words", F.col("x.at") + 1, length + (WINDOW - 1)), " ").alias("words"))
+
+
+def _resolve(segments: DataFrame) -> DataFrame:
+    """Least documents of the windows of each segment, by compacted paths."""
+    found = C.materialize(paths(C.materialize(passages(segments))))
+    least = found.groupBy("words").agg(F.min("lo").alias("least"), F.count("*").alias("copies"))
+    # only paths of several passages can have another least document than their own
+    joined = found.join(least.where("copies > 1").drop("copies"), "words", "left")
+    run = F.struct("at", "length", F.coalesce("least", "lo").alias("least"))
+    return joined.groupBy("c", "d").agg(F.array_sort(F.collect_list(run)).alias("runs"))
 
 
 def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,4 +110,4 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 yield C.batches(schema, [list(x) for x in zip(*rows, strict=True)])
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return C.map_arrow(repeats.marked(docs, word_units, K, WINDOW, _resolve), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return C.map_arrow(repeats.marked(docs, word_units, K, WINDOW, _resolve, whole=True), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -1,14 +1,17 @@
 """Long repeated spans: which windows of units (bytes or words) also start in a document with a smaller id.
 
 Comparing every window with every other is out of reach, so windows meet through anchors: of the k-mers of a window the one with the least hash (leftmost of equals). Equal windows
-have equal anchors. Consecutive windows with one anchor form a block; a block's content hash stands for all its windows. So one row per block, not per window, is shuffled:
+have equal anchors. Consecutive windows with one anchor form a block; a block's two content hashes (128 bits together) stand for all its windows. So one row per block, not per window, is shuffled:
 
-1. blocks are counted by content, and anchors that no two documents share are dropped;
-2. every block of a shared anchor learns the least document with the same content;
-3. where an anchor has blocks of different content (the ends of repeated passages), one copy of each content is resolved window by window, by the caller's method;
+1. anchors are counted, those that no two documents share are dropped, and those with several contents noted;
+2. the blocks of shared anchors are grouped by content, each with its least document and place;
+3. where an anchor has blocks of different content (the ends of repeated passages), or everywhere if the caller wants it (``whole``), one copy of each content is resolved window by window, by the
+   caller's method; else all windows of a block have the block's least document;
 4. windows whose least document is smaller than their own are marked, and covered units removed.
 
-Ids are taken as unique: rows that share an id must be equal. Rows without an id, null, empty and short texts are passed on whole.
+Aggregates combine before they shuffle, and a hot anchor or content is a skewed join that Spark splits, so no task holds all of it. Long texts are read in pieces.
+
+Rows are told apart by id and text. Rows that share an id are never compared with each other. Rows without an id, null, empty and short texts are passed on whole.
 """
 
 from __future__ import annotations
@@ -17,95 +20,131 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
-SLICE = 1 << 20
-Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]  # bytes, offsets -> codes, offsets among codes
+SLICE = 1 << 19
+#: Bits of a packed value that hold a place; a piece has fewer units.
+PLACE = np.uint64((1 << 20) - 1)
+PIECE = 1 << 19
+#: bytes, offsets, whether second codes are wanted -> codes, second codes, offsets among codes
+Units = Callable[[np.ndarray, np.ndarray, bool], tuple[np.ndarray, np.ndarray | None, np.ndarray]]
+BASE2 = 0xD6E8FEB86659FD93
+BASE2_INV = pow(BASE2, -1, 2**64)
+
+
+def blocks(codes: np.ndarray, offsets: np.ndarray, k: int, window: int, second: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Row, first window, number of windows, anchor hash, content hash and second content hash (0 if not wanted) of every block, in order. Codes may be bytes."""
+    parts = []
+    for base in range(0, len(codes), PIECE):
+        end = base + PIECE + window - 1
+        o = np.clip(offsets - base, 0, min(end, len(codes)) - base)
+        row, begin, *rest = _blocks(codes[base:end], o, k, window, None if second is None else second[base:end])
+        parts.append((row, begin + base, *rest))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else _blocks(codes, offsets, k, window, second)
 
 
-def blocks(codes: np.ndarray, offsets: np.ndarray, k: int, window: int) -> tuple[np.ndarray, ...]:
-    """Row, first window, number of windows, anchor hash and content hash of every block, in order."""
+def _blocks(codes: np.ndarray, offsets: np.ndarray, k: int, window: int, second: np.ndarray | None) -> tuple[np.ndarray, ...]:
     n, wide = len(codes), window - k + 1
-    starts = np.diff(offsets) - window + 1
-    if n < window or (starts <= 0).all():
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    prefix = C.prefix_codes(codes)
+    valid = np.zeros(max(0, n - window + 1), bool)
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        valid[a : max(a, b - window + 1)] = True
+    if not valid.any():
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
+    prefix = C.prefix_codes(C.BYTE_CODES[codes] if codes.dtype == np.uint8 else codes)
     at = np.arange(n - k + 1)
-    low = C.range_hash(prefix, at, at + k)
-    kmer, place, size = low, at, 1
+    kmer = C.range_hash(prefix, at, at + k)
+    # a k-mer's hash with its place in the low bits: the least of a window names the leftmost of equals too
+    low, size = (kmer & ~PLACE) | at.astype(np.uint64), 1
     while size < wide:  # least of doubling ranges
         step = min(size, wide - size)
-        less = low[step:] < low[:-step]
-        low, place = np.where(less, low[step:], low[:-step]), np.where(less, place[step:], place[:-step])
+        low = np.minimum(low[:-step], low[step:])
         size += step
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: n - window + 1]
-    valid = at[: n - window + 1] + window <= offsets[1:][row]
-    place = np.where(valid, place[: n - window + 1], -1)
-    first = valid.copy()
-    first[1:] &= place[1:] != place[:-1]
-    begin = np.flatnonzero(first)
-    last = valid.copy()
-    last[:-1] &= place[1:] != place[:-1]
-    end = np.flatnonzero(last) + 1
-    return row[begin], begin, end - begin, kmer[place[begin]], C.range_hash(prefix, begin, end - 1 + window)
-
-
-def _scan(docs: DataFrame, units: Units, k: int, window: int, counted: bool) -> DataFrame:
-    """Blocks of all documents: (h, c, lo, hi) for counting, equal ones of a slice as one row; else (c, doc, pos, n)."""
-    names = ["h", "c", "lo", "hi"] if counted else ["c", "doc", "pos", "n"]
+    new = np.ones(len(valid) + 1, bool)
+    new[1:-1] = low[1 : len(valid)] != low[: len(valid) - 1]
+    edge = np.zeros(len(valid) + 1, bool)
+    edge[:-1] |= valid
+    edge[1:] ^= valid
+    new |= edge
+    starts = np.flatnonzero(new)
+    begin, end = starts[:-1], starts[1:]
+    inside = valid[begin]
+    begin, end = begin[inside], end[inside]
+    row = np.searchsorted(offsets, begin, "right") - 1
+    d = np.zeros(len(begin), np.uint64)
+    if second is not None or codes.dtype == np.uint8:
+        other = C.prefix_codes(C.BYTE_CODES_2[codes] if second is None else second, BASE2)
+        d = C.range_hash(other, begin, end - 1 + window, BASE2_INV)
+    return row, begin, end - begin, kmer[(low[begin] & PLACE).astype(np.int64)], C.range_hash(prefix, begin, end - 1 + window), d
+
+
+def _anchors(docs: DataFrame, units: Units, k: int, window: int) -> DataFrame:
+    """Anchors (h) that several documents have, and whether they have several contents (mixed)."""
+    names = ["h", "lo", "hi", "c0", "c1"]
 
     def run(batches):
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for i, _, data, offsets in C.slices(b.column(1), SLICE):
-                codes, o = units(data, offsets)
-                row, begin, many, h, c = blocks(codes, o, k, window)
-                if counted and len(c):
-                    order = np.argsort(c, kind="stable")
-                    h, c, doc = h[order], c[order], ids[i + row[order]]
-                    first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-                    columns = [h[first].view(np.int64), c[first].view(np.int64), np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)]
-                elif counted:
+                codes, _, o = units(data, offsets, False)
+                row, _, _, h, c, _ = blocks(codes, o, k, window)
+                if not len(h):
                     continue
-                else:
-                    columns = [c.view(np.int64), ids[i + row], begin - o[row], many]
-                for at in range(0, len(columns[0]), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000].astype(np.int64)) for x in columns], names)
+                order = np.argsort(h, kind="stable")
+                h, c, doc = h[order], c[order].view(np.int64), ids[i + row[order]]
+                first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+                columns = [h[first].view(np.int64), np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first), np.minimum.reduceat(c, first), np.maximum.reduceat(c, first)]
+                yield from _rows(columns, names)
+
+    found = C.map_arrow(docs.select("doc_id", "text"), run, ", ".join(f"{x} long" for x in names))
+    counted = found.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("c0").alias("c0"), F.max("c1").alias("c1"))
+    return counted.where("lo < hi").select("h", F.expr("c0 <> c1").alias("mixed"))
+
+
+def _blocks_of(docs: DataFrame, units: Units, k: int, window: int) -> DataFrame:
+    """All blocks: h, c, d, doc, t, pos, n."""
+    names = ["h", "c", "d", "doc", "t", "pos", "n"]
+
+    def run(batches):
+        for b in batches:
+            ids, texts = (b.column(x).to_numpy(zero_copy_only=False) for x in (0, 2))
+            for i, _, data, offsets in C.slices(b.column(1), SLICE):
+                codes, second, o = units(data, offsets, True)
+                row, begin, many, h, c, d = blocks(codes, o, k, window, second)
+                yield from _rows([h.view(np.int64), c.view(np.int64), d.view(np.int64), ids[i + row], texts[i + row], (begin - o[row]).astype(np.int32), many.astype(np.int16)], names)
 
-    return C.map_arrow(docs, run, ", ".join(f"{x} long" for x in names))
+    return C.map_arrow(docs.select("doc_id", "text", "t"), run, "h long, c long, d long, doc long, t long, pos int, n short")
 
 
-def _shared(counted: DataFrame) -> DataFrame:
-    """Contents of anchors that several documents have, with their least document and whether the anchor has several contents."""
-    by_content = counted.repartition("h").groupBy("h", "c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    anchor = Window.partitionBy("h")
-    out = by_content.withColumn("low", F.min("lo").over(anchor)).withColumn("high", F.max("hi").over(anchor)).withColumn("mixed", F.count("*").over(anchor) > 1)
-    return out.where("low < high").select("h", "c", "lo", "mixed")
+def _rows(columns: list[np.ndarray], names: list[str], most: int = 50_000):
+    for at in range(0, len(columns[0]), most):
+        yield pa.RecordBatch.from_arrays([pa.array(x[at : at + most]) for x in columns], names)
 
 
-def marked(docs: DataFrame, units: Units, k: int, window: int, resolve: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``docs`` (doc_id, text) with ``marks``: the runs of windows (first, number) that also start in smaller documents.
+def marked(docs: DataFrame, units: Units, k: int, window: int, resolve: Callable[[DataFrame], DataFrame], whole: bool = False) -> DataFrame:
+    """``docs`` (doc_id, text) with ``marks``: the runs of windows (begin, many) that also start in smaller documents.
 
     ``resolve`` gets documents with the blocks to cut from them (doc_id, text, cuts of pos, n, h, c) and returns ``RUNS``: for each content the runs of its windows with one least document.
     """
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    shared = C.materialize(_shared(_scan(known, units, k, window, True)))
-    found = _scan(known, units, k, window, False).join(shared, "c").where("mixed OR lo < doc")
-    hits = C.materialize(found.select("doc", F.col("pos").cast("int").alias("pos"), F.col("n").cast("short").alias("n"), "lo", "mixed", F.when(F.col("mixed"), F.col("c")).alias("c"), F.when(F.col("mixed") & (F.col("lo") == F.col("doc")), F.col("h")).alias("h")))
-    wanted = hits.where("h IS NOT NULL").groupBy("doc").agg(F.collect_list(F.struct("pos", "n", "h", "c")).alias("cuts"))
-    segments = known.join(wanted, known["doc_id"] == wanted["doc"]).select("doc_id", "text", "cuts")
-    runs = C.materialize(resolve(segments))
-    plain = hits.where("NOT mixed").select("doc", F.col("pos").alias("begin"), F.col("n").cast("int").alias("many"))
-    runs = hits.where("mixed").select("doc", "pos", "c").join(runs, "c").select("doc", "pos", F.explode("runs").alias("run")).where("run.least < doc")
-    mixed = runs.select("doc", (F.col("pos") + F.col("run.at")).cast("int").alias("begin"), F.col("run.length").cast("int").alias("many"))
-    marks = plain.unionByName(mixed).groupBy("doc").agg(F.collect_list(F.struct("begin", "many")).alias("marks"))
-    return docs.join(marks, docs["doc_id"] == marks["doc"], "left").select("doc_id", "text", "marks")
-
-
-RUNS = "c long, runs array<struct<at: int, length: int, least: long>>"
+    anchors = C.materialize(_anchors(known, units, k, window))
+    hits = _blocks_of(known, units, k, window).join(anchors, "h").withColumn("mixed", F.lit(True) if whole else F.col("mixed"))
+    hits = C.materialize(hits)
+    place = F.struct("doc", "t", "pos")
+    contents = C.materialize(hits.groupBy("c", "d").agg(F.min(place).alias("source"), F.first("n").alias("n"), F.first("h").alias("h"), F.max("mixed").alias("mixed")))
+    wanted = contents.where("mixed").select(F.col("source.doc").alias("doc"), F.col("source.t").alias("t"), F.struct("source.pos", "n", "h", "c", "d").alias("cut"))
+    wanted = wanted.groupBy("doc", "t").agg(F.collect_list("cut").alias("cuts")).withColumnRenamed("doc", "doc_id")
+    runs = C.materialize(resolve(known.join(wanted, ["doc_id", "t"]).select("doc_id", "text", "cuts")))
+    least = contents.where("NOT mixed").select("c", "d", F.array(F.struct(F.lit(0).alias("at"), F.col("n").cast("int").alias("length"), F.col("source.doc").alias("least"))).alias("runs")).unionByName(runs)
+    found = hits.select("c", "d", "doc", "t", "pos").join(least, ["c", "d"]).select("doc", "t", "pos", F.explode("runs").alias("run")).where("run.least < doc")
+    marks = found.groupBy("doc", "t").agg(F.collect_set(F.struct((F.col("pos") + F.col("run.at")).cast("int").alias("begin"), F.col("run.length").cast("int").alias("many"))).alias("marks"))
+    return docs.join(marks.withColumnRenamed("doc", "doc_id"), ["doc_id", "t"], "left").select("doc_id", "text", "marks")
+
+
+RUNS = "c long, d long, runs array<struct<at: int, length: int, least: long>>"
 
 
 def covered(batch: pa.RecordBatch, row: int, size: int, window: int) -> np.ndarray:
