@@ -5,7 +5,7 @@ none has room, the fullest window is emitted and a new one is opened. A fullest
 with the head of the item, so padding stays small. At its end a task lays what its leftover windows hold into full windows, and the last,
 partly filled windows of many tasks are merged in a second step, grouped so that no group grows with the input.
 
-Defined results: a null text is empty and has just the end token; repeated rows and equal ids are packed like any others;
+Defined results: a null text is empty and has just the end token; repeated rows, equal ids and null ids are packed like any others;
 an empty table gives no rows; other columns of the input are ignored, whatever their names.
 """
 
@@ -42,7 +42,7 @@ class WordEncoder:
     The cache is bounded by ``keep`` words.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 300_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -122,7 +122,8 @@ def _cuts(data: np.ndarray) -> list[np.ndarray]:
     if len(data) < 2:
         return []
     letter = _LETTER[data]
-    lead = (data[:-1] >= 0xC3) & (data[:-1] <= 0xC5) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # U+00C0 to U+017F without signs
+    # U+00C0 to U+017F without signs, and without U+0130, whose lower case ends in a combining mark
+    lead = (data[:-1] >= 0xC3) & (data[:-1] <= 0xC5) & (data[1:] != 0x97) & (data[1:] != 0xB7) & ((data[:-1] != 0xC4) | (data[1:] != 0xB0))
     first, last = letter.copy(), letter
     first[:-1] |= lead
     last[1:] |= lead
@@ -152,7 +153,7 @@ class Packer:
             return None
         return self.held.pop(window)
 
-    def add(self, doc: int, ids: np.ndarray) -> Iterator[list]:
+    def add(self, doc: int | None, ids: np.ndarray) -> Iterator[list]:
         total, start = len(ids), 0
         while total - start >= self.size:  # whole windows of a long document
             yield [(doc, start, ids[start : start + self.size], total)]
@@ -211,7 +212,7 @@ def pack_documents(docs: DataFrame, path: str, size: int = 2048, open_windows: i
         enc = encoder(path)
 
         def batch(rows: list[tuple], tail: int = -1, ids: list | None = None) -> pa.RecordBatch:
-            columns = [np.array(x, np.int64) for x in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 7
+            columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 7
             return C.batches(_STAGED, [*columns, np.full(len(rows), tail), pa.array(ids or [None] * len(rows), pa.binary())])
 
         for b in batches:

@@ -74,33 +74,34 @@ def resample_double(samples: np.ndarray) -> np.ndarray:
     return out
 
 
-def wav(data: bytes, tag: int, rate: int, bits: int, align: int) -> bytes:
-    """A mono WAVE file; ``tag``: 1 PCM, 6 A-law, 7 mu-law, 17 IMA ADPCM."""
-    fmt = struct.pack("<HHIIHHH", tag, 1, rate, rate * align, align, bits, 0)
+def wav(data: bytes, tag: int, rate: int, bits: int, align: int, channels: int = 1) -> bytes:
+    """A WAVE file; ``tag``: 1 PCM, 6 A-law, 7 mu-law, 17 IMA ADPCM."""
+    fmt = struct.pack("<HHIIHHH", tag, channels, rate, rate * align, align, bits, 0)
     fact = struct.pack("<4sII", b"fact", 4, len(data))
     return struct.pack("<4sI4s4sI", b"RIFF", 4 + 8 + len(fmt) + len(fact) + 8 + len(data), b"WAVE", b"fmt ", len(fmt)) + fmt + fact + struct.pack("<4sI", b"data", len(data)) + data
 
 
-def wav_data(stored: bytes) -> tuple[int, int, bytes]:
-    """Format tag, rate and data chunk of a WAVE file."""
+def wav_data(stored: bytes) -> tuple[int, int, int, int, bytes]:
+    """Format tag, channels, rate, block size and data chunk of a WAVE file."""
     if stored[:4] != b"RIFF" or stored[8:12] != b"WAVE":
         raise ValueError("no WAVE file")
-    at, tag, rate = 12, 0, 0
-    while at < len(stored):
+    at, head = 12, (0, 1, 0, 0, 1)
+    while at + 8 <= len(stored):
         name, n = struct.unpack_from("<4sI", stored, at)
         if name == b"fmt ":
-            tag, _, rate = struct.unpack_from("<HHI", stored, at + 8)
+            head = struct.unpack_from("<HHIIH", stored, at + 8)
         if name == b"data":
-            return tag, rate, stored[at + 8 : at + 8 + n]
+            tag, channels, rate, _, align = head
+            return tag, channels, rate, align, stored[at + 8 : at + 8 + n]
         at += 8 + n + n % 2
     raise ValueError("no data chunk")
 
 
 def decode(tag: int, data: bytes, block: int = BLOCK) -> np.ndarray:
-    """Linear samples of a data chunk."""
+    """Linear samples of a data chunk, those of several channels in turn."""
     raw = np.frombuffer(data, np.uint8)
     if tag == 1:
-        return np.frombuffer(data, "<i2")
+        return np.frombuffer(data[: len(data) // 2 * 2], "<i2")
     if tag in (6, 7):
         return g711_table("mulaw" if tag == 7 else "alaw")[raw]
     if tag == 17:
@@ -108,8 +109,18 @@ def decode(tag: int, data: bytes, block: int = BLOCK) -> np.ndarray:
     raise ValueError(f"format {tag} is not a telephony format")
 
 
-def expand(docs: DataFrame, id_col: str, media_col: str, block: int = BLOCK) -> DataFrame:
-    """Stored telephony WAVE files (binary) decoded and stored again as 16-bit PCM of twice the rate: id, rate, samples, pcm (a WAVE file)."""
+def stored_pcm(samples: np.ndarray, rate: int, channels: int = 1) -> bytes:
+    """A WAVE file of 16-bit PCM at twice the rate of ``samples``, each channel resampled by itself; a last incomplete set of channels is dropped."""
+    lanes = samples[: len(samples) // channels * channels].reshape(-1, channels).T
+    pcm = resample_double(lanes) if lanes.size else lanes
+    return wav(np.ascontiguousarray(pcm.T).astype("<i2").tobytes(), 1, 2 * rate, 16, 2 * channels, channels)
+
+
+def expand(docs: DataFrame, id_col: str, media_col: str) -> DataFrame:
+    """Stored telephony WAVE files (binary) decoded and stored again as 16-bit PCM of twice the rate: id, rate, samples (of all channels), pcm (a WAVE file).
+
+    Mu-law, A-law and PCM may have several channels; ADPCM is mono, with the file's own block size. A null file gives null rate and pcm; a file of another kind is an error.
+    """
     schema = pa.schema([("id", pa.int64()), ("rate", pa.int32()), ("samples", pa.int64()), ("pcm", pa.binary())])
 
     def run(batches):
@@ -118,9 +129,9 @@ def expand(docs: DataFrame, id_col: str, media_col: str, block: int = BLOCK) ->
                 if (x := x.as_py()) is None:
                     rows = [[i], [None], [0], [None]]
                 else:
-                    tag, rate, data = wav_data(x)
-                    pcm = resample_double(decode(tag, data, block)) if data else np.zeros(0, np.int16)
-                    rows = [[i], [2 * rate], [len(pcm)], [wav(pcm.astype("<i2").tobytes(), 1, 2 * rate, 16, 2)]]
+                    tag, channels, rate, align, data = wav_data(x)
+                    pcm = stored_pcm(decode(tag, data, align or BLOCK), rate, channels)
+                    rows = [[i], [2 * rate], [len(wav_data(pcm)[4]) // 2], [pcm]]
                 yield C.batches(schema, rows)
 
     return C.map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media")), run, "id long, rate int, samples long, pcm binary")
@@ -138,12 +149,13 @@ def audio_digest(docs: DataFrame, unit: int = 192, id_col: str = "doc_id", text_
     """Texts stored as 8-bit mu-law WAVE files, read back, decoded and summed up.
 
     The text's bytes, filled with spaces to a positive multiple of ``unit``, are the samples. The stored bytes are parsed again, and the feature comes
-    from these: energy, peak and sign changes of the mu-law samples and of their doubled-rate PCM, energy of the A-law reading, and energy and peak of the
-    samples that the same bytes give as ADPCM blocks of ``BLOCK`` bytes.
+    from these: energy, peak and sign changes of the mu-law samples; number, energy and checksum of the PCM samples of twice the rate, stored as a WAVE file by ``stored_pcm`` and read
+    back too; energy of the A-law reading; and energy and peak of the samples that the same bytes give as ADPCM blocks of ``BLOCK`` bytes.
     """
 
     def run(batches):
-        mu, al = (g711_table(k).astype(np.int64) for k in ("mulaw", "alaw"))
+        mu, al = g711_table("mulaw"), g711_table("alaw").astype(np.int64)
+        squares = al * al
         for b in batches:
             ids = b.column(0)
             for i, j, data, offsets in C.slices(b.column(1)):
@@ -151,23 +163,24 @@ def audio_digest(docs: DataFrame, unit: int = 192, id_col: str = "doc_id", text_
                 padded = np.maximum(unit, -(-n // unit) * unit)
                 raw, at = data.tobytes(), offsets.tolist()
                 stored = [wav(raw[at[k] : at[k + 1]].ljust(p, b" "), 7, RATE, 8, 1) for k, p in enumerate(padded.tolist())]
-                back = [wav_data(x)[2] for x in stored]
+                back = [wav_data(x)[4] for x in stored]
+                o = C.from_offsets(padded)
                 flat = np.frombuffer(b"".join(back), np.uint8)
-                o = C.from_offsets(np.array([len(x) for x in back], np.int64))
                 linear = mu[flat]
-                energy, peak = _sums(linear * linear, o), np.maximum.reduceat(np.abs(linear), o[:-1])
                 turn = np.zeros(len(flat), np.int64)
                 turn[1:] = (linear[1:] < 0) != (linear[:-1] < 0)
                 turn[o[:-1]] = 0
-                between = np.zeros(len(flat), np.int64)
-                between[:-1] = (linear[:-1] + linear[1:]) >> 1
-                between[o[1:] - 1] = linear[o[1:] - 1]
-                pcm = _sums(between * between, o) + energy
-                a_energy = _sums(al[flat] ** 2, o)
+                loud = np.abs(linear.astype(np.int32)).astype(np.int64)
+                energy, peak = _sums(loud * loud, o), np.maximum.reduceat(loud, o[:-1])
+                pcm = [wav_data(stored_pcm(linear[x:y], RATE))[4] for x, y in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]
+                fine = np.frombuffer(b"".join(pcm), "<i2").astype(np.int64)
+                pcm_energy = _sums(fine * fine, 2 * o)
+                a_energy = _sums(squares[flat], o)
                 coded = decode_adpcm(flat.reshape(-1, BLOCK)).astype(np.int64)
                 blocks = o // BLOCK
                 d_energy, d_peak = _sums((coded * coded).sum(1), blocks), np.maximum.reduceat(np.abs(coded).max(1), blocks[:-1])
-                feature = [f"mulaw:{a}/{c}/{d}|pcm16k:{2 * w}/{e}|alaw:{f}|adpcm:{g}/{h}" for a, c, d, w, e, f, g, h in zip(*(x.tolist() for x in (energy, peak, _sums(turn, o), padded, pcm, a_energy, d_energy, d_peak)), strict=True)]
+                parts = zip(*(x.tolist() for x in (energy, peak, _sums(turn, o), pcm_energy, a_energy, d_energy, d_peak)), pcm, strict=True)
+                feature = [f"mulaw:{a}/{c}/{d}|pcm16k:{len(x) // 2}/{e}/{zlib.crc32(x)}|alaw:{f}|adpcm:{g}/{h}" for a, c, d, e, f, g, h, x in parts]
                 yield C.batches(_SUMMARY, [ids.slice(i, j - i), n, padded, [hashlib.sha256(x).hexdigest() for x in back], np.array([zlib.crc32(x[-16:]) for x in back], np.int64), np.array([len(x) for x in stored], np.int64), [hashlib.sha256(x).hexdigest() for x in stored], feature])
 
     spec = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

@@ -6,7 +6,7 @@ Over that universe its answers are exact, and no join is needed to get them. Lev
 pass it wrongly as are listed, hence all levels together grow with the rules (times the logarithm of the universe), not with the corpus.
 
 Defined results: a null url or one without ``://`` has an empty host and path and fits no rule; repeated rows are judged alike;
-an empty table gives no rows; of a block and an allow rule that are the same, block holds; other columns are ignored.
+an empty table gives no rows; of a block and an allow rule that are the same, block holds; a rule given twice counts once; a null page_id is judged like any other; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -117,8 +117,9 @@ def filter_urls(pages: DataFrame, block: list[str], allow: list[str], default: s
     lengths = sorted({len(_split_rule(r)[1]) for r in [*block, *allow]})
     host, path = url_parts(F.col(url_col))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    labels = F.split("host", "\\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # a suffix of more labels than the longest rule's host fits no rule, so hosts of any length have a bounded number of keys
+    most = max((_split_rule(r)[0].count(".") + 1 for r in [*block, *allow]), default=1)
+    suffixes = F.array_distinct(F.array(*[F.substring_index("host", ".", -i) for i in range(1, most + 1)]))
     prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda x: x.isNotNull())
     keys = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.struct(h.alias("h"), p.alias("p")))))
     keyed = rows.withColumn("keys", F.when(F.col("host") == "", F.array().cast("array<struct<h:string,p:string>>")).otherwise(keys)).withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k["h"], k["p"])))
