@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 
@@ -24,14 +23,23 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
-    gc.collect()
-    spark._jvm.System.gc()  # releases shuffle files of finished steps
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._voxelspark_table = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` made and nothing reads any more; other data frames are left alone."""
+    for df in tables:
+        if path := getattr(df, "_voxelspark_table", None):
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

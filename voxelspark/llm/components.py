@@ -10,10 +10,7 @@ from . import common as C
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Large star: every neighbour above a node points to the least of its neighbourhood. Small star: the neighbours below do, and the node itself."""
-    if large:
-        near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    else:
-        near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     least = near.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
     joined = near.join(least, "a")
     if large:
@@ -23,14 +20,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node points to one other at most, and to none that points further."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+    return ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent")).where("child > 1 OR child + parent > 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``links`` (a, b), root being the least node that it reaches. Links are of any orderable type; loops are ignored."""
-    edges = C.materialize(links.select("a", "b").where("a != b").distinct())
-    before = None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
-            break
-        before = now
-        edges = C.materialize(_star(_star(edges, large=True), large=False))
+    """(node, root) of every node of ``links`` (a, b), root being the least node that it reaches. Links are of any orderable type; loops and links with a null end are ignored.
+
+    Edges point from the greater to the less. Each round's table replaces the one before.
+    """
+    edges = C.materialize(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while not _settled(edges):
+        new = C.materialize(_star(_star(edges, large=True), large=False))
+        C.drop(edges)
+        edges = new
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

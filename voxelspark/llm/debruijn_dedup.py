@@ -85,7 +85,9 @@ def paths(cut: DataFrame) -> DataFrame:
 
 def _resolve(segments: DataFrame) -> DataFrame:
     """Least documents of the windows of each segment, by compacted paths."""
-    found = C.materialize(paths(C.materialize(passages(segments))))
+    cut = C.materialize(passages(segments))
+    found = C.materialize(paths(cut))
+    C.drop(cut)
     least = found.groupBy("words").agg(F.min("lo").alias("least"), F.count("*").alias("copies"))
     # only paths of several passages can have another least document than their own
     joined = found.join(least.where("copies > 1").drop("copies"), "words", "left")

@@ -224,6 +224,7 @@ def group_near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc
     if placed is not None:
         links = found.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(_block_links(placed, sets, percent))
         found = C.materialize(components(links))
+    C.drop(members, sets)
     named = classes.join(found, F.col("first") == F.col("node"), "left").select("key", F.coalesce("root", "first").alias("component_id"))
     own = F.when(F.col("key").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = signed.drop("bands").join(named, "key", "left").select("doc_id", "n_shingles", own.alias("component_id"))

@@ -6,11 +6,13 @@ between 1800 and 2199. The permutation depends on the key and the value alone, s
 validation is left as it is.
 
 Defined results: a null text stays null and an empty one empty, with 0 pseudonyms; texts of any length are treated whole; repeated rows are treated alike; an empty table gives no rows;
-other columns stay as they are.
+other columns stay as they are, also those with the name of the count.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,8 +54,9 @@ def _digits(s: Column) -> Column:
 
 
 def _draw(key: Column, kind: str, round_: Column, seen: Column, i: Column | None = None) -> Column:
-    """A keyed number below 2**28 from the other half; ``i`` gives one for each place."""
-    h = F.sha2(F.concat_ws("|", key, F.lit(kind), round_.cast("string"), seen.cast("string")), 256)
+    """A keyed number below 2**28 from the other half; ``i`` gives one for each place, eight from a digest."""
+    part = [] if i is None else [F.floor(i / 8).cast("string")]
+    h = F.sha2(F.concat_ws("|", key, F.lit(kind), round_.cast("string"), seen.cast("string"), *part), 256)
     at = F.lit(1) if i is None else (i % 8) * 7 + 1
     return F.conv(F.substring(h, at, F.lit(7)), 16, 10).cast("long")
 
@@ -219,7 +222,10 @@ def pseudonym(m: Column, key: Column) -> Column:
 
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "n_pseudonyms") -> DataFrame:
-    """``docs`` with the text's personal numbers, dates and addresses replaced, and their number in ``count_col``."""
+    """``docs`` with the text's personal numbers, dates and addresses replaced, and their number in ``count_col``, or, if ``docs`` has such a column, in one with a number after the name."""
+    taken = {c.lower() for c in docs.columns}
+    free = lambda name: next(n for n in itertools.chain([name], (f"{name}_{k}" for k in itertools.count(1))) if n.lower() not in taken)
+    made, count_col = free("_pseudonyms"), free(count_col)
     text, secret = F.col(text_col), F.lit(key)
     none = F.lit(0).cast("long")
 
@@ -234,5 +240,6 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", count_col: s
         return F.when(F.size(found) == 0, as_is).otherwise(C.bound(F.transform(found, lambda m: pseudonym(m, secret)), lambda new: replaced(found, new)))
 
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    out = docs.withColumn("_pseudonyms", C.bound(found, treated))
-    return out.withColumn(text_col, F.col("_pseudonyms.text")).withColumn(count_col, F.coalesce("_pseudonyms.n", none)).drop("_pseudonyms")
+    out = docs.withColumn(made, C.bound(found, treated))
+    same = [F.col(f"{made}.text").alias(text_col) if c.lower() == text_col.lower() else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*same, F.coalesce(F.col(f"{made}.n"), none).alias(count_col))

@@ -133,6 +133,7 @@ def marked(docs: DataFrame, units: Units, k: int, window: int, resolve: Callable
     anchors = C.materialize(_anchors(known, units, k, window))
     hits = _blocks_of(known, units, k, window).join(anchors, "h").withColumn("mixed", F.lit(True) if whole else F.col("mixed"))
     hits = C.materialize(hits)
+    C.drop(anchors)
     place = F.struct("doc", "t", "pos")
     contents = C.materialize(hits.groupBy("c", "d").agg(F.min(place).alias("source"), F.first("n").alias("n"), F.first("h").alias("h"), F.max("mixed").alias("mixed")))
     wanted = contents.where("mixed").select(F.col("source.doc").alias("doc"), F.col("source.t").alias("t"), F.struct("source.pos", "n", "h", "c", "d").alias("cut"))
