@@ -62,11 +62,16 @@ def depth_maps(maps: DataFrame, depth: int, keys: tuple[str, ...] = ()) -> DataF
     return out.withColumn("trans", F.product(1 - F.col("refl") * F.col("boundary")).over(w))
 
 
-def gaussian_kernel(size: int = 3, std: tuple[float, float] = (0.5, 1.5)) -> dict[tuple[int, int], float]:
-    """A (2 size + 1)-square outer product of two normal densities, normalised."""
+def gaussian_weights(size: int = 3, std: tuple[float, float] = (0.5, 1.5)) -> list[dict[int, float]]:
+    """Weights along both axes by two normal densities, normalised."""
     one = [[math.exp(-0.5 * (i / s) ** 2) for i in range(-size, size + 1)] for s in std]
-    total = sum(one[0]) * sum(one[1])
-    return {(i - size, j - size): a * b / total for i, a in enumerate(one[0]) for j, b in enumerate(one[1])}
+    return [{i - size: w / sum(x) for i, w in enumerate(x)} for x in one]
+
+
+def gaussian_kernel(size: int = 3, std: tuple[float, float] = (0.5, 1.5)) -> dict[tuple[int, int], float]:
+    """The (2 size + 1)-square outer product of ``gaussian_weights``."""
+    a, b = gaussian_weights(size, std)
+    return {(i, j): v * w for i, v in a.items() for j, w in b.items()}
 
 
 def noise(seed: int, *place: Column) -> Column:
@@ -75,15 +80,15 @@ def noise(seed: int, *place: Column) -> Column:
     return F.lit(math.sqrt(3)) * (2 * u - 1)
 
 
-def scatter(maps: DataFrame, seed: int) -> DataFrame:
-    place = (F.col("r"), F.col("c"))
+def scatter(maps: DataFrame, seed: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``scat``, from two draws for every cell of every slice."""
+    place = tuple(F.col(c) for c in (*keys, "r", "c"))
     return maps.withColumn("scat", sigmoid(F.lit(SCATTER_SLOPE) * (F.col("mu1") - noise(seed, *place))) * (noise(seed + 1, *place) * F.col("sigma0") + F.col("mu0")))
 
 
 def intensity(maps: DataFrame, shape: dict[str, int], keys: tuple[str, ...] = ()) -> DataFrame:
     """``keys``, r, c, intensity in [0, 1] of each slice: backscatter and specular echo, both blurred by the kernel."""
-    kernel = gaussian_kernel()
-    blurred = [stencil.convolve(maps.select(*keys, "r", "c", F.col(name).alias("v")), kernel, shape).withColumnRenamed("v", f"{name}_g") for name in ("scat", "boundary")]
-    out = maps.join(blurred[0], [*keys, "r", "c"]).join(blurred[1], [*keys, "r", "c"])
+    blurred = stencil.convolve_separable(maps.select(*keys, "r", "c", F.col("scat").alias("scat_g"), F.col("boundary").alias("boundary_g")), gaussian_weights(), shape, ("scat_g", "boundary_g"))
+    out = maps.join(blurred, [*keys, "r", "c"])
     echo = F.col("att_tgc") * F.col("scat_g") + F.col("att_tgc") * F.col("trans") * F.col("refl") * F.col("boundary_g")
     return out.select(*keys, "r", "c", clamp(echo, 0.0, 1.0).alias("intensity"))

@@ -55,6 +55,31 @@ def polar_warp(raster: DataFrame, w: int, h: int, label_interp: str = "bilinear"
     return all_pixels.join(found, [*keys, "i", "j"], "left").select(*keys, "i", "j", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
+def resize_bilinear(raster: DataFrame, shape: dict[str, int], size: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys``, the two axes of ``shape`` and v, resized to a square, bilinearly at half-pixel centres without antialiasing; rows, then columns. Both axes must be dense."""
+    for axis, n in shape.items():
+        place = F.greatest((F.col("o") + 0.5) * (n / size) - 0.5, F.lit(0.0))
+        low = F.floor(place)
+        taps = F.array(F.struct(low.alias("p"), (1 - (place - low)).alias("w")), F.struct(F.least(low + 1, F.lit(n - 1)).alias("p"), (place - low).alias("w")))
+        table = raster.sparkSession.range(size).select(F.col("id").cast("int").alias("o")).select("o", F.explode(taps).alias("t")).select("o", F.col("t.p").cast("int").alias(axis), F.col("t.w").alias("w"))
+        others = [*keys, *(a for a in shape if a != axis)]
+        raster = raster.join(F.broadcast(table), axis).groupBy(*others, "o").agg(F.sum(F.col("v") * F.col("w")).alias("v")).withColumnRenamed("o", axis)  # 2 * size rows
+    return raster.select(*keys, *shape, "v")
+
+
+def sector_picture(raster: DataFrame, shape: dict[str, int], keys: tuple[str, ...] = (), size: int = 256) -> DataFrame:
+    """The ``size`` x ``size`` pictures of rasters (ray r, depth c): warped to the sector, turned and resized."""
+    w, h = shape.values()
+    turned = rotate_warped(polar_warp(raster, w, h, keys=keys).select(*keys, F.col("i").alias("r"), F.col("j").alias("c"), "v"), 360, keys)
+    return resize_bilinear(turned, {"r": 220, "c": 360}, size, keys)
+
+
+def jittered(points: DataFrame, seed: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Points moved by a draw in [0, 1) along each axis, as doubles; the draw depends on seed, axis, keys and place."""
+    draw = lambda axis: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(axis), *[F.col(c).cast("string") for c in (*keys, "x", "y", "z")])), 1, 12), 16, 10).cast("double") / F.lit(float(2**48))
+    return points.select(*[(F.col(c) + draw(c)).alias(c) if c in ("x", "y", "z") else F.col(c) for c in points.columns])
+
+
 def normalize_points(points: DataFrame, shape: dict[str, int]) -> DataFrame:
     keep = [c for c in points.columns if c not in shape]
     return points.select(*keep, *[(F.col(a) / F.lit(float(n)) - 0.5).alias(a) for a, n in shape.items()])

@@ -79,3 +79,14 @@ def convolve(raster: DataFrame, weights: dict[tuple[int, int], float], shape: di
     taps = F.array(*[F.struct(F.lit(-i).alias("i"), F.lit(-j).alias("j"), F.lit(float(w)).alias("w")) for (i, j), w in weights.items()])
     spread = raster.withColumn("_t", F.explode(taps)).select(*keys, (F.col(a) + F.col("_t.i")).alias(a), (F.col(b) + F.col("_t.j")).alias(b), (F.col(value) * F.col("_t.w")).alias("_p"))
     return _inside(spread, shape).groupBy(*keys, a, b).agg(F.sum("_p").alias(value))
+
+
+def convolve_separable(raster: DataFrame, weights: list[dict[int, float]], shape: dict[str, int], values: tuple[str, ...] = ("v",)) -> DataFrame:
+    """``convolve`` by a product of weights along the two axes, for several values at once: 2 n rows a cell in place of n * n."""
+    keys = [c for c in raster.columns if c not in (*shape, *values)]
+    for axis, line in zip(shape, weights, strict=True):
+        taps = F.array(*[F.struct(F.lit(-i).alias("i"), F.lit(float(w)).alias("w")) for i, w in line.items()])
+        others = [c for c in shape if c != axis]
+        spread = raster.withColumn("_t", F.explode(taps)).select(*keys, *others, (F.col(axis) + F.col("_t.i")).alias(axis), *[(F.col(v) * F.col("_t.w")).alias(v) for v in values])
+        raster = _inside(spread, {axis: shape[axis]}).groupBy(*keys, *shape).agg(*[F.sum(v).alias(v) for v in values])
+    return raster

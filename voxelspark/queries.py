@@ -32,14 +32,8 @@ def query(name: str, sql: str | None = None):
 
 
 def planes_query(name: str, sql: str):
-    """A query of rasters (plane, r, c, v): ``name`` gives the first plane, which is what its SQL is about, and ``name``_planes all of them, with their number."""
-
-    def keep(f):
-        query(name, sql)(lambda s, d: f(raster(s, d).where("plane = 0")).drop("plane"))
-        query(f"{name}_planes")(lambda s, d: f(raster(s, d)))
-        return f
-
-    return keep
+    """A query of rasters (plane, r, c, v), over all planes."""
+    return lambda f: query(name, sql)(lambda s, d: f(raster(s, d))) and f
 
 
 # ---------------------------------------------------------------- oracle pieces
@@ -51,7 +45,8 @@ VOL = """vol AS (
          CAST(sum(CAST(l_quantity AS INT) * 20) % 1000 - 500 AS INT) AS hu
   FROM lineitem GROUP BY l_partkey % 32, l_orderkey % 32, l_suppkey % 16)"""
 RUNS = "runs(lo, hi, label) AS (VALUES " + ", ".join(map(str, CLASS_RUNS)) + "), lmap AS (SELECT CAST(cls AS INT) AS cls, CAST(label AS INT) AS label FROM runs, range(118) g(cls) WHERE cls BETWEEN lo AND hi)"
-RAS = "ras AS (SELECT CAST(vec_id AS INT) AS r, CAST(i - 1 AS INT) AS c, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) g(i) WHERE vec_id < 64)"
+RAS = "ras AS MATERIALIZED (SELECT CAST(vec_id // 64 AS INT) AS plane, CAST(vec_id % 64 AS INT) AS r, CAST(i - 1 AS INT) AS c, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) g(i))"
+WHOLE = "whole AS MATERIALIZED (SELECT plane, CAST(r AS INT) AS r, CAST(c AS INT) AS c FROM (SELECT DISTINCT plane FROM ras), range(64) a(r), range(64) b(c))"
 TIS = "tissue(label, name, imp, alpha, mu0, mu1, sigma0) AS (VALUES " + ", ".join(f"({a}, '{b}', {', '.join(f'CAST({x!r} AS DOUBLE)' for x in rest)})" for a, b, *rest in TISSUES) + ")"
 
 
@@ -122,11 +117,11 @@ query("pool_opening", f"WITH {VOL}, {MASK}, {GRID}, {POOL_ERODE('g', 'm')}, {nea
 
 
 def plane_near(name: str, source: str, element: list[tuple]) -> str:
-    return f"{name}_o(i, j) AS (VALUES {', '.join(map(str, element))}), {name} AS (SELECT DISTINCT CAST(r + i AS INT) AS r, CAST(c + j AS INT) AS c FROM {source}, {name}_o WHERE r + i BETWEEN 0 AND 63 AND c + j BETWEEN 0 AND 63)"
+    return f"{name}_o(i, j) AS (VALUES {', '.join(map(str, element))}), {name} AS (SELECT DISTINCT plane, CAST(r + i AS INT) AS r, CAST(c + j AS INT) AS c FROM {source}, {name}_o WHERE r + i BETWEEN 0 AND 63 AND c + j BETWEEN 0 AND 63)"
 
 
 def plane_all_near(name: str, source: str, element: list[tuple]) -> str:
-    return f"{name}_o(i, j) AS (VALUES {', '.join(map(str, element))}), {name} AS (SELECT CAST(r - i AS INT) AS r, CAST(c - j AS INT) AS c FROM {source}, {name}_o WHERE r - i BETWEEN 0 AND 63 AND c - j BETWEEN 0 AND 63 GROUP BY ALL HAVING count(*) = {len(element)})"
+    return f"{name}_o(i, j) AS (VALUES {', '.join(map(str, element))}), {name} AS (SELECT plane, CAST(r - i AS INT) AS r, CAST(c - j AS INT) AS c FROM {source}, {name}_o WHERE r - i BETWEEN 0 AND 63 AND c - j BETWEEN 0 AND 63 GROUP BY ALL HAVING count(*) = {len(element)})"
 
 
 def plane_mask(ras: DataFrame, over: float = 0.06) -> DataFrame:
@@ -134,7 +129,7 @@ def plane_mask(ras: DataFrame, over: float = 0.06) -> DataFrame:
 
 
 DISC = stencil.disc(2)
-PM = f"WITH RECURSIVE {RAS}, m AS (SELECT r, c FROM ras WHERE v > CAST(0.06 AS DOUBLE))"
+PM = f"WITH RECURSIVE {RAS}, m AS (SELECT plane, r, c FROM ras WHERE v > CAST(0.06 AS DOUBLE))"
 planes_query("disc_dilate", f"{PM}, {plane_near('o', 'm', DISC)} FROM o")(lambda ras: stencil.dilate(plane_mask(ras), DISC, PLANE))
 planes_query("disc_erode", f"{PM}, {plane_all_near('o', 'm', stencil.disc(1))} FROM o")(lambda ras: stencil.erode(plane_mask(ras), stencil.disc(1), PLANE))
 planes_query("disc_closing", f"{PM}, {plane_near('g', 'm', DISC)}, {plane_all_near('o', 'g', DISC)} FROM o")(lambda ras: stencil.closing(plane_mask(ras), DISC, PLANE))
@@ -143,7 +138,7 @@ KSQL = "k(i, j, w) AS (VALUES " + ", ".join(f"({i}, {j}, CAST({w!r} AS DOUBLE))"
 query("gauss_kernel", "WITH g AS (SELECT i, j, exp(-0.5 * power(i / CAST(0.5 AS DOUBLE), 2)) * exp(-0.5 * power(j / CAST(1.5 AS DOUBLE), 2)) AS w FROM range(-3, 4) a(i), range(-3, 4) b(j)) SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(w / sum(w) OVER (), 9) AS w FROM g")(
     lambda s, d: s.createDataFrame([(i, j, w) for (i, j), w in KERNEL.items()], "i int, j int, w double").select("i", "j", F.round("w", 9).alias("w"))
 )
-planes_query("gauss_conv", f"WITH {RAS}, {KSQL} SELECT CAST(r - i AS INT) AS r, CAST(c - j AS INT) AS c, round(sum(v * w), 6) AS v FROM ras, k WHERE r - i BETWEEN 0 AND 63 AND c - j BETWEEN 0 AND 63 GROUP BY ALL")(
+planes_query("gauss_conv", f"WITH {RAS}, {KSQL} SELECT plane, CAST(r - i AS INT) AS r, CAST(c - j AS INT) AS c, round(sum(v * w), 6) AS v FROM ras, k WHERE r - i BETWEEN 0 AND 63 AND c - j BETWEEN 0 AND 63 GROUP BY ALL")(
     lambda ras: stencil.convolve(ras, KERNEL, PLANE).select("plane", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.round("v", 6).alias("v"))
 )
 
@@ -161,14 +156,15 @@ def counted(ras: DataFrame) -> DataFrame:
 
 
 def closure(mask: str) -> str:
-    return f"walk AS (SELECT r, c, r * 64 + c AS comp FROM {mask} UNION SELECT n.r, n.c, comp FROM walk w JOIN {mask} n ON abs(n.r - w.r) + abs(n.c - w.c) = 1), comps AS (SELECT r, c, CAST(min(comp) AS BIGINT) AS comp FROM walk GROUP BY r, c)"
+    return f"step(i, j) AS (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)), walk AS (SELECT plane, r, c, r * 64 + c AS comp FROM {mask} UNION SELECT n.plane, n.r, n.c, comp FROM (SELECT plane, r + i AS r, c + j AS c, comp FROM walk, step) w JOIN {mask} n USING (plane, r, c)), comps AS (SELECT plane, r, c, CAST(min(comp) AS BIGINT) AS comp FROM walk GROUP BY plane, r, c)"
 
 
-planes_query("components", f"{PM}, {closure('m')} SELECT r, c, comp FROM comps")(lambda ras: labelled(ras).select("plane", "r", "c", "comp"))
-planes_query("component_sizes", f"{PM}, {closure('m')} SELECT comp, count(*) AS n FROM comps GROUP BY comp")(lambda ras: components.sizes(labelled(ras), "plane").select("plane", "comp", "n"))
-planes_query("component_count", f"{PM}, {closure('m')} SELECT count(DISTINCT comp) AS n FROM comps")(counted)
-planes_query("blob_filter", f"{PM}, {closure('m')} SELECT r, c, comp FROM (SELECT *, count(*) OVER (PARTITION BY comp) AS n FROM comps) WHERE n > 10 AND n <= 30")(lambda ras: components.blob_filter(labelled(ras), "plane", *BLOB_SIZE).select("plane", "r", "c", "comp"))
-planes_query("fill_holes", f"WITH RECURSIVE {RAS}, m AS (SELECT r, c FROM ras WHERE v > 0), b AS (SELECT r, c FROM ras WHERE v <= 0), outside AS (SELECT r, c FROM b WHERE r IN (0, 63) OR c IN (0, 63) UNION SELECT n.r, n.c FROM outside w JOIN b n ON abs(n.r - w.r) + abs(n.c - w.c) = 1) SELECT r, c FROM ras EXCEPT SELECT r, c FROM outside")(
+planes_query("components", f"{PM}, {closure('m')} SELECT plane, r, c, comp FROM comps")(lambda ras: labelled(ras).select("plane", "r", "c", "comp"))
+planes_query("component_sizes", f"{PM}, {closure('m')} SELECT plane, comp, count(*) AS n FROM comps GROUP BY plane, comp")(lambda ras: components.sizes(labelled(ras), "plane").select("plane", "comp", "n"))
+planes_query("component_count", f"{PM}, {closure('m')} SELECT plane, count(DISTINCT comp) AS n FROM (SELECT DISTINCT plane FROM ras) LEFT JOIN comps USING (plane) GROUP BY plane")(counted)
+planes_query("blob_filter", f"{PM}, {closure('m')} SELECT plane, r, c, comp FROM (SELECT *, count(*) OVER (PARTITION BY plane, comp) AS n FROM comps) WHERE n > 10 AND n <= 30")(lambda ras: components.blob_filter(labelled(ras), "plane", *BLOB_SIZE).select("plane", "r", "c", "comp"))
+OUTSIDE = "step(i, j) AS (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)), outside AS (SELECT plane, r, c FROM b WHERE r IN (0, 63) OR c IN (0, 63) UNION SELECT n.plane, n.r, n.c FROM (SELECT plane, r + i AS r, c + j AS c FROM outside, step) w JOIN b n USING (plane, r, c))"
+planes_query("fill_holes", f"WITH RECURSIVE {RAS}, {WHOLE}, m AS (SELECT plane, r, c FROM ras WHERE v > 0), b AS MATERIALIZED (FROM whole EXCEPT FROM m), {OUTSIDE} FROM whole EXCEPT FROM outside")(
     lambda ras: components.fill_holes(plane_mask(ras, 0.0), PLANE, "plane").select("plane", "r", "c")
 )
 
@@ -178,14 +174,14 @@ def cleaned(ras: DataFrame) -> DataFrame:
     return components.fill_holes(stencil.dilate(closed, stencil.ball(2, 2), PLANE), PLANE, "plane")
 
 
-planes_query("mask_cleanup", f"{PM}, {plane_near('g', 'm', stencil.ball(3, 2))}, {plane_all_near('q', 'g', stencil.ball(3, 2))}, {plane_near('o', 'q', stencil.ball(2, 2))}, b AS (SELECT r, c FROM ras EXCEPT SELECT r, c FROM o), outside AS (SELECT r, c FROM b WHERE r IN (0, 63) OR c IN (0, 63) UNION SELECT n.r, n.c FROM outside w JOIN b n ON abs(n.r - w.r) + abs(n.c - w.c) = 1) SELECT r, c FROM ras EXCEPT SELECT r, c FROM outside")(cleaned)
+planes_query("mask_cleanup", f"{PM}, {WHOLE}, {plane_near('g', 'm', stencil.ball(3, 2))}, {plane_all_near('q', 'g', stencil.ball(3, 2))}, {plane_near('o', 'q', stencil.ball(2, 2))}, b AS MATERIALIZED (FROM whole EXCEPT FROM o), {OUTSIDE} FROM whole EXCEPT FROM outside")(cleaned)
 
 # ---------------------------------------------------------------- acoustics
 
-LABELLED_RASTER = f"{RAS}, {RUNS}, {TIS}, lr AS (SELECT r, c, CAST(CASE WHEN label = 0 THEN 9 ELSE label END AS INT) AS label FROM ras JOIN lmap ON cls = (r * 64 + c) % 118)"
-MAPS = f"{LABELLED_RASTER}, maps AS (SELECT r, c, label, imp, alpha, mu0, mu1, sigma0 FROM lr JOIN tissue USING (label))"
-FACES = f"{MAPS}, f1 AS (SELECT *, coalesce(imp - lead(imp) OVER w, 0) AS d, imp + coalesce(lag(imp) OVER w, 0) AS s FROM maps WINDOW w AS (PARTITION BY r ORDER BY c)), faces AS (SELECT *, 1 - exp(-d * d / CAST(0.1 AS DOUBLE)) AS boundary, 1 / (1 + exp(-power(d / CASE WHEN s = 0 THEN 1 ELSE s END, 2))) AS refl FROM f1)"
-DEEP = f"{FACES}, d1 AS (SELECT *, product(exp(-alpha * (4.0::DOUBLE / 63))) OVER w AS att, product(1 - refl * boundary) OVER w AS trans FROM faces WINDOW w AS (PARTITION BY r ORDER BY c ROWS UNBOUNDED PRECEDING)), deep AS (SELECT *, att * (1 + 7.0::DOUBLE * c / 63) AS att_tgc FROM d1)"
+LABELLED_RASTER = f"{RAS}, {RUNS}, {TIS}, lr AS (SELECT plane, r, c, CAST(CASE WHEN label = 0 THEN 9 ELSE label END AS INT) AS label FROM ras JOIN lmap ON cls = ((plane * 64 + r) * 64 + c) % 118)"
+MAPS = f"{LABELLED_RASTER}, maps AS (SELECT plane, r, c, label, imp, alpha, mu0, mu1, sigma0 FROM lr JOIN tissue USING (label))"
+FACES = f"{MAPS}, f1 AS (SELECT *, coalesce(imp - lead(imp) OVER w, 0) AS d, imp + coalesce(lag(imp) OVER w, 0) AS s FROM maps WINDOW w AS (PARTITION BY plane, r ORDER BY c)), faces AS (SELECT *, 1 - exp(-d * d / CAST(0.1 AS DOUBLE)) AS boundary, 1 / (1 + exp(-power(d / CASE WHEN s = 0 THEN 1 ELSE s END, 2))) AS refl FROM f1)"
+DEEP = f"{FACES}, d1 AS (SELECT *, product(exp(-alpha * (4.0::DOUBLE / 63))) OVER w AS att, product(1 - refl * boundary) OVER w AS trans FROM faces WINDOW w AS (PARTITION BY plane, r ORDER BY c ROWS UNBOUNDED PRECEDING)), deep AS (SELECT *, att * (1 + 7.0::DOUBLE * c / 63) AS att_tgc FROM d1)"
 
 
 def slice_labels(ras: DataFrame) -> DataFrame:
@@ -211,47 +207,57 @@ def _rounded(*names: str):
 
 
 planes_query("acoustic_maps", f"WITH {MAPS} FROM maps")(maps)
-planes_query("clamp_maps", f"WITH {MAPS} SELECT r, c, greatest(0, least(10, imp * 3 - 2)) AS imp, greatest(0, least(1, mu0 * 3 - 1)) AS mu0 FROM maps")(
+planes_query("clamp_maps", f"WITH {MAPS} SELECT plane, r, c, greatest(0, least(10, imp * 3 - 2)) AS imp, greatest(0, least(1, mu0 * 3 - 1)) AS mu0 FROM maps")(
     lambda ras: acoustics.clamp_maps(maps(ras).withColumn("imp", F.col("imp") * 3 - 2).withColumn("mu0", F.col("mu0") * 3 - 1)).select("plane", "r", "c", "imp", "mu0")
 )
-planes_query("impedance_diff", f"WITH {FACES} SELECT r, c, round(d, 6) AS d FROM faces")(lambda ras: faces(ras).select("plane", "r", "c", *_rounded("d")))
-planes_query("boundary_map", f"WITH {FACES} SELECT r, c, round(boundary, 6) AS boundary FROM faces")(lambda ras: faces(ras).select("plane", "r", "c", *_rounded("boundary")))
-planes_query("reflection_map", f"WITH {FACES} SELECT r, c, round(refl, 6) AS refl FROM faces")(lambda ras: faces(ras).select("plane", "r", "c", *_rounded("refl")))
-planes_query("attenuation", f"WITH {DEEP} SELECT r, c, round(att, 6) AS att FROM deep")(lambda ras: deep(ras).select("plane", "r", "c", *_rounded("att")))
-planes_query("attenuation_tgc", f"WITH {DEEP} SELECT r, c, round(att_tgc, 6) AS att_tgc FROM deep")(lambda ras: deep(ras).select("plane", "r", "c", *_rounded("att_tgc")))
-planes_query("transmission", f"WITH {DEEP} SELECT r, c, round(trans, 6) AS trans, round(ln(trans + CAST(1.1920929e-7 AS DOUBLE)), 3) AS log_trans FROM deep")(
+planes_query("impedance_diff", f"WITH {FACES} SELECT plane, r, c, round(d, 6) AS d FROM faces")(lambda ras: faces(ras).select("plane", "r", "c", *_rounded("d")))
+planes_query("boundary_map", f"WITH {FACES} SELECT plane, r, c, round(boundary, 6) AS boundary FROM faces")(lambda ras: faces(ras).select("plane", "r", "c", *_rounded("boundary")))
+planes_query("reflection_map", f"WITH {FACES} SELECT plane, r, c, round(refl, 6) AS refl FROM faces")(lambda ras: faces(ras).select("plane", "r", "c", *_rounded("refl")))
+planes_query("attenuation", f"WITH {DEEP} SELECT plane, r, c, round(att, 6) AS att FROM deep")(lambda ras: deep(ras).select("plane", "r", "c", *_rounded("att")))
+planes_query("attenuation_tgc", f"WITH {DEEP} SELECT plane, r, c, round(att_tgc, 6) AS att_tgc FROM deep")(lambda ras: deep(ras).select("plane", "r", "c", *_rounded("att_tgc")))
+planes_query("transmission", f"WITH {DEEP} SELECT plane, r, c, round(trans, 6) AS trans, round(ln(trans + CAST(1.1920929e-7 AS DOUBLE)), 3) AS log_trans FROM deep")(
     lambda ras: deep(ras).select("plane", "r", "c", *_rounded("trans"), F.round(F.log(F.col("trans") + F.lit(1.1920929e-7)), 3).alias("log_trans"))
 )
-NOISE = lambda seed: f"(sqrt(3) * (2 * (CAST(('0x' || substr(md5('{seed}:' || r || ':' || c), 1, 12)) AS BIGINT) / CAST({2**48} AS DOUBLE)) - 1))"
-SCAT = f"{DEEP}, scat AS (SELECT *, 1 / (1 + exp(-10 * (mu1 - {NOISE(5)}))) * ({NOISE(6)} * sigma0 + mu0) AS scat FROM deep)"
-planes_query("scatter_det", f"WITH {SCAT} SELECT r, c, round(scat, 6) AS scat FROM scat")(lambda ras: acoustics.scatter(maps(ras), 5).select("plane", "r", "c", *_rounded("scat")))
-BLUR = lambda n: f"{n}_g AS (SELECT r - i AS r, c - j AS c, sum({n} * w) AS {n}_g FROM scat, k WHERE r - i BETWEEN 0 AND 63 AND c - j BETWEEN 0 AND 63 GROUP BY ALL)"
-US = f"{SCAT}, {KSQL}, {BLUR('scat')}, {BLUR('boundary')}, us AS (SELECT CAST(r AS INT) AS r, CAST(c AS INT) AS c, greatest(0, least(1, att_tgc * scat_g + att_tgc * trans * refl * boundary_g)) AS v FROM scat JOIN scat_g USING (r, c) JOIN boundary_g USING (r, c))"
+NOISE = lambda seed: f"(sqrt(3) * (2 * (CAST(('0x' || substr(md5('{seed}:' || plane || ':' || r || ':' || c), 1, 12)) AS BIGINT) / CAST({2**48} AS DOUBLE)) - 1))"
+SCAT = f"{DEEP}, scat AS MATERIALIZED (SELECT *, 1 / (1 + exp(-10 * (mu1 - {NOISE(5)}))) * ({NOISE(6)} * sigma0 + mu0) AS scat FROM deep)"
+planes_query("scatter_det", f"WITH {SCAT} SELECT plane, r, c, round(scat, 6) AS scat FROM scat")(lambda ras: acoustics.scatter(maps(ras), 5, ("plane",)).select("plane", "r", "c", *_rounded("scat")))
+BLUR = lambda n: f"{n}_g AS MATERIALIZED (SELECT plane, r - i AS r, c - j AS c, sum({n} * w) AS {n}_g FROM scat, k WHERE r - i BETWEEN 0 AND 63 AND c - j BETWEEN 0 AND 63 GROUP BY ALL)"
+US = f"{SCAT}, {KSQL}, {BLUR('scat')}, {BLUR('boundary')}, us AS MATERIALIZED (SELECT plane, CAST(r AS INT) AS r, CAST(c AS INT) AS c, greatest(0, least(1, att_tgc * scat_g + att_tgc * trans * refl * boundary_g)) AS v FROM scat JOIN scat_g USING (plane, r, c) JOIN boundary_g USING (plane, r, c))"
 
 
 def us_slice(ras: DataFrame) -> DataFrame:
-    return acoustics.intensity(acoustics.scatter(deep(ras), 5), PLANE, ("plane",))
+    return acoustics.intensity(acoustics.scatter(deep(ras), 5, ("plane",)), PLANE, ("plane",))
 
 
-planes_query("us_intensity", f"WITH {US} SELECT r, c, round(v, 4) AS intensity FROM us")(lambda ras: us_slice(ras).select("plane", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.round("intensity", 4).alias("intensity")))
+planes_query("us_intensity", f"WITH {US} SELECT plane, r, c, round(v, 4) AS intensity FROM us")(lambda ras: us_slice(ras).select("plane", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.round("intensity", 4).alias("intensity")))
 
 # ---------------------------------------------------------------- geometry
 
 
-def warp_sql(source: str) -> str:
+def warp_sql(source: str, w: int = 64, h: int = 64, keys: str = "plane") -> str:
+    """``warped`` (``keys``, i, j, v): the sector pictures of the planes in ``source``, by integer places of taps."""
     return f"""pix AS (SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, atan2(CAST(i - 180 AS DOUBLE), CAST(j + 120 AS DOUBLE)) AS angle, sqrt(CAST((i - 180) * (i - 180) + (j + 120) * (j + 120) AS DOUBLE)) AS radius FROM range(360) a(i), range(220) b(j)),
-    uv AS (SELECT i, j, (angle + pi() / 6) / (pi() / 3) * 64 AS u, (radius - 140) / CAST(200 AS DOUBLE) * 64 AS v FROM pix WHERE abs(angle) < pi() / 6 AND radius > 140 AND radius < 340),
-    taps AS (SELECT i, j, floor(u) + a AS r, floor(v) + b AS c, (CASE a WHEN 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) * (CASE b WHEN 1 THEN v - floor(v) ELSE 1 - (v - floor(v)) END) AS w FROM uv, range(2) p(a), range(2) q(b)),
-    hit AS (SELECT t.i, t.j, sum(s.v * t.w) AS v FROM taps t JOIN {source} s ON s.r = t.r AND s.c = t.c GROUP BY ALL), warped AS (SELECT pix.i, pix.j, coalesce(hit.v, 0) AS v FROM pix LEFT JOIN hit USING (i, j))"""
+    uv AS (SELECT i, j, (angle + pi() / 6) / (pi() / 3) * {w} AS u, (radius - 140) / CAST(200 AS DOUBLE) * {h} AS v FROM pix WHERE abs(angle) < pi() / 6 AND radius > 140 AND radius < 340),
+    taps AS MATERIALIZED (SELECT i, j, CAST(floor(u) AS INT) + CAST(a AS INT) AS r, CAST(floor(v) AS INT) + CAST(b AS INT) AS c, (CASE a WHEN 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) * (CASE b WHEN 1 THEN v - floor(v) ELSE 1 - (v - floor(v)) END) AS w FROM uv, range(2) p(a), range(2) q(b)),
+    hit AS MATERIALIZED (SELECT {keys}, t.i, t.j, sum(s.v * t.w) AS v FROM taps t JOIN {source} s ON s.r = t.r AND s.c = t.c GROUP BY ALL), warped AS MATERIALIZED (SELECT {keys}, i, j, coalesce(hit.v, 0) AS v FROM (SELECT DISTINCT {keys} FROM {source}) CROSS JOIN pix LEFT JOIN hit USING ({keys}, i, j))"""
+
+
+def picture_sql(keys: str = "plane") -> str:
+    """``picture`` (``keys``, r, c, v): ``warped`` turned and resized to 256 x 256, bilinearly at half-pixel centres, row and column weights apart."""
+    axis = lambda name, n: f"""{name} AS MATERIALIZED (SELECT CAST(o AS INT) AS o, CAST(least(floor(greatest((o + 0.5::DOUBLE) * ({n}::DOUBLE / 256) - 0.5::DOUBLE, 0)) + t, {n - 1}) AS INT) AS p,
+      CASE t WHEN 1 THEN greatest((o + 0.5::DOUBLE) * ({n}::DOUBLE / 256) - 0.5::DOUBLE, 0) - floor(greatest((o + 0.5::DOUBLE) * ({n}::DOUBLE / 256) - 0.5::DOUBLE, 0)) ELSE 1 - (greatest((o + 0.5::DOUBLE) * ({n}::DOUBLE / 256) - 0.5::DOUBLE, 0) - floor(greatest((o + 0.5::DOUBLE) * ({n}::DOUBLE / 256) - 0.5::DOUBLE, 0))) END AS w FROM range(256) g(o), range(2) h(t))"""
+    return f"""turned AS (SELECT {keys}, j AS r, CAST(359 - i AS INT) AS c, v FROM warped), {axis('rows_', 220)}, {axis('cols_', 360)},
+    tall AS MATERIALIZED (SELECT {keys}, o AS r, c, sum(v * w) AS v FROM turned JOIN rows_ ON r = p GROUP BY ALL),
+    picture AS (SELECT {keys}, r, o AS c, sum(v * w) AS v FROM tall JOIN cols_ ON c = p GROUP BY ALL)"""
 
 
-planes_query("polar_warp", f"WITH {RAS}, {warp_sql('ras')} SELECT i, j, round(v, 6) AS v FROM warped")(lambda ras: geometry.polar_warp(ras, 64, 64, keys=("plane",)).select("plane", "i", "j", *_rounded("v")))
-planes_query("us_render", f"WITH {US}, {warp_sql('us')} SELECT j AS r, CAST(359 - i AS INT) AS c, round(v, 4) AS v FROM warped")(
-    lambda ras: geometry.rotate_warped(geometry.polar_warp(us_slice(ras).withColumnRenamed("intensity", "v"), 64, 64, keys=("plane",)).toDF("plane", "r", "c", "v"), 360, ("plane",)).select("plane", "r", "c", F.round("v", 4).alias("v"))
+planes_query("polar_warp", f"WITH {RAS}, {warp_sql('ras')} SELECT plane, i, j, round(v, 6) AS v FROM warped")(lambda ras: geometry.polar_warp(ras, 64, 64, keys=("plane",)).select("plane", "i", "j", *_rounded("v")))
+planes_query("us_render", f"WITH {US}, {warp_sql('us')}, {picture_sql()} SELECT plane, r, c, round(v, 4) AS v FROM picture")(
+    lambda ras: geometry.sector_picture(us_slice(ras).withColumnRenamed("intensity", "v"), PLANE, ("plane",)).select("plane", "r", "c", F.round("v", 4).alias("v"))
 )
-planes_query("warp_rotate", f"WITH {RAS} SELECT c AS r, CAST(63 - r AS INT) AS c, v FROM ras")(lambda ras: geometry.rotate_warped(ras, 64, ("plane",)))
-planes_query("resize_nearest", f"WITH {RAS} SELECT CAST(i AS INT) AS r, CAST(j AS INT) AS c, v FROM range(380) a(i), range(380) b(j), ras WHERE ras.r = i * 64 // 380 AND ras.c = j * 64 // 380")(lambda ras: geometry.resize_nearest(ras, PLANE, 380))
-planes_query("center_crop", f"WITH {RAS} SELECT CAST(i - 62 AS INT) AS r, CAST(j - 62 AS INT) AS c, v FROM range(62, 318) a(i), range(62, 318) b(j), ras WHERE ras.r = i * 64 // 380 AND ras.c = j * 64 // 380")(lambda ras: geometry.crop_center(geometry.resize_nearest(ras, PLANE, 380), 380, 256))
+planes_query("warp_rotate", f"WITH {RAS} SELECT plane, c AS r, CAST(63 - r AS INT) AS c, v FROM ras")(lambda ras: geometry.rotate_warped(ras, 64, ("plane",)))
+planes_query("resize_nearest", f"WITH {RAS} SELECT plane, CAST(i AS INT) AS r, CAST(j AS INT) AS c, v FROM range(380) a(i), range(380) b(j), ras WHERE ras.r = i * 64 // 380 AND ras.c = j * 64 // 380")(lambda ras: geometry.resize_nearest(ras, PLANE, 380))
+planes_query("center_crop", f"WITH {RAS} SELECT plane, CAST(i - 62 AS INT) AS r, CAST(j - 62 AS INT) AS c, v FROM range(62, 318) a(i), range(62, 318) b(j), ras WHERE ras.r = i * 64 // 380 AND ras.c = j * 64 // 380")(lambda ras: geometry.crop_center(geometry.resize_nearest(ras, PLANE, 380), 380, 256))
 SAMPLE = f"{ASSEMBLED}, q AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('11:' || x || ':' || y || ':' || z), x, y, z) AS n FROM lab), pts AS (SELECT x, y, z, label FROM q WHERE label <> 9 AND n <= 300)"
 
 
@@ -318,7 +324,7 @@ def cloud_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("nifti_round_trip", f"WITH {VOL}, {GRID} SELECT x, y, z, coalesce(hu, 0) AS hu FROM grid LEFT JOIN vol USING (x, y, z)")(nifti_round_trip)
-planes_query("picture_round_trip", "SELECT 'slice__0.png' AS name, CAST(vec_id AS INT) AS r, CAST(c AS INT) AS c, CAST((vec_id * 31 + c * 7) % 256 AS INT) AS v FROM embeddings, range(64) g(c) WHERE vec_id < 64")(picture_round_trip)
+planes_query("picture_round_trip", f"WITH {RAS}, {WHOLE} SELECT 'slice__' || plane || '.png' AS name, r, c, CAST(CASE WHEN ras.v IS NULL THEN 0 ELSE (r * 31 + c * 7) % 256 END AS INT) AS v FROM whole LEFT JOIN ras USING (plane, r, c)")(picture_round_trip)
 query("cloud_round_trip", f"{SAMPLE}, {PALETTE_SQL} SELECT 'one.glb' AS name, x, y, z, coalesce(red, 0) AS red, coalesce(green, 0) AS green, coalesce(blue, 0) AS blue, coalesce(alpha, 255) AS alpha FROM pts LEFT JOIN pal USING (label)")(cloud_round_trip)
 query("demo_cloud")(lambda s, d: demo.cloud(s, tuple(sampling.DEFAULT_QUOTA), 200, 1))
 query("registry_counts", f"{ASSEMBLED} SELECT label, count(*) AS n FROM lab GROUP BY label")(lambda s, d: registry.run(volume(s, d), SHAPE)["counts"])
