@@ -88,7 +88,7 @@ def scatter(maps: DataFrame, seed: int, keys: tuple[str, ...] = ()) -> DataFrame
 
 def intensity(maps: DataFrame, shape: dict[str, int], keys: tuple[str, ...] = ()) -> DataFrame:
     """``keys``, r, c, intensity in [0, 1] of each slice: backscatter and specular echo, both blurred by the kernel."""
-    blurred = stencil.convolve_separable(maps.select(*keys, "r", "c", F.col("scat").alias("scat_g"), F.col("boundary").alias("boundary_g")), gaussian_weights(), shape, ("scat_g", "boundary_g"))
-    out = maps.join(blurred, [*keys, "r", "c"])
+    own = ("att_tgc", "trans", "refl")
+    out = stencil.convolve_separable(maps.select(*keys, "r", "c", F.col("scat").alias("scat_g"), F.col("boundary").alias("boundary_g"), *own), gaussian_weights(), shape, ("scat_g", "boundary_g"), own)
     echo = F.col("att_tgc") * F.col("scat_g") + F.col("att_tgc") * F.col("trans") * F.col("refl") * F.col("boundary_g")
     return out.select(*keys, "r", "c", clamp(echo, 0.0, 1.0).alias("intensity"))

@@ -29,8 +29,8 @@ def rotate_warped(raster: DataFrame, n: int, keys: tuple[str, ...] = ()) -> Data
     return raster.select(*keys, F.col("c").alias("r"), (F.lit(n - 1) - F.col("r")).cast("int").alias("c"), "v")
 
 
-def polar_warp(raster: DataFrame, w: int, h: int, label_interp: str = "bilinear", keys: tuple[str, ...] = ()) -> DataFrame:
-    """``keys``, i, j, v of the 360 x 220 sector picture of each raster (ray r, depth c); pixels outside the sector are 0.
+def polar_warp(raster: DataFrame, w: int, h: int, label_interp: str = "bilinear", keys: tuple[str, ...] = (), slices: DataFrame | None = None) -> DataFrame:
+    """``keys``, i, j, v of the 360 x 220 sector picture of each raster (ray r, depth c); pixels outside the sector are 0. ``slices``: the distinct keys, if they are known without ``raster``.
 
     Bilinear: four taps at pixel indices, outside 0. ``nearest`` takes the rounded place, for labels.
     """
@@ -51,7 +51,8 @@ def polar_warp(raster: DataFrame, w: int, h: int, label_interp: str = "bilinear"
     found = raster.join(F.broadcast(taps), ["r", "c"]).groupBy(*keys, "i", "j").agg(F.sum(F.col("v") * F.col("weight")).alias("v"))
     all_pixels = pixels.select("i", "j")
     if keys:
-        all_pixels = raster.select(*keys).distinct().crossJoin(F.broadcast(all_pixels))
+        every = F.explode(F.sequence(F.lit(0), F.lit(360 * 220 - 1)))
+        all_pixels = (raster.select(*keys).distinct() if slices is None else slices).select(*keys, every.alias("_p")).select(*keys, F.floor(F.col("_p") / 220).cast("int").alias("i"), (F.col("_p") % 220).alias("j"))
     return all_pixels.join(found, [*keys, "i", "j"], "left").select(*keys, "i", "j", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
@@ -67,10 +68,10 @@ def resize_bilinear(raster: DataFrame, shape: dict[str, int], size: int, keys: t
     return raster.select(*keys, *shape, "v")
 
 
-def sector_picture(raster: DataFrame, shape: dict[str, int], keys: tuple[str, ...] = (), size: int = 256) -> DataFrame:
+def sector_picture(raster: DataFrame, shape: dict[str, int], keys: tuple[str, ...] = (), size: int = 256, slices: DataFrame | None = None) -> DataFrame:
     """The ``size`` x ``size`` pictures of rasters (ray r, depth c): warped to the sector, turned and resized."""
     w, h = shape.values()
-    turned = rotate_warped(polar_warp(raster, w, h, keys=keys).select(*keys, F.col("i").alias("r"), F.col("j").alias("c"), "v"), 360, keys)
+    turned = rotate_warped(polar_warp(raster, w, h, keys=keys, slices=slices).select(*keys, F.col("i").alias("r"), F.col("j").alias("c"), "v"), 360, keys)
     return resize_bilinear(turned, {"r": 220, "c": 360}, size, keys)
 
 

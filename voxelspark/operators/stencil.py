@@ -81,12 +81,18 @@ def convolve(raster: DataFrame, weights: dict[tuple[int, int], float], shape: di
     return _inside(spread, shape).groupBy(*keys, a, b).agg(F.sum("_p").alias(value))
 
 
-def convolve_separable(raster: DataFrame, weights: list[dict[int, float]], shape: dict[str, int], values: tuple[str, ...] = ("v",)) -> DataFrame:
-    """``convolve`` by a product of weights along the two axes, for several values at once: 2 n rows a cell in place of n * n."""
-    keys = [c for c in raster.columns if c not in (*shape, *values)]
+def convolve_separable(raster: DataFrame, weights: list[dict[int, float]], shape: dict[str, int], values: tuple[str, ...] = ("v",), carried: tuple[str, ...] = ()) -> DataFrame:
+    """``convolve`` by a product of weights along the two axes, for several values at once: 2 n rows a cell in place of n * n.
+
+    With ``carried``, the other columns named there stay with their cells and places without a cell are left out, which spares joining them back.
+    """
+    keys = [c for c in raster.columns if c not in (*shape, *values, *carried, "_own")]
+    raster = raster.withColumn("_own", F.lit(1)) if carried else raster
+    kept = [*carried, "_own"] if carried else []
     for axis, line in zip(shape, weights, strict=True):
         taps = F.array(*[F.struct(F.lit(-i).alias("i"), F.lit(float(w)).alias("w")) for i, w in line.items()])
         others = [c for c in shape if c != axis]
-        spread = raster.withColumn("_t", F.explode(taps)).select(*keys, *others, (F.col(axis) + F.col("_t.i")).alias(axis), *[(F.col(v) * F.col("_t.w")).alias(v) for v in values])
-        raster = _inside(spread, {axis: shape[axis]}).groupBy(*keys, *shape).agg(*[F.sum(v).alias(v) for v in values])
-    return raster
+        stays = [F.when(F.col("_t.i") == 0, F.col(c)).alias(c) for c in kept]
+        spread = raster.withColumn("_t", F.explode(taps)).select(*keys, *others, (F.col(axis) + F.col("_t.i")).alias(axis), *[(F.col(v) * F.col("_t.w")).alias(v) for v in values], *stays)
+        raster = _inside(spread, {axis: shape[axis]}).groupBy(*keys, *shape).agg(*[F.sum(v).alias(v) for v in values], *[F.max(c).alias(c) for c in kept])
+    return raster.where("_own = 1").drop("_own") if carried else raster

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import acoustics, labels, sampling
+from . import exports, rendering
 
 KINDS = ("segmentation", "rendering", "pointcloud")
 
@@ -53,32 +54,75 @@ def _need(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
-def precomputed(cells: DataFrame, shape: dict[str, int]) -> DataFrame:
+#: What each segmentation task is called in the cells of a volume.
+TASKS = {"total": "tot", "tissue_types": "tis", "body": "bod"}
+
+
+def validated(cells: DataFrame, tasks: tuple[str, ...] = tuple(TASKS)) -> DataFrame:
+    """``cells`` if they have the classes of all ``tasks`` and a density; an unknown task or a missing one is an error before any work."""
+    if unknown := [t for t in tasks if t not in TASKS]:
+        raise SegmentationError(f"unknown tasks: {', '.join(unknown)}")
+    if lacking := [t for t in tasks if TASKS[t] not in cells.columns]:
+        raise SegmentationError(f"no results of the tasks: {', '.join(lacking)}")
+    return _need(cells, "x", "y", "z", "hu")
+
+
+def precomputed(cells: DataFrame, shape: dict[str, int], keys: tuple[str, ...] = ()) -> DataFrame:
     """Labels assembled from raw classes of three tasks (tot, tis, bod) and density (hu)."""
-    return labels.assemble(_need(cells, "x", "y", "z", "tot", "tis", "bod", "hu"), shape)
+    return labels.assemble(validated(_need(cells, *keys)), shape, keys=keys)
+
+
+def precomputed_fast(cells: DataFrame, shape: dict[str, int], keys: tuple[str, ...] = ()) -> DataFrame:
+    """As ``precomputed``, by the fast tasks, which have a third tissue class that counts as fat."""
+    return labels.assemble(validated(_need(cells, *keys)), shape, fast=True, keys=keys)
+
 
+def predictor(cells: DataFrame, shape: dict[str, int], keys: tuple[str, ...] = ()) -> DataFrame:
+    """As ``precomputed``, with the shell widened by a cube of 3 cells a side, centred."""
+    return labels.assemble(validated(_need(cells, *keys)), shape, box=3, keys=keys)
 
-def prelabeled(cells: DataFrame, shape: dict[str, int]) -> DataFrame:
+
+def prelabeled(cells: DataFrame, shape: dict[str, int], keys: tuple[str, ...] = ()) -> DataFrame:
     """Labels as given, without background filling."""
-    return _need(cells, "x", "y", "z", "label").select("x", "y", "z", F.pmod(F.col("label").cast("int"), F.lit(256)).alias("label"))
+    return _need(cells, *keys, "x", "y", "z", "label").select(*keys, "x", "y", "z", F.pmod(F.col("label").cast("int"), F.lit(256)).alias("label"))
 
 
-def acoustic_maps(cells: DataFrame, shape: dict[str, int], step: int) -> DataFrame:
+def acoustic_maps(cells: DataFrame, shape: dict[str, int], step: int, keys: tuple[str, ...] = (), seed: int = 0) -> DataFrame:
     """Maps along the rays (r = x, depth c = y) of every ``step``-th plane z."""
-    rays = cells.where(F.col("z") % step == 0).select("z", F.col("x").alias("r"), F.col("y").alias("c"), "label")
-    maps = acoustics.interfaces(acoustics.clamp_maps(acoustics.lookup(rays)), ("z",))
-    return acoustics.depth_maps(maps, shape["y"], ("z",))
+    rays = cells.where(F.col("z") % step == 0).select(*keys, "z", F.col("x").alias("r"), F.col("y").alias("c"), "label")
+    maps = acoustics.interfaces(acoustics.clamp_maps(acoustics.lookup(rays)), (*keys, "z"))
+    return acoustics.depth_maps(maps, shape["y"], (*keys, "z"))
+
+
+def ultrasound(cells: DataFrame, shape: dict[str, int], step: int, keys: tuple[str, ...] = (), seed: int = 0) -> DataFrame:
+    """Pictures of every ``step``-th plane, in the original renderer's sizes."""
+    return rendering.pictures(cells, shape, step, seed, keys)
+
+
+def ultrasound_plain(cells: DataFrame, shape: dict[str, int], step: int, keys: tuple[str, ...] = (), seed: int = 0) -> DataFrame:
+    """Pictures of planes as they are, neither resized nor cropped before rendering."""
+    return rendering.pictures(cells, shape, step, seed, keys, rendering.Frame())
+
+
+def quotas(cells: DataFrame, shape: dict[str, int], quota: dict[int, int], seed: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    return sampling.stratified(cells, quota, seed, keys)
 
 
-def quotas(cells: DataFrame, shape: dict[str, int], quota: dict[int, int], seed: int) -> DataFrame:
-    return sampling.stratified(cells, quota, seed)
+def placed_cloud(cells: DataFrame, shape: dict[str, int], quota: dict[int, int], seed: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Coloured points as they go into a cloud file, with the plane at half the depth."""
+    return exports.cloud(cells, shape, quota, seed, 0.5, keys)
 
 
 REGISTRY = Registry()
 REGISTRY.register("segmentation", "precomputed", precomputed)
 REGISTRY.register("segmentation", "prelabeled", prelabeled)
+REGISTRY.register("segmentation", "precomputed_fast", precomputed_fast)
+REGISTRY.register("segmentation", "predictor", predictor)
 REGISTRY.register("rendering", "acoustic_maps", acoustic_maps)
+REGISTRY.register("rendering", "ultrasound", ultrasound)
+REGISTRY.register("rendering", "ultrasound_plain", ultrasound_plain)
 REGISTRY.register("pointcloud", "default", quotas)
+REGISTRY.register("pointcloud", "placed", placed_cloud)
 
 
 @dataclass(frozen=True)
@@ -89,6 +133,7 @@ class Config:
     step: int = 1
     seed: int = 0
     quota: dict[int, int] = field(default_factory=lambda: dict(sampling.DEFAULT_QUOTA))
+    keys: tuple[str, ...] = ()  # columns that name a volume
 
     def __post_init__(self) -> None:
         if self.step < 1:
@@ -99,5 +144,10 @@ def run(cells: DataFrame, shape: dict[str, int], config: Config | None = None, r
     """The lazy results labels, maps, points and counts of one configuration; an unknown method name fails before any work."""
     config = config or Config()
     segment, render, sample = (registry.get(kind, getattr(config, kind)) for kind in KINDS)
-    found = segment(cells, shape)
-    return {"labels": found, "maps": render(found, shape, config.step), "points": sample(found, shape, config.quota, config.seed), "counts": found.groupBy("label").agg(F.count("*").alias("n"))}
+    found = segment(cells, shape, keys=config.keys)
+    return {
+        "labels": found,
+        "maps": render(found, shape, config.step, keys=config.keys, seed=config.seed),
+        "points": sample(found, shape, config.quota, config.seed, keys=config.keys),
+        "counts": found.groupBy(*config.keys, "label").agg(F.count("*").alias("n")),
+    }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions.constants import BLOB_SIZE, CLASS_RUNS, PALETTE, TISSUES
 from .operators import acoustics, components, geometry, labels, sampling, stencil
-from .plans import registry
+from .plans import exports, registry, rendering
 from .session import shared_dir
 from .sources import catalog, demo, nifti, pictures
 from .sources.fixtures import PLANE, SHAPE, raster, table, volume
@@ -253,11 +253,24 @@ def picture_sql(keys: str = "plane") -> str:
 
 planes_query("polar_warp", f"WITH {RAS}, {warp_sql('ras')} SELECT plane, i, j, round(v, 6) AS v FROM warped")(lambda ras: geometry.polar_warp(ras, 64, 64, keys=("plane",)).select("plane", "i", "j", *_rounded("v")))
 planes_query("us_render", f"WITH {US}, {warp_sql('us')}, {picture_sql()} SELECT plane, r, c, round(v, 4) AS v FROM picture")(
-    lambda ras: geometry.sector_picture(us_slice(ras).withColumnRenamed("intensity", "v"), PLANE, ("plane",)).select("plane", "r", "c", F.round("v", 4).alias("v"))
+    lambda ras: geometry.sector_picture(us_slice(ras).withColumnRenamed("intensity", "v"), PLANE, ("plane",), slices=ras.select("plane").distinct()).select("plane", "r", "c", F.round("v", 4).alias("v"))
 )
 planes_query("warp_rotate", f"WITH {RAS} SELECT plane, c AS r, CAST(63 - r AS INT) AS c, v FROM ras")(lambda ras: geometry.rotate_warped(ras, 64, ("plane",)))
 planes_query("resize_nearest", f"WITH {RAS} SELECT plane, CAST(i AS INT) AS r, CAST(j AS INT) AS c, v FROM range(380) a(i), range(380) b(j), ras WHERE ras.r = i * 64 // 380 AND ras.c = j * 64 // 380")(lambda ras: geometry.resize_nearest(ras, PLANE, 380))
 planes_query("center_crop", f"WITH {RAS} SELECT plane, CAST(i - 62 AS INT) AS r, CAST(j - 62 AS INT) AS c, v FROM range(62, 318) a(i), range(62, 318) b(j), ras WHERE ras.r = i * 64 // 380 AND ras.c = j * 64 // 380")(lambda ras: geometry.crop_center(geometry.resize_nearest(ras, PLANE, 380), 380, 256))
+# a volume's planes as rasters: ray x, depth y
+STEP = 4
+VOLUME_RASTER = f"{ASSEMBLED[5:]}, {TIS}, lr AS (SELECT z AS plane, x AS r, y AS c, label FROM lab WHERE z % {STEP} = 0)"
+VOLUME_US = US.replace(LABELLED_RASTER, VOLUME_RASTER).replace("0 AND 63", "0 AND 31").replace("/ 63)", "/ 31)")
+query("us_render_volume", f"WITH {VOLUME_US}, {warp_sql('us', 32, 32)}, {picture_sql()} SELECT plane AS z, r, c, round(v, 4) AS intensity FROM picture")(
+    lambda s, d: registry.run(volume(s, d), SHAPE, registry.Config(rendering="ultrasound_plain", step=STEP, seed=5))["maps"].select("z", "r", "c", F.round("intensity", 4).alias("intensity"))
+)
+query("warped_labels", f"WITH {VOLUME_RASTER}, {warp_sql('lr', 32, 32).replace('s.v', 's.label')}, near AS MATERIALIZED (SELECT plane, j AS y, CAST(359 - i AS INT) AS x, label FROM uv JOIN lr ON r = CAST(round(u) AS INT) AND c = CAST(round(v) AS INT)), target AS MATERIALIZED (SELECT plane, CAST(a AS INT) AS r, CAST(b AS INT) AS c, CAST(a * 220 // 256 AS INT) AS y, CAST(b * 360 // 256 AS INT) AS x FROM (SELECT DISTINCT plane FROM lr), range(256) p(a), range(256) q(b)) SELECT plane AS z, r, c, coalesce(label, 0) AS label FROM target LEFT JOIN near USING (plane, x, y)")(
+    lambda s, d: rendering.warped_labels(assembled(s, d), SHAPE, STEP, frame=rendering.Frame())
+)
+query("warped_masks")(lambda s, d: rendering.masks(rendering.warped_labels(assembled(s, d), SHAPE, STEP, frame=rendering.Frame())))
+query("intermediates", f"WITH {VOL} SELECT unnest(['tot', 'tis', 'bod']) AS task, x, y, z, unnest([tot, tis, bod]) AS cls FROM vol")(lambda s, d: exports.intermediates(volume(s, d)))
+query("label_assembly_predictor", f"{ASSEMBLED.replace(near('skin', 'shell', BOX2), near('skin', 'shell', CUBE))} SELECT x, y, z, label FROM lab")(lambda s, d: registry.run(volume(s, d), SHAPE, registry.Config(segmentation="predictor"))["labels"])
 SAMPLE = f"{ASSEMBLED}, q AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('11:' || x || ':' || y || ':' || z), x, y, z) AS n FROM lab), pts AS (SELECT x, y, z, label FROM q WHERE label <> 9 AND n <= 300)"
 
 
@@ -275,6 +288,12 @@ query("pcd_with_axis", f"{SAMPLE}, {AXIS} SELECT label, x, y, z FROM pts UNION A
     lambda s, d: points(s, d).select("label", "x", "y", "z").unionByName(sampling.axis_sample(sampling.axis_plane(s, 5, 32, 32), 2000, 3, 32, 32).select(F.lit(-1).alias("label"), "x", "y", "z"))
 )
 
+JITTER = lambda a: f"CAST(('0x' || substr(md5('11:{a}:' || x || ':' || y || ':' || z), 1, 12)) AS BIGINT) / CAST({2**48} AS DOUBLE)"
+AXIS_11 = "axis AS (SELECT i AS draw, CAST(('0x' || substr(md5('11:' || i), 1, 12)) AS BIGINT) % 1024 AS cell FROM range(2000) g(i))"
+query("placed_cloud", f"{SAMPLE}, {PALETTE_SQL}, {AXIS_11}, every AS (SELECT label, x, y, z FROM pts UNION ALL SELECT -1, CAST(cell % 32 AS INT), CAST(cell // 32 AS INT), 8 FROM axis) SELECT label, round(-((z + {JITTER('z')}) / 16 - 0.5), 9) AS x, round(-((y + {JITTER('y')}) / 32 - 0.5), 9) AS y, round(-((x + {JITTER('x')}) / 32 - 0.5), 9) AS z, coalesce(red, 0) AS red, coalesce(green, 0) AS green, coalesce(blue, 0) AS blue, coalesce(alpha, 255) AS alpha FROM every LEFT JOIN pal USING (label)")(
+    lambda s, d: registry.run(volume(s, d), SHAPE, registry.Config(pointcloud="placed", seed=11, quota=dict.fromkeys(sampling.DEFAULT_QUOTA, 300)))["points"].select("label", *[F.round(c, 9).alias(c) for c in "xyz"], "red", "green", "blue", "alpha")
+)
+
 # ---------------------------------------------------------------- files
 
 
@@ -326,7 +345,8 @@ def cloud_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("nifti_round_trip", f"WITH {VOL}, {GRID} SELECT x, y, z, coalesce(hu, 0) AS hu FROM grid LEFT JOIN vol USING (x, y, z)")(nifti_round_trip)
 planes_query("picture_round_trip", f"WITH {RAS}, {WHOLE} SELECT 'slice__' || plane || '.png' AS name, r, c, CAST(CASE WHEN ras.v IS NULL THEN 0 ELSE (r * 31 + c * 7) % 256 END AS INT) AS v FROM whole LEFT JOIN ras USING (plane, r, c)")(picture_round_trip)
 query("cloud_round_trip", f"{SAMPLE}, {PALETTE_SQL} SELECT 'one.glb' AS name, x, y, z, coalesce(red, 0) AS red, coalesce(green, 0) AS green, coalesce(blue, 0) AS blue, coalesce(alpha, 255) AS alpha FROM pts LEFT JOIN pal USING (label)")(cloud_round_trip)
-query("demo_cloud")(lambda s, d: demo.cloud(s, tuple(sampling.DEFAULT_QUOTA), 200, 1))
+DEMO = lambda axis: f"CAST(('0x' || substr(md5('1:{axis}:' || label || ':' || id), 1, 12)) AS BIGINT)"
+query("demo_cloud", f"SELECT label, CAST({DEMO('x')} % 20 + 40 AS INT) AS x, CAST({DEMO('y')} % 20 + 40 AS INT) AS y, CAST({DEMO('z')} % 4 + label * 5 + 18 AS INT) AS z FROM range(200) g(id), (VALUES {', '.join(f'({k})' for k in sampling.DEFAULT_QUOTA)}) t(label)")(lambda s, d: demo.cloud(s, tuple(sampling.DEFAULT_QUOTA), 200, 1))
 query("registry_counts", f"{ASSEMBLED} SELECT label, count(*) AS n FROM lab GROUP BY label")(lambda s, d: registry.run(volume(s, d), SHAPE)["counts"])
 query("stream_counts", "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n FROM events GROUP BY ALL")(
     lambda s, d: landing.drain(landing.windowed_counts(landing.arrivals(s, f"{d}/events.parquet*", table(s, d, "events").schema), "ts", "event_type", "1 hour", "1 day"))
