@@ -18,9 +18,28 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SLICE_BYTES = 1 << 19
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors. The write's own shuffle files go with it."""
+#: Narrow rows of a file of a small table, and texts of a task.
+FILE_ROWS, TASK_TEXTS = 100_000, 5_000
+
+
+def few(df: DataFrame, rows: int, each: int = FILE_ROWS) -> DataFrame:
+    """``df`` in as many partitions as ``rows`` need with ``each`` of them in one, if it has more: small tables are not strewn over many files. A large table stays as it is."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
+def compact(docs: DataFrame) -> DataFrame:
+    """A stored table of texts in few partitions, if it is small; its rows are counted from the files' footers."""
+    return few(docs, docs.count(), TASK_TEXTS)
+
+
+def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors. The write's own shuffle files go with it.
+
+    ``rows``: a bound of its narrow rows, if known; a small table is written by few tasks.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = few(df, rows)
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")

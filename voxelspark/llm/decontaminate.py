@@ -62,13 +62,13 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = 75, size: int =
     items = items.select(F.col(item_id).alias("item_id"), F.col(text_col).alias("text")).where("item_id IS NOT NULL")
     pieces = items.select("item_id", F.explode(shingle_texts(F.col("text"), size)).alias("shingle")).distinct()
     hashed_items = items.select("item_id", F.explode(shingle_hashes(F.col("text"), size)).alias("hash")).groupBy("item_id").agg(F.collect_set("hash").alias("hashes"))
-    sketch = C.materialize(item_sketches(hashed_items, percent))
+    sketch = C.materialize(item_sketches(hashed_items, percent), 100 * items.count())
     threshold = sketch.agg(F.max("hash")).first()[0]
     own = F.filter(F.array_distinct(shingle_hashes(F.col("text"), size)), lambda h: h <= F.lit(threshold)) if threshold is not None else F.array().cast("array<long>")
     met = docs.select("doc_id", F.explode(own).alias("hash")).join(C.checked_broadcast(sketch), "hash")
-    candidates = C.materialize(met.groupBy("doc_id", "item_id").agg(F.countDistinct("hash").alias("n"), F.first("needed").alias("needed")).where("n >= needed").select("doc_id", "item_id"))
+    candidates = C.materialize(met.groupBy("doc_id", "item_id").agg(F.countDistinct("hash").alias("n"), F.first("needed").alias("needed")).where("n >= needed").select("doc_id", "item_id"), docs.count())
     # verification: a suspected document's shingles meet those of all items, and count where the pair is a candidate
-    counted = C.materialize(pieces.withColumn("n", F.count("*").over(Window.partitionBy("item_id"))))
+    counted = C.materialize(pieces.withColumn("n", F.count("*").over(Window.partitionBy("item_id"))), 100 * items.count())
     texts = docs.join(C.checked_broadcast(candidates.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", F.explode(shingle_texts(F.col("text"), size)).alias("shingle"))
     both = texts.join(C.checked_broadcast(counted), "shingle").join(C.checked_broadcast(candidates), ["doc_id", "item_id"], "left_semi")
     found = both.groupBy("doc_id", "item_id").agg(F.max("n").alias("item_shingles"), F.countDistinct("shingle").alias("shared_shingles"))
@@ -77,5 +77,5 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = 75, size: int =
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of ``docs`` in which no item is found, with all their columns; rows without an id stay."""
-    gone = C.materialize(find_items(docs, items, percent).select("doc_id").distinct())
+    gone = C.materialize(find_items(docs, items, percent).select("doc_id").distinct(), docs.count())
     return docs.join(C.checked_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)

@@ -164,7 +164,7 @@ def forest(sets: list[np.ndarray], percent: int, asked: np.ndarray) -> list[tupl
 
 def _star_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The verified links (a, b) of each class with the least one of its buckets."""
-    pairs = C.materialize(members.where("center != id").select("center", "id").distinct())
+    pairs = C.materialize(members.where("center != id").select("center", "id").distinct(), members.count())
     copies = C.checked_broadcast(pairs.groupBy("center").agg(F.ceil(F.count("*") / STAR).cast("int").alias("copies")))
     dealt = pairs.join(copies, "center").select("center", "id", F.pmod(F.xxhash64("id"), "copies").cast("int").alias("salt"))
     hubs = sets.join(copies, sets["id"] == copies["center"]).select("center", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.col("hashes").alias("own"))
@@ -193,17 +193,19 @@ def _open_pairs(members: DataFrame, found: DataFrame) -> DataFrame | None:
     Within a rough component the classes of its largest verified component are dealt in blocks after those of the others (``minor``); a pair of blocks has a block of others in it.
     """
     named = members.join(found.withColumnRenamed("node", "id").withColumnRenamed("root", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    named = C.materialize(named)
+    rows = members.count()
+    named = C.materialize(named, rows)
     mixed = named.groupBy("band", "bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("id").alias("least")).where("low < high").select("band", "bucket", "least")
-    mixed = C.materialize(named.join(C.checked_broadcast(C.materialize(mixed)), ["band", "bucket"]).select("id", "size", "comp", "least").distinct())
+    mixed = C.materialize(named.join(C.checked_broadcast(C.materialize(mixed, rows)), ["band", "bucket"]).select("id", "size", "comp", "least").distinct(), rows)
     if mixed.isEmpty():
         return None
-    rough = C.materialize(components(mixed.select(F.col("least").alias("a"), F.col("id").alias("b"))))
-    rough = C.materialize(mixed.select("id", "size", "comp").distinct().join(rough.withColumnRenamed("node", "id"), "id"))
+    rows = mixed.count()
+    rough = components(mixed.select(F.col("least").alias("a"), F.col("id").alias("b")), rows)
+    rough = C.materialize(mixed.select("id", "size", "comp").distinct().join(rough.withColumnRenamed("node", "id"), "id"), rows)
     largest = rough.groupBy("root", "comp").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"))
     blocks = lambda minor: F.greatest(F.ceil(F.count(F.when(minor, 1)) / BLOCK), F.ceil(F.sum(F.when(minor, F.col("size")).otherwise(0)) * 8 / BLOCK_BYTES)).cast("int")
-    rough = rough.join(C.checked_broadcast(C.materialize(largest)), "root").withColumn("minor", F.col("comp") != F.col("largest"))
-    dealt = C.materialize(rough.groupBy("root").agg(blocks(F.col("minor")).alias("minors"), blocks(~F.col("minor")).alias("majors")))
+    rough = rough.join(C.checked_broadcast(C.materialize(largest, rows)), "root").withColumn("minor", F.col("comp") != F.col("largest"))
+    dealt = C.materialize(rough.groupBy("root").agg(blocks(F.col("minor")).alias("minors"), blocks(~F.col("minor")).alias("majors")), rows)
     placed = rough.join(C.checked_broadcast(dealt), "root").withColumn("block", F.when(F.col("minor"), F.pmod(F.xxhash64("id"), "minors")).otherwise(F.col("minors") + F.pmod(F.xxhash64("id"), "majors")).cast("int"))
     others = F.when(F.col("minor"), F.sequence(F.lit(0), F.col("minors") + F.col("majors") - 1)).otherwise(F.sequence(F.lit(0), F.col("minors") - 1))
     placed = placed.select("root", "id", "minor", "block", F.explode(others).alias("other"))
@@ -214,16 +216,17 @@ def group_near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc
     """doc_id, n_shingles, component_id (least id that links reach) and kept of every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = C.materialize(_signed(docs))
-    classes = C.materialize(signed.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("size"), F.min("bands").alias("bands")))
+    classes = C.materialize(signed.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("size"), F.min("bands").alias("bands")), signed.count())
     rows = classes.select(F.col("first").alias("id"), "size", F.posexplode("bands").alias("band", "bucket"))
     shared = rows.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("id").alias("center")).where("n > 1").drop("n")
-    members = C.materialize(rows.join(shared, ["band", "bucket"]))
-    sets = C.materialize(_sets(docs.join(C.checked_broadcast(members.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi")))
-    found = C.materialize(components(_star_links(members, sets, percent)))
+    members = C.materialize(rows.join(shared, ["band", "bucket"]), BANDS * signed.count())
+    used = members.select(F.col("id").alias("doc_id")).distinct()
+    sets = C.materialize(_sets(docs.join(C.checked_broadcast(used), "doc_id", "left_semi")), 20 * used.count())  # a set is some 20 times a narrow row
+    found = components(_star_links(members, sets, percent), members.count())
     placed = _open_pairs(members, found)
     if placed is not None:
         links = found.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(_block_links(placed, sets, percent))
-        found = C.materialize(components(links))
+        found = components(links, signed.count())
     C.drop(members, sets)
     named = classes.join(found, F.col("first") == F.col("node"), "left").select("key", F.coalesce("root", "first").alias("component_id"))
     own = F.when(F.col("key").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import debruijn_dedup, decontaminate, html_main, language, near_dup, packing, pseudonyms, suffix_dedup, telephony, url_filter
-from .common import table
+from .common import compact
+from .common import table as whole_table
 
 #: In production the key comes from a secret store; equal keys give equal pseudonyms.
 PSEUDONYM_KEY = "voxelspark pseudonyms"
 BLOCKED, ALLOWED = ["net/", "example.com/de/"], ["example.net/en/", "org/fr/"]
 
 
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    return compact(whole_table(spark, sf_dir, name, *columns))
+
+
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages", "page_id", "url"), BLOCKED, ALLOWED)
 

@@ -135,10 +135,10 @@ def marked(docs: DataFrame, units: Units, k: int, window: int, resolve: Callable
     hits = C.materialize(hits)
     C.drop(anchors)
     place = F.struct("doc", "t", "pos")
-    contents = C.materialize(hits.groupBy("c", "d").agg(F.min(place).alias("source"), F.first("n").alias("n"), F.first("h").alias("h"), F.max("mixed").alias("mixed")))
+    contents = C.materialize(hits.groupBy("c", "d").agg(F.min(place).alias("source"), F.first("n").alias("n"), F.first("h").alias("h"), F.max("mixed").alias("mixed")), hits.count())
     wanted = contents.where("mixed").select(F.col("source.doc").alias("doc"), F.col("source.t").alias("t"), F.struct("source.pos", "n", "h", "c", "d").alias("cut"))
     wanted = wanted.groupBy("doc", "t").agg(F.collect_list("cut").alias("cuts")).withColumnRenamed("doc", "doc_id")
-    runs = C.materialize(resolve(known.join(wanted, ["doc_id", "t"]).select("doc_id", "text", "cuts")))
+    runs = C.materialize(resolve(known.join(wanted, ["doc_id", "t"]).select("doc_id", "text", "cuts")), contents.count())
     least = contents.where("NOT mixed").select("c", "d", F.array(F.struct(F.lit(0).alias("at"), F.col("n").cast("int").alias("length"), F.col("source.doc").alias("least"))).alias("runs")).unionByName(runs)
     found = hits.select("c", "d", "doc", "t", "pos").join(least, ["c", "d"]).select("doc", "t", "pos", F.explode("runs").alias("run")).where("run.least < doc")
     marks = found.groupBy("doc", "t").agg(F.collect_set(F.struct((F.col("pos") + F.col("run.at")).cast("int").alias("begin"), F.col("run.length").cast("int").alias("many"))).alias("marks"))
