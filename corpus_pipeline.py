@@ -1,7 +1,7 @@
 """The training-data pipeline: language, near duplicates, benchmark passages, personal data, packing.
 
-Every stage takes all that its predecessor kept. Null or odd values in any column are carried along; texts that are null, empty or without letters
-are rejected by the first stage.
+Every stage takes all that its predecessor kept. Null or odd values in any column, ids too, are carried along; texts that are null, empty or without letters
+are rejected by the first stage. Repeated rows are copies of one document: the near-duplicate stage keeps the rows of the least id of a group.
 """
 
 from __future__ import annotations
@@ -15,12 +15,14 @@ from voxelspark.llm.queries import PSEUDONYM_KEY
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document whose best language scores less is rejected, as is one without letters.
 LEAST_SCORE = 0.35
+#: So is one of whose n-grams less than this share is in any learnable document, as in a script that was not learned, however many languages were.
+LEAST_KNOWN = 0.5
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
     model = language.train(docs.select("doc_id", "text", "lang").where(~language.held_out(F.col("doc_id"))))
-    return language.keep_identified(docs, model, LEAST_SCORE)
+    return language.keep_identified(docs, model, LEAST_SCORE, LEAST_KNOWN)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
