@@ -20,30 +20,30 @@ LEAST_KNOWN = 0.5
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
+    docs = common.compact(docs.select(*COLUMNS))
     model = language.train(docs.select("doc_id", "text", "lang").where(~language.held_out(F.col("doc_id"))))
     return language.keep_identified(docs, model, LEAST_SCORE, LEAST_KNOWN)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows that share a kept id, all stay: ids are unique in ``documents``."""
-    docs = docs.select(*COLUMNS)
-    gone = common.materialize(near_dup.group_near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct())
+    docs = common.compact(docs.select(*COLUMNS))
+    gone = common.materialize(near_dup.group_near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), docs.count())
     return docs.join(common.checked_broadcast(gone), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    return decontaminate.remove_contaminated(docs.select(*COLUMNS), items)
+    return decontaminate.remove_contaminated(common.compact(docs.select(*COLUMNS)), items)
 
 
 def replace_private_numbers(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    new = pseudonyms.pseudonymize(docs.select(*COLUMNS), PSEUDONYM_KEY)
+    new = pseudonyms.pseudonymize(common.compact(docs.select(*COLUMNS)), PSEUDONYM_KEY)
     return new.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, packing.tokenizer_path("word_bpe_49k.json"))
+    return packing.pack_documents(common.compact(docs.select(*COLUMNS)), packing.tokenizer_path("word_bpe_49k.json"))
 
 
 STAGES = [
@@ -60,5 +60,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir))
+        kept = common.materialize(stage(spark, docs, sf_dir))
+        common.drop(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
