@@ -38,33 +38,50 @@ def planes_query(name: str, sql: str):
 
 # ---------------------------------------------------------------- oracle pieces
 
-VOL = """vol AS (
-  SELECT CAST(l_partkey % 32 AS INT) AS x, CAST(l_orderkey % 32 AS INT) AS y, CAST(l_suppkey % 16 AS INT) AS z,
+VOL_OF = """vol AS (
+  SELECT {key}CAST(l_partkey % 32 AS INT) AS x, CAST(l_orderkey % 32 AS INT) AS y, CAST(l_suppkey % 16 AS INT) AS z,
          CAST(sum(l_linenumber + l_partkey) % 118 AS INT) AS tot, CAST(sum(l_linenumber) % 4 AS INT) AS tis,
          CAST(CASE WHEN power(l_partkey % 32 - 16, 2) + power(l_orderkey % 32 - 16, 2) <= 144 AND l_suppkey % 16 BETWEEN 2 AND 13 THEN 1 ELSE 0 END AS INT) AS bod,
          CAST(sum(CAST(l_quantity AS INT) * 20) % 1000 - 500 AS INT) AS hu
-  FROM lineitem GROUP BY l_partkey % 32, l_orderkey % 32, l_suppkey % 16)"""
+  FROM lineitem GROUP BY {group}l_partkey % 32, l_orderkey % 32, l_suppkey % 16)"""
+VOL = VOL_OF.format(key="", group="")
+#: As many volumes as the orders fill, each of the same shape.
+VOLUMES = VOL_OF.format(key="CAST(l_orderkey // 4096 AS INT) AS volume_id, ", group="l_orderkey // 4096, ")
 RUNS = "runs(lo, hi, label) AS (VALUES " + ", ".join(map(str, CLASS_RUNS)) + "), lmap AS (SELECT CAST(cls AS INT) AS cls, CAST(label AS INT) AS label FROM runs, range(118) g(cls) WHERE cls BETWEEN lo AND hi)"
 RAS = "ras AS MATERIALIZED (SELECT CAST(vec_id // 64 AS INT) AS plane, CAST(vec_id % 64 AS INT) AS r, CAST(i - 1 AS INT) AS c, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) g(i))"
 WHOLE = "whole AS MATERIALIZED (SELECT plane, CAST(r AS INT) AS r, CAST(c AS INT) AS c FROM (SELECT DISTINCT plane FROM ras), range(64) a(r), range(64) b(c))"
 TIS = "tissue(label, name, imp, alpha, mu0, mu1, sigma0) AS (VALUES " + ", ".join(f"({a}, '{b}', {', '.join(f'CAST({x!r} AS DOUBLE)' for x in rest)})" for a, b, *rest in TISSUES) + ")"
 
 
-def near(name: str, source: str, element: list[tuple], where: str = "TRUE") -> str:
-    """A dilation of the 3-D mask ``source``."""
-    return f"{name}_o(i, j, k) AS (VALUES {', '.join(map(str, element))}), {name} AS (SELECT DISTINCT CAST(x + i AS INT) AS x, CAST(y + j AS INT) AS y, CAST(z + k AS INT) AS z FROM {source}, {name}_o WHERE x + i BETWEEN 0 AND 31 AND y + j BETWEEN 0 AND 31 AND z + k BETWEEN 0 AND 15)"
+def near(name: str, source: str, element: list[tuple], key: str = "") -> str:
+    """A dilation of the 3-D mask ``source``; ``key``: a column that names a volume, with a comma."""
+    return f"{name}_o(i, j, k) AS (VALUES {', '.join(map(str, element))}), {name} AS (SELECT DISTINCT {key}CAST(x + i AS INT) AS x, CAST(y + j AS INT) AS y, CAST(z + k AS INT) AS z FROM {source}, {name}_o WHERE x + i BETWEEN 0 AND 31 AND y + j BETWEEN 0 AND 31 AND z + k BETWEEN 0 AND 15)"
 
 
-def all_near(name: str, source: str, element: list[tuple]) -> str:
+def all_near(name: str, source: str, element: list[tuple], key: str = "") -> str:
     """An erosion with background outside: cells all of whose neighbours are foreground."""
-    return f"{name}_o(i, j, k) AS (VALUES {', '.join(map(str, element))}), {name} AS (SELECT CAST(x - i AS INT) AS x, CAST(y - j AS INT) AS y, CAST(z - k AS INT) AS z FROM {source}, {name}_o WHERE x - i BETWEEN 0 AND 31 AND y - j BETWEEN 0 AND 31 AND z - k BETWEEN 0 AND 15 GROUP BY ALL HAVING count(*) = {len(element)})"
+    return f"{name}_o(i, j, k) AS (VALUES {', '.join(map(str, element))}), {name} AS (SELECT {key}CAST(x - i AS INT) AS x, CAST(y - j AS INT) AS y, CAST(z - k AS INT) AS z FROM {source}, {name}_o WHERE x - i BETWEEN 0 AND 31 AND y - j BETWEEN 0 AND 31 AND z - k BETWEEN 0 AND 15 GROUP BY ALL HAVING count(*) = {len(element)})"
 
 
 GRID = "grid AS (SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(z AS INT) AS z FROM range(32) a(x), range(32) b(y), range(16) c(z))"
 MASK = "m AS (SELECT x, y, z FROM vol WHERE bod = 1)"
 BALL1, BALL3, BOX2, CUBE = stencil.ball(1), stencil.ball(3), stencil.box(-1, 0), stencil.box(-1, 1)
-SKIN = ", ".join([VOL, "m AS (SELECT x, y, z FROM vol WHERE bod = 1)", near("big", "m", BALL1), "m0 AS (SELECT x, y, z FROM vol WHERE bod <> 0)", all_near("inner_", "m0", BALL3), "shell AS (SELECT x, y, z FROM (FROM big EXCEPT FROM inner_) JOIN vol USING (x, y, z) WHERE hu > -200 AND hu < 250)", near("skin", "shell", BOX2)])
-ASSEMBLED = f"WITH {SKIN}, {RUNS}, lab AS (SELECT vol.x, vol.y, vol.z, CAST(CASE WHEN skin.x IS NOT NULL THEN 12 WHEN tis IN (1, 2) THEN 3 WHEN coalesce(lmap.label, 0) <> 0 THEN lmap.label ELSE 9 END AS INT) AS label, hu FROM vol LEFT JOIN lmap ON tot = cls LEFT JOIN skin USING (x, y, z))"
+
+
+def skin_sql(vol: str = VOL, key: str = "") -> str:
+    inside = f"{key}x, y, z"
+    return ", ".join([vol, f"m AS (SELECT {inside} FROM vol WHERE bod = 1)", near("big", "m", BALL1, key), f"m0 AS (SELECT {inside} FROM vol WHERE bod <> 0)", all_near("inner_", "m0", BALL3, key), f"shell AS (SELECT {inside} FROM (FROM big EXCEPT FROM inner_) JOIN vol USING ({inside}) WHERE hu > -200 AND hu < 250)", near("skin", "shell", BOX2, key)])
+
+
+def assembled_sql(skin: str, key: str = "") -> str:
+    named = "".join(f"vol.{k}, " for k in key.replace(" ", "").split(",") if k)
+    return f"WITH {skin}, {RUNS}, lab AS (SELECT {named}vol.x, vol.y, vol.z, CAST(CASE WHEN skin.x IS NOT NULL THEN 12 WHEN tis IN (1, 2) THEN 3 WHEN coalesce(lmap.label, 0) <> 0 THEN lmap.label ELSE 9 END AS INT) AS label, hu FROM vol LEFT JOIN lmap ON tot = cls LEFT JOIN skin USING ({key}x, y, z))"
+
+
+SKIN = skin_sql()
+ASSEMBLED = assembled_sql(SKIN)
+KEY = ("volume_id",)
+MANY = assembled_sql(skin_sql(VOLUMES, "volume_id, "), "volume_id, ")
 
 
 def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +104,11 @@ query("tissue_overlay_fast", f"WITH {VOL}, {RUNS} SELECT x, y, z, CAST(CASE WHEN
 )
 query("body_skin", f"WITH {SKIN} SELECT x, y, z FROM skin")(lambda s, d: labels.skin(volume(s, d), SHAPE))
 query("label_assembly", f"{ASSEMBLED} SELECT x, y, z, label FROM lab")(assembled)
+query("label_assembly_volumes", f"{MANY} SELECT volume_id, x, y, z, label FROM lab")(lambda s, d: labels.assemble(volume(s, d, KEY), SHAPE, keys=KEY))
+query("label_counts_volumes", f"{MANY} SELECT volume_id, label, count(*) AS n FROM lab GROUP BY ALL")(lambda s, d: registry.run(volume(s, d, KEY), SHAPE, registry.Config(keys=KEY))["counts"])
+query("stratified_sample_volumes", f"{MANY} SELECT volume_id, x, y, z, label FROM (SELECT *, row_number() OVER (PARTITION BY volume_id, label ORDER BY md5('11:' || x || ':' || y || ':' || z), x, y, z) AS n FROM lab) WHERE label <> 9 AND n <= 40")(
+    lambda s, d: sampling.stratified(labels.assemble(volume(s, d, KEY), SHAPE, keys=KEY), dict.fromkeys(sampling.DEFAULT_QUOTA, 40), 11, KEY)
+)
 query("label_counts", f"{ASSEMBLED} SELECT label, count(*) AS n FROM lab GROUP BY label")(lambda s, d: assembled(s, d).groupBy("label").agg(F.count("*").alias("n")))
 query("distinct_labels", f"{ASSEMBLED} SELECT DISTINCT label FROM lab")(lambda s, d: assembled(s, d).select("label").distinct())
 query("quota_cap", f"{ASSEMBLED} SELECT label, least(count(*), 400) AS n FROM lab GROUP BY label")(lambda s, d: assembled(s, d).groupBy("label").agg(F.least(F.count("*"), F.lit(400)).alias("n")))
