@@ -90,6 +90,20 @@ def test_rasters_match_duckdb(spark, name):
         assert a == b or all(x == y or isinstance(x, float) and abs(x - y) < 1.1e-3 for x, y in zip(a, b, strict=True))
 
 
+def test_slabs_give_the_same_components(spark):
+    """Random cells and a snake that crosses all slabs, in two volumes."""
+    import random
+
+    r = random.Random(1)
+    shape = {"z": 13, "r": 8, "c": 7}
+    cells = {(k, z, i, j) for k in (1, 2) for z in range(13) for i in range(8) for j in range(7) if r.random() < 0.35 + 0.1 * k}
+    cells |= {(1, z, 0, 0) for z in range(13)} | {(1, z, 7, 6) for z in range(13)} | {(1, 12, i, 0) for i in range(8)} | {(1, 12, 7, j) for j in range(7)}
+    mask = spark.createDataFrame(sorted(cells), "volume int, z int, r int, c int")
+    want = sorted(map(tuple, components.label(mask, shape, "volume").collect()))
+    for slab in (1, 4, 20):
+        assert sorted(map(tuple, components.label_slabs(mask, shape, "volume", slab).collect())) == want
+
+
 def test_entry(spark):
     import __spark_entry__
 

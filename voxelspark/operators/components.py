@@ -1,4 +1,4 @@
-"""Connected components of foreground cells, by union-find per volume or plane in Arrow groups."""
+"""Connected components of foreground cells, by union-find per volume, plane or slab in Arrow groups."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import materialize, ship
+from . import graphs
 from .stencil import complement
 
 
@@ -46,6 +47,22 @@ def label(mask: DataFrame, shape: dict[str, int], key: str) -> DataFrame:
     return mask.select(key, *axes).groupBy(key).applyInArrow(run, ", ".join(f"{c} {kind[c]}" for c in (key, *axes)) + ", comp long")
 
 
+def label_slabs(mask: DataFrame, shape: dict[str, int], key: str, slab: int) -> DataFrame:
+    """``label``, with a group for each ``slab`` cells along the first axis, so a task's size does not grow with a volume.
+
+    Components of neighbouring slabs that touch are linked, and a distributed union-find over these links gives the least index of each.
+    """
+    first, *others = shape
+    cells = mask.select(key, *shape).withColumn("_slab", F.concat_ws("/", F.col(key).cast("string"), F.floor(F.col(first) / slab).cast("string")))
+    local = label(cells.select("_slab", *shape), shape, "_slab")
+    local = materialize(local.join(cells.select("_slab", key).distinct(), "_slab").select(key, *shape, "comp"))
+    upper = local.where(F.col(first) % slab == slab - 1).select(key, (F.col(first) + 1).alias(first), *others, F.col("comp").alias("above"))
+    lower = local.where(F.col(first) % slab == 0)
+    touching = lower.join(upper, [key, *shape]).select(F.struct(key, "comp").alias("a"), F.struct(key, F.col("above").alias("comp")).alias("b")).distinct()
+    roots = materialize(graphs.components(touching).select(F.col(f"node.{key}").alias(key), F.col("node.comp").alias("comp"), F.col("root.comp").alias("_root")))
+    return local.join(roots, [key, "comp"], "left").select(key, *shape, F.coalesce("_root", "comp").alias("comp"))
+
+
 def sizes(labelled: DataFrame, key: str) -> DataFrame:
     return labelled.groupBy(key, "comp").agg(F.count("*").alias("n"))
 

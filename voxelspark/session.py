@@ -1,13 +1,14 @@
-"""Makes this package importable on the executors."""
+"""Makes this package importable on the executors, and keeps intermediate tables in the shared folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent
 
@@ -36,3 +37,42 @@ def shared_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="voxelspark-"))
     return sc.getCheckpointDir()
+
+
+#: Drops an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Narrow rows of a file of a small table.
+FILE_ROWS = 100_000
+
+
+def few(df: DataFrame, rows: int, each: int = FILE_ROWS) -> DataFrame:
+    """``df`` in as many partitions as ``rows`` need with ``each`` of them in one, if it has more: small tables are not strewn over many files. A large table stays as it is."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
+def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors. The write's own shuffle files go with it.
+
+    ``rows``: a bound of its narrow rows, if known; a small table is written by few tasks.
+    """
+    spark = df.sparkSession
+    if rows is not None:
+        df = few(df, rows)
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._voxelspark_table = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` made and nothing reads any more; other data frames are left alone."""
+    for df in tables:
+        if path := getattr(df, "_voxelspark_table", None):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
