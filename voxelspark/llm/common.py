@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,21 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, ship
+from ..session import drop, few, materialize, ship  # noqa: F401
 
-#: Drops an execution's shuffle files at its end.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Texts are processed in slices of about this many bytes, which bounds a worker's memory; one longer text makes a slice of its own.
 SLICE_BYTES = 1 << 19
 
 
-#: Narrow rows of a file of a small table, and texts of a task.
-FILE_ROWS, TASK_TEXTS = 100_000, 5_000
-
-
-def few(df: DataFrame, rows: int, each: int = FILE_ROWS) -> DataFrame:
-    """``df`` in as many partitions as ``rows`` need with ``each`` of them in one, if it has more: small tables are not strewn over many files. A large table stays as it is."""
-    return df.coalesce(max(1, -(-rows // each)))
+#: Texts of a task of a small table.
+TASK_TEXTS = 5_000
 
 
 def compact(docs: DataFrame) -> DataFrame:
@@ -32,35 +24,6 @@ def compact(docs: DataFrame) -> DataFrame:
     return few(docs, docs.count(), TASK_TEXTS)
 
 
-def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors. The write's own shuffle files go with it.
-
-    ``rows``: a bound of its narrow rows, if known; a small table is written by few tasks.
-    """
-    spark = df.sparkSession
-    if rows is not None:
-        df = few(df, rows)
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._voxelspark_table = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Deletes tables that ``materialize`` made and nothing reads any more; other data frames are left alone."""
-    for df in tables:
-        if path := getattr(df, "_voxelspark_table", None):
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
