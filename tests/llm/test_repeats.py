@@ -76,10 +76,10 @@ def test_pieces_hold_the_same_windows(monkeypatch, units):
     """Blocks of a text read in pieces: the same windows in order, none twice, the same anchor for each."""
     data = np.frombuffer("\n".join(branching(3)).encode(), np.uint8)
     offsets = np.array([0, 0, 700, 705, len(data) - 900, len(data)])
-    codes, second, o = units(data, offsets, True)
+    codes, o = units(data, offsets)
 
     def windows():
-        row, begin, many, h, *_ = repeats.blocks(codes, o, 9, 50, second)
+        row, begin, many, h, _ = repeats.blocks(codes, o, 9, 50)
         return [(r, b + i, x) for r, b, m, x in zip(row.tolist(), begin.tolist(), many.tolist(), h.tolist(), strict=True) for i in range(m)]
 
     whole = windows()
@@ -91,7 +91,7 @@ def test_pieces_hold_the_same_windows(monkeypatch, units):
 def test_branches_by_degree(spark):
     """Nodes of passages abcde, xbcd and bcdf by plain counting: passages start or end in, and fork at, some of their inner nodes."""
     made = [(1, 1, 1, "", [12, 23, 34, 45], [1, 2, 3, 4, 5]), (2, 2, 2, "", [62, 23, 34], [6, 2, 3, 4]), (3, 3, 3, "", [23, 34, 47], [2, 3, 4, 7])]
-    cut = spark.createDataFrame(made, "c long, d long, lo long, words string, edges array<long>, nodes array<long>")
+    cut = spark.createDataFrame(made, "h long, c long, lo long, words string, edges array<long>, nodes array<long>")
     assert {r.node for r in debruijn_dedup.branches(cut).collect()} == {2, 4}
     assert {(r.c, r.at, r.length) for r in debruijn_dedup.paths(cut).collect()} == {(1, 0, 1), (1, 1, 2), (1, 3, 1), (2, 0, 1), (2, 1, 2), (3, 0, 2), (3, 2, 1)}
 

@@ -89,7 +89,6 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
 U64 = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-BYTE_CODES_2 = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 MIX = tuple(_RNG.integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1))
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 2**64)

@@ -1,7 +1,7 @@
 """Long repeated spans: which windows of units (bytes or words) also start in a document with a smaller id.
 
 Comparing every window with every other is out of reach, so windows meet through anchors: of the k-mers of a window the one with the least hash (leftmost of equals). Equal windows
-have equal anchors. Consecutive windows with one anchor form a block; a block's two content hashes (128 bits together) stand for all its windows. So one row per block, not per window, is shuffled:
+have equal anchors. Consecutive windows with one anchor form a block; a block's anchor and content hash (128 bits together) stand for all its windows. So one row per block, not per window, is shuffled:
 
 1. anchors are counted, those that no two documents share are dropped, and those with several contents noted;
 2. the blocks of shared anchors are grouped by content, each with its least document and place;
@@ -11,7 +11,7 @@ have equal anchors. Consecutive windows with one anchor form a block; a block's
 
 Aggregates combine before they shuffle, and a hot anchor or content is a skewed join that Spark splits, so no task holds all of it. Long texts are read in pieces.
 
-Rows are told apart by id and text. Rows that share an id are never compared with each other. Rows without an id, null, empty and short texts are passed on whole.
+Rows are told apart by id, and by text too where some share an id. Rows that share an id are never compared with each other. Rows without an id, null, empty and short texts are passed on whole.
 """
 
 from __future__ import annotations
@@ -29,30 +29,27 @@ SLICE = 1 << 19
 #: Bits of a packed value that hold a place; a piece has fewer units.
 PLACE = np.uint64((1 << 20) - 1)
 PIECE = 1 << 19
-#: bytes, offsets, whether second codes are wanted -> codes, second codes, offsets among codes
-Units = Callable[[np.ndarray, np.ndarray, bool], tuple[np.ndarray, np.ndarray | None, np.ndarray]]
-BASE2 = 0xD6E8FEB86659FD93
-BASE2_INV = pow(BASE2, -1, 2**64)
+Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]  # bytes, offsets -> codes (or bytes), offsets among codes
 
 
-def blocks(codes: np.ndarray, offsets: np.ndarray, k: int, window: int, second: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Row, first window, number of windows, anchor hash, content hash and second content hash (0 if not wanted) of every block, in order. Codes may be bytes."""
+def blocks(codes: np.ndarray, offsets: np.ndarray, k: int, window: int) -> tuple[np.ndarray, ...]:
+    """Row, first window, number of windows, anchor hash and content hash of every block, in order. Codes may be bytes."""
     parts = []
     for base in range(0, len(codes), PIECE):
         end = base + PIECE + window - 1
         o = np.clip(offsets - base, 0, min(end, len(codes)) - base)
-        row, begin, *rest = _blocks(codes[base:end], o, k, window, None if second is None else second[base:end])
+        row, begin, *rest = _blocks(codes[base:end], o, k, window)
         parts.append((row, begin + base, *rest))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else _blocks(codes, offsets, k, window, second)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else _blocks(codes, offsets, k, window)
 
 
-def _blocks(codes: np.ndarray, offsets: np.ndarray, k: int, window: int, second: np.ndarray | None) -> tuple[np.ndarray, ...]:
+def _blocks(codes: np.ndarray, offsets: np.ndarray, k: int, window: int) -> tuple[np.ndarray, ...]:
     n, wide = len(codes), window - k + 1
     valid = np.zeros(max(0, n - window + 1), bool)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         valid[a : max(a, b - window + 1)] = True
     if not valid.any():
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     prefix = C.prefix_codes(C.BYTE_CODES[codes] if codes.dtype == np.uint8 else codes)
     at = np.arange(n - k + 1)
     kmer = C.range_hash(prefix, at, at + k)
@@ -73,11 +70,7 @@ def _blocks(codes: np.ndarray, offsets: np.ndarray, k: int, window: int, second:
     inside = valid[begin]
     begin, end = begin[inside], end[inside]
     row = np.searchsorted(offsets, begin, "right") - 1
-    d = np.zeros(len(begin), np.uint64)
-    if second is not None or codes.dtype == np.uint8:
-        other = C.prefix_codes(C.BYTE_CODES_2[codes] if second is None else second, BASE2)
-        d = C.range_hash(other, begin, end - 1 + window, BASE2_INV)
-    return row, begin, end - begin, kmer[(low[begin] & PLACE).astype(np.int64)], C.range_hash(prefix, begin, end - 1 + window), d
+    return row, begin, end - begin, kmer[(low[begin] & PLACE).astype(np.int64)], C.range_hash(prefix, begin, end - 1 + window)
 
 
 def _anchors(docs: DataFrame, units: Units, k: int, window: int) -> DataFrame:
@@ -88,8 +81,8 @@ def _anchors(docs: DataFrame, units: Units, k: int, window: int) -> DataFrame:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for i, _, data, offsets in C.slices(b.column(1), SLICE):
-                codes, _, o = units(data, offsets, False)
-                row, _, _, h, c, _ = blocks(codes, o, k, window)
+                codes, o = units(data, offsets)
+                row, _, _, h, c = blocks(codes, o, k, window)
                 if not len(h):
                     continue
                 order = np.argsort(h, kind="stable")
@@ -104,18 +97,18 @@ def _anchors(docs: DataFrame, units: Units, k: int, window: int) -> DataFrame:
 
 
 def _blocks_of(docs: DataFrame, units: Units, k: int, window: int) -> DataFrame:
-    """All blocks: h, c, d, doc, t, pos, n."""
-    names = ["h", "c", "d", "doc", "t", "pos", "n"]
+    """All blocks: h, c, doc, t, pos, n."""
+    names = ["h", "c", "doc", "t", "pos", "n"]
 
     def run(batches):
         for b in batches:
             ids, texts = (b.column(x).to_numpy(zero_copy_only=False) for x in (0, 2))
             for i, _, data, offsets in C.slices(b.column(1), SLICE):
-                codes, second, o = units(data, offsets, True)
-                row, begin, many, h, c, d = blocks(codes, o, k, window, second)
-                yield from _rows([h.view(np.int64), c.view(np.int64), d.view(np.int64), ids[i + row], texts[i + row], (begin - o[row]).astype(np.int32), many.astype(np.int16)], names)
+                codes, o = units(data, offsets)
+                row, begin, many, h, c = blocks(codes, o, k, window)
+                yield from _rows([h.view(np.int64), c.view(np.int64), ids[i + row], texts[i + row], (begin - o[row]).astype(np.int32), many.astype(np.int16)], names)
 
-    return C.map_arrow(docs.select("doc_id", "text", "t"), run, "h long, c long, d long, doc long, t long, pos int, n short")
+    return C.map_arrow(docs.select("doc_id", "text", "t"), run, "h long, c long, doc long, t long, pos int, n short")
 
 
 def _rows(columns: list[np.ndarray], names: list[str], most: int = 50_000):
@@ -128,24 +121,28 @@ def marked(docs: DataFrame, units: Units, k: int, window: int, resolve: Callable
 
     ``resolve`` gets documents with the blocks to cut from them (doc_id, text, cuts of pos, n, h, c) and returns ``RUNS``: for each content the runs of its windows with one least document.
     """
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    tag = F.xxhash64("text")
+    several = known.groupBy("doc_id").agg(F.min(tag).alias("low"), F.max(tag).alias("high")).where("low <> high")
+    tag = F.lit(0).cast("long") if several.isEmpty() else tag
+    docs, known = docs.withColumn("t", tag), known.withColumn("t", tag)
     anchors = C.materialize(_anchors(known, units, k, window))
-    hits = _blocks_of(known, units, k, window).join(anchors, "h").withColumn("mixed", F.lit(True) if whole else F.col("mixed"))
+    # an anchor's row is short and unique, so hashing that side spares sorting all blocks
+    hits = _blocks_of(known, units, k, window).join(anchors.hint("shuffle_hash"), "h").withColumn("mixed", F.lit(True) if whole else F.col("mixed"))
     hits = C.materialize(hits)
     C.drop(anchors)
-    place = F.struct("doc", "t", "pos")
-    contents = C.materialize(hits.groupBy("c", "d").agg(F.min(place).alias("source"), F.first("n").alias("n"), F.first("h").alias("h"), F.max("mixed").alias("mixed")), hits.count())
-    wanted = contents.where("mixed").select(F.col("source.doc").alias("doc"), F.col("source.t").alias("t"), F.struct("source.pos", "n", "h", "c", "d").alias("cut"))
-    wanted = wanted.groupBy("doc", "t").agg(F.collect_list("cut").alias("cuts")).withColumnRenamed("doc", "doc_id")
+    rows = hits.count()
+    contents = C.materialize(hits.groupBy("h", "c").agg(F.min(F.struct("doc", "t", "pos")).alias("source"), F.max("n").alias("n"), F.max("mixed").alias("mixed")), rows)
+    wanted = contents.where("mixed").select(F.col("source.doc").alias("doc_id"), F.col("source.t").alias("t"), F.struct("source.pos", "n", "h", "c").alias("cut"))
+    wanted = wanted.groupBy("doc_id", "t").agg(F.collect_list("cut").alias("cuts"))
     runs = C.materialize(resolve(known.join(wanted, ["doc_id", "t"]).select("doc_id", "text", "cuts")), contents.count())
-    least = contents.where("NOT mixed").select("c", "d", F.array(F.struct(F.lit(0).alias("at"), F.col("n").cast("int").alias("length"), F.col("source.doc").alias("least"))).alias("runs")).unionByName(runs)
-    found = hits.select("c", "d", "doc", "t", "pos").join(least, ["c", "d"]).select("doc", "t", "pos", F.explode("runs").alias("run")).where("run.least < doc")
-    marks = found.groupBy("doc", "t").agg(F.collect_set(F.struct((F.col("pos") + F.col("run.at")).cast("int").alias("begin"), F.col("run.length").cast("int").alias("many"))).alias("marks"))
+    least = contents.where("NOT mixed").select("h", "c", F.array(F.struct(F.lit(0).alias("at"), F.col("n").cast("int").alias("length"), F.col("source.doc").alias("least"))).alias("runs")).unionByName(runs)
+    found = hits.select("h", "c", "doc", "t", "pos").join(least.hint("shuffle_hash"), ["h", "c"]).select("doc", "t", "pos", F.explode("runs").alias("run")).where("run.least < doc")
+    marks = found.groupBy("doc", "t").agg(F.collect_list(F.struct((F.col("pos") + F.col("run.at")).cast("int").alias("begin"), F.col("run.length").cast("int").alias("many"))).alias("marks"))
     return docs.join(marks.withColumnRenamed("doc", "doc_id"), ["doc_id", "t"], "left").select("doc_id", "text", "marks")
 
 
-RUNS = "c long, d long, runs array<struct<at: int, length: int, least: long>>"
+RUNS = "h long, c long, runs array<struct<at: int, length: int, least: long>>"
 
 
 def covered(batch: pa.RecordBatch, row: int, size: int, window: int) -> np.ndarray:

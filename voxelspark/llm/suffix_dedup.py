@@ -26,8 +26,8 @@ BUCKET_BYTES = 4 << 20
 SEPARATOR = 0xFF  # no byte of UTF-8
 
 
-def byte_units(data: np.ndarray, offsets: np.ndarray, second: bool = False) -> tuple[np.ndarray, None, np.ndarray]:
-    return data, None, offsets
+def byte_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return data, offsets
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -111,16 +111,16 @@ def by_windows(pieces: DataFrame) -> DataFrame:
                 columns = [b.column(k).slice(i, 1000).to_pylist() for k in range(4)]
                 rows = [(*x, at, text[at : at + WINDOW]) for *x, text in zip(*columns, strict=True) for at in range(len(text) - WINDOW + 1)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["c", "d", "lo", "at", "piece"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["h", "c", "lo", "at", "piece"])
 
-    rows = C.map_arrow(pieces.select("c", "d", "lo", "seg"), cut, "c long, d long, lo long, at int, piece binary")
+    rows = C.map_arrow(pieces.select("h", "c", "lo", "seg"), cut, "h long, c long, lo long, at int, piece binary")
     least = rows.groupBy("piece").agg(F.min("lo").alias("least"), F.count("*").alias("copies"))
     # only windows of several passages can have another least document than their own
-    joined = rows.join(least.where("copies > 1").drop("copies"), "piece", "left").select("c", "d", "at", F.coalesce("least", "lo").alias("least"))
-    order = Window.partitionBy("c", "d").orderBy("at")
+    joined = rows.join(least.where("copies > 1").drop("copies"), "piece", "left").select("h", "c", "at", F.coalesce("least", "lo").alias("least"))
+    order = Window.partitionBy("h", "c").orderBy("at")
     starts = joined.withColumn("new", F.when(F.col("least") == F.lag("least").over(order), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-    runs = starts.groupBy("c", "d", "run").agg(F.min("at").alias("at"), F.count("*").cast("int").alias("length"), F.first("least").alias("least"))
-    return runs.groupBy("c", "d").agg(F.array_sort(F.collect_list(F.struct("at", "length", "least"))).alias("runs"))
+    runs = starts.groupBy("h", "c", "run").agg(F.min("at").alias("at"), F.count("*").cast("int").alias("length"), F.first("least").alias("least"))
+    return runs.groupBy("h", "c").agg(F.array_sort(F.collect_list(F.struct("at", "length", "least"))).alias("runs"))
 
 
 def _resolve(segments: DataFrame) -> DataFrame:
@@ -129,11 +129,11 @@ def _resolve(segments: DataFrame) -> DataFrame:
             rows = []
             for doc, text, cuts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 data = text.encode()
-                rows += [(x["h"], x["c"], x["d"], doc, data[x["pos"] : x["pos"] + x["n"] - 1 + WINDOW]) for x in cuts]
-            columns = [*zip(*rows, strict=True)] or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 4 + [pa.binary()], strict=True)], ["h", "c", "d", "lo", "seg"])
+                rows += [(x["h"], x["c"], doc, data[x["pos"] : x["pos"] + x["n"] - 1 + WINDOW]) for x in cuts]
+            columns = [*zip(*rows, strict=True)] or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 3 + [pa.binary()], strict=True)], ["h", "c", "lo", "seg"])
 
-    pieces = C.materialize(C.map_arrow(segments, cut, "h long, c long, d long, lo long, seg binary"))
+    pieces = C.materialize(C.map_arrow(segments, cut, "h long, c long, lo long, seg binary"))
     hot = hot_anchors(pieces)
     split = None
     if not hot.isEmpty():  # at most one for every BUCKET_BYTES
@@ -149,7 +149,7 @@ def _resolve(segments: DataFrame) -> DataFrame:
         length = np.diff(np.append(first, len(least)))
         runs = pa.StructArray.from_arrays([pa.array(at[first].astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(least[first])], ["at", "length", "least"])
         lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[first], np.arange(len(seg) + 1)).astype(np.int32)), runs)
-        return pa.table({"c": table.column("c"), "d": table.column("d"), "runs": lists})
+        return pa.table({"h": table.column("h"), "c": table.column("c"), "runs": lists})
 
     C.ship(pieces.sparkSession)
     runs = pieces.groupBy(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")).applyInArrow(solve, repeats.RUNS)
