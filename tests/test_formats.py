@@ -102,3 +102,14 @@ def test_query_equals_duckdb(spark, name):
     assert columns == sorted(want.columns)
     rows = lambda found: sorted(tuple(map(str, r)) for r in found)
     assert rows(got.select(*columns).collect()) == rows(want.select(*columns).fetchall())
+
+
+def test_scan_lists_files_without_reading_them(spark, tmp_path):
+    from voxelspark.sources import catalog
+
+    for name in ("a.nii.gz", "b_processed_.nii.gz", "c.txt"):
+        (tmp_path / name).write_bytes(b"12345")
+    found = catalog.scan(spark, str(tmp_path))
+    assert "content" not in found.columns
+    assert sorted((r.path.rsplit("/", 1)[1], r.length) for r in found.collect()) == [("a.nii.gz", 5), ("b_processed_.nii.gz", 5)]
+    assert catalog.unprocessed(found).count() == 1

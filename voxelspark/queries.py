@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.constants import BLOB_SIZE, CLASS_RUNS, PALETTE, TISSUES
+from .functions.constants import BLOB_SIZE, CLASS_TO_LABEL, PALETTE, TISSUES
 from .operators import acoustics, components, geometry, labels, sampling, stencil
 from .plans import exports, registry, rendering
 from .session import shared_dir
@@ -47,7 +47,7 @@ VOL_OF = """vol AS (
 VOL = VOL_OF.format(key="", group="")
 #: As many volumes as the orders fill, each of the same shape.
 VOLUMES = VOL_OF.format(key="CAST(l_orderkey // 4096 AS INT) AS volume_id, ", group="l_orderkey // 4096, ")
-RUNS = "runs(lo, hi, label) AS (VALUES " + ", ".join(map(str, CLASS_RUNS)) + "), lmap AS (SELECT CAST(cls AS INT) AS cls, CAST(label AS INT) AS label FROM runs, range(118) g(cls) WHERE cls BETWEEN lo AND hi)"
+RUNS = "lmap(cls, label) AS (VALUES " + ", ".join(map(str, CLASS_TO_LABEL)) + ")"
 RAS = "ras AS MATERIALIZED (SELECT CAST(vec_id // 64 AS INT) AS plane, CAST(vec_id % 64 AS INT) AS r, CAST(i - 1 AS INT) AS c, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) g(i))"
 WHOLE = "whole AS MATERIALIZED (SELECT plane, CAST(r AS INT) AS r, CAST(c AS INT) AS c FROM (SELECT DISTINCT plane FROM ras), range(64) a(r), range(64) b(c))"
 TIS = "tissue(label, name, imp, alpha, mu0, mu1, sigma0) AS (VALUES " + ", ".join(f"({a}, '{b}', {', '.join(f'CAST({x!r} AS DOUBLE)' for x in rest)})" for a, b, *rest in TISSUES) + ")"
@@ -287,6 +287,15 @@ VOLUME_US = US.replace(LABELLED_RASTER, VOLUME_RASTER).replace("0 AND 63", "0 AN
 query("us_render_volume", f"WITH {VOLUME_US}, {warp_sql('us', 32, 32)}, {picture_sql()} SELECT plane AS z, r, c, round(v, 4) AS intensity FROM picture")(
     lambda s, d: registry.run(volume(s, d), SHAPE, registry.Config(rendering="ultrasound_plain", step=STEP, seed=5))["maps"].select("z", "r", "c", F.round("intensity", 4).alias("intensity"))
 )
+
+
+def us_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The volume's pictures as PNG files, read back."""
+    cells = registry.run(volume(spark, sf_dir), SHAPE, registry.Config(rendering="ultrasound_plain", step=STEP, seed=5))["maps"]
+    return pictures.decoded(pictures.slice_pictures(cells.withColumn("intensity", F.round("intensity", 4)), rendering.PICTURE), "png")
+
+
+query("us_pictures", f"WITH {VOLUME_US}, {warp_sql('us', 32, 32)}, {picture_sql()} SELECT 'slice__' || plane || '.png' AS name, r, c, CAST(round_even(round(v, 4) * 255, 0) AS INT) AS v FROM picture")(us_pictures)
 query("warped_labels", f"WITH {VOLUME_RASTER}, {warp_sql('lr', 32, 32).replace('s.v', 's.label')}, near AS MATERIALIZED (SELECT plane, j AS y, CAST(359 - i AS INT) AS x, label FROM uv JOIN lr ON r = CAST(round(u) AS INT) AND c = CAST(round(v) AS INT)), target AS MATERIALIZED (SELECT plane, CAST(a AS INT) AS r, CAST(b AS INT) AS c, CAST(a * 220 // 256 AS INT) AS y, CAST(b * 360 // 256 AS INT) AS x FROM (SELECT DISTINCT plane FROM lr), range(256) p(a), range(256) q(b)) SELECT plane AS z, r, c, coalesce(label, 0) AS label FROM target LEFT JOIN near USING (plane, x, y)")(
     lambda s, d: rendering.warped_labels(assembled(s, d), SHAPE, STEP, frame=rendering.Frame())
 )
