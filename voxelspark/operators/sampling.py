@@ -53,6 +53,12 @@ def batches(df: DataFrame, order: str, n: int, parts: int = 64) -> DataFrame:
     return dealt.withColumn("batch_id", F.floor(at / n).cast("long")).drop("_part")
 
 
+def paired(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
+    """Rows of two tables that have the same position in their orders, as two lists are zipped: the longer table's rest is left out. Column names must differ."""
+    at = "_position"
+    return batches(left, left_order, 1).withColumnRenamed("batch_id", at).join(batches(right, right_order, 1).withColumnRenamed("batch_id", at), at).drop(at)
+
+
 def with_colors(points: DataFrame) -> DataFrame:
     colors = F.broadcast(points.sparkSession.createDataFrame(list(PALETTE), "label int, red int, green int, blue int, alpha int"))
     joined = points.join(colors, "label", "left")

@@ -343,6 +343,9 @@ query("sample_files", f"WITH {NAMES} FROM f ORDER BY md5('2:' || path), path LIM
 query("batch_collate", f"WITH {NAMES} SELECT batch_id, string_agg(path, ' ' ORDER BY page_id) AS paths FROM (SELECT *, CAST((row_number() OVER (ORDER BY page_id) - 1) // 8 AS BIGINT) AS batch_id FROM f) GROUP BY batch_id")(
     lambda s, d: sampling.batches(files(s, d), "page_id", 8).groupBy("batch_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "path"))), lambda x: x["path"]), " ").alias("paths"))
 )
+query("paired_files", f"WITH {NAMES}, a AS (SELECT *, row_number() OVER (ORDER BY page_id) AS n FROM f), b AS (SELECT page_id AS other_id, path AS other, row_number() OVER (ORDER BY page_id DESC) AS n FROM f WHERE page_id % 3 <> 0) SELECT page_id, path, other_id, other FROM a JOIN b USING (n)")(
+    lambda s, d: sampling.paired(files(s, d), files(s, d).where("page_id % 3 <> 0").select(F.col("page_id").alias("other_id"), F.col("path").alias("other"), (-F.col("page_id")).alias("back")), "page_id", "back").drop("back")
+)
 query("point_lookup", f"WITH {NAMES} FROM f WHERE page_id = 7")(lambda s, d: files(s, d).where("page_id = 7"))
 AFFINE = [[i * 3 + j for j in range(3)] for i in range(3)]
 query("affine_matrix", "WITH e AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings) SELECT vec_id, " + ", ".join(f"round({f'e[{i * 3 + j + 1}] * e[{10 + j}]' if i < 3 and j < 3 else f'e[{13 + i}]' if i < 3 else str(float(j == 3)) + '::DOUBLE'}, 9) AS a{i}{j}" for i, j in itertools.product(range(4), range(4))) + " FROM e")(
