@@ -90,8 +90,8 @@ def test_pieces_hold_the_same_windows(monkeypatch, units):
 
 def test_branches_by_degree(spark):
     """Nodes of passages abcde, xbcd and bcdf by plain counting: passages start or end in, and fork at, some of their inner nodes."""
-    made = [(1, 1, 1, "", [12, 23, 34, 45], [1, 2, 3, 4, 5]), (2, 2, 2, "", [62, 23, 34], [6, 2, 3, 4]), (3, 3, 3, "", [23, 34, 47], [2, 3, 4, 7])]
-    cut = spark.createDataFrame(made, "h long, c long, lo long, words string, edges array<long>, nodes array<long>")
+    made = [(1, 1, 1, 9, "", [12, 23, 34, 45], [1, 2, 3, 4, 5]), (2, 2, 2, 9, "", [62, 23, 34], [6, 2, 3, 4]), (3, 3, 3, 9, "", [23, 34, 47], [2, 3, 4, 7])]
+    cut = spark.createDataFrame(made, "h long, c long, lo long, hi long, words string, edges array<long>, nodes array<long>")
     assert {r.node for r in debruijn_dedup.branches(cut).collect()} == {2, 4}
     assert {(r.c, r.at, r.length) for r in debruijn_dedup.paths(cut).collect()} == {(1, 0, 1), (1, 1, 2), (1, 3, 1), (2, 0, 1), (2, 1, 2), (3, 0, 2), (3, 2, 1)}
 

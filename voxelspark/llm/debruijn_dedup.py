@@ -35,8 +35,8 @@ START, END = 1, 2
 
 
 def passages(segments: DataFrame) -> DataFrame:
-    """h, c, lo, words (joined by blanks), edges and nodes (one more) of the passages to cut from documents."""
-    schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("lo", pa.int64()), ("words", pa.binary()), ("edges", pa.list_(pa.int64())), ("nodes", pa.list_(pa.int64()))])
+    """h, c, lo, hi, words (joined by blanks), edges and nodes (one more) of the passages to cut from documents."""
+    schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("words", pa.binary()), ("edges", pa.list_(pa.int64())), ("nodes", pa.list_(pa.int64()))])
 
     def cut(batches):
         for b in batches:
@@ -50,15 +50,15 @@ def passages(segments: DataFrame) -> DataFrame:
                         at = rows[r - i] + x["pos"] + np.arange(x["n"] + 1)
                         last = at[-1] + WINDOW - 1
                         words = b" ".join(raw[p:q] for p, q in zip(s[at[0] : last].tolist(), e[at[0] : last].tolist(), strict=True))
-                        out.append((x["h"], x["c"], doc, words, C.range_hash(prefix, at[:-1], at[:-1] + WINDOW).view(np.int64), C.range_hash(prefix, at, at + WINDOW - 1).view(np.int64)))
+                        out.append((x["h"], x["c"], doc, x["hi"], words, C.range_hash(prefix, at[:-1], at[:-1] + WINDOW).view(np.int64), C.range_hash(prefix, at, at + WINDOW - 1).view(np.int64)))
                         if len(out) == 5000:
                             yield C.batches(schema, [list(x) for x in zip(*out, strict=True)])
                             out = []
                 if out:
                     yield C.batches(schema, [list(x) for x in zip(*out, strict=True)])
 
-    found = C.map_arrow(segments, cut, "h long, c long, lo long, words binary, edges array<long>, nodes array<long>")
-    return found.select("h", "c", "lo", F.col("words").cast("string").alias("words"), "edges", "nodes")
+    found = C.map_arrow(segments, cut, "h long, c long, lo long, hi long, words binary, edges array<long>, nodes array<long>")
+    return found.select("h", "c", "lo", "hi", F.col("words").cast("string").alias("words"), "edges", "nodes")
 
 
 def branches(cut: DataFrame) -> DataFrame:
@@ -71,15 +71,15 @@ def branches(cut: DataFrame) -> DataFrame:
 
 
 def paths(cut: DataFrame) -> DataFrame:
-    """h, c, lo, at, length and words of the paths that passages consist of, cut at branching nodes."""
+    """h, c, lo, hi, at, length and words of the paths that passages consist of, cut at branching nodes."""
     inner = cut.select("h", "c", F.posexplode(F.slice("nodes", F.lit(2), F.size("edges") - 1)).alias("i", "node"))
     cuts = inner.join(branches(cut), "node", "left_semi").groupBy("h", "c").agg(F.array_sort(F.collect_set(F.col("i") + 1)).alias("cuts"))  # a passage has at most WINDOW - K + 1 edges
     starts = F.concat(F.array(F.lit(0)), F.coalesce("cuts", F.array().cast("array<int>")))
     ends = F.concat(F.coalesce("cuts", F.array().cast("array<int>")), F.array(F.size("edges")))
-    cut = cut.select("h", "c", "lo", "words", "edges").join(cuts, ["h", "c"], "left")
-    out = cut.select("h", "c", "lo", F.split("words", " ").alias("words"), F.explode(F.arrays_zip(starts.alias("at"), ends.alias("end"))).alias("x"))
+    cut = cut.select("h", "c", "lo", "hi", "words", "edges").join(cuts, ["h", "c"], "left")
+    out = cut.select("h", "c", "lo", "hi", F.split("words", " ").alias("words"), F.explode(F.arrays_zip(starts.alias("at"), ends.alias("end"))).alias("x"))
     length = F.col("x.end") - F.col("x.at")
-    return out.select("h", "c", "lo", F.col("x.at").alias("at"), length.alias("length"), F.array_join(F.slice("words", F.col("x.at") + 1, length + (WINDOW - 1)), " ").alias("words"))
+    return out.select("h", "c", "lo", "hi", F.col("x.at").alias("at"), length.alias("length"), F.array_join(F.slice("words", F.col("x.at") + 1, length + (WINDOW - 1)), " ").alias("words"))
 
 
 def _resolve(segments: DataFrame) -> DataFrame:
@@ -89,9 +89,10 @@ def _resolve(segments: DataFrame) -> DataFrame:
     C.drop(cut)
     least = found.groupBy("words").agg(F.min("lo").alias("least"), F.count("*").alias("copies"))
     # only paths of several passages can have another least document than their own
-    joined = found.join(least.where("copies > 1").drop("copies"), "words", "left")
-    run = F.struct("at", "length", F.coalesce("least", "lo").alias("least"))
-    return joined.groupBy("h", "c").agg(F.array_sort(F.collect_list(run)).alias("runs"))
+    joined = found.join(least.where("copies > 1").drop("copies"), "words", "left").withColumn("least", F.coalesce("least", "lo")).where("least < hi")
+    runs = C.materialize(joined.groupBy("h", "c").agg(F.array_sort(F.collect_list(F.struct("at", "length", "least"))).alias("runs")), found.count())
+    C.drop(found)
+    return runs
 
 
 def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ VALUES, BANDS = 128, 32
 #: Neighbours that one copy of a hub's set serves.
 STAR = 256
 #: Classes and bytes of sets of a block; two blocks meet in a task.
-BLOCK, BLOCK_BYTES = 2048, 24 << 20
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
 #: Posting entries that are counted at once.
 PIECE = 1 << 20
 

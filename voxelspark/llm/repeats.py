@@ -119,7 +119,8 @@ def _rows(columns: list[np.ndarray], names: list[str], most: int = 50_000):
 def marked(docs: DataFrame, units: Units, k: int, window: int, resolve: Callable[[DataFrame], DataFrame], whole: bool = False) -> DataFrame:
     """``docs`` (doc_id, text) with ``marks``: the runs of windows (begin, many) that also start in smaller documents.
 
-    ``resolve`` gets documents with the blocks to cut from them (doc_id, text, cuts of pos, n, h, c) and returns ``RUNS``: for each content the runs of its windows with one least document.
+    ``resolve`` gets documents with the blocks to cut from them (doc_id, text, cuts of pos, n, h, c, hi) and returns a stored table ``RUNS``: for each content the runs of its windows with one
+    least document, if that is less than ``hi``, the greatest document with the content.
     """
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     tag = F.xxhash64("text")
@@ -132,14 +133,19 @@ def marked(docs: DataFrame, units: Units, k: int, window: int, resolve: Callable
     hits = C.materialize(hits)
     C.drop(anchors)
     rows = hits.count()
-    contents = C.materialize(hits.groupBy("h", "c").agg(F.min(F.struct("doc", "t", "pos")).alias("source"), F.max("n").alias("n"), F.max("mixed").alias("mixed")), rows)
-    wanted = contents.where("mixed").select(F.col("source.doc").alias("doc_id"), F.col("source.t").alias("t"), F.struct("source.pos", "n", "h", "c").alias("cut"))
+    grouped = hits.groupBy("h", "c").agg(F.min(F.struct("doc", "t", "pos")).alias("source"), F.max("doc").alias("hi"), F.max("n").alias("n"), F.max("mixed").alias("mixed"))
+    contents = C.materialize(grouped.where("mixed OR source.doc < hi"), rows)
+    wanted = contents.where("mixed").select(F.col("source.doc").alias("doc_id"), F.col("source.t").alias("t"), F.struct("source.pos", "n", "h", "c", "hi").alias("cut"))
     wanted = wanted.groupBy("doc_id", "t").agg(F.collect_list("cut").alias("cuts"))
-    runs = C.materialize(resolve(known.join(wanted, ["doc_id", "t"]).select("doc_id", "text", "cuts")), contents.count())
-    least = contents.where("NOT mixed").select("h", "c", F.array(F.struct(F.lit(0).alias("at"), F.col("n").cast("int").alias("length"), F.col("source.doc").alias("least"))).alias("runs")).unionByName(runs)
+    runs = resolve(known.join(wanted, ["doc_id", "t"]).select("doc_id", "text", "cuts"))
+    plain = F.array(F.struct(F.lit(0).alias("at"), F.col("n").cast("int").alias("length"), F.col("source.doc").alias("least")))
+    least = C.materialize(contents.where("NOT mixed").select("h", "c", plain.alias("runs")).unionByName(runs), contents.count())
+    C.drop(contents, runs)
     found = hits.select("h", "c", "doc", "t", "pos").join(least.hint("shuffle_hash"), ["h", "c"]).select("doc", "t", "pos", F.explode("runs").alias("run")).where("run.least < doc")
     marks = found.groupBy("doc", "t").agg(F.collect_list(F.struct((F.col("pos") + F.col("run.at")).cast("int").alias("begin"), F.col("run.length").cast("int").alias("many"))).alias("marks"))
-    return docs.join(marks.withColumnRenamed("doc", "doc_id"), ["doc_id", "t"], "left").select("doc_id", "text", "marks")
+    marks = C.materialize(marks.withColumnRenamed("doc", "doc_id"), rows)
+    C.drop(hits, least)
+    return docs.join(marks, ["doc_id", "t"], "left").select("doc_id", "text", "marks")
 
 
 RUNS = "h long, c long, runs array<struct<at: int, length: int, least: long>>"

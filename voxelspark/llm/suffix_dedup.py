@@ -108,18 +108,18 @@ def by_windows(pieces: DataFrame) -> DataFrame:
     def cut(batches):
         for b in batches:
             for i in range(0, b.num_rows, 1000):
-                columns = [b.column(k).slice(i, 1000).to_pylist() for k in range(4)]
+                columns = [b.column(k).slice(i, 1000).to_pylist() for k in range(5)]
                 rows = [(*x, at, text[at : at + WINDOW]) for *x, text in zip(*columns, strict=True) for at in range(len(text) - WINDOW + 1)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["h", "c", "lo", "at", "piece"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["h", "c", "lo", "hi", "at", "piece"])
 
-    rows = C.map_arrow(pieces.select("h", "c", "lo", "seg"), cut, "h long, c long, lo long, at int, piece binary")
+    rows = C.map_arrow(pieces.select("h", "c", "lo", "hi", "seg"), cut, "h long, c long, lo long, hi long, at int, piece binary")
     least = rows.groupBy("piece").agg(F.min("lo").alias("least"), F.count("*").alias("copies"))
     # only windows of several passages can have another least document than their own
-    joined = rows.join(least.where("copies > 1").drop("copies"), "piece", "left").select("h", "c", "at", F.coalesce("least", "lo").alias("least"))
+    joined = rows.join(least.where("copies > 1").drop("copies"), "piece", "left").select("h", "c", "at", "hi", F.coalesce("least", "lo").alias("least"))
     order = Window.partitionBy("h", "c").orderBy("at")
     starts = joined.withColumn("new", F.when(F.col("least") == F.lag("least").over(order), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-    runs = starts.groupBy("h", "c", "run").agg(F.min("at").alias("at"), F.count("*").cast("int").alias("length"), F.first("least").alias("least"))
+    runs = starts.groupBy("h", "c", "run").agg(F.min("at").alias("at"), F.count("*").cast("int").alias("length"), F.first("least").alias("least"), F.first("hi").alias("hi")).where("least < hi")
     return runs.groupBy("h", "c").agg(F.array_sort(F.collect_list(F.struct("at", "length", "least"))).alias("runs"))
 
 
@@ -129,12 +129,12 @@ def _resolve(segments: DataFrame) -> DataFrame:
             rows = []
             for doc, text, cuts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 data = text.encode()
-                rows += [(x["h"], x["c"], doc, data[x["pos"] : x["pos"] + x["n"] - 1 + WINDOW]) for x in cuts]
-            columns = [*zip(*rows, strict=True)] or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 3 + [pa.binary()], strict=True)], ["h", "c", "lo", "seg"])
+                rows += [(x["h"], x["c"], doc, x["hi"], data[x["pos"] : x["pos"] + x["n"] - 1 + WINDOW]) for x in cuts]
+            columns = [*zip(*rows, strict=True)] or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 4 + [pa.binary()], strict=True)], ["h", "c", "lo", "hi", "seg"])
 
-    pieces = C.materialize(C.map_arrow(segments, cut, "h long, c long, lo long, seg binary"))
-    hot = hot_anchors(pieces)
+    pieces = C.materialize(C.map_arrow(segments, cut, "h long, c long, lo long, hi long, seg binary"))
+    stored, hot = pieces, hot_anchors(pieces)
     split = None
     if not hot.isEmpty():  # at most one for every BUCKET_BYTES
         split = by_windows(pieces.join(C.checked_broadcast(hot), "h", "left_semi"))
@@ -147,13 +147,17 @@ def _resolve(segments: DataFrame) -> DataFrame:
         least, owner, at = least_documents(seg, table.column("lo").to_numpy(), WINDOW)
         first = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])))
         length = np.diff(np.append(first, len(least)))
+        wanted = least[first] < table.column("hi").to_numpy()[owner[first]]  # runs that mark a document
+        first, length = first[wanted], length[wanted]
         runs = pa.StructArray.from_arrays([pa.array(at[first].astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(least[first])], ["at", "length", "least"])
         lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[first], np.arange(len(seg) + 1)).astype(np.int32)), runs)
-        return pa.table({"h": table.column("h"), "c": table.column("c"), "runs": lists})
+        return pa.table({"h": table.column("h"), "c": table.column("c"), "runs": lists}).take(np.unique(owner[first]))
 
     C.ship(pieces.sparkSession)
     runs = pieces.groupBy(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")).applyInArrow(solve, repeats.RUNS)
-    return runs if split is None else runs.unionByName(split)
+    out = C.materialize(runs if split is None else runs.unionByName(split), stored.count())
+    C.drop(stored)
+    return out
 
 
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
