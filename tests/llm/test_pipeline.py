@@ -27,7 +27,7 @@ def stages(spark, tmp_path_factory):
     long_item = max((t for _, t in items if t), key=len)
     planted = [
         (90_001, "Съешь же ещё этих мягких французских булок да выпей чаю", None, "x", None), (90_002, "人人生而自由在尊严和权利上一律平等", None, "x", 1), (90_003, None, "en", None, 0), (90_004, "12 345 !", "en", "x", 8),
-        (90_005, " ".join(near), base[2], "x", 5), (90_006, base[1].upper(), base[2], "x", 5),
+        (90_005, " ".join(near), base[2], "x", 5), (90_006, "".join(c.upper() if c.isascii() else c for c in base[1]), base[2], "x", 5),
         (90_007, " ".join(words[:20]) + " " + long_item + " " + " ".join(words[40:60]), base[2], None, None),
         (None, " ".join(r.sample(words, 60)) + " card 4845168114407329 ok", base[2], "x", 1), (90_008, " ".join(r.sample(words, 60)) + " card 4845168114407329 ok", base[2], "x", 1),
     ]

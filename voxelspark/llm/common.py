@@ -9,14 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import drop, few, materialize, ship  # noqa: F401
+from ..session import FILE_ROWS, drop, few, materialize, ship  # noqa: F401
 
 #: Texts are processed in slices of about this many bytes, which bounds a worker's memory; one longer text makes a slice of its own.
 SLICE_BYTES = 1 << 19
 
 
 #: Texts of a task of a small table.
-TASK_TEXTS = 5_000
+TASK_TEXTS = 10_000
+#: Bytes of text whose blocks or anchors make a file.
+FILE_BYTES = 32 << 20
 
 
 def compact(docs: DataFrame) -> DataFrame:

@@ -231,4 +231,4 @@ def group_near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc
     named = classes.join(found, F.col("first") == F.col("node"), "left").select("key", F.coalesce("root", "first").alias("component_id"))
     own = F.when(F.col("key").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = signed.drop("bands").join(named, "key", "left").select("doc_id", "n_shingles", own.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return C.few(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), signed.count(), C.FILE_ROWS // 10)

@@ -127,17 +127,18 @@ def marked(docs: DataFrame, units: Units, k: int, window: int, resolve: Callable
     several = known.groupBy("doc_id").agg(F.min(tag).alias("low"), F.max(tag).alias("high")).where("low <> high")
     tag = F.lit(0).cast("long") if several.isEmpty() else tag
     docs, known = docs.withColumn("t", tag), known.withColumn("t", tag)
-    anchors = C.materialize(_anchors(known, units, k, window))
+    size, many = known.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    anchors = C.materialize(C.few(_anchors(known, units, k, window), size or 0, C.FILE_BYTES))
     # an anchor's row is short and unique, so hashing that side spares sorting all blocks
     hits = _blocks_of(known, units, k, window).join(anchors.hint("shuffle_hash"), "h").withColumn("mixed", F.lit(True) if whole else F.col("mixed"))
-    hits = C.materialize(hits)
+    hits = C.materialize(C.few(hits, size or 0, C.FILE_BYTES))
     C.drop(anchors)
     rows = hits.count()
     grouped = hits.groupBy("h", "c").agg(F.min(F.struct("doc", "t", "pos")).alias("source"), F.max("doc").alias("hi"), F.max("n").alias("n"), F.max("mixed").alias("mixed"))
     contents = C.materialize(grouped.where("mixed OR source.doc < hi"), rows)
     wanted = contents.where("mixed").select(F.col("source.doc").alias("doc_id"), F.col("source.t").alias("t"), F.struct("source.pos", "n", "h", "c", "hi").alias("cut"))
     wanted = wanted.groupBy("doc_id", "t").agg(F.collect_list("cut").alias("cuts"))
-    runs = resolve(known.join(wanted, ["doc_id", "t"]).select("doc_id", "text", "cuts"))
+    runs = resolve(C.few(known.join(wanted, ["doc_id", "t"]).select("doc_id", "text", "cuts"), many, C.TASK_TEXTS))
     plain = F.array(F.struct(F.lit(0).alias("at"), F.col("n").cast("int").alias("length"), F.col("source.doc").alias("least")))
     least = C.materialize(contents.where("NOT mixed").select("h", "c", plain.alias("runs")).unionByName(runs), contents.count())
     C.drop(contents, runs)
@@ -145,7 +146,7 @@ def marked(docs: DataFrame, units: Units, k: int, window: int, resolve: Callable
     marks = found.groupBy("doc", "t").agg(F.collect_list(F.struct((F.col("pos") + F.col("run.at")).cast("int").alias("begin"), F.col("run.length").cast("int").alias("many"))).alias("marks"))
     marks = C.materialize(marks.withColumnRenamed("doc", "doc_id"), rows)
     C.drop(hits, least)
-    return docs.join(marks, ["doc_id", "t"], "left").select("doc_id", "text", "marks")
+    return C.few(docs.join(marks, ["doc_id", "t"], "left").select("doc_id", "text", "marks"), many, C.TASK_TEXTS)
 
 
 RUNS = "h long, c long, runs array<struct<at: int, length: int, least: long>>"
