@@ -42,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
 #: Drops an execution's shuffle files at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Narrow rows of a file of a small table.
-FILE_ROWS = 1_000_000
+FILE_ROWS = 250_000
 
 
 def few(df: DataFrame, rows: int, each: int = FILE_ROWS) -> DataFrame:
