@@ -22,7 +22,7 @@ from . import repeats
 
 WINDOW, K = 50, 18
 #: Bytes of passages that meet in one task, about; an anchor that has more is split.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
 SEPARATOR = 0xFF  # no byte of UTF-8
 
 
