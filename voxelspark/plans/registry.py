@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -62,9 +63,10 @@ def validated(cells: DataFrame, tasks: tuple[str, ...] = tuple(TASKS)) -> DataFr
     """``cells`` if they have the classes of all ``tasks`` and a density; an unknown task or a missing one is an error before any work."""
     if unknown := [t for t in tasks if t not in TASKS]:
         raise SegmentationError(f"unknown tasks: {', '.join(unknown)}")
+    _need(cells, "x", "y", "z", "hu")
     if lacking := [t for t in tasks if TASKS[t] not in cells.columns]:
         raise SegmentationError(f"no results of the tasks: {', '.join(lacking)}")
-    return _need(cells, "x", "y", "z", "hu")
+    return cells
 
 
 def precomputed(cells: DataFrame, shape: dict[str, int], keys: tuple[str, ...] = ()) -> DataFrame:
@@ -140,14 +142,22 @@ class Config:
             raise ValueError("step is at least 1")
 
 
+def _call(method: Callable, *given, **more) -> DataFrame:
+    """``method`` with those of ``more`` that it takes; one that takes no keys cannot run many volumes."""
+    takes = inspect.signature(method).parameters
+    if more.get("keys") and "keys" not in takes:
+        raise InputValidationError("this method takes one volume at a time")
+    return method(*given, **{k: v for k, v in more.items() if k in takes})
+
+
 def run(cells: DataFrame, shape: dict[str, int], config: Config | None = None, registry: Registry = REGISTRY) -> dict[str, DataFrame]:
     """The lazy results labels, maps, points and counts of one configuration; an unknown method name fails before any work."""
     config = config or Config()
     segment, render, sample = (registry.get(kind, getattr(config, kind)) for kind in KINDS)
-    found = segment(cells, shape, keys=config.keys)
+    found = _call(segment, cells, shape, keys=config.keys)
     return {
         "labels": found,
-        "maps": render(found, shape, config.step, keys=config.keys, seed=config.seed),
-        "points": sample(found, shape, config.quota, config.seed, keys=config.keys),
+        "maps": _call(render, found, shape, config.step, keys=config.keys, seed=config.seed),
+        "points": _call(sample, found, shape, config.quota, config.seed, keys=config.keys),
         "counts": found.groupBy(*config.keys, "label").agg(F.count("*").alias("n")),
     }
