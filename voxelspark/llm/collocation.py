@@ -3,15 +3,15 @@
 Texts are lower-cased (A-Z), parted at punctuation and line ends, and the parts into words; a phrase is a run of words within a part, and all counts are by language.
 
 1. Tasks count the hashes of words and pairs and send one row for each segment of the hash range; a segment's task adds them up and keeps a bit for each hash that occurs ``least`` times. These bits are a filter of fixed size
-   (``FILTER_BITS``); hashes that share a bit only add candidates.
-2. A candidate is a word or pair that passes the filter, or a longer phrase of which all pairs do: a phrase is never more frequent than its parts, so none that matters is lost (Apriori). Tasks count
-   candidates slice by slice and store phrase and count.
+   (``FILTER_BITS``); hashes that share a bit only add candidates. Then phrases of three words, and so on, are counted alike, if both their parts of one word less pass: a phrase is never more frequent than its parts, so
+   none that matters is lost (Apriori).
+2. What passes all filters is a candidate. Tasks count candidates slice by slice and store phrase and count.
 3. Candidates are dealt out to segments of about ``SEGMENT`` by a hash. A segment gets a minimal perfect hash: levels of bits in which a key stands where no other key of the level fell, and a slot is the rank of its bit.
    Its keys are stored by slot, and every use compares the stored language and phrase.
 4. Mappers, several for a segment, turn phrases into slots and ``bincount`` them into arrays; the arrays of a segment are summed as a tree.
 5. The counts of both parts of every cut are read by slot, by tasks that hold one segment each; requests are salted, so a word that is part of very many phrases is asked for in many tasks.
 
-No task holds a language, and nothing but the filter goes through the driver.
+No task holds a language, and nothing but the filters goes through the driver.
 
 Defined results: a null text is empty; a null language is ``und``; repeated rows count; a language without candidates gives no rows, as does an empty table; other columns are ignored. Within one slice of
 ``SLICE`` bytes phrases are told apart by 64 bits, beyond that by their text.
@@ -31,6 +31,8 @@ from . import common as C
 
 #: Words of the longest phrase, occurrences of a candidate, phrases that are returned for each language, and the share in % of its occurrences that a longer phrase must have to displace it.
 WORDS, LEAST, TOP, WITHIN = 3, 10, 2000, 50
+#: In decimals of 38 digits, which hold the products of counts up to 10**15.
+SCORE = "CAST((CAST(1000000 AS DECIMAL(38,0)) * a * a) DIV (CAST(l AS DECIMAL(38,0)) * r) AS LONG)"
 FILTER_BITS = 26
 SLICE = 4 << 20
 #: Bytes of text whose hashes meet in a task of step 1; candidates of a segment; rows that a mapper of step 4 or a reader of step 5 takes; arrays that are summed at once.
@@ -100,14 +102,38 @@ def _sliced(batches):
             yield Slice(data, offsets, codes[i:j]), langs[i:j]
 
 
-# ---------------------------------------------------------------- step 1: the filter
+# ---------------------------------------------------------------- step 1: the filters
 
 
-def frequent_bits(texts: DataFrame, least: int, bits: int = FILTER_BITS) -> np.ndarray:
-    """2**bits bits, packed: those of the highest bits of each hash of a word or pair that occurs ``least`` times."""
+def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit."""
+    cell = h >> C.U64(62 - len(bits).bit_length())  # len(bits) is a power of two, of bytes
+    return (bits[(cell >> C.U64(3)).astype(np.int64)] >> (C.U64(7) - (cell & C.U64(7))).astype(np.uint8)) & 1 == 1
+
+
+def candidates(piece: Slice, filters: list[np.ndarray], words: int):
+    """For each number of words: it, and first words and hashes of the phrases that pass the filters and whose parts, one word shorter, do. The first filter is that of words and pairs."""
+    shorter = None
+    for k in range(1, words + 1):
+        at, h = piece.phrases(k)
+        if k > 2:
+            ok = shorter[at] & shorter[at + 1]
+            at, h = at[ok], h[ok]
+        if max(0, k - 2) < len(filters):
+            ok = _passes(filters[max(0, k - 2)], h)
+            at, h = at[ok], h[ok]
+        yield k, at, h
+        shorter = np.zeros(len(piece.hash) + 1, bool)
+        shorter[at] = True
+
+
+def frequent_bits(texts: DataFrame, least: int, filters: list[np.ndarray], bits: int = FILTER_BITS) -> np.ndarray:
+    """The filter after ``filters``: 2**bits bits, packed: those of the highest bits of each hash that occurs ``least`` times among the next longer candidates."""
     wanted = -(-C.text_bytes(texts) // RANGE_BYTES)
     log = min(bits - 10, max(0, int(wanted - 1).bit_length()))  # so many segments, as a power of two
     schema = pa.schema([("seg", pa.int32()), ("h", pa.binary()), ("n", pa.binary())])
+    sizes = [len(filters) + 2] if filters else [1, 2]
+    sent = texts.sparkSession.sparkContext.broadcast([x.tobytes() for x in filters])
 
     def rows(parts: list[np.ndarray]):
         h, n = np.unique(np.concatenate(parts), return_counts=True)
@@ -119,14 +145,17 @@ def frequent_bits(texts: DataFrame, least: int, bits: int = FILTER_BITS) -> np.n
             yield C.batches(schema, [some.astype(np.int32), [h[cut[i] : cut[i + 1]].tobytes() for i in some], [n[cut[i] : cut[i + 1]].tobytes() for i in some]])
 
     def count(batches):
+        known = [np.frombuffer(x, np.uint8) for x in sent.value]
         held, size = [], 0
         for piece, _ in _sliced(batches):
-            held += [piece.phrases(1)[1], piece.phrases(2)[1]]
-            size += len(held[-1]) + len(held[-2])
+            for k, _, h in candidates(piece, known, sizes[-1]):
+                if k in sizes:
+                    held.append(h)
+                    size += len(h)
             if size > 1 << 22:
                 yield from rows(held)
                 held, size = [], 0
-        if held:
+        if size:
             yield from rows(held)
 
     def add(table):
@@ -141,45 +170,34 @@ def frequent_bits(texts: DataFrame, least: int, bits: int = FILTER_BITS) -> np.n
         return pa.table({"seg": table.column("seg")[:1], "bits": pa.array([np.packbits(own).tobytes()], pa.binary())})
 
     C.ship(texts.sparkSession)
-    found = C.map_arrow(texts, count, "seg int, h binary, n binary").groupBy("seg").applyInArrow(add, "seg int, bits binary").collect()  # 2**bits bits, whatever the corpus
+    stored = C.materialize(C.map_arrow(texts, count, "seg int, h binary, n binary").groupBy("seg").applyInArrow(add, "seg int, bits binary"))
     out = np.zeros((1 << log, 1 << (bits - log - 3)), np.uint8)
-    for r in found:
+    for r in stored.collect():  # 2**bits bits, whatever the corpus
         out[r.seg] = np.frombuffer(r.bits, np.uint8)
+    C.drop(stored)
+    sent.unpersist()
     return out.ravel()
 
 
 # ---------------------------------------------------------------- step 2: candidates
 
 
-def occurrences(texts: DataFrame, least: int, words: int, bits: int = FILTER_BITS) -> DataFrame:
+def occurrences(texts: DataFrame, least: int, words: int) -> DataFrame:
     """A stored table of lang, phrase, words and n: partial counts of all candidates, and of all words of a language (phrase null, words 0)."""
-    sent = texts.sparkSession.sparkContext.broadcast(frequent_bits(texts, least, bits).tobytes())
+    filters: list[np.ndarray] = []
+    for _ in range(1, max(2, words)):
+        filters.append(frequent_bits(texts, least, filters))
+    sent = texts.sparkSession.sparkContext.broadcast([x.tobytes() for x in filters])
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
-        passes = np.frombuffer(sent.value, np.uint8)
-
-        def known(h: np.ndarray) -> np.ndarray:
-            cell = h >> C.U64(64 - bits)
-            return (passes[(cell >> C.U64(3)).astype(np.int64)] >> (C.U64(7) - (cell & C.U64(7))).astype(np.uint8)) & 1 == 1
-
+        known = [np.frombuffer(x, np.uint8) for x in sent.value]
         for piece, langs in _sliced(batches):
             named = np.array([x if x is not None else "und" for x in langs], object)
             some, many = np.unique(named[piece.row].astype(str), return_counts=True)
             if len(some):
                 yield C.batches(schema, [some.tolist(), pa.nulls(len(some), pa.string()), np.zeros(len(some), np.int32), many])
-            pair = np.zeros(len(piece.hash) + 1, bool)
-            for k in range(1, words + 1):
-                at, h = piece.phrases(k)
-                if k <= 2:
-                    ok = known(h)
-                    if k == 2:
-                        pair[at[ok]] = True
-                else:
-                    ok = pair[at]
-                    for i in range(1, k - 1):
-                        ok &= pair[at + i]
-                at, h = at[ok], h[ok]
+            for k, at, h in candidates(piece, known, words):
                 _, first, n = np.unique(h, return_index=True, return_counts=True)
                 for i in range(0, len(first), 100_000):
                     own = at[first[i : i + 100_000]]
@@ -304,7 +322,8 @@ def _tree_sum(arrays: DataFrame, parts: int) -> DataFrame:
         return pa.table({"seg": table.column("seg")[:1], "part": pa.array([table.column("part")[0].as_py() // FAN], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     while True:
-        arrays = C.materialize(arrays.groupBy("seg", F.floor(F.col("part") / FAN).alias("_up")).applyInArrow(add, "seg int, part int, counts binary"))
+        before, arrays = arrays, C.materialize(arrays.groupBy("seg", F.floor(F.col("part") / FAN).alias("_up")).applyInArrow(add, "seg int, part int, counts binary"))
+        C.drop(before)
         parts = -(-parts // FAN)
         if parts == 1:
             return arrays
@@ -324,7 +343,10 @@ def counted(found: DataFrame) -> tuple[DataFrame, int]:
 
     dealt = _keyed(found.select("lang", "phrase", "n"), segments).withColumn("deal", F.monotonically_increasing_id())
     arrays = C.materialize(at_segments(dealt, built.select("seg", "mph", "langs", "phrases"), parts, run, "seg int, part int, counts binary"))
-    return C.materialize(built.join(_tree_sum(arrays, parts).select("seg", "counts"), "seg")), segments
+    sums = _tree_sum(arrays, parts)
+    out = C.materialize(built.join(sums.select("seg", "counts"), "seg"))
+    C.drop(keys, built, sums)
+    return out, segments
 
 
 def unfolded(segments: DataFrame) -> DataFrame:
@@ -375,16 +397,18 @@ def mine(docs: DataFrame, words: int = WORDS, least: int = LEAST, top: int = TOP
     """lang, rank, phrase, a, l, r, n and score of each language's best phrases of 2 to ``words`` words."""
     texts = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     found = occurrences(texts, least, words)
-    totals = found.where("words = 0").groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = C.materialize(found.where("words = 0").groupBy("lang").agg(F.sum("n").alias("n")))
     segments, how_many = counted(found.where("words > 0"))
+    C.drop(found)
     counts = unfolded(segments)
     phrases = C.materialize(counts.where((F.col("n") >= least) & F.contains("phrase", F.lit(" "))).select("lang", "phrase", F.col("n").alias("a")))
-    wide = "decimal(38,0)"
-    score = F.expr(f"CAST((CAST(1000000 AS {wide}) * a * a) DIV (CAST(l AS {wide}) * r) AS LONG)")
-    scored = cut_counts(phrases, segments, how_many, words).withColumn("score", score)
+    scored = cut_counts(phrases, segments, how_many, words).withColumn("score", F.expr(SCORE))
     best = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("x")).select("lang", "phrase", "a", "x.score", "x.l", "x.r")
+    best = C.materialize(best)
+    C.drop(segments)
     kept = C.materialize(best.join(_displaced(phrases, within), ["lang", "phrase"], "left_anti"))
+    C.drop(best, phrases)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     salted = kept.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(64))).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
     ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)  # of 64 * top rows
-    return ranked.join(C.checked_broadcast(C.materialize(totals)), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return ranked.join(C.checked_broadcast(totals), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
