@@ -8,7 +8,7 @@ Rows near each other in all dimensions lie near each other on the curve, so a sh
 3. Rows are ordered by index, then by a hash of the text (equal texts of equal cells are neighbours), then by id, and numbered over ranges; shard s holds the places from s * n / shards on, so counts are at most one apart.
 
 Defined results: null values have a cell of their own, before all others; null texts have no bytes; repeated rows are rows of their own; rows that are equal in all of this may change places with each other; an
-empty table gives no rows; other columns go along in ``shard_documents`` and ``write_shards``.
+empty table gives no rows; other columns, whatever their names, go along in ``shard_documents`` and ``write_shards``.
 """
 
 from __future__ import annotations
@@ -67,7 +67,7 @@ def quantised(rows: DataFrame, column: str, bits: int) -> DataFrame:
 
 
 def ordered(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> DataFrame:
-    """``docs`` (a stored table's rows, no columns named as below) with their cells and curve: a stored table."""
+    """``docs`` with the cells of ``dimensions`` and curve: a stored table."""
     kinds = dict(docs.dtypes)
     rows = docs.select("*", *[_bin(kinds[d], F.col(d)).alias(f"bin_{d}") for d in dimensions])
     for d in dimensions:
@@ -83,21 +83,22 @@ def ordered(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits: int
     return C.materialize(C.map_arrow(rows, run, rows.schema))
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS, tie: tuple[str, ...] = ("text_hash", "doc_id")) -> DataFrame:
-    """``docs`` (with the columns of ``dimensions`` and ``tie``) with shard, slot (gapless from 0 in its shard) and curve."""
-    stored = ordered(docs, dimensions, bits)
-    out = numbered(stored, [], ["curve", *tie]).withColumn("shard", F.expr(f"CAST((at * {shards}) DIV n AS INT)"))
+def _placed(rows: DataFrame, shards: int, dimensions: tuple[str, ...], bits: int) -> DataFrame:
+    """shard, slot, curve and the fields of ``row`` of ``rows`` (row, dimensions, text_hash, doc_id)."""
+    out = numbered(ordered(rows, dimensions, bits), [], ["curve", "text_hash", "doc_id"]).withColumn("shard", F.expr(f"CAST((at * {shards}) DIV n AS INT)"))
     first = F.expr(f"(shard * n + {shards - 1}) DIV {shards}")
-    return out.withColumn("slot", F.col("at") - first).select(*docs.columns, "shard", "slot", "curve")
+    return out.select("row.*", "shard", (F.col("at") - first).alias("slot"), "curve")
 
 
-def with_text_hash(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    return docs.withColumn("text_hash", F.xxhash64(text_col))
+def shard_documents(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> DataFrame:
+    """``docs`` (with doc_id, text and the columns of ``dimensions``) with shard, slot (gapless from 0 in its shard) and curve, in place of columns of these names."""
+    kept = [c for c in docs.columns if c not in ("shard", "slot", "curve")]
+    return _placed(docs.select(F.struct(*kept).alias("row"), *dimensions, F.xxhash64("text").alias("text_hash"), "doc_id"), shards, dimensions, bits)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> None:
-    """Writes whole documents (with doc_id and text) as Parquet, a folder for each shard, sorted by slot; a shard's files are runs of the curve too, so many tasks write one shard."""
-    placed = shard_documents(with_text_hash(docs), shards, dimensions, bits).drop("text_hash", "curve")
+    """Writes whole documents as Parquet, a folder for each shard, sorted by slot; a shard's files are runs of the curve too, so many tasks write one shard."""
+    placed = shard_documents(docs, shards, dimensions, bits).drop("curve")
     placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
@@ -115,8 +116,8 @@ def relevant(stats: DataFrame, ranges: dict[str, tuple]) -> DataFrame:
 
 
 def shard_digest(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard and curve of every row (doc_id, text, lang, source, n_chars)."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard and curve of every row (doc_id, text, lang, source, n_chars). Only these digests are sorted, not the texts."""
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long")
-    given = with_text_hash(docs).select("doc_id", *DIMENSIONS, "text_hash", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
-    out = shard_documents(given, shards)
+    row = F.struct("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
+    out = _placed(docs.select(row.alias("row"), *DIMENSIONS, F.xxhash64("text").alias("text_hash"), "doc_id"), shards, DIMENSIONS, BITS)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
