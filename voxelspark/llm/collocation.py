@@ -5,7 +5,7 @@ Texts are lower-cased (A-Z), parted at punctuation and line ends, and the parts
 1. Tasks count the hashes of words and pairs and send one row for each segment of the hash range; a segment's task adds them up and keeps a bit for each hash that occurs ``least`` times. These bits are a filter of fixed size
    (``FILTER_BITS``); hashes that share a bit only add candidates. Then phrases of three words, and so on, are counted alike, if both their parts of one word less pass: a phrase is never more frequent than its parts, so
    none that matters is lost (Apriori).
-2. What passes all filters is a candidate. Tasks count candidates slice by slice and store phrase and count.
+2. What passes all filters is a candidate. Tasks add up candidates as long as these are few enough, and store phrase and count.
 3. Candidates are dealt out to segments of about ``SEGMENT`` by a hash. A segment gets a minimal perfect hash: levels of bits in which a key stands where no other key of the level fell, and a slot is the rank of its bit.
    Its keys are stored by slot, and every use compares the stored language and phrase.
 4. Mappers, several for a segment, turn phrases into slots and ``bincount`` them into arrays; the arrays of a segment are summed as a tree.
@@ -34,7 +34,9 @@ WORDS, LEAST, TOP, WITHIN = 3, 10, 2000, 50
 #: In decimals of 38 digits, which hold the products of counts up to 10**15.
 SCORE = "CAST((CAST(1000000 AS DECIMAL(38,0)) * a * a) DIV (CAST(l AS DECIMAL(38,0)) * r) AS LONG)"
 FILTER_BITS = 26
-SLICE = 4 << 20
+SLICE = 2 << 20
+#: Candidates whose counts a task of step 2 holds; beyond that it stores them and starts anew.
+TASK_ROWS = 600_000
 #: Bytes of text whose hashes meet in a task of step 1; candidates of a segment; rows that a mapper of step 4 or a reader of step 5 takes; arrays that are summed at once.
 RANGE_BYTES, SEGMENT, ROWS, FAN = 8 << 20, 1 << 17, 1 << 18, 8
 
@@ -190,18 +192,29 @@ def occurrences(texts: DataFrame, least: int, words: int) -> DataFrame:
     sent = texts.sparkSession.sparkContext.broadcast([x.tobytes() for x in filters])
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
 
+    def merged(held: list[pa.RecordBatch]) -> pa.Table:
+        return pa.Table.from_batches(held).group_by(["lang", "phrase", "words"]).aggregate([("n", "sum")]).rename_columns(schema.names)
+
     def run(batches):
         known = [np.frombuffer(x, np.uint8) for x in sent.value]
+        held, size = [], 0
         for piece, langs in _sliced(batches):
             named = np.array([x if x is not None else "und" for x in langs], object)
             some, many = np.unique(named[piece.row].astype(str), return_counts=True)
             if len(some):
-                yield C.batches(schema, [some.tolist(), pa.nulls(len(some), pa.string()), np.zeros(len(some), np.int32), many])
+                held.append(C.batches(schema, [some.tolist(), pa.nulls(len(some), pa.string()), np.zeros(len(some), np.int32), many]))
             for k, at, h in candidates(piece, known, words):
                 _, first, n = np.unique(h, return_index=True, return_counts=True)
-                for i in range(0, len(first), 100_000):
-                    own = at[first[i : i + 100_000]]
-                    yield C.batches(schema, [named[piece.row[own]].tolist(), piece.texts(own, k), np.full(len(own), k, np.int32), n[i : i + 100_000]])
+                own = at[first]
+                held.append(C.batches(schema, [pa.array(named, pa.string()).take(pa.array(piece.row[own])), piece.texts(own, k), np.full(len(own), k, np.int32), n]))
+                size += len(own)
+            if size > 2 * TASK_ROWS:
+                held = merged(held).combine_chunks().to_batches()
+                if (size := sum(x.num_rows for x in held)) > TASK_ROWS:
+                    yield from (x.slice(i, 50_000) for x in held for i in range(0, x.num_rows, 50_000))
+                    held, size = [], 0
+        if held:
+            yield from merged(held).combine_chunks().to_batches(50_000)
 
     out = C.materialize(C.map_arrow(texts, run, "lang string, phrase string, words int, n long"))
     sent.unpersist()
