@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import CLASS_TO_LABEL, DENSITY
-from . import stencil
+from . import packed
 
 AXES = ("x", "y", "z")
 
@@ -33,49 +33,24 @@ def dense(hu: Column) -> Column:
     return (hu > DENSITY[0]) & (hu < DENSITY[1])
 
 
-def _moved(cells: DataFrame, axes: list[str], shape: dict[str, int], moves: Column, carried: list[str]) -> DataFrame:
-    """One row for each move (offsets by axis, flags) of a cell, within ``shape``; the move that stays carries the cell's own columns."""
-    out = cells.withColumn("_m", F.explode(moves))
-    stays = F.lit(True)
-    for a in shape:
-        stays = stays & (F.col(f"_m.{a}") == 0)
-    flags = [f for f in ("grow", "inner") if f in out.select("_m.*").columns]
-    keys = [a for a in axes if a not in shape]
-    out = out.select(*keys, *[(F.col(a) + F.col(f"_m.{a}")).cast("int").alias(a) for a in shape], *[F.col(f"_m.{f}").alias(f) for f in flags], *[F.when(stays, F.col(c)).alias(c) for c in carried])
-    for a, n in shape.items():
-        out = out.where((F.col(a) >= 0) & (F.col(a) < n))
-    return out
-
-
-def shelled(cells: DataFrame, shape: dict[str, int], dilation: int = 1, erosion: int = 3, box: int = 2, keys: tuple[str, ...] = (), carried: tuple[str, ...] = ()) -> DataFrame:
-    """keys, axes, ``carried`` columns, own (1 for cells of ``cells``, else null) and skin (1 or 0) of cells and of what the skin reaches.
-
-    Both morphological steps of the shell share one explode and one aggregate, and the box another, so the volume is read once and nothing is joined.
-    """
-    axes = [*keys, *shape]
-    big, small = stencil.ball(dilation), stencil.ball(erosion)
-    move = lambda o, grow, inner: F.struct(*[F.lit(d).alias(a) for a, d in zip(shape, o, strict=True)], grow.cast("int").alias("grow"), F.lit(int(inner)).alias("inner"))
-    around = F.array(*[move(o, F.lit(o in big) & (F.col("bod") == 1), o in small) for o in sorted({*big, *small})])
-    none = tuple([0] * len(shape))
-    own = cells.select(*axes, *carried, "bod", F.lit(1).alias("own"), dense(F.col("hu")).cast("int").alias("dense"))
-    keep = [*carried, "own", "dense"]
-    spread = _moved(own, axes, shape, F.when(F.coalesce(F.col("bod"), F.lit(0)) != 0, around).otherwise(F.array(move(none, F.lit(False), False))), keep)
-    met = spread.groupBy(*axes).agg(F.max("grow").alias("grow"), F.sum("inner").alias("inner"), *[F.max(c).alias(c) for c in keep])
-    shell = (F.col("grow") == 1) & (F.col("inner") < len(small)) & (F.coalesce("dense", F.lit(0)) == 1)
-    low = -(box // 2)
-    wide = stencil.box(low, low + box - 1)
-    step = lambda o, skin: F.struct(*[F.lit(d).alias(a) for a, d in zip(shape, o, strict=True)], F.lit(int(skin)).alias("grow"))
-    moves = F.when(shell, F.array(*[step(o, o in wide) for o in sorted({*wide, none})])).otherwise(F.array(step(none, False)))
-    return _moved(met, axes, shape, moves, keep[:-1]).groupBy(*axes).agg(F.max("grow").alias("skin"), *[F.max(c).alias(c) for c in keep[:-1]])
+def shell(cells: DataFrame, shape: dict[str, int], dilation: int = 1, erosion: int = 3, box: int = 2, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Packed planes (``keys``, z, skin) of the body's shell: the dilated body without the eroded one, where density allows, dilated by a box of ``box`` cells a side."""
+    body = F.coalesce(F.col("bod"), F.lit(0))
+    planes = packed.pack(cells, {"body": body == 1, "whole": body != 0, "dense": dense(F.col("hu"))}, shape, keys)
+    planes = packed.erode_ball(packed.dilate_ball(planes, "body", "body", dilation, shape, keys), "whole", "whole", erosion, shape, keys)
+    planes = planes.select(*keys, "z", packed.both(packed.without(F.col("body"), F.col("whole")), F.col("dense")).alias("skin"))
+    return packed.dilate_box(planes, "skin", "skin", -(box // 2), box - box // 2 - 1, shape, keys)
 
 
 def skin(cells: DataFrame, shape: dict[str, int], dilation: int = 1, erosion: int = 3, box: int = 2, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Cells of the body's shell: the dilated body without the eroded one, where density allows, dilated by a box of ``box`` cells a side. ``keys`` name a volume."""
-    return shelled(cells, shape, dilation, erosion, box, keys).where("skin = 1").select(*keys, *shape)
+    """``keys``, x, y, z of the cells of ``shell``. ``keys`` name a volume."""
+    return packed.unpack(shell(cells, shape, dilation, erosion, box, keys), "skin", shape, keys)
 
 
 def assemble(cells: DataFrame, shape: dict[str, int], fast: bool = False, box: int = 2, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``keys``, x, y, z and label; writes of skin, fat and classes in reverse order as one CASE, and background 9 for what is left."""
-    found = remap(shelled(cells, shape, box=box, keys=keys, carried=("tot", "tis")).where("own = 1"))
-    value = F.when(F.col("skin") == 1, 12).when(is_fat(F.col("tis"), fast), 3).when(F.col("label") != 0, F.col("label")).otherwise(9)
+    """``keys``, x, y, z and label; writes of skin, fat and classes in reverse order as one CASE, and background 9 for what is left. The skin is joined line by line, as bits."""
+    shells = packed.lines(shell(cells, shape, box=box, keys=keys), "skin", shape, keys)
+    found = remap(cells).join(shells, [*keys, "z", "y"], "left")
+    skin = F.coalesce(packed.has("skin", F.col("x")), F.lit(False))
+    value = F.when(skin, 12).when(is_fat(F.col("tis"), fast), 3).when(F.col("label") != 0, F.col("label")).otherwise(9)
     return found.select(*keys, *shape, value.cast("int").alias("label"))

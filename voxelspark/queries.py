@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.constants import BLOB_SIZE, CLASS_TO_LABEL, PALETTE, TISSUES
-from .operators import acoustics, components, geometry, labels, sampling, stencil
+from .operators import acoustics, components, geometry, labels, packed, sampling, stencil
 from .plans import exports, registry, rendering
 from .session import shared_dir
 from .sources import catalog, demo, nifti, pictures
@@ -103,6 +103,7 @@ query("tissue_overlay_fast", f"WITH {VOL}, {RUNS} SELECT x, y, z, CAST(CASE WHEN
     lambda s, d: labels.remap(volume(s, d)).select("x", "y", "z", F.when(labels.is_fat(F.col("tis"), fast=True), 3).otherwise(F.col("label")).alias("label"))
 )
 query("body_skin", f"WITH {SKIN} SELECT x, y, z FROM skin")(lambda s, d: labels.skin(volume(s, d), SHAPE))
+query("body_skin_volumes", f"WITH {skin_sql(VOLUMES, 'volume_id, ')} SELECT volume_id, x, y, z FROM skin")(lambda s, d: labels.skin(volume(s, d, KEY), SHAPE, keys=KEY))
 query("label_assembly", f"{ASSEMBLED} SELECT x, y, z, label FROM lab")(assembled)
 query("label_assembly_volumes", f"{MANY} SELECT volume_id, x, y, z, label FROM lab")(lambda s, d: labels.assemble(volume(s, d, KEY), SHAPE, keys=KEY))
 query("label_counts_volumes", f"{MANY} SELECT volume_id, label, count(*) AS n FROM lab GROUP BY ALL")(lambda s, d: registry.run(volume(s, d, KEY), SHAPE, registry.Config(keys=KEY))["counts"])
@@ -127,15 +128,38 @@ query("preview_slices", f"{ASSEMBLED}, {PALETTE_SQL} SELECT z AS plane, y AS row
 
 # ---------------------------------------------------------------- morphology
 
-query("dilate", f"WITH {VOL}, {MASK}, {near('o', 'm', stencil.ball(2))} FROM o")(lambda s, d: stencil.dilate(body(s, d), stencil.ball(2), SHAPE))
-query("erode", f"WITH {VOL}, {MASK}, {all_near('o', 'm', BALL3)} FROM o")(lambda s, d: stencil.erode(body(s, d), BALL3, SHAPE))
-query("closing", f"WITH {VOL}, {MASK}, {near('g', 'm', BALL3)}, {all_near('o', 'g', BALL3)} FROM o")(lambda s, d: stencil.closing(body(s, d), BALL3, SHAPE))
-query("dilate_box", f"WITH {VOL}, {MASK}, {near('o', 'm', BOX2)} FROM o")(lambda s, d: stencil.dilate(body(s, d), BOX2, SHAPE))
-query("pool_dilate", f"WITH {VOL}, {MASK}, {near('o', 'm', CUBE)} FROM o")(lambda s, d: stencil.dilate(body(s, d), CUBE, SHAPE))
-POOL_ERODE = lambda name, source: f"{name}_n AS (FROM grid EXCEPT SELECT x, y, z FROM {source}), {near(name + '_d', name + '_n', CUBE)}, {name} AS (FROM grid EXCEPT FROM {name}_d)"
-query("pool_erode", f"WITH {VOL}, {MASK}, {GRID}, {POOL_ERODE('o', 'm')} FROM o")(lambda s, d: stencil.erode(body(s, d), CUBE, SHAPE, "ignore"))
-query("pool_closing", f"WITH {VOL}, {MASK}, {GRID}, {near('g', 'm', CUBE)}, {POOL_ERODE('o', 'g')} FROM o")(lambda s, d: stencil.closing(body(s, d), CUBE, SHAPE, "ignore"))
-query("pool_opening", f"WITH {VOL}, {MASK}, {GRID}, {POOL_ERODE('g', 'm')}, {near('o', 'g', CUBE)} FROM o")(lambda s, d: stencil.opening(body(s, d), CUBE, SHAPE, "ignore"))
+def masks(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The packed planes of the body."""
+    return packed.pack(volume(spark, sf_dir, keys), {"body": F.col("bod") == 1}, SHAPE, keys)
+
+
+def packed_query(name: str, sql: str, *steps):
+    """A query of one volume, whose SQL has ``m`` for the mask and ends in ``o``, and ``<name>_volumes`` over the volumes of all orders. A step is (function, arguments)."""
+
+    def run(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ()) -> DataFrame:
+        planes = masks(spark, sf_dir, keys)
+        for f, *arguments in steps:
+            planes = f(planes, "body", "body", *arguments[:-1], SHAPE, keys, arguments[-1]) if isinstance(arguments[-1], str) else f(planes, "body", "body", *arguments, SHAPE, keys)
+        return packed.unpack(planes, "body", SHAPE, keys)
+
+    query(name, f"WITH {VOL}, {MASK}, {GRID}, {sql('')} FROM o")(run)
+    whole = f"vols AS (SELECT DISTINCT volume_id FROM vol), {GRID.replace('AS (SELECT ', 'AS (SELECT volume_id, ').replace('FROM range(32) a(x)', 'FROM vols, range(32) a(x)')}"
+    query(f"{name}_volumes", f"WITH {VOLUMES}, {MASK.replace('SELECT ', 'SELECT volume_id, ')}, {whole}, {sql('volume_id, ')} FROM o")(lambda s, d: run(s, d, KEY))
+
+
+def pool_erode(name: str, source: str, key: str) -> str:
+    return f"{name}_n AS (FROM grid EXCEPT SELECT {key}x, y, z FROM {source}), {near(name + '_d', name + '_n', CUBE, key)}, {name} AS (FROM grid EXCEPT FROM {name}_d)"
+
+
+GROW, SHRINK, GROW_BOX, SHRINK_BOX = packed.dilate_ball, packed.erode_ball, packed.dilate_box, packed.erode_box
+packed_query("dilate", lambda k: near("o", "m", stencil.ball(2), k), (GROW, 2))
+packed_query("erode", lambda k: all_near("o", "m", BALL3, k), (SHRINK, 3))
+packed_query("closing", lambda k: f"{near('g', 'm', BALL3, k)}, {all_near('o', 'g', BALL3, k)}", (GROW, 3), (SHRINK, 3))
+packed_query("dilate_box", lambda k: near("o", "m", BOX2, k), (GROW_BOX, -1, 0))
+packed_query("pool_dilate", lambda k: near("o", "m", CUBE, k), (GROW_BOX, -1, 1))
+packed_query("pool_erode", lambda k: pool_erode("o", "m", k), (SHRINK_BOX, -1, 1, "ignore"))
+packed_query("pool_closing", lambda k: f"{near('g', 'm', CUBE, k)}, {pool_erode('o', 'g', k)}", (GROW_BOX, -1, 1), (SHRINK_BOX, -1, 1, "ignore"))
+packed_query("pool_opening", lambda k: f"{pool_erode('g', 'm', k)}, {near('o', 'g', CUBE, k)}", (SHRINK_BOX, -1, 1, "ignore"), (GROW_BOX, -1, 1))
 
 
 def plane_near(name: str, source: str, element: list[tuple]) -> str:
