@@ -248,7 +248,7 @@ def test_collocations(phrase_docs):
 
 def test_collocations_dealt_out(phrase_docs, monkeypatch):
     """Many segments, several mappers and readers for each, several rounds of the tree, and another length and limits."""
-    for name, value in (("SEGMENT", 200), ("ROWS", 40), ("FAN", 2), ("RANGE_BYTES", 2000), ("SLICE", 3000), ("TASK_ROWS", 150)):
+    for name, value in (("SEGMENT_BYTES", 2000), ("ENTRIES", 40), ("FAN", 2), ("RANGE_BYTES", 2000), ("SLICE", 3000), ("TASK_KEYS", 150)):
         monkeypatch.setattr(collocation, name, value)
     assert sorted(map(tuple, collocation.mine(phrase_docs).collect())) == plain_phrases(phrase_rows())
     assert sorted(map(tuple, collocation.mine(phrase_docs, words=4, least=6, top=9, within=80).collect())) == plain_phrases(phrase_rows(), 4, 6, 9, 80)

@@ -5,16 +5,17 @@ Texts are lower-cased (A-Z), parted at punctuation and line ends, and the parts
 1. Tasks count the hashes of words and pairs and send one row for each segment of the hash range; a segment's task adds them up and keeps a bit for each hash that occurs ``least`` times. These bits are a filter of fixed size
    (``FILTER_BITS``); hashes that share a bit only add candidates. Then phrases of three words, and so on, are counted alike, if both their parts of one word less pass: a phrase is never more frequent than its parts, so
    none that matters is lost (Apriori).
-2. What passes all filters is a candidate. Tasks add up candidates as long as these are few enough, and store phrase and count.
-3. Candidates are dealt out to segments of about ``SEGMENT`` by a hash. A segment gets a minimal perfect hash: levels of bits in which a key stands where no other key of the level fell, and a slot is the rank of its bit.
-   Its keys are stored by slot, and every use compares the stored language and phrase.
-4. Mappers, several for a segment, turn phrases into slots and ``bincount`` them into arrays; the arrays of a segment are summed as a tree.
-5. The counts of both parts of every cut are read by slot, by tasks that hold one segment each; requests are salted, so a word that is part of very many phrases is asked for in many tasks.
+2. What passes all filters is a candidate: a language and the 64-bit hashes of its words. Tasks add up candidates and store them by segments of a hash, as arrays; the texts of words are stored beside them.
+3. A segment gets a minimal perfect hash: levels of bits in which a key stands where no other key of the level fell, and a slot is the rank of its bit. Its keys are stored by slot, and every use compares
+   language and words with the stored ones.
+4. Mappers, several for a segment, turn candidates into slots and ``bincount`` them into arrays; the arrays of a segment are summed as a tree.
+5. The counts of both parts of every cut are read by slot, by tasks that hold one segment each; requests are dealt out to several tasks, so a word that is part of very many phrases is asked for in many.
+6. What can be among a language's best, ties included, gets its words' texts, and is ranked.
 
 No task holds a language, and nothing but the filters goes through the driver.
 
-Defined results: a null text is empty; a null language is ``und``; repeated rows count; a language without candidates gives no rows, as does an empty table; other columns are ignored. Within one slice of
-``SLICE`` bytes phrases are told apart by 64 bits, beyond that by their text.
+Defined results: a null text is empty; a null language is ``und``; repeated rows count; a language without candidates gives no rows, as does an empty table; other columns are ignored. Words are told apart
+by 64 bits, phrases by the hashes of all their words.
 """
 
 from __future__ import annotations
@@ -36,9 +37,9 @@ SCORE = "CAST((CAST(1000000 AS DECIMAL(38,0)) * a * a) DIV (CAST(l AS DECIMAL(38
 FILTER_BITS = 26
 SLICE = 2 << 20
 #: Candidates whose counts a task of step 2 holds; beyond that it stores them and starts anew.
-TASK_ROWS = 600_000
-#: Bytes of text whose hashes meet in a task of step 1; candidates of a segment; rows that a mapper of step 4 or a reader of step 5 takes; arrays that are summed at once.
-RANGE_BYTES, SEGMENT, ROWS, FAN = 8 << 20, 1 << 17, 1 << 18, 8
+TASK_KEYS = 1 << 20
+#: Bytes of text whose hashes meet in a task of step 1, and for which there is a segment; candidates that a mapper of step 4 or a reader of step 5 takes; arrays that are summed at once.
+RANGE_BYTES, SEGMENT_BYTES, ENTRIES, FAN = 8 << 20, 32 << 20, 1 << 20, 8
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -49,6 +50,14 @@ _GAP[[0x09, 0x20]] = True
 # ---------------------------------------------------------------- phrases of a slice of texts
 
 
+def phrase_hash(lang: np.ndarray, words: list[np.ndarray], salt: int = 0) -> np.ndarray:
+    """A hash of phrases, given the codes of their languages and the hashes of their first, second, ... words."""
+    h = lang * C.MIX[60] + C.U64(len(words))
+    for i, w in enumerate(words):
+        h += w * C.MIX[salt + i]
+    return C.mix(h)
+
+
 class Slice:
     """The words of a slice of texts: hashes, starts in ``flat`` (all words, each with a blank after it), lengths, rows, and how many words follow in the same part."""
 
@@ -77,10 +86,7 @@ class Slice:
     def phrases(self, words: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the first words of all phrases of ``words`` words, and the phrases' hashes."""
         at = np.flatnonzero(self.left >= words - 1)
-        h = self.lang[at] * C.MIX[60] + C.U64(words)
-        for i in range(words):
-            h += self.hash[at + i] * C.MIX[i]
-        return at, C.mix(h)
+        return at, phrase_hash(self.lang[at], [self.hash[at + i] for i in range(words)])
 
     def texts(self, at: np.ndarray, words: int) -> pa.Array:
         end = self.at[at + words - 1] + self.length[at + words - 1]
@@ -184,43 +190,110 @@ def frequent_bits(texts: DataFrame, least: int, filters: list[np.ndarray], bits:
 # ---------------------------------------------------------------- step 2: candidates
 
 
-def occurrences(texts: DataFrame, least: int, words: int) -> DataFrame:
-    """A stored table of lang, phrase, words and n: partial counts of all candidates, and of all words of a language (phrase null, words 0)."""
+ROW = "seg int, lang string, words int, keys binary, n binary, texts array<string>"
+
+
+def _segments_of(h: np.ndarray, segments: int) -> np.ndarray:
+    return (h % C.U64(segments)).astype(np.int64)
+
+
+def added(lang: np.ndarray, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First places of the different (language, words), the sums of their counts, and their hashes."""
+    h = phrase_hash(lang, list(keys.T))
+    order = np.argsort(h, kind="stable")
+    sorted_lang, sorted_keys = lang[order], keys[order]
+    new = np.append(True, (h[order][1:] != h[order][:-1]) | (sorted_lang[1:] != sorted_lang[:-1]) | (sorted_keys[1:] != sorted_keys[:-1]).any(1)) if len(h) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    return order[first], np.add.reduceat(n[order], first) if len(first) else n[:0], h[order[first]]
+
+
+def occurrences(texts: DataFrame, least: int, words: int, segments: int) -> DataFrame:
+    """A stored table of partial counts of all candidates: seg, lang, words, keys (the words' hashes, one candidate after the other), n (their counts) and, for single words, texts; and for each language the number of all words (words 0)."""
     filters: list[np.ndarray] = []
     for _ in range(1, max(2, words)):
         filters.append(frequent_bits(texts, least, filters))
     sent = texts.sparkSession.sparkContext.broadcast([x.tobytes() for x in filters])
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
-
-    def merged(held: list[pa.RecordBatch]) -> pa.Table:
-        return pa.Table.from_batches(held).group_by(["lang", "phrase", "words"]).aggregate([("n", "sum")]).rename_columns(schema.names)
+    schema = pa.schema([("seg", pa.int32()), ("lang", pa.string()), ("words", pa.int32()), ("keys", pa.binary()), ("n", pa.binary()), ("texts", pa.list_(pa.string()))])
+
+    def rows(k: int, lang, keys, n, text, names: dict[int, str]):
+        seg = _segments_of(phrase_hash(lang, list(keys.T)), segments)
+        order = np.lexsort((seg, lang))
+        seg, lang, keys, n = seg[order], lang[order], keys[order], n[order].astype("<u4")
+        text = text.take(pa.array(order)) if text is not None else None
+        cut = np.flatnonzero(np.append(True, (seg[1:] != seg[:-1]) | (lang[1:] != lang[:-1])))
+        ends = np.append(cut[1:], len(seg))
+        for i in range(0, len(cut), 64):
+            own = list(zip(cut[i : i + 64].tolist(), ends[i : i + 64].tolist(), strict=True))
+            held = pa.array([text.slice(a, b - a).to_pylist() for a, b in own] if text is not None else [None] * len(own), pa.list_(pa.string()))
+            yield C.batches(schema, [seg[[a for a, _ in own]].astype(np.int32), [names[int(lang[a])] for a, _ in own], np.full(len(own), k, np.int32), [keys[a:b].tobytes() for a, b in own], [n[a:b].tobytes() for a, b in own], held])
 
     def run(batches):
         known = [np.frombuffer(x, np.uint8) for x in sent.value]
-        held, size = [], 0
+        names: dict[int, str] = {}
+        total: dict[int, int] = {}
+        held: dict[int, list] = {k: [] for k in range(1, words + 1)}
+        size = 0
+
+        def merge(k: int) -> int:
+            if held[k]:
+                lang, keys, n = (np.concatenate([x[i] for x in held[k]]) for i in range(3))
+                first, n, _ = added(lang, keys, n)
+                text = pa.concat_arrays([x[3] for x in held[k]]).take(pa.array(first)) if k == 1 else None
+                held[k] = [(lang[first], keys[first], n, text)]
+            return sum(len(x[0]) for x in held[k])
+
+        def release():
+            for k in held:
+                if merge(k):
+                    yield from rows(k, *held[k][0], names)
+                held[k] = []
+
         for piece, langs in _sliced(batches):
-            named = np.array([x if x is not None else "und" for x in langs], object)
-            some, many = np.unique(named[piece.row].astype(str), return_counts=True)
-            if len(some):
-                held.append(C.batches(schema, [some.tolist(), pa.nulls(len(some), pa.string()), np.zeros(len(some), np.int32), many]))
-            for k, at, h in candidates(piece, known, words):
-                _, first, n = np.unique(h, return_index=True, return_counts=True)
-                own = at[first]
-                held.append(C.batches(schema, [pa.array(named, pa.string()).take(pa.array(piece.row[own])), piece.texts(own, k), np.full(len(own), k, np.int32), n]))
-                size += len(own)
-            if size > 2 * TASK_ROWS:
-                held = merged(held).combine_chunks().to_batches()
-                if (size := sum(x.num_rows for x in held)) > TASK_ROWS:
-                    yield from (x.slice(i, 50_000) for x in held for i in range(0, x.num_rows, 50_000))
-                    held, size = [], 0
-        if held:
-            yield from merged(held).combine_chunks().to_batches(50_000)
-
-    out = C.materialize(C.map_arrow(texts, run, "lang string, phrase string, words int, n long"))
+            names |= {_code(x): x if x is not None else "und" for x in set(langs)}
+            codes, many = np.unique(piece.lang, return_counts=True)
+            for c, x in zip(codes.tolist(), many.tolist(), strict=True):
+                total[c] = total.get(c, 0) + x
+            for k, at, _ in candidates(piece, known, words):
+                keys = np.stack([piece.hash[at + i] for i in range(k)], 1)
+                first, n, _ = added(piece.lang[at], keys, np.ones(len(at), np.int64))
+                held[k].append((piece.lang[at[first]], keys[first], n, piece.texts(at[first], 1) if k == 1 else None))
+                size += len(first)
+            if size > 2 * TASK_KEYS:
+                size = sum(merge(k) for k in held)
+                if size > TASK_KEYS:
+                    yield from release()
+                    size = 0
+        yield from release()
+        if total:
+            none = [None] * len(total)
+            yield C.batches(schema, [np.zeros(len(total), np.int32), [names[c] for c in total], np.zeros(len(total), np.int32), none, [np.array([x], "<u8").tobytes() for x in total.values()], pa.array(none, pa.list_(pa.string()))])
+
+    out = C.materialize(C.map_arrow(texts, run, ROW))
     sent.unpersist()
     return out
 
 
+def _entries(table: pa.Table, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language codes, numbers of words and hashes of words (``wide`` columns, 0 beyond a phrase's words) of the candidates of rows (lang, words, keys)."""
+    lang, words, keys = [], [], []
+    for name, k, key in zip(table.column("lang").to_pylist(), table.column("words").to_pylist(), table.column("keys"), strict=True):
+        own = np.frombuffer(key.as_buffer(), np.uint64).reshape(-1, k)
+        keys.append(np.pad(own, ((0, 0), (0, wide - k))))
+        lang.append(np.full(len(own), _code(name), np.uint64))
+        words.append(np.full(len(own), k, np.uint8))
+    return tuple(np.concatenate(x) for x in (lang, words, keys))
+
+
+def _hashes(lang: np.ndarray, words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Two hashes of each candidate."""
+    out = np.zeros((len(lang), 2), np.uint64)
+    for k in np.unique(words).tolist():
+        at = words == k
+        for j in (0, 1):
+            out[at, j] = phrase_hash(lang[at], list(keys[at, :k].T), 20 * j)
+    return out
+
+
 # ---------------------------------------------------------------- step 3: minimal perfect hashes
 
 
@@ -275,53 +348,51 @@ class PerfectHash:
         return cls(levels)
 
 
-def _hashes(table: pa.Table) -> np.ndarray:
-    return np.stack([table.column(c).to_numpy().view(np.uint64) for c in ("h0", "h1")], 1)
+INDEX = "seg int, mph binary, names array<string>, lang binary, words binary, keys binary"
 
 
-def _keyed(rows: DataFrame, segments: int) -> DataFrame:
-    """``rows`` with two hashes of lang and phrase, and the segment."""
-    h0, h1 = F.xxhash64("lang", "phrase"), F.xxhash64(F.lit("key"), "phrase", "lang")
-    return rows.withColumn("h0", h0).withColumn("h1", h1).withColumn("seg", F.pmod("h1", F.lit(segments)).cast("int"))
-
-
-def index(keys: DataFrame) -> DataFrame:
-    """seg, mph, langs and phrases (by slot) of each segment of different ``keys`` (seg, lang, phrase, h0, h1)."""
+def index(found: DataFrame, wide: int) -> DataFrame:
+    """For each segment of ``occurrences``: its minimal perfect hash and, by slot, the candidates' languages (codes; names: those of all of them), numbers of words and hashes of words."""
 
     def run(table):
-        h = _hashes(table)
+        lang, words, keys = _entries(table, wide)
+        h = _hashes(lang, words, keys)
+        order = np.lexsort((h[:, 1], h[:, 0]))
+        keep = order[np.append(True, (h[order][1:] != h[order][:-1]).any(1))]
+        lang, words, keys, h = lang[keep], words[keep], keys[keep], h[keep]
         mph = PerfectHash.build(h)
-        order = pa.array(np.argsort(mph.slots(h)))
-        lists = [pa.array([table.column(c).combine_chunks().take(order)], pa.list_(pa.string())) for c in ("lang", "phrase")]
-        return pa.table([table.column("seg")[:1], pa.array([mph.dump()], pa.binary()), *lists], names=["seg", "mph", "langs", "phrases"])
+        slot = np.argsort(mph.slots(h))
+        names = sorted(set(table.column("lang").to_pylist()))
+        columns = [table.column("seg")[:1], pa.array([mph.dump()], pa.binary()), pa.array([names], pa.list_(pa.string())), *(pa.array([x[slot].tobytes()], pa.binary()) for x in (lang, words, keys))]
+        return pa.table(columns, names=["seg", "mph", "names", "lang", "words", "keys"])
+
+    C.ship(found.sparkSession)
+    return found.groupBy("seg").applyInArrow(run, INDEX)
+
 
-    C.ship(keys.sparkSession)
-    return keys.groupBy("seg").applyInArrow(run, "seg int, mph binary, langs array<string>, phrases array<string>")
+def _stored(segment: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lang, words, keys = (np.frombuffer(segment.column(c)[0].as_buffer(), t) for c, t in (("lang", np.uint64), ("words", np.uint8), ("keys", np.uint64)))
+    return lang, words, keys.reshape(len(lang), -1)
 
 
-def _slots(table: pa.Table, segment: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the rows' phrases in their segment, and whether the stored key is the row's."""
-    slot = PerfectHash.load(segment.column("mph")[0].as_py()).slots(_hashes(table))
-    at = pa.array(np.maximum(slot, 0))
-    same = slot >= 0
-    for c in ("lang", "phrase"):
-        same &= pc.equal(segment.column(f"{c}s")[0].values.take(at), table.column(c).combine_chunks()).to_numpy(zero_copy_only=False)
-    return slot, same
+def _slots(lang: np.ndarray, words: np.ndarray, keys: np.ndarray, segment: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of candidates in their segment, and whether the stored key is theirs."""
+    slot = PerfectHash.load(segment.column("mph")[0].as_py()).slots(_hashes(lang, words, keys))
+    own_lang, own_words, own_keys = _stored(segment)
+    at = np.maximum(slot, 0)
+    return at, (slot >= 0) & (own_lang[at] == lang) & (own_words[at] == words) & (own_keys[at] == keys).all(1)
 
 
-def at_segments(rows: DataFrame, segments: DataFrame, parts: int, run, schema: str) -> DataFrame:
+def at_segments(rows: DataFrame, segments: DataFrame, parts: int, run, schema: pa.Schema, names: str) -> DataFrame:
     """run(rows of a part of a segment, the segment) for ``rows`` (seg, deal) dealt out to ``parts`` tasks for each segment."""
-    dealt = rows.withColumn("part", F.pmod("deal", F.lit(parts)).cast("int"))
+    dealt = rows.withColumn("part", F.pmod("deal", F.lit(parts)).cast("int")).drop("deal")
     copies = segments.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     C.ship(rows.sparkSession)
-    names = [(x.split()[0], x.split()[1]) for x in schema.split(", ")]
-    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-    empty = pa.schema([(c, kinds[t]) for c, t in names])
 
     def both(left, right):
-        return run(left, right) if left.num_rows and right.num_rows else empty.empty_table()
+        return run(left, right) if left.num_rows and right.num_rows else schema.empty_table()
 
-    return dealt.groupBy("seg", "part").cogroup(copies.groupBy("seg", "part")).applyInArrow(both, schema)
+    return dealt.groupBy("seg", "part").cogroup(copies.groupBy("seg", "part")).applyInArrow(both, names)
 
 
 # ---------------------------------------------------------------- step 4: counts by slot
@@ -342,86 +413,140 @@ def _tree_sum(arrays: DataFrame, parts: int) -> DataFrame:
             return arrays
 
 
-def counted(found: DataFrame) -> tuple[DataFrame, int]:
-    """Segments with their counts (seg, mph, langs, phrases, counts) from partial counts (lang, phrase, n); and how many there are."""
-    keys = C.materialize(found.select("lang", "phrase").distinct())
-    segments = max(1, -(-keys.count() // SEGMENT))
-    built = C.materialize(index(_keyed(keys, segments)))
-    parts = max(1, -(-found.count() // (segments * ROWS)))
+def counted(found: DataFrame, segments: int, wide: int) -> DataFrame:
+    """The segments of ``index`` with their counts."""
+    built = C.materialize(index(found, wide))
+    entries = found.agg(F.sum(F.octet_length("n"))).first()[0] or 0
+    parts = max(1, -(-entries // (4 * segments * ENTRIES)))
+    schema = pa.schema([("seg", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(rows, segment):
-        slot, same = _slots(rows, segment)
-        counts = np.bincount(slot[same], rows.column("n").to_numpy()[same], len(segment.column("phrases")[0])).astype(np.int64)  # exact: a slice's counts are far below 2**53
-        return pa.table({"seg": rows.column("seg")[:1], "part": rows.column("part")[:1], "counts": pa.array([counts.tobytes()], pa.binary())})
-
-    dealt = _keyed(found.select("lang", "phrase", "n"), segments).withColumn("deal", F.monotonically_increasing_id())
-    arrays = C.materialize(at_segments(dealt, built.select("seg", "mph", "langs", "phrases"), parts, run, "seg int, part int, counts binary"))
+        lang, words, keys = _entries(rows, wide)
+        n = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in rows.column("n")]).astype(np.int64)
+        slot, same = _slots(lang, words, keys, segment)
+        size = len(segment.column("words")[0].as_buffer())
+        counts = np.bincount(slot[same], n[same], size).astype(np.int64)  # exact: a mapper's counts are far below 2**53
+        return pa.Table.from_arrays([rows.column("seg")[:1], rows.column("part")[:1], pa.array([counts.tobytes()], pa.binary())], schema=schema)
+
+    dealt = found.select("seg", "lang", "words", "keys", "n").withColumn("deal", F.monotonically_increasing_id())
+    arrays = C.materialize(at_segments(dealt, built, parts, run, schema, "seg int, part int, counts binary"))
     sums = _tree_sum(arrays, parts)
     out = C.materialize(built.join(sums.select("seg", "counts"), "seg"))
-    C.drop(keys, built, sums)
-    return out, segments
+    C.drop(built, sums)
+    return out
 
 
-def unfolded(segments: DataFrame) -> DataFrame:
-    """lang, phrase and n of every slot."""
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+def phrases_of(segments: DataFrame, least: int) -> DataFrame:
+    """lang, w (the hashes of the words) and a (occurrences) of the phrases of several words that occur ``least`` times."""
+    schema = pa.schema([("lang", pa.string()), ("w", pa.list_(pa.int64())), ("a", pa.int64())])
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                yield C.batches(schema, [b.column(0)[i].values, b.column(1)[i].values, np.frombuffer(b.column(2)[i].as_buffer(), np.int64)])
+                row = pa.Table.from_batches([b.slice(i, 1)])
+                lang, words, keys = _stored(row)
+                n = np.frombuffer(row.column("counts")[0].as_buffer(), np.int64)
+                names = {_code(x): x for x in row.column("names")[0].as_py()}
+                for k in range(2, keys.shape[1] + 1):
+                    at = np.flatnonzero((words == k) & (n >= least))
+                    for j in range(0, len(at), 20_000):
+                        own = at[j : j + 20_000]
+                        lists = pa.ListArray.from_arrays(pa.array((np.arange(len(own) + 1) * k).astype(np.int32)), pa.array(keys[own, :k].ravel().view(np.int64)))
+                        yield C.batches(schema, [[names[x] for x in lang[own].tolist()], lists, n[own]])
 
-    return C.map_arrow(segments.select("langs", "phrases", "counts"), run, "lang string, phrase string, n long")
+    return C.map_arrow(segments.select("names", "lang", "words", "keys", "counts"), run, "lang string, w array<long>, a long")
 
 
 # ---------------------------------------------------------------- step 5: cuts
 
 
-def cut_counts(phrases: DataFrame, segments: DataFrame, how_many: int, longest: int) -> DataFrame:
-    """lang, phrase, a, k, l and r of every cut of ``phrases`` (lang, phrase, a; a stored table), read by slot."""
-    words = F.split("phrase", " ")
-    part = lambda side, begin, size: F.struct(F.lit(side).alias("side"), F.array_join(F.slice(words, begin, size), " ").alias("part"))
-    cut = phrases.withColumn("k", F.explode(F.sequence(F.lit(1), F.size(words) - 1)))
-    asked = cut.withColumn("p", F.explode(F.array(part(0, F.lit(1), F.col("k")), part(1, F.col("k") + 1, F.size(words) - F.col("k"))))).select("lang", F.col("phrase").alias("whole"), "a", "k", "p.side", F.col("p.part").alias("phrase"))
-    rows = phrases.count() * 2 * (longest - 1)
-    parts = max(1, -(-rows // (how_many * ROWS)))
+def cut_counts(phrases: DataFrame, segments: DataFrame, how_many: int, wide: int) -> DataFrame:
+    """id, k, l and r of every cut of ``phrases`` (id, lang, w; a stored table), read by slot. A request is tagged with the phrase's id, the cut and the side."""
+    schema = pa.schema([("seg", pa.int32()), ("deal", pa.int64()), ("lang", pa.string()), ("words", pa.int32()), ("keys", pa.binary()), ("tags", pa.binary())])
+    answer = pa.schema([("id", pa.int64()), ("k", pa.int32()), ("side", pa.int32()), ("n", pa.int64())])
+
+    def ask(batches):
+        for b in batches:
+            sizes = pc.list_value_length(b.column(2)).to_numpy()
+            langs = np.array(b.column(1).to_pylist(), object)
+            ids, flat, at = b.column(0).to_numpy(), b.column(2).flatten().to_numpy().view(np.uint64), C.from_offsets(sizes)
+            for name in sorted(set(langs)):
+                for size in np.unique(sizes).tolist():
+                    rows = np.flatnonzero((langs == name) & (sizes == size))
+                    if not len(rows):
+                        continue
+                    keys = flat[at[rows][:, None] + np.arange(size)]
+                    for k in range(1, size):
+                        for side, part in enumerate((keys[:, :k], keys[:, k:])):
+                            seg = _segments_of(phrase_hash(np.full(len(part), _code(name), np.uint64), list(part.T)), how_many)
+                            tags = ids[rows] * 64 + k * 2 + side
+                            order = np.argsort(seg, kind="stable")
+                            cut = np.searchsorted(seg[order], np.arange(how_many + 1))
+                            for s in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+                                own = order[cut[s] : cut[s + 1]]
+                                yield C.batches(schema, [[s], [int(ids[0]) >> 3], [name], [part.shape[1]], [np.ascontiguousarray(part[own]).tobytes()], [tags[own].tobytes()]])
 
     def run(rows, segment):
-        slot, same = _slots(rows, segment)
-        n = np.frombuffer(segment.column("counts")[0].as_buffer(), np.int64)[np.maximum(slot, 0)]
-        return pa.table({c: rows.column(c) for c in ("lang", "whole", "a", "k", "side")} | {"n": pa.array(np.where(same, n, 0))})
+        lang, words, keys = _entries(rows, wide)
+        tags = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in rows.column("tags")])
+        slot, same = _slots(lang, words, keys, segment)
+        n = np.frombuffer(segment.column("counts")[0].as_buffer(), np.int64)[slot]
+        return pa.Table.from_arrays([pa.array(tags >> 6), pa.array((tags >> 1 & 31).astype(np.int32)), pa.array((tags & 1).astype(np.int32)), pa.array(np.where(same, n, 0))], schema=answer)
 
-    dealt = _keyed(asked, how_many).withColumn("deal", F.xxhash64("whole", "lang"))
-    read = at_segments(dealt, segments, parts, run, "lang string, whole string, a long, k int, side int, n long")
-    both = read.groupBy("lang", "whole", "a", "k").agg(F.max(F.when(F.col("side") == 0, F.col("n"))).alias("l"), F.max(F.when(F.col("side") == 1, F.col("n"))).alias("r"))
-    return both.withColumnRenamed("whole", "phrase")
+    asked = C.map_arrow(phrases.select("id", "lang", "w"), ask, "seg int, deal long, lang string, words int, keys binary, tags binary")
+    parts = max(1, -(-phrases.count() * 2 * (wide - 1) // (how_many * ENTRIES)))
+    read = at_segments(asked, segments, parts, run, answer, "id long, k int, side int, n long")
+    return read.groupBy("id", "k").agg(F.max(F.when(F.col("side") == 0, F.col("n"))).alias("l"), F.max(F.when(F.col("side") == 1, F.col("n"))).alias("r"))
 
 
 def _displaced(phrases: DataFrame, within: int) -> DataFrame:
-    """lang and phrase of those that a longer one of ``phrases`` (lang, phrase, a) holds with at least ``within`` % of their occurrences."""
-    words = F.split("phrase", " ")
-    starts = F.explode(F.sequence(F.lit(1), F.size(words) - F.col("size") + 1))
-    inner = phrases.where(F.size(words) > 2).withColumn("size", F.explode(F.sequence(F.lit(2), F.size(words) - 1))).withColumn("begin", starts)
-    held = inner.select("lang", F.array_join(F.slice(words, F.col("begin"), F.col("size")), " ").alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
-    return phrases.join(held, ["lang", "phrase"]).where(F.col("longer") * 100 >= F.col("a") * within).select("lang", "phrase")
+    """lang and w of those that a longer one of ``phrases`` (lang, w, a) holds with at least ``within`` % of their occurrences."""
+    inner = phrases.where(F.size("w") > 2).withColumn("size", F.explode(F.sequence(F.lit(2), F.size("w") - 1))).withColumn("begin", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("size") + 1)))
+    held = inner.select("lang", F.slice("w", F.col("begin"), F.col("size")).alias("w"), "a").groupBy("lang", "w").agg(F.max("a").alias("longer"))
+    return phrases.join(held, ["lang", "w"]).where(F.col("longer") * 100 >= F.col("a") * within).select("lang", "w")
+
+
+def _texts(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` (id, w) with the phrase."""
+    words = C.materialize(rows.select("id", F.posexplode("w").alias("at", "h")))
+    needed = words.select("h").distinct()
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b.column(0)[i].as_buffer(), np.int64)), b.column(1)[i].values], ["h", "text"])
+
+    given = C.map_arrow(found.where("words = 1").select("keys", "texts"), run, "h long, text string")
+    known = given.join(C.checked_broadcast(needed), "h", "left_semi").groupBy("h").agg(F.min("text").alias("text"))
+    phrase = words.join(known, "h").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), " ").alias("phrase"))
+    return rows.join(phrase, "id")
+
+
+def _totals(found: DataFrame) -> DataFrame:
+    """lang and n of the words of each language."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([int.from_bytes(x, "little") for x in b.column(1).to_pylist()], pa.int64())], ["lang", "n"])
+
+    return C.materialize(C.map_arrow(found.where("words = 0").select("lang", "n"), run, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")))
 
 
 def mine(docs: DataFrame, words: int = WORDS, least: int = LEAST, top: int = TOP, within: int = WITHIN, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's best phrases of 2 to ``words`` words."""
     texts = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    found = occurrences(texts, least, words)
-    totals = C.materialize(found.where("words = 0").groupBy("lang").agg(F.sum("n").alias("n")))
-    segments, how_many = counted(found.where("words > 0"))
-    C.drop(found)
-    counts = unfolded(segments)
-    phrases = C.materialize(counts.where((F.col("n") >= least) & F.contains("phrase", F.lit(" "))).select("lang", "phrase", F.col("n").alias("a")))
-    scored = cut_counts(phrases, segments, how_many, words).withColumn("score", F.expr(SCORE))
-    best = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("x")).select("lang", "phrase", "a", "x.score", "x.l", "x.r")
-    best = C.materialize(best)
+    how_many = max(1, -(-C.text_bytes(texts) // SEGMENT_BYTES))
+    found = occurrences(texts, least, words, how_many)
+    segments = counted(found.where("words > 0"), how_many, words)
+    phrases = C.materialize(phrases_of(segments, least).withColumn("id", F.monotonically_increasing_id()))
+    cuts = C.materialize(cut_counts(phrases, segments, how_many, words))
     C.drop(segments)
-    kept = C.materialize(best.join(_displaced(phrases, within), ["lang", "phrase"], "left_anti"))
-    C.drop(best, phrases)
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    salted = kept.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(64))).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)  # of 64 * top rows
-    return ranked.join(C.checked_broadcast(totals), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    scored = cuts.join(phrases, "id").withColumn("score", F.expr(SCORE))
+    best = scored.groupBy("id", "lang", "w", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("x")).select("id", "lang", "w", "a", "x.score", "x.l", "x.r")
+    kept = C.materialize(best.join(_displaced(phrases, within), ["lang", "w"], "left_anti"))
+    C.drop(cuts, phrases)
+    order = [F.desc("score"), F.desc("a")]
+    salted = kept.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("rank", F.rank().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top).drop("salt")
+    tied = C.materialize(salted.withColumn("rank", F.rank().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top).drop("rank"))
+    ranked = _texts(tied, found).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order, "phrase")).cast("long")).where(F.col("rank") <= top)
+    return ranked.join(C.checked_broadcast(_totals(found)), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
