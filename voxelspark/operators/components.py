@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship
-from . import graphs
-from .stencil import complement
+from . import graphs, runs
 
 
 def label(mask: DataFrame, shape: dict[str, int], key: str) -> DataFrame:
@@ -74,11 +73,5 @@ def blob_filter(labelled: DataFrame, key: str, low: int, high: int) -> DataFrame
 
 
 def fill_holes(mask: DataFrame, shape: dict[str, int], key: str) -> DataFrame:
-    """``mask`` with the background components that do not touch the border."""
-    axes = [*shape]
-    back = label(complement(mask.select(key, *axes), shape), shape, key)
-    edge = F.lit(False)
-    for a, n in shape.items():
-        edge = edge | F.col(a).isin(0, n - 1)
-    outside = back.where(edge).select(key, "comp").distinct()
-    return mask.select(key, *axes).unionByName(back.join(outside, [key, "comp"], "left_anti").select(key, *axes))
+    """``mask`` with the background components that do not touch the border; the background is taken as runs between those of the mask."""
+    return runs.to_cells(runs.fill_holes(runs.from_cells(mask, shape, (key,)), shape, (key,)), shape, (key,))

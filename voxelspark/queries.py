@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.constants import BLOB_SIZE, CLASS_TO_LABEL, PALETTE, TISSUES
-from .operators import acoustics, components, geometry, labels, packed, sampling, stencil
+from .operators import acoustics, components, geometry, labels, packed, runs, sampling, stencil
 from .plans import exports, registry, rendering
 from .session import shared_dir
 from .sources import catalog, demo, nifti, pictures
@@ -222,6 +222,27 @@ def cleaned(ras: DataFrame) -> DataFrame:
 
 planes_query("mask_cleanup", f"{PM}, {WHOLE}, {plane_near('g', 'm', stencil.ball(3, 2))}, {plane_all_near('q', 'g', stencil.ball(3, 2))}, {plane_near('o', 'q', stencil.ball(2, 2))}, b AS MATERIALIZED (FROM whole EXCEPT FROM o), {OUTSIDE} FROM whole EXCEPT FROM outside")(cleaned)
 
+# the same in 3-D, over the volumes of all orders; tiles of 8 cells a side, so that volumes of this size are cut along all axes
+TILE = 8
+STEP_3D = "step(i, j, k) AS (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))"
+WALK_3D = f"WITH RECURSIVE {VOLUMES}, {STEP_3D}, m AS (SELECT volume_id, x, y, z FROM vol WHERE bod = 1), walk AS (SELECT volume_id, x, y, z, (x * 32 + y) * 16 + z AS comp FROM m UNION SELECT n.volume_id, n.x, n.y, n.z, comp FROM (SELECT volume_id, x + i AS x, y + j AS y, z + k AS z, comp FROM walk, step) w JOIN m n USING (volume_id, x, y, z)), comps AS (SELECT volume_id, x, y, z, CAST(min(comp) AS BIGINT) AS comp FROM walk GROUP BY volume_id, x, y, z)"
+
+
+def labelled_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body_runs = runs.from_cells(volume(spark, sf_dir, KEY).where("bod = 1"), SHAPE, KEY)
+    return runs.label(body_runs, SHAPE, KEY, TILE)
+
+
+query("components_volumes", f"{WALK_3D} SELECT volume_id, x, y, z, comp FROM comps")(lambda s, d: runs.to_cells(labelled_volumes(s, d), SHAPE, KEY, ("comp",)))
+query("component_sizes_volumes", f"{WALK_3D} SELECT volume_id, comp, count(*) AS n FROM comps GROUP BY volume_id, comp")(lambda s, d: runs.sizes(labelled_volumes(s, d), KEY))
+query("blob_filter_volumes", f"{WALK_3D} SELECT volume_id, x, y, z, comp FROM (SELECT *, count(*) OVER (PARTITION BY volume_id, comp) AS n FROM comps) WHERE n > 2 AND n <= 30")(
+    lambda s, d: runs.to_cells(runs.blob_filter(labelled_volumes(s, d), 2, 30, KEY), SHAPE, KEY, ("comp",))
+)
+query(
+    "fill_holes_volumes",
+    f"WITH RECURSIVE {VOLUMES}, {STEP_3D}, vols AS (SELECT DISTINCT volume_id FROM vol), {near('m', 'vol', BALL1, 'volume_id, ')}, grid AS (SELECT volume_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(z AS INT) AS z FROM vols, range(32) a(x), range(32) b(y), range(16) c(z)), b AS MATERIALIZED (FROM grid EXCEPT FROM m), outside AS (SELECT * FROM b WHERE x IN (0, 31) OR y IN (0, 31) OR z IN (0, 15) UNION SELECT n.volume_id, n.x, n.y, n.z FROM (SELECT volume_id, x + i AS x, y + j AS y, z + k AS z FROM outside, step) w JOIN b n USING (volume_id, x, y, z)) FROM grid EXCEPT FROM outside",
+)(lambda s, d: runs.to_cells(runs.fill_holes(runs.from_cells(packed.unpack(packed.dilate_ball(packed.pack(volume(s, d, KEY), {"m": F.lit(True)}, SHAPE, KEY), "m", "m", 1, SHAPE, KEY), "m", SHAPE, KEY), SHAPE, KEY), SHAPE, KEY, TILE), SHAPE, KEY))
+
 # ---------------------------------------------------------------- acoustics
 
 LABELLED_RASTER = f"{RAS}, {RUNS}, {TIS}, lr AS (SELECT plane, r, c, CAST(CASE WHEN label = 0 THEN 9 ELSE label END AS INT) AS label FROM ras JOIN lmap ON cls = ((plane * 64 + r) * 64 + c) % 118)"
