@@ -13,7 +13,7 @@ from .functions.constants import BLOB_SIZE, CLASS_TO_LABEL, PALETTE, TISSUES
 from .operators import acoustics, components, geometry, labels, packed, runs, sampling, stencil
 from .plans import exports, registry, rendering
 from .session import shared_dir
-from .sources import catalog, demo, nifti, pictures
+from .sources import catalog, demo, nifti, nifti_source, pictures
 from .sources.fixtures import PLANE, SHAPE, raster, table, volume
 from .streaming import landing
 
@@ -410,6 +410,14 @@ def nifti_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nifti.voxels(nifti.planes(spark, folder)).select("x", "y", "z", F.col("v").cast("int").alias("hu"))
 
 
+def nifti_source_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Densities of the volumes of all orders, written and read by the data source."""
+    folder = f"{shared_dir(spark)}/nifti-{uuid.uuid4().hex}"
+    nifti_source.write(nifti_source.planes_of(volume(spark, sf_dir, KEY), SHAPE, "hu"), folder, SHAPE["z"], 4)
+    found = nifti.voxels(spark.read.format("nifti").load(nifti_source.local(folder)))
+    return found.select(F.regexp_extract("path", r"(\d+)\.nii\.gz$", 1).cast("int").alias("volume_id"), "x", "y", "z", F.col("v").cast("int").alias("hu"))
+
+
 def picture_round_trip(ras: DataFrame) -> DataFrame:
     """Pictures are named by their planes."""
     cells = ras.select(F.col("plane").alias("z"), "r", "c", F.pmod(F.col("r") * 31 + F.col("c") * 7, F.lit(256)).alias("g")).withColumn("intensity", F.col("g") / 255)
@@ -422,6 +430,7 @@ def cloud_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("nifti_round_trip", f"WITH {VOL}, {GRID} SELECT x, y, z, coalesce(hu, 0) AS hu FROM grid LEFT JOIN vol USING (x, y, z)")(nifti_round_trip)
+query("nifti_source_volumes", f"WITH {VOLUMES}, whole AS (SELECT volume_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(z AS INT) AS z FROM (SELECT DISTINCT volume_id FROM vol), range(32) a(x), range(32) b(y), range(16) c(z)) SELECT volume_id, x, y, z, coalesce(hu, 0) AS hu FROM whole LEFT JOIN vol USING (volume_id, x, y, z)")(nifti_source_volumes)
 planes_query("picture_round_trip", f"WITH {RAS}, {WHOLE} SELECT 'slice__' || plane || '.png' AS name, r, c, CAST(CASE WHEN ras.v IS NULL THEN 0 ELSE (r * 31 + c * 7) % 256 END AS INT) AS v FROM whole LEFT JOIN ras USING (plane, r, c)")(picture_round_trip)
 query("cloud_round_trip", f"{SAMPLE}, {PALETTE_SQL} SELECT 'one.glb' AS name, x, y, z, coalesce(red, 0) AS red, coalesce(green, 0) AS green, coalesce(blue, 0) AS blue, coalesce(alpha, 255) AS alpha FROM pts LEFT JOIN pal USING (label)")(cloud_round_trip)
 DEMO = lambda axis: f"CAST(('0x' || substr(md5('1:{axis}:' || label || ':' || id), 1, 12)) AS BIGINT)"

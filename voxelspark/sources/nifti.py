@@ -25,6 +25,16 @@ SAMPLES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2",
 PLANE_SCHEMA = "path string, z int, w int, h int, spacing array<double>, direction array<double>, origin array<double>, vals array<float>"
 
 
+ARROW = pa.schema([("path", pa.string()), ("z", pa.int32()), ("w", pa.int32()), ("h", pa.int32())] + [(n, pa.list_(pa.float64())) for n in ("spacing", "direction", "origin")] + [("vals", pa.list_(pa.float32()))])
+
+
+def scaled(samples: np.ndarray, about: dict) -> np.ndarray:
+    vals = samples.astype(np.float32)
+    if about["slope"] not in (0, 1) or about["inter"]:
+        vals = vals * np.float32(about["slope"] or 1) + np.float32(about["inter"])
+    return vals
+
+
 def _matrix(head: bytes, e: str) -> np.ndarray:
     """The 3 x 4 matrix from cells to space: rows if given, else the quaternion, else the cell sizes alone."""
     pixdim = struct.unpack_from(e + "8f", head, 76)
@@ -61,8 +71,6 @@ def header(head: bytes) -> dict:
 
 def planes(spark: SparkSession, folder: str, pattern: str = "*.nii*") -> DataFrame:
     """One row per plane of every matching file: path, z, w, h, properties and samples with x running fastest."""
-    schema = pa.schema([("path", pa.string()), ("z", pa.int32()), ("w", pa.int32()), ("h", pa.int32())] + [(n, pa.list_(pa.float64())) for n in ("spacing", "direction", "origin")] + [("vals", pa.list_(pa.float32()))])
-
     def run(batches):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -74,10 +82,8 @@ def planes(spark: SparkSession, folder: str, pattern: str = "*.nii*") -> DataFra
                 w, h, d = about["shape"]
                 for z in range(d):
                     data = file.read(w * h * about["type"].itemsize)
-                    vals = np.frombuffer(data, about["type"], w * h).astype(np.float32)
-                    if about["slope"] not in (0, 1) or about["inter"]:
-                        vals = vals * np.float32(about["slope"] or 1) + np.float32(about["inter"])
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip([path, z, w, h, about["spacing"], about["direction"], about["origin"], vals], schema, strict=True)], schema=schema)
+                    vals = scaled(np.frombuffer(data, about["type"], w * h), about)
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip([path, z, w, h, about["spacing"], about["direction"], about["origin"], vals], ARROW, strict=True)], schema=ARROW)
 
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
