@@ -37,7 +37,7 @@ SCORE = "CAST((CAST(1000000 AS DECIMAL(38,0)) * a * a) DIV (CAST(l AS DECIMAL(38
 FILTER_BITS = 26
 SLICE = 2 << 20
 #: Candidates whose counts a task of step 2 holds; beyond that it stores them and starts anew.
-TASK_KEYS = 1 << 20
+TASK_KEYS = 1 << 18
 #: Bytes of text whose hashes meet in a task of step 1, and for which there is a segment; candidates that a mapper of step 4 or a reader of step 5 takes; arrays that are summed at once.
 RANGE_BYTES, SEGMENT_BYTES, ENTRIES, FAN = 8 << 20, 32 << 20, 1 << 20, 8
 
@@ -160,7 +160,7 @@ def frequent_bits(texts: DataFrame, least: int, filters: list[np.ndarray], bits:
                 if k in sizes:
                     held.append(h)
                     size += len(h)
-            if size > 1 << 22:
+            if size > 1 << 21:
                 yield from rows(held)
                 held, size = [], 0
         if size:
