@@ -35,7 +35,7 @@ WORDS, LEAST, TOP, WITHIN = 3, 10, 2000, 50
 #: In decimals of 38 digits, which hold the products of counts up to 10**15.
 SCORE = "CAST((CAST(1000000 AS DECIMAL(38,0)) * a * a) DIV (CAST(l AS DECIMAL(38,0)) * r) AS LONG)"
 FILTER_BITS = 26
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Candidates whose counts a task of step 2 holds; beyond that it stores them and starts anew.
 TASK_KEYS = 1 << 18
 #: Bytes of text whose hashes meet in a task of step 1, and for which there is a segment; candidates that a mapper of step 4 or a reader of step 5 takes; arrays that are summed at once.
@@ -69,7 +69,7 @@ class Slice:
         begins = word & (np.append(False, ~word[:-1]) | row_start[:-1]) if len(data) else word
         ends = word & (np.append(~word[1:], True) | row_start[1:]) if len(data) else word
         s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        broken = np.zeros(len(data) + 1, np.int64)
+        broken = np.zeros(len(data) + 1, np.int32)
         np.cumsum(_BREAK[data] | row_start[:-1], out=broken[1:])
         self.row = np.searchsorted(offsets, s, "right") - 1
         self.hash = C.word_hashes(data, s, e) if len(s) else np.zeros(0, np.uint64)
@@ -258,6 +258,7 @@ def occurrences(texts: DataFrame, least: int, words: int, segments: int) -> Data
                 first, n, _ = added(piece.lang[at], keys, np.ones(len(at), np.int64))
                 held[k].append((piece.lang[at[first]], keys[first], n, piece.texts(at[first], 1) if k == 1 else None))
                 size += len(first)
+            del piece, at, keys, first, n
             if size > 2 * TASK_KEYS:
                 size = sum(merge(k) for k in held)
                 if size > TASK_KEYS:
