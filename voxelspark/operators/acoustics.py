@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.constants import BOUNDARY_SCALE, SCATTER_SLOPE, TGC, TISSUES
-from . import stencil
+from ..functions.constants import SCATTER_SLOPE, TISSUES
+from . import rays
 
 
 def sigmoid(x: Column) -> Column:
@@ -39,27 +39,14 @@ def clamp_maps(maps: DataFrame) -> DataFrame:
     return maps
 
 
-def _ray(keys: tuple[str, ...]):
-    return Window.partitionBy(*keys, "r").orderBy("c")
-
-
 def interfaces(maps: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """d: impedance minus the next one in depth (0 at the end); boundary and refl from it and from the sum with the one before."""
-    w = _ray(keys)
-    d = F.coalesce(F.col("imp") - F.lead("imp").over(w), F.lit(0.0))
-    s = F.col("imp") + F.coalesce(F.lag("imp").over(w), F.lit(0.0))
-    out = maps.withColumn("d", d).withColumn("s", s).withColumn("s", F.when(F.col("s") == 0, 1.0).otherwise(F.col("s")))
-    out = out.withColumn("boundary", 1 - F.exp(-F.col("d") * F.col("d") / F.lit(BOUNDARY_SCALE)))
-    return out.withColumn("refl", sigmoid((F.col("d") / F.col("s")) * (F.col("d") / F.col("s")))).drop("s")
+    """``maps`` with d, boundary and refl of ``rays.interfaces``."""
+    return rays.unpack(rays.interfaces(rays.pack(maps, keys)), keys)
 
 
 def depth_maps(maps: DataFrame, depth: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """att, att_tgc and trans: running products along the ray, the first as a sum of exponents."""
-    w = _ray(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    step = 4.0 / (depth - 1)
-    out = maps.withColumn("att", F.exp(-F.lit(step) * F.sum("alpha").over(w)))
-    out = out.withColumn("att_tgc", F.col("att") * (1 + F.lit(TGC - 1) * F.col("c") / F.lit(float(depth - 1))))
-    return out.withColumn("trans", F.product(1 - F.col("refl") * F.col("boundary")).over(w))
+    """``maps`` with d, boundary, refl, att, att_tgc and trans, by one shuffle."""
+    return rays.unpack(rays.depth_maps(rays.interfaces(rays.pack(maps, keys)), depth), keys)
 
 
 def gaussian_weights(size: int = 3, std: tuple[float, float] = (0.5, 1.5)) -> list[dict[int, float]]:
@@ -75,9 +62,10 @@ def gaussian_kernel(size: int = 3, std: tuple[float, float] = (0.5, 1.5)) -> dic
 
 
 def noise(seed: int, *place: Column) -> Column:
-    """A repeatable stand-in for a normal draw: twelve hex digits of an MD5 give a uniform u, and sqrt(3) * (2 u - 1) has mean 0 and variance 1."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in place])), 1, 12), 16, 10).cast("double") / F.lit(float(2**48))
-    return F.lit(math.sqrt(3)) * (2 * u - 1)
+    """A repeatable draw from the normal distribution (mean 0, variance 1): two uniforms of 48 bits from an MD5 of seed and place, by the Box-Muller transform."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in place]))
+    uniform = lambda at: (F.conv(F.substring(digest, at, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
+    return F.sqrt(-2 * F.log(uniform(1))) * F.cos(F.lit(2 * math.pi) * uniform(13))
 
 
 def scatter(maps: DataFrame, seed: int, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -86,9 +74,13 @@ def scatter(maps: DataFrame, seed: int, keys: tuple[str, ...] = ()) -> DataFrame
     return maps.withColumn("scat", sigmoid(F.lit(SCATTER_SLOPE) * (F.col("mu1") - noise(seed, *place))) * (noise(seed + 1, *place) * F.col("sigma0") + F.col("mu0")))
 
 
-def intensity(maps: DataFrame, shape: dict[str, int], keys: tuple[str, ...] = ()) -> DataFrame:
-    """``keys``, r, c, intensity in [0, 1] of each slice: backscatter and specular echo, both blurred by the kernel."""
-    own = ("att_tgc", "trans", "refl")
-    out = stencil.convolve_separable(maps.select(*keys, "r", "c", F.col("scat").alias("scat_g"), F.col("boundary").alias("boundary_g"), *own), gaussian_weights(), shape, ("scat_g", "boundary_g"), own)
-    echo = F.col("att_tgc") * F.col("scat_g") + F.col("att_tgc") * F.col("trans") * F.col("refl") * F.col("boundary_g")
-    return out.select(*keys, "r", "c", clamp(echo, 0.0, 1.0).alias("intensity"))
+def lit(maps: DataFrame, shape: dict[str, int], seed: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rays with intensity of ``maps`` (imp, alpha, mu0, mu1, sigma0 of each cell): all of the simulation between the tissue's values and the picture, by one shuffle."""
+    depth = [*shape.values()][1]
+    packed = rays.depth_maps(rays.interfaces(rays.pack(scatter(maps, seed, keys), keys)), depth)
+    return rays.intensity(packed, gaussian_weights(), depth, keys)
+
+
+def intensity(maps: DataFrame, shape: dict[str, int], seed: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys``, r, c, intensity in [0, 1] of each slice."""
+    return rays.unpack(lit(maps, shape, seed, keys), keys).select(*keys, "r", "c", "intensity")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import rays
+
 
 def resize_nearest(raster: DataFrame, shape: dict[str, int], size: int) -> DataFrame:
     """Each source cell yields the target cells that take it: ceil(i * size / n) up to the next one's first."""
@@ -29,31 +29,14 @@ def rotate_warped(raster: DataFrame, n: int, keys: tuple[str, ...] = ()) -> Data
     return raster.select(*keys, F.col("c").alias("r"), (F.lit(n - 1) - F.col("r")).cast("int").alias("c"), "v")
 
 
-def polar_warp(raster: DataFrame, w: int, h: int, label_interp: str = "bilinear", keys: tuple[str, ...] = (), slices: DataFrame | None = None) -> DataFrame:
-    """``keys``, i, j, v of the 360 x 220 sector picture of each raster (ray r, depth c); pixels outside the sector are 0. ``slices``: the distinct keys, if they are known without ``raster``.
+def polar_warp(raster: DataFrame, w: int, h: int, label_interp: str = "bilinear", keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys``, i, j, v of the 360 x 220 sector picture of each raster (ray r, depth c, v); pixels outside the sector are 0.
 
     Bilinear: four taps at pixel indices, outside 0. ``nearest`` takes the rounded place, for labels.
     """
-    spark = raster.sparkSession
-    x, y = F.col("i") - 180, F.col("j") + 120
-    pixels = spark.range(360 * 220).select(F.floor(F.col("id") / 220).cast("int").alias("i"), (F.col("id") % 220).cast("int").alias("j"))
-    pixels = pixels.withColumn("angle", F.atan2(x.cast("double"), y.cast("double"))).withColumn("radius", F.sqrt((x * x + y * y).cast("double")))
-    inside = (F.abs("angle") < math.pi / 6) & (F.col("radius") > 140) & (F.col("radius") < 340)
-    u = (F.col("angle") + F.lit(math.pi / 6)) / F.lit(math.pi / 3) * w
-    v = (F.col("radius") - 140) / F.lit(200.0) * h
-    place = pixels.where(inside).select("i", "j", u.alias("u"), v.alias("v_"))
-    if label_interp == "nearest":
-        taps = place.select("i", "j", F.round("u").cast("int").alias("r"), F.round("v_").cast("int").alias("c"), F.lit(1.0).alias("weight"))
-    else:
-        fu, fv = F.col("u") - F.floor("u"), F.col("v_") - F.floor("v_")
-        four = [F.struct((F.floor("u") + a).cast("int").alias("r"), (F.floor("v_") + b).cast("int").alias("c"), ((fu if a else 1 - fu) * (fv if b else 1 - fv)).alias("weight")) for a in (0, 1) for b in (0, 1)]
-        taps = place.select("i", "j", F.explode(F.array(*four)).alias("t")).select("i", "j", "t.*")
-    found = raster.join(F.broadcast(taps), ["r", "c"]).groupBy(*keys, "i", "j").agg(F.sum(F.col("v") * F.col("weight")).alias("v"))
-    all_pixels = pixels.select("i", "j")
-    if keys:
-        every = F.explode(F.sequence(F.lit(0), F.lit(360 * 220 - 1)))
-        all_pixels = (raster.select(*keys).distinct() if slices is None else slices).select(*keys, every.alias("_p")).select(*keys, F.floor(F.col("_p") / 220).cast("int").alias("i"), (F.col("_p") % 220).alias("j"))
-    return all_pixels.join(found, [*keys, "i", "j"], "left").select(*keys, "i", "j", F.coalesce("v", F.lit(0.0)).alias("v"))
+    shape = {"r": w, "c": h}
+    found = rays.planes(rays.pack(raster.select(*keys, "r", "c", "v"), keys), "v", shape, keys)
+    return rays.pixels(rays.warped(found, shape, keys, label_interp), keys)
 
 
 def resize_bilinear(raster: DataFrame, shape: dict[str, int], size: int, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -68,11 +51,9 @@ def resize_bilinear(raster: DataFrame, shape: dict[str, int], size: int, keys: t
     return raster.select(*keys, *shape, "v")
 
 
-def sector_picture(raster: DataFrame, shape: dict[str, int], keys: tuple[str, ...] = (), size: int = 256, slices: DataFrame | None = None) -> DataFrame:
-    """The ``size`` x ``size`` pictures of rasters (ray r, depth c): warped to the sector, turned and resized."""
-    w, h = shape.values()
-    turned = rotate_warped(polar_warp(raster, w, h, keys=keys, slices=slices).select(*keys, F.col("i").alias("r"), F.col("j").alias("c"), "v"), 360, keys)
-    return resize_bilinear(turned, {"r": 220, "c": 360}, size, keys)
+def sector_picture(raster: DataFrame, shape: dict[str, int], keys: tuple[str, ...] = (), size: int = 256) -> DataFrame:
+    """The ``size`` x ``size`` pictures of rasters (ray r, depth c, v): warped to the sector, turned and resized."""
+    return rays.picture(rays.warped(rays.planes(rays.pack(raster.select(*keys, "r", "c", "v"), keys), "v", shape, keys), shape, keys), size, keys)
 
 
 def jittered(points: DataFrame, seed: int, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import dealt
+
 Shape = dict[str, int]
 
 
@@ -29,8 +31,7 @@ def pack(cells: DataFrame, masks: dict[str, Column], shape: Shape, keys: tuple[s
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("x") % 64).cast("int"))
     word = lambda m, k: F.coalesce(F.bit_or(F.when(m & (F.floor(F.col("x") / 64) == k), bit)), F.lit(0).cast("long"))
     lines = cells.where(inside).groupBy(*keys, "z", "y").agg(*[F.array(*[word(m, k) for k in range(wide)]).alias(n) for n, m in masks.items()])
-    lines = lines.repartition(*[F.col(k) for k in keys]) if keys else lines.coalesce(1)
-    planes = lines.groupBy(*keys, "z").agg(F.collect_list("y").alias("_y"), *[F.collect_list(n).alias(n) for n in masks])
+    planes = dealt(lines, keys).groupBy(*keys, "z").agg(F.collect_list("y").alias("_y"), *[F.collect_list(n).alias(n) for n in masks])
     empty = F.array_repeat(F.lit(0).cast("long"), wide)
     place = F.transform(F.sequence(F.lit(0), F.lit(h - 1)), lambda y: F.array_position("_y", y.cast("int")))
     planes = planes.withColumn("_at", place)
@@ -180,6 +181,15 @@ def erode_box(planes: DataFrame, column: str, into: str, low: int, high: int, sh
     return _box(planes, column, into, low, high, shape, keys, False, border)
 
 
+def dilate_flat(planes: DataFrame, column: str, into: str, n: int, shape: Shape) -> DataFrame:
+    """``planes``, each by itself, dilated by the L1 ball of radius ``n`` in the plane."""
+    return planes.withColumn(into, reduce(lambda x, _: cross(x, shape), range(n), F.col(column)))
+
+
+def erode_flat(planes: DataFrame, column: str, into: str, n: int, shape: Shape) -> DataFrame:
+    return planes.withColumn(into, reduce(lambda x, _: cross(x, shape, False), range(n), F.col(column)))
+
+
 def lines(planes: DataFrame, column: str, shape: Shape, keys: tuple[str, ...] = ()) -> DataFrame:
     """``keys``, z, y and ``column``: the words of each line that is not empty."""
     wide = words(shape)

@@ -104,8 +104,12 @@ def _local(shape: Shape, names: list[str], kinds: dict[str, str]):
     return run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", comp long"
 
 
+def one_tile(shape: Shape, block: int) -> bool:
+    return all(n <= block for n in shape.values())
+
+
 def label(runs: DataFrame, shape: Shape, keys: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
-    """Runs, cut at tiles, with ``comp``: the least linear index of their component (neighbours share a face). A stored table."""
+    """Runs, cut at tiles, with ``comp``: the least linear index of their component (neighbours share a face). A stored table, unless a volume is a tile by itself."""
     others, along = _axes(shape)
     spark = runs.sparkSession
     ship(spark)
@@ -116,7 +120,10 @@ def label(runs: DataFrame, shape: Shape, keys: tuple[str, ...] = (), block: int
     cut = cut.withColumn("_own", _index(shape, place))
     names = [*keys, *others, "first", "last", "_own"]
     f, schema = _local(shape, names, dict(cut.dtypes))
-    local = materialize(cut.groupBy(*keys, *[f"_t_{a}" for a in others], "_t").applyInArrow(f, schema))
+    local = cut.groupBy(*keys, *[f"_t_{a}" for a in others], "_t").applyInArrow(f, schema)
+    if one_tile(shape, block):
+        return local.drop("_own")
+    local = materialize(local)
     node = lambda c: F.struct(*keys, F.col(c).alias("comp")) if keys else F.struct(F.col(c).alias("comp"))
     links = []
     for a in others:
@@ -151,11 +158,15 @@ def blob_filter(labelled: DataFrame, low: int, high: int, keys: tuple[str, ...]
 def fill_holes(runs: DataFrame, shape: Shape, keys: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
     """``runs`` and those of the background's components that do not touch the border, of all volumes that ``runs`` names."""
     others, along = _axes(shape)
-    runs = materialize(runs.select(*keys, *others, "first", "last"))
+    own = [*keys, *others, "first", "last"]
+    runs = runs.select(*own) if one_tile(shape, block) else materialize(runs.select(*own))
     volumes = runs.select(*keys).distinct() if keys else runs.limit(1).select()
     back = label(complement(runs, shape, volumes, keys), shape, keys, block)
     edge = (F.col("first") == 0) | (F.col("last") == shape[along] - 1)
     for a in others:
         edge = edge | F.col(a).isin(0, shape[a] - 1)
+    if one_tile(shape, block):  # a component is part of one group of ``label``
+        open_ = F.max(edge).over(Window.partitionBy(*keys, "comp"))
+        return runs.unionByName(back.withColumn("_open", open_).where(~F.col("_open")).select(*own))
     outside = back.where(edge).select(*keys, "comp").distinct()
-    return runs.unionByName(back.join(outside, [*keys, "comp"], "left_anti").select(*keys, *others, "first", "last"))
+    return runs.unionByName(back.join(outside, [*keys, "comp"], "left_anti").select(*own))

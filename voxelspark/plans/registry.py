@@ -92,8 +92,7 @@ def prelabeled(cells: DataFrame, shape: dict[str, int], keys: tuple[str, ...] =
 def acoustic_maps(cells: DataFrame, shape: dict[str, int], step: int, keys: tuple[str, ...] = (), seed: int = 0) -> DataFrame:
     """Maps along the rays (r = x, depth c = y) of every ``step``-th plane z."""
     rays = cells.where(F.col("z") % step == 0).select(*keys, "z", F.col("x").alias("r"), F.col("y").alias("c"), "label")
-    maps = acoustics.interfaces(acoustics.clamp_maps(acoustics.lookup(rays)), (*keys, "z"))
-    return acoustics.depth_maps(maps, shape["y"], (*keys, "z"))
+    return acoustics.depth_maps(acoustics.clamp_maps(acoustics.lookup(rays)), shape["y"], (*keys, "z"))
 
 
 def ultrasound(cells: DataFrame, shape: dict[str, int], step: int, keys: tuple[str, ...] = (), seed: int = 0) -> DataFrame:

@@ -10,7 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import acoustics, components, geometry, stencil
+from ..operators import acoustics, components, geometry, packed, rays
+from ..session import materialize
 
 PICTURE = {"r": 256, "c": 256}
 BACKGROUND = 9
@@ -42,9 +43,9 @@ def pictures(cells: DataFrame, shape: dict[str, int], step: int = 1, seed: int =
     """keys, z, r, c, intensity in [0, 1]: a 256 x 256 picture of every ``step``-th plane."""
     planes, size = frame.planes(cells, shape, step, keys)
     names = (*keys, "z")
-    maps = acoustics.depth_maps(acoustics.interfaces(acoustics.clamp_maps(acoustics.lookup(planes)), names), size["c"], names)
-    lit = acoustics.intensity(acoustics.scatter(maps, seed, names), size, names).withColumnRenamed("intensity", "v")
-    return geometry.sector_picture(lit, size, names, PICTURE["r"], planes.select(*names).distinct()).withColumnRenamed("v", "intensity")
+    lit = acoustics.lit(acoustics.clamp_maps(acoustics.lookup(planes)), size, seed, names)
+    found = rays.warped(rays.planes(lit, "intensity", size, names), size, names)
+    return rays.picture(found, PICTURE["r"], names).withColumnRenamed("v", "intensity")
 
 
 def warped_labels(cells: DataFrame, shape: dict[str, int], step: int = 1, keys: tuple[str, ...] = (), frame: Frame = STANDARD, label_interp: str = "nearest") -> DataFrame:
@@ -65,9 +66,11 @@ def masks(warped: DataFrame, keys: tuple[str, ...] = (), clean: bool = True) ->
     found = warped.where(~F.col("label").isin(0, BACKGROUND)).select(*keys, "z", "label", "r", "c")
     if not clean:
         return found
-    names = [*keys, "z", "label"]
-    wide = stencil.dilate(stencil.closing(found, stencil.ball(3, 2), PICTURE), stencil.ball(2, 2), PICTURE)
-    one = wide.withColumn("_mask", F.concat_ws("\u0001", *[F.col(n).cast("string") for n in names]))
-    names_of = one.select("_mask", *names).distinct()
-    filled = components.fill_holes(one.select("_mask", "r", "c"), PICTURE, "_mask")
-    return filled.join(names_of, "_mask").select(*names, "r", "c")
+    names = (*keys, "z", "label")
+    # a mask is a volume of one plane: x is c, y is r
+    flat = {"x": PICTURE["c"], "y": PICTURE["r"], "z": 1}
+    one = found.select(*keys, F.struct(*names).alias("_mask"), F.col("c").alias("x"), F.col("r").alias("y"), F.lit(0).alias("z"))
+    planes = packed.pack(one.drop(*keys), {"m": F.lit(True)}, flat, ("_mask",))
+    planes = packed.erode_flat(packed.dilate_flat(planes, "m", "m", 3, flat), "m", "m", 3, flat)
+    wide = packed.unpack(packed.dilate_flat(planes, "m", "m", 2, flat), "m", flat, ("_mask",)).select("_mask", F.col("y").alias("r"), F.col("x").alias("c"))
+    return components.fill_holes(materialize(wide), PICTURE, "_mask").select("_mask.*", "r", "c")

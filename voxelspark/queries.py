@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.constants import BLOB_SIZE, CLASS_TO_LABEL, PALETTE, TISSUES
-from .operators import acoustics, components, geometry, labels, packed, runs, sampling, stencil
+from .operators import acoustics, components, geometry, labels, packed, rays, runs, sampling, stencil
 from .plans import exports, registry, rendering
 from .session import shared_dir
 from .sources import catalog, demo, nifti, nifti_source, pictures
@@ -266,7 +266,7 @@ def faces(ras: DataFrame) -> DataFrame:
 
 
 def deep(ras: DataFrame) -> DataFrame:
-    return acoustics.depth_maps(acoustics.interfaces(acoustics.clamp_maps(maps(ras)), ("plane",)), 64, ("plane",))
+    return acoustics.depth_maps(acoustics.clamp_maps(maps(ras)), 64, ("plane",))
 
 
 def _rounded(*names: str):
@@ -285,7 +285,8 @@ planes_query("attenuation_tgc", f"WITH {DEEP} SELECT plane, r, c, round(att_tgc,
 planes_query("transmission", f"WITH {DEEP} SELECT plane, r, c, round(trans, 6) AS trans, round(ln(trans + CAST(1.1920929e-7 AS DOUBLE)), 3) AS log_trans FROM deep")(
     lambda ras: deep(ras).select("plane", "r", "c", *_rounded("trans"), F.round(F.log(F.col("trans") + F.lit(1.1920929e-7)), 3).alias("log_trans"))
 )
-NOISE = lambda seed: f"(sqrt(3) * (2 * (CAST(('0x' || substr(md5('{seed}:' || plane || ':' || r || ':' || c), 1, 12)) AS BIGINT) / CAST({2**48} AS DOUBLE)) - 1))"
+UNIFORM = lambda seed, at: f"((CAST(('0x' || substr(md5('{seed}:' || plane || ':' || r || ':' || c), {at}, 12)) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST({2**48} AS DOUBLE))"
+NOISE = lambda seed: f"(sqrt(-2 * ln({UNIFORM(seed, 1)})) * cos(2 * pi() * {UNIFORM(seed, 13)}))"
 SCAT = f"{DEEP}, scat AS MATERIALIZED (SELECT *, 1 / (1 + exp(-10 * (mu1 - {NOISE(5)}))) * ({NOISE(6)} * sigma0 + mu0) AS scat FROM deep)"
 planes_query("scatter_det", f"WITH {SCAT} SELECT plane, r, c, round(scat, 6) AS scat FROM scat")(lambda ras: acoustics.scatter(maps(ras), 5, ("plane",)).select("plane", "r", "c", *_rounded("scat")))
 BLUR = lambda n: f"{n}_g AS MATERIALIZED (SELECT plane, r - i AS r, c - j AS c, sum({n} * w) AS {n}_g FROM scat, k WHERE r - i BETWEEN 0 AND 63 AND c - j BETWEEN 0 AND 63 GROUP BY ALL)"
@@ -293,7 +294,12 @@ US = f"{SCAT}, {KSQL}, {BLUR('scat')}, {BLUR('boundary')}, us AS MATERIALIZED (S
 
 
 def us_slice(ras: DataFrame) -> DataFrame:
-    return acoustics.intensity(acoustics.scatter(deep(ras), 5, ("plane",)), PLANE, ("plane",))
+    return acoustics.intensity(acoustics.clamp_maps(maps(ras)), PLANE, 5, ("plane",))
+
+
+def us_picture(ras: DataFrame) -> DataFrame:
+    found = rays.planes(acoustics.lit(acoustics.clamp_maps(maps(ras)), PLANE, 5, ("plane",)), "intensity", PLANE, ("plane",))
+    return rays.picture(rays.warped(found, PLANE, ("plane",)), 256, ("plane",)).select("plane", "r", "c", F.round("v", 4).alias("v"))
 
 
 planes_query("us_intensity", f"WITH {US} SELECT plane, r, c, round(v, 4) AS intensity FROM us")(lambda ras: us_slice(ras).select("plane", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.round("intensity", 4).alias("intensity")))
@@ -319,9 +325,7 @@ def picture_sql(keys: str = "plane") -> str:
 
 
 planes_query("polar_warp", f"WITH {RAS}, {warp_sql('ras')} SELECT plane, i, j, round(v, 6) AS v FROM warped")(lambda ras: geometry.polar_warp(ras, 64, 64, keys=("plane",)).select("plane", "i", "j", *_rounded("v")))
-planes_query("us_render", f"WITH {US}, {warp_sql('us')}, {picture_sql()} SELECT plane, r, c, round(v, 4) AS v FROM picture")(
-    lambda ras: geometry.sector_picture(us_slice(ras).withColumnRenamed("intensity", "v"), PLANE, ("plane",), slices=ras.select("plane").distinct()).select("plane", "r", "c", F.round("v", 4).alias("v"))
-)
+planes_query("us_render", f"WITH {US}, {warp_sql('us')}, {picture_sql()} SELECT plane, r, c, round(v, 4) AS v FROM picture")(us_picture)
 planes_query("warp_rotate", f"WITH {RAS} SELECT plane, c AS r, CAST(63 - r AS INT) AS c, v FROM ras")(lambda ras: geometry.rotate_warped(ras, 64, ("plane",)))
 planes_query("resize_nearest", f"WITH {RAS} SELECT plane, CAST(i AS INT) AS r, CAST(j AS INT) AS c, v FROM range(380) a(i), range(380) b(j), ras WHERE ras.r = i * 64 // 380 AND ras.c = j * 64 // 380")(lambda ras: geometry.resize_nearest(ras, PLANE, 380))
 planes_query("center_crop", f"WITH {RAS} SELECT plane, CAST(i - 62 AS INT) AS r, CAST(j - 62 AS INT) AS c, v FROM range(62, 318) a(i), range(62, 318) b(j), ras WHERE ras.r = i * 64 // 380 AND ras.c = j * 64 // 380")(lambda ras: geometry.crop_center(geometry.resize_nearest(ras, PLANE, 380), 380, 256))
@@ -341,10 +345,23 @@ def us_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("us_pictures", f"WITH {VOLUME_US}, {warp_sql('us', 32, 32)}, {picture_sql()} SELECT 'slice__' || plane || '.png' AS name, r, c, CAST(round_even(round(v, 4) * 255, 0) AS INT) AS v FROM picture")(us_pictures)
-query("warped_labels", f"WITH {VOLUME_RASTER}, {warp_sql('lr', 32, 32).replace('s.v', 's.label')}, near AS MATERIALIZED (SELECT plane, j AS y, CAST(359 - i AS INT) AS x, label FROM uv JOIN lr ON r = CAST(round(u) AS INT) AND c = CAST(round(v) AS INT)), target AS MATERIALIZED (SELECT plane, CAST(a AS INT) AS r, CAST(b AS INT) AS c, CAST(a * 220 // 256 AS INT) AS y, CAST(b * 360 // 256 AS INT) AS x FROM (SELECT DISTINCT plane FROM lr), range(256) p(a), range(256) q(b)) SELECT plane AS z, r, c, coalesce(label, 0) AS label FROM target LEFT JOIN near USING (plane, x, y)")(
+WARPED = f"{VOLUME_RASTER}, {warp_sql('lr', 32, 32).replace('s.v', 's.label')}, near AS MATERIALIZED (SELECT plane, j AS y, CAST(359 - i AS INT) AS x, label FROM uv JOIN lr ON r = CAST(round(u) AS INT) AND c = CAST(round(v) AS INT)), target AS MATERIALIZED (SELECT plane, CAST(a AS INT) AS r, CAST(b AS INT) AS c, CAST(a * 220 // 256 AS INT) AS y, CAST(b * 360 // 256 AS INT) AS x FROM (SELECT DISTINCT plane FROM lr), range(256) p(a), range(256) q(b))"
+query("warped_labels", f"WITH {WARPED} SELECT plane AS z, r, c, coalesce(label, 0) AS label FROM target LEFT JOIN near USING (plane, x, y)")(
     lambda s, d: rendering.warped_labels(assembled(s, d), SHAPE, STEP, frame=rendering.Frame())
 )
-query("warped_masks")(lambda s, d: rendering.masks(rendering.warped_labels(assembled(s, d), SHAPE, STEP, frame=rendering.Frame())))
+
+
+def mask_near(name: str, source: str, element: list[tuple], every: bool = False) -> str:
+    """A dilation of the masks (z, label) of pictures, or the erosion."""
+    sign, rest = ("-", f"GROUP BY ALL HAVING count(*) = {len(element)}") if every else ("+", "")
+    return f"{name}_o(i, j) AS (VALUES {', '.join(map(str, element))}), {name} AS MATERIALIZED (SELECT {'' if every else 'DISTINCT '}z, label, CAST(r {sign} i AS INT) AS r, CAST(c {sign} j AS INT) AS c FROM {source}, {name}_o WHERE r {sign} i BETWEEN 0 AND 255 AND c {sign} j BETWEEN 0 AND 255 {rest})"
+
+
+FLAT3, FLAT2 = stencil.ball(3, 2), stencil.ball(2, 2)
+query(
+    "warped_masks",
+    f"WITH RECURSIVE {WARPED}, found AS MATERIALIZED (SELECT plane AS z, label, r, c FROM target JOIN near USING (plane, x, y) WHERE label NOT IN (0, 9)), {mask_near('grown', 'found', FLAT3)}, {mask_near('closed', 'grown', FLAT3, True)}, {mask_near('wide', 'closed', FLAT2)}, back AS MATERIALIZED (SELECT z, label, CAST(r AS INT) AS r, CAST(c AS INT) AS c FROM (SELECT DISTINCT z, label FROM wide), range(256) a(r), range(256) b(c) EXCEPT FROM wide), step(i, j) AS (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)), outer_ AS (SELECT z, label, r, c FROM back WHERE r IN (0, 255) OR c IN (0, 255) UNION SELECT n.z, n.label, n.r, n.c FROM (SELECT z, label, r + i AS r, c + j AS c FROM outer_, step) w JOIN back n USING (z, label, r, c)) FROM wide UNION ALL (FROM back EXCEPT FROM outer_)",
+)(lambda s, d: rendering.masks(rendering.warped_labels(assembled(s, d), SHAPE, STEP, frame=rendering.Frame())))
 query("intermediates", f"WITH {VOL} SELECT unnest(['tot', 'tis', 'bod']) AS task, x, y, z, unnest([tot, tis, bod]) AS cls FROM vol")(lambda s, d: exports.intermediates(volume(s, d)))
 query("label_assembly_predictor", f"{ASSEMBLED.replace(near('skin', 'shell', BOX2), near('skin', 'shell', CUBE))} SELECT x, y, z, label FROM lab")(lambda s, d: registry.run(volume(s, d), SHAPE, registry.Config(segmentation="predictor"))["labels"])
 SAMPLE = f"{ASSEMBLED}, q AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('11:' || x || ':' || y || ':' || z), x, y, z) AS n FROM lab), pts AS (SELECT x, y, z, label FROM q WHERE label <> 9 AND n <= 300)"

@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parent
 
@@ -50,6 +51,13 @@ def few(df: DataFrame, rows: int, each: int = FILE_ROWS) -> DataFrame:
     return df.coalesce(max(1, -(-rows // each)))
 
 
+def dealt(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``df`` dealt out by ``keys`` to as many tasks as shuffles have. Packed rows are few bytes for much work, so they are not brought together in fewer tasks for their size; without keys there is one task."""
+    if not keys:
+        return df.coalesce(1)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *[F.col(k) for k in keys])
+
+
 def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors. The write's own shuffle files go with it.
 
