@@ -39,7 +39,7 @@ SLICE = 1 << 20
 #: Candidates whose counts a task of step 2 holds; beyond that it stores them and starts anew.
 TASK_KEYS = 1 << 18
 #: Bytes of text whose hashes meet in a task of step 1, and for which there is a segment; candidates that a mapper of step 4 or a reader of step 5 takes; arrays that are summed at once.
-RANGE_BYTES, SEGMENT_BYTES, ENTRIES, FAN = 8 << 20, 32 << 20, 1 << 20, 8
+RANGE_BYTES, SEGMENT_BYTES, ENTRIES, FAN = 8 << 20, 8 << 20, 1 << 18, 8
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
