@@ -95,3 +95,27 @@ def test_odd_tables(spark):
     assert (None, "de", True) in got and all(p == ("de" if i % 3 else "en") for i, p, _ in got if i is not None and i < 60)
     assert language.identify(many.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred = 'und' AND score = 0").count() == many.count()
     assert language.identify(many.limit(0)).count() == 0
+
+
+def test_long_texts_add_up(monkeypatch):
+    """Cuts within runs of blanks of any length, between and inside characters of several bytes."""
+    r = random.Random(4)
+    for size in (7, 16, 64):
+        monkeypatch.setattr(language, "_SLICE", size)
+        for _ in range(60):
+            text = "".join(r.choice(["a", "é", "日", "B", " ", " " * r.randrange(1, 3 * size), "1", "\n"]) for _ in range(r.randrange(1, 80)))
+            data = np.frombuffer(text.encode(), np.uint8)
+            grams, _, has = language.ngrams(data, np.array([0, len(data)]))
+            feature, n, some = language._long_row(data)
+            want, many = np.unique(grams, return_counts=True)
+            assert (feature == want).all() and (n == many).all() and some == has[0]
+
+
+def test_texts_do_not_depend_on_their_neighbours():
+    texts = ["a b", " a", "", "1 c", "d ", "  e"]
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    grams, row, _ = language.ngrams(np.frombuffer(data, np.uint8), offsets)
+    for i, t in enumerate(texts):
+        own = np.frombuffer(t.encode(), np.uint8)
+        assert sorted(grams[row == i]) == sorted(language.ngrams(own, np.array([0, len(own)]))[0])

@@ -2,7 +2,8 @@
 
 Letters are lower-cased, runs of anything else count as one blank, and n-grams of one to three characters are hashed into ``DIMENSIONS`` features. Document frequencies
 are counted over all learnable documents. The weights are learned by follow-the-regularised-leader with elastic-net penalties on a bounded sample: about ``TRAIN_ROWS`` rows
-by the hashes of their ids, and of every language about ``LANGUAGE_ROWS`` at least (or all, if it has fewer); of a row, its ``TRAIN_FEATURES`` most frequent features.
+by the hashes of their ids, and of every language about ``LANGUAGE_ROWS`` at least (or all, if it has fewer), with all features of each.
+The sample and the weights are held by the driver and grow with the number of languages, which is taken as a few hundred at most.
 A fifth of that sample is kept aside and sets the temperature of the scores, over pieces of its texts of a few letters up to the whole: short pieces are hard enough to be mistaken.
 
 Defined results: a null text or one without letters is ``und`` with score 0; rows without a language teach nothing; without any learnable row, all are
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 DIMENSIONS = 1 << 18
-TRAIN_ROWS, LANGUAGE_ROWS, TRAIN_FEATURES = 3000, 100, 3000
+TRAIN_ROWS, LANGUAGE_ROWS = 3000, 100
 #: Letters of the pieces on which the temperature is fitted; 0: whole texts.
 PIECES = (4, 8, 16, 32, 0)
 _SLICE = 256 << 10
@@ -42,32 +43,43 @@ def _letters() -> np.ndarray:
     return out
 
 
-def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature numbers and row numbers of all n-grams of a slice of texts, and whether each row has a letter."""
-    rows = len(offsets) - 1
+def _symbols(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters, and one 0 for each run of other characters that follows a letter or begins at one of ``starts``, with the places of their characters, and whether each character is a letter."""
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    begin = np.zeros(len(data) + 1, np.int32)
-    np.cumsum((data & 0xC0) != 0x80, out=begin[1:])
-    row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(begin[offsets]))
     letter = _letters()[points]
     keep = letter > 0
-    has = np.zeros(rows, bool)
-    has[row[keep]] = True
-    keep[0:1] = True
+    keep[starts[starts < len(keep)]] = True
     keep[1:] |= letter[:-1] > 0  # the first of a run of other characters stands for all
-    x, row = letter[keep], row[keep]
+    return letter[keep], np.flatnonzero(keep), letter > 0
+
+
+def _grams(x: np.ndarray, row: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers and rows of the n-grams of symbols, but for those that end within the first ``skip``."""
     grams, at = [], []
     h = np.zeros(len(x), np.uint32)
     for n in range(3):
         m = max(0, len(x) - n)
         h = (h[:m] * np.uint32(0x01000193)) ^ (x[n:] * np.uint32(0x9E3779B1))
         same = row[:m] == row[n:]
+        same[: max(0, skip - n)] = False
         g = h ^ np.uint32(0x85EBCA6B * n & 0xFFFFFFFF)
         g = (g ^ (g >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
         g ^= g >> np.uint32(13)
         grams.append((g & np.uint32(DIMENSIONS - 1))[same])
         at.append(row[:m][same])
-    return np.concatenate(grams), np.concatenate(at), has
+    return np.concatenate(grams), np.concatenate(at)
+
+
+def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature numbers and row numbers of all n-grams of a slice of texts, and whether each row has a letter."""
+    rows = len(offsets) - 1
+    begin = np.zeros(len(data) + 1, np.int32)
+    np.cumsum((data & 0xC0) != 0x80, out=begin[1:])
+    row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(begin[offsets]))
+    x, at, letter = _symbols(data, begin[offsets[:-1]])
+    has = np.zeros(rows, bool)
+    has[row[letter]] = True
+    return *_grams(x, row[at]), has
 
 
 @dataclass(frozen=True)
@@ -88,23 +100,18 @@ class Counts:
 
 
 def _long_row(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Features, their counts and whether there is a letter, of one long text read in pieces. A piece ends before a byte that starts a character; an n-gram across that is counted by itself."""
+    """Features, their counts and whether there is a letter, of one long text read in pieces. The last two symbols of what came before are carried over a cut, so the pieces add up to the whole."""
     total, has, at = np.zeros(DIMENSIONS, np.int64), False, 0
+    carried, after_letter = np.zeros(0, np.uint32), True
     while at < len(data):
         end = at + _SLICE
         while end < len(data) and data[end] & 0xC0 == 0x80:
             end += 1
-        # up to 64 bytes before the piece hold the n-grams across its start: those of them alone are taken off
-        back = max(0, at - 64)
-        while back > 0 and data[back] & 0xC0 == 0x80:
-            back -= 1
-        piece, before = data[back:end], data[back:at]
-        grams, _, some = ngrams(piece, np.array([0, len(piece)]))
-        total += np.bincount(grams, minlength=DIMENSIONS)
-        if len(before):
-            total -= np.bincount(ngrams(before, np.array([0, len(before)]))[0], minlength=DIMENSIONS)
-        has |= bool(some[0])
-        at = end
+        new, _, letter = _symbols(data[at:end], np.zeros(int(after_letter), np.int64))
+        x = np.concatenate([carried, new])
+        total += np.bincount(_grams(x, np.zeros(len(x), np.int32), len(carried))[0], minlength=DIMENSIONS)
+        has |= bool(letter.any())
+        carried, after_letter, at = x[-2:], bool(letter[-1]), end
     feature = np.flatnonzero(total)
     return feature, total[feature], has
 
@@ -220,9 +227,8 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
                 for k, piece in enumerate(_pieces(text) if aside else [text]):
                     for c in counts(pa.array([piece])):
                         feature, n = next(c.each())
-                        most = np.sort(np.argsort(-n, kind="stable")[:TRAIN_FEATURES])
                         if c.has[0]:
-                            rows.append((lang, k, aside, feature[most].astype("<u4").tobytes(), n[most].astype("<u4").tobytes()))
+                            rows.append((lang, k, aside, feature.astype("<u4").tobytes(), n.astype("<u4").tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], ["lang", "piece", "aside", "at", "n"])
 
