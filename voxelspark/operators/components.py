@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..session import materialize, ship
 from . import graphs, runs
 
+#: Cells along a side of the tiles in which ``fill_holes`` looks for components.
+PICTURE = 256
+
 
 def label(mask: DataFrame, shape: dict[str, int], key: str) -> DataFrame:
     """``mask`` with ``comp``: the least linear index of the cell's component (4- or 6-neighbours) within its ``key``. A group is one volume or plane."""
@@ -73,5 +76,5 @@ def blob_filter(labelled: DataFrame, key: str, low: int, high: int) -> DataFrame
 
 
 def fill_holes(mask: DataFrame, shape: dict[str, int], key: str) -> DataFrame:
-    """``mask`` with the background components that do not touch the border; the background is taken as runs between those of the mask."""
-    return runs.to_cells(runs.fill_holes(runs.from_cells(mask, shape, (key,)), shape, (key,)), shape, (key,))
+    """``mask`` with the background components that do not touch the border; the background is taken as runs between those of the mask, in tiles of a picture's size."""
+    return runs.to_cells(runs.fill_holes(runs.from_cells(mask, shape, (key,)), shape, (key,), PICTURE), shape, (key,))

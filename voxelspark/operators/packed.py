@@ -193,7 +193,7 @@ def erode_flat(planes: DataFrame, column: str, into: str, n: int, shape: Shape)
 def lines(planes: DataFrame, column: str, shape: Shape, keys: tuple[str, ...] = ()) -> DataFrame:
     """``keys``, z, y and ``column``: the words of each line that is not empty."""
     wide = words(shape)
-    cut = F.transform(F.sequence(F.lit(0), F.lit(shape["y"] - 1)), lambda y: F.struct(y.cast("int").alias("y"), F.slice(column, y * wide + 1, F.lit(wide)).alias(column)))
+    cut = _let(F.col(column), lambda bits: F.transform(F.sequence(F.lit(0), F.lit(shape["y"] - 1)), lambda y: F.struct(y.cast("int").alias("y"), F.slice(bits, y * wide + 1, F.lit(wide)).alias(column))))
     return planes.select(*keys, "z", F.explode(F.filter(cut, lambda line: F.exists(line[column], lambda w: w != 0))).alias("_l")).select(*keys, "z", "_l.*")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import PALETTE, QUOTA
+from ..session import materialize
 
 
 def seeded(seed: int, *columns: str) -> Column:
@@ -19,6 +20,7 @@ def stratified(labels: DataFrame, quota: dict[int, int], seed: int, keys: tuple[
     more are kept, which falls short of the quota in none of 10**20 draws; only these are ranked.
     """
     table = F.broadcast(labels.sparkSession.createDataFrame([(k, v) for k, v in quota.items() if v > 0], "label int, quota int"))
+    labels = materialize(labels)  # it is read twice
     sizes = labels.groupBy(*keys, "label").agg(F.count("*").alias("_cells"))
     found = labels.join(table, "label").withColumn("_hash", seeded(seed, "x", "y", "z"))
     head = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
@@ -70,11 +72,21 @@ def axis_plane(spark, y: int, width: int, height: int) -> DataFrame:
     return spark.range(width * height).select((F.col("id") % width).cast("int").alias("x"), F.floor(F.col("id") / width).cast("int").alias("y"), F.lit(y).alias("z"))
 
 
+def _drawn(draw: Column, seed: int, cells: int) -> Column:
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), draw.cast("string"))), 1, 12), 16, 10).cast("long") % cells
+
+
 def axis_sample(plane: DataFrame, size: int, seed: int, width: int, height: int) -> DataFrame:
     """``size`` draws with replacement from a plane whose cells are numbered y * width + x."""
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), 1, 12), 16, 10).cast("long") % (width * height)
-    drawn = plane.sparkSession.range(size).select(F.col("id").alias("draw"), draw.alias("cell"))
+    drawn = plane.sparkSession.range(size).select(F.col("id").alias("draw"), _drawn(F.col("id"), seed, width * height).alias("cell"))
     return drawn.join(plane.withColumn("cell", (F.col("y") * width + F.col("x")).cast("long")), "cell").select("draw", "x", "y", "z")
 
 
+def axis_draws(volumes: DataFrame, z: int, size: int, seed: int, width: int, height: int) -> DataFrame:
+    """The columns of ``volumes`` and x, y, z: ``size`` draws from the whole plane at ``z`` for each row, the same for all; nothing is joined."""
+    draws = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: _drawn(i, seed, width * height))
+    cell = volumes.select("*", F.explode(draws).alias("_cell"))
+    return cell.select(*volumes.columns, (F.col("_cell") % width).cast("int").alias("x"), F.floor(F.col("_cell") / width).cast("int").alias("y"), F.lit(z).alias("z"))
+
+
 DEFAULT_QUOTA = QUOTA

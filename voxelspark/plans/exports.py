@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import time
+import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import geometry, sampling
+from ..session import materialize
 from ..sources import pictures
 
 KINDS = ("labels", "images", "intermediates")
@@ -52,12 +55,12 @@ def cloud(labels: DataFrame, shape: dict[str, int], quota: dict[int, int], seed:
 
     Points are bounded by the quotas and ``axis_points`` for each volume.
     """
-    points = sampling.stratified(labels.select(*keys, "x", "y", "z", "label"), quota, seed, keys)
+    points = materialize(sampling.stratified(labels.select(*keys, "x", "y", "z", "label"), quota, seed, keys))
     if plane is not None:
         at = min(int(plane * shape["z"]), shape["z"] - 1)
-        drawn = sampling.axis_sample(sampling.axis_plane(labels.sparkSession, at, shape["x"], shape["y"]), axis_points, seed, shape["x"], shape["y"]).select("x", "y", "z", F.lit(-1).alias("label"))
-        volumes = points.select(*keys).distinct() if keys else None
-        points = points.unionByName(drawn if volumes is None else volumes.join(F.broadcast(drawn)).select(*points.columns))  # ``axis_points`` rows for each volume
+        volumes = points.select(*keys).distinct() if keys else labels.sparkSession.range(1).select()
+        drawn = sampling.axis_draws(volumes, at, axis_points, seed, shape["x"], shape["y"]).withColumn("label", F.lit(-1))
+        points = points.unionByName(drawn.select(*points.columns))
     placed = geometry.rotate_points(geometry.normalize_points(geometry.jittered(points, seed, keys), shape))
     return sampling.with_colors(placed)
 
@@ -89,18 +92,46 @@ class LabelStore:
 
 
 class Timings:
-    """Seconds of named stages. Those of all batches are kept; ``last`` gives a stage's last one, as the original shows."""
+    """Figures of named stages by batch: seconds, rows of the result, and seconds of its tasks on the executors. Those of all batches are kept; ``last`` gives a stage's last seconds, as the original shows.
 
-    def __init__(self) -> None:
+    Rows are observed by the plan that makes them, so nothing is counted again; tasks are those of the Spark jobs that ran while a stage was open.
+    """
+
+    def __init__(self, spark: SparkSession | None = None) -> None:
+        self.spark = spark
         self.rows: list[tuple[int, str, float]] = []
+        self.figures: list[dict] = []
 
     @contextmanager
     def stage(self, name: str, batch: int = 0):
-        began = time.monotonic()
+        began, group = time.monotonic(), f"{name}-{batch}-{uuid.uuid4().hex}"
+        figures = {"batch": batch, "stage": name}
+        if self.spark is not None:
+            self.spark.sparkContext.setJobGroup(group, name)
         try:
-            yield
+            yield figures
         finally:
-            self.rows.append((batch, name, time.monotonic() - began))
+            figures["seconds"] = time.monotonic() - began
+            self.rows.append((batch, name, figures["seconds"]))
+            if self.spark is not None:
+                figures["task_seconds"] = self._tasks(group)
+                self.spark.sparkContext.setJobGroup("", "")
+            self.figures.append(figures)
+
+    def _tasks(self, group: str) -> float:
+        """Seconds that the tasks of a group of jobs ran."""
+        sc = self.spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        store, jobs = sc._jsc.sc().statusStore(), sc.statusTracker()
+        stages = {k for j in jobs.getJobIdsForGroup(group) if (info := jobs.getJobInfo(j)) for k in info.stageIds}
+        return sum(store.lastStageAttempt(k).executorRunTime() for k in stages if jobs.getStageInfo(k)) / 1000
+
+    def write(self, name: str, batch: int, result: DataFrame, sink: Callable[[DataFrame], None]) -> None:
+        """Runs ``sink`` on ``result`` as a stage, and takes down how many rows went by."""
+        seen = Observation(f"{name}-{uuid.uuid4().hex}")
+        with self.stage(name, batch) as figures:
+            sink(result.observe(seen, F.count(F.lit(1)).alias("rows")))
+            figures["rows"] = seen.get["rows"]
 
     def last(self) -> dict[str, float]:
         return {name: seconds for _, name, seconds in self.rows}
@@ -111,6 +142,12 @@ class Timings:
             out[name] = out.get(name, 0.0) + seconds
         return out
 
+    def total_rows(self) -> dict[str, int]:
+        out: dict[str, int] = {}
+        for f in self.figures:
+            out[f["stage"]] = out.get(f["stage"], 0) + f.get("rows", 0)
+        return out
+
 
 def reset(spark: SparkSession, *folders: str) -> None:
     """Deletes the outputs of former runs; folders that are not there are passed over."""

@@ -160,3 +160,10 @@ def run(cells: DataFrame, shape: dict[str, int], config: Config | None = None, r
         "points": _call(sample, found, shape, config.quota, config.seed, keys=config.keys),
         "counts": found.groupBy(*config.keys, "label").agg(F.count("*").alias("n")),
     }
+
+
+def run_batch(cells: DataFrame, shape: dict[str, int], sinks: dict[str, Callable[[DataFrame], None]], timings: exports.Timings, batch: int = 0, config: Config | None = None, registry: Registry = REGISTRY) -> None:
+    """``run`` for one batch of volumes; each result that ``sinks`` names is handed to its sink, and ``timings`` takes down seconds and rows."""
+    results = run(cells, shape, config, registry)
+    for name, sink in sinks.items():
+        timings.write(name, batch, results[name], sink)

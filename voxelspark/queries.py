@@ -9,13 +9,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import sql as sql_surface
 from .functions.constants import BLOB_SIZE, CLASS_TO_LABEL, PALETTE, TISSUES
 from .operators import acoustics, components, geometry, labels, packed, rays, runs, sampling, stencil
 from .plans import exports, registry, rendering
 from .session import shared_dir
 from .sources import catalog, demo, nifti, nifti_source, pictures
 from .sources.fixtures import PLANE, SHAPE, raster, table, volume
-from .streaming import landing
+from .streaming import landing, volumes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -456,3 +457,43 @@ query("registry_counts", f"{ASSEMBLED} SELECT label, count(*) AS n FROM lab GROU
 query("stream_counts", "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n FROM events GROUP BY ALL")(
     lambda s, d: landing.drain(landing.windowed_counts(landing.arrivals(s, f"{d}/events.parquet*", table(s, d, "events").schema), "ts", "event_type", "1 hour", "1 day"))
 )
+
+
+def closed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events taken once, counted by hour; only hours that no later event can reach are told."""
+    rows = volumes.once(landing.arrivals(spark, f"{sf_dir}/events.parquet*", table(spark, sf_dir, "events").schema), "ts", "1 day", "event_id")
+    found, _ = volumes.drain(volumes.closed_counts(rows, "ts", "event_type", "1 hour"))
+    return found.select(F.col("start").cast(table(spark, sf_dir, "events").schema["ts"].dataType).alias("start"), "event_type", "n")
+
+
+query("stream_closed_windows", "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n FROM (SELECT DISTINCT ON (event_id) * FROM events) WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 1 DAY GROUP BY ALL")(closed_windows)
+
+# ---------------------------------------------------------------- SQL text
+
+
+def sql_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql_surface.register(spark)
+    cells = volume(spark, sf_dir)
+    return spark.sql(
+        """SELECT label, count(*) AS n FROM (
+             SELECT voxel_label(s.x IS NOT NULL, c.tis, m.label) AS label
+             FROM {cells} c LEFT JOIN class_map m ON c.tot = m.cls LEFT JOIN {skin} s ON c.x = s.x AND c.y = s.y AND c.z = s.z)
+           GROUP BY label""",
+        cells=cells,
+        skin=labels.skin(cells, SHAPE),
+    )
+
+
+def sql_acoustic_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql_surface.register(spark)
+    return spark.sql(
+        """SELECT plane, r, c, t.label, clamp(t.imp * 3 - 2, 0, 10) AS imp, alpha, clamp(t.mu0 * 3 - 1, 0, 1) AS mu0, mu1, sigma0
+           FROM (SELECT plane, r, c, CASE WHEN coalesce(m.label, 0) = 0 THEN 9 ELSE m.label END AS label
+                 FROM {cells} LEFT JOIN class_map m ON CAST(((CAST(plane AS BIGINT) * 64 + r) * 64 + c) % 118 AS INT) = m.cls) l
+           JOIN tissues t ON l.label = t.label""",
+        cells=raster(spark, sf_dir),
+    )
+
+
+query("sql_label_counts", f"{ASSEMBLED} SELECT label, count(*) AS n FROM lab GROUP BY label")(sql_label_counts)
+query("sql_acoustic_maps", f"WITH {MAPS} SELECT plane, r, c, label, greatest(0, least(10, imp * 3 - 2)) AS imp, alpha, greatest(0, least(1, mu0 * 3 - 1)) AS mu0, mu1, sigma0 FROM maps")(sql_acoustic_maps)
