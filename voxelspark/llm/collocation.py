@@ -5,10 +5,10 @@ Texts are lower-cased (A-Z), parted at punctuation and line ends, and the parts
 1. Tasks count the hashes of words and pairs and send one row for each segment of the hash range; a segment's task adds them up and keeps a bit for each hash that occurs ``least`` times. These bits are a filter of fixed size
    (``FILTER_BITS``); hashes that share a bit only add candidates. Then phrases of three words, and so on, are counted alike, if both their parts of one word less pass: a phrase is never more frequent than its parts, so
    none that matters is lost (Apriori).
-2. What passes all filters is a candidate: a language and the 64-bit hashes of its words. Tasks add up candidates and store them by segments of a hash, as arrays; the texts of words are stored beside them.
+2. What passes all filters is a candidate: a language and the 64-bit hashes of its words. Tasks add up candidates and send them to segments of a hash, as arrays; the texts of words go beside them.
 3. A segment gets a minimal perfect hash: levels of bits in which a key stands where no other key of the level fell, and a slot is the rank of its bit. Its keys are stored by slot, and every use compares
    language and words with the stored ones.
-4. Mappers, several for a segment, turn candidates into slots and ``bincount`` them into arrays; the arrays of a segment are summed as a tree.
+4. A segment's rows, from all tasks, are turned into slots chunk by chunk and ``bincount`` into arrays, which are summed as a tree. Candidates cross the network once, so building the hashes and counting by them share a task.
 5. The counts of both parts of every cut are read by slot, by tasks that hold one segment each; requests are dealt out to several tasks, so a word that is part of very many phrases is asked for in many.
 6. What can be among a language's best, ties included, gets its words' texts, and is ranked.
 
@@ -190,6 +190,8 @@ def frequent_bits(texts: DataFrame, least: int, filters: list[np.ndarray], bits:
 # ---------------------------------------------------------------- step 2: candidates
 
 
+#: The segment that has the number of words of each language.
+TOTALS = -1
 ROW = "seg int, lang string, words int, keys binary, n binary, texts array<string>"
 
 
@@ -208,7 +210,7 @@ def added(lang: np.ndarray, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
 
 
 def occurrences(texts: DataFrame, least: int, words: int, segments: int) -> DataFrame:
-    """A stored table of partial counts of all candidates: seg, lang, words, keys (the words' hashes, one candidate after the other), n (their counts) and, for single words, texts; and for each language the number of all words (words 0)."""
+    """Partial counts of all candidates: seg, lang, words, keys (the words' hashes, one candidate after the other), n (their counts) and, for single words, texts; and for each language the number of all words (words 0)."""
     filters: list[np.ndarray] = []
     for _ in range(1, max(2, words)):
         filters.append(frequent_bits(texts, least, filters))
@@ -267,11 +269,9 @@ def occurrences(texts: DataFrame, least: int, words: int, segments: int) -> Data
         yield from release()
         if total:
             none = [None] * len(total)
-            yield C.batches(schema, [np.zeros(len(total), np.int32), [names[c] for c in total], np.zeros(len(total), np.int32), none, [np.array([x], "<u8").tobytes() for x in total.values()], pa.array(none, pa.list_(pa.string()))])
+            yield C.batches(schema, [np.full(len(total), TOTALS, np.int32), [names[c] for c in total], np.zeros(len(total), np.int32), none, [np.array([x], "<u8").tobytes() for x in total.values()], pa.array(none, pa.list_(pa.string()))])
 
-    out = C.materialize(C.map_arrow(texts, run, ROW))
-    sent.unpersist()
-    return out
+    return C.map_arrow(texts, run, ROW)
 
 
 def _entries(table: pa.Table, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -295,7 +295,7 @@ def _hashes(lang: np.ndarray, words: np.ndarray, keys: np.ndarray) -> np.ndarray
     return out
 
 
-# ---------------------------------------------------------------- step 3: minimal perfect hashes
+# ---------------------------------------------------------------- steps 3 and 4: minimal perfect hashes and counts by slot
 
 
 class PerfectHash:
@@ -349,26 +349,59 @@ class PerfectHash:
         return cls(levels)
 
 
-INDEX = "seg int, mph binary, names array<string>, lang binary, words binary, keys binary"
+INDEX = "seg int, mph binary, names array<string>, lang binary, words binary, keys binary, counts binary, texts array<string>"
+
+
+def tree_sum(arrays: list[np.ndarray]) -> np.ndarray:
+    """The sum of arrays, ``FAN`` at a time."""
+    while len(arrays) > 1:
+        arrays = [np.sum(arrays[i : i + FAN], axis=0) for i in range(0, len(arrays), FAN)]
+    return arrays[0]
 
 
-def index(found: DataFrame, wide: int) -> DataFrame:
-    """For each segment of ``occurrences``: its minimal perfect hash and, by slot, the candidates' languages (codes; names: those of all of them), numbers of words and hashes of words."""
+def counted(found: DataFrame, wide: int) -> DataFrame:
+    """For each segment of ``occurrences``: its minimal perfect hash and, by slot, the candidates' languages (codes; names: those of all of them), numbers of words, hashes of words and counts; the texts of its single words, by slot.
+
+    A segment's rows come from all tasks that met its candidates, and are counted in chunks of ``ENTRIES``. The table is stored.
+    """
+    kinds = [pa.int32(), pa.binary(), pa.list_(pa.string()), *[pa.binary()] * 4, pa.list_(pa.string())]
+    schema = pa.schema([(x.split()[0], t) for x, t in zip(INDEX.split(", "), kinds, strict=True)])
 
     def run(table):
+        seg = table.column("seg")[0].as_py()
+        if seg == TOTALS:
+            total: dict[str, int] = {}
+            for name, n in zip(table.column("lang").to_pylist(), table.column("n").to_pylist(), strict=True):
+                total[name] = total.get(name, 0) + int.from_bytes(n, "little")
+            return pa.Table.from_arrays([pa.array([x], t) for x, t in zip([seg, b"", [*total], b"", b"", b"", np.array([*total.values()], np.int64).tobytes(), []], kinds, strict=True)], schema=schema)
         lang, words, keys = _entries(table, wide)
+        n = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table.column("n")]).astype(np.int64)
         h = _hashes(lang, words, keys)
         order = np.lexsort((h[:, 1], h[:, 0]))
         keep = order[np.append(True, (h[order][1:] != h[order][:-1]).any(1))]
-        lang, words, keys, h = lang[keep], words[keep], keys[keep], h[keep]
-        mph = PerfectHash.build(h)
-        slot = np.argsort(mph.slots(h))
-        names = sorted(set(table.column("lang").to_pylist()))
-        columns = [table.column("seg")[:1], pa.array([mph.dump()], pa.binary()), pa.array([names], pa.list_(pa.string())), *(pa.array([x[slot].tobytes()], pa.binary()) for x in (lang, words, keys))]
-        return pa.table(columns, names=["seg", "mph", "names", "lang", "words", "keys"])
+        mph = PerfectHash.build(h[keep])
+        keep = keep[np.argsort(mph.slots(h[keep]))]
+        own = lang[keep], words[keep], keys[keep]
+        parts = []
+        for i in range(0, len(h), ENTRIES):
+            j = slice(i, i + ENTRIES)
+            slot, same = _verified(mph, h[j], (lang[j], words[j], keys[j]), own)
+            if not same.all():
+                raise ValueError("two candidates share 128 bits")
+            parts.append(np.bincount(slot, n[j], len(keep)).astype(np.int64))  # exact: a chunk's counts are far below 2**53
+        text = dict(zip(keys[words == 1, 0].tolist(), (x for row in table.column("texts").to_pylist() if row is not None for x in row), strict=True))
+        values = [seg, mph.dump(), sorted(set(table.column("lang").to_pylist())), *(x.tobytes() for x in own), tree_sum(parts).tobytes(), [text[w] for w in own[2][own[1] == 1, 0].tolist()]]
+        return pa.Table.from_arrays([pa.array([x], t) for x, t in zip(values, kinds, strict=True)], schema=schema)
 
     C.ship(found.sparkSession)
-    return found.groupBy("seg").applyInArrow(run, INDEX)
+    return C.materialize(found.groupBy("seg").applyInArrow(run, INDEX))
+
+
+def _verified(mph: PerfectHash, h: np.ndarray, given: tuple, stored: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of candidates (language, number and hashes of words; ``h``), and whether the stored key is theirs."""
+    slot = mph.slots(h)
+    at = np.maximum(slot, 0)
+    return at, (slot >= 0) & (stored[0][at] == given[0]) & (stored[1][at] == given[1]) & (stored[2][at] == given[2]).all(1)
 
 
 def _stored(segment: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -376,14 +409,6 @@ def _stored(segment: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lang, words, keys.reshape(len(lang), -1)
 
 
-def _slots(lang: np.ndarray, words: np.ndarray, keys: np.ndarray, segment: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of candidates in their segment, and whether the stored key is theirs."""
-    slot = PerfectHash.load(segment.column("mph")[0].as_py()).slots(_hashes(lang, words, keys))
-    own_lang, own_words, own_keys = _stored(segment)
-    at = np.maximum(slot, 0)
-    return at, (slot >= 0) & (own_lang[at] == lang) & (own_words[at] == words) & (own_keys[at] == keys).all(1)
-
-
 def at_segments(rows: DataFrame, segments: DataFrame, parts: int, run, schema: pa.Schema, names: str) -> DataFrame:
     """run(rows of a part of a segment, the segment) for ``rows`` (seg, deal) dealt out to ``parts`` tasks for each segment."""
     dealt = rows.withColumn("part", F.pmod("deal", F.lit(parts)).cast("int")).drop("deal")
@@ -396,47 +421,6 @@ def at_segments(rows: DataFrame, segments: DataFrame, parts: int, run, schema: p
     return dealt.groupBy("seg", "part").cogroup(copies.groupBy("seg", "part")).applyInArrow(both, names)
 
 
-# ---------------------------------------------------------------- step 4: counts by slot
-
-
-def _tree_sum(arrays: DataFrame, parts: int) -> DataFrame:
-    """One array for each segment from those of its mappers (seg, part, counts), ``FAN`` at a time."""
-
-    def add(table):
-        total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column("counts"))
-        return pa.table({"seg": table.column("seg")[:1], "part": pa.array([table.column("part")[0].as_py() // FAN], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    while True:
-        before, arrays = arrays, C.materialize(arrays.groupBy("seg", F.floor(F.col("part") / FAN).alias("_up")).applyInArrow(add, "seg int, part int, counts binary"))
-        C.drop(before)
-        parts = -(-parts // FAN)
-        if parts == 1:
-            return arrays
-
-
-def counted(found: DataFrame, segments: int, wide: int) -> DataFrame:
-    """The segments of ``index`` with their counts."""
-    built = C.materialize(index(found, wide))
-    entries = found.agg(F.sum(F.octet_length("n"))).first()[0] or 0
-    parts = max(1, -(-entries // (4 * segments * ENTRIES)))
-    schema = pa.schema([("seg", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
-
-    def run(rows, segment):
-        lang, words, keys = _entries(rows, wide)
-        n = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in rows.column("n")]).astype(np.int64)
-        slot, same = _slots(lang, words, keys, segment)
-        size = len(segment.column("words")[0].as_buffer())
-        counts = np.bincount(slot[same], n[same], size).astype(np.int64)  # exact: a mapper's counts are far below 2**53
-        return pa.Table.from_arrays([rows.column("seg")[:1], rows.column("part")[:1], pa.array([counts.tobytes()], pa.binary())], schema=schema)
-
-    dealt = found.select("seg", "lang", "words", "keys", "n").withColumn("deal", F.monotonically_increasing_id())
-    arrays = C.materialize(at_segments(dealt, built, parts, run, schema, "seg int, part int, counts binary"))
-    sums = _tree_sum(arrays, parts)
-    out = C.materialize(built.join(sums.select("seg", "counts"), "seg"))
-    C.drop(built, sums)
-    return out
-
-
 def phrases_of(segments: DataFrame, least: int) -> DataFrame:
     """lang, w (the hashes of the words) and a (occurrences) of the phrases of several words that occur ``least`` times."""
     schema = pa.schema([("lang", pa.string()), ("w", pa.list_(pa.int64())), ("a", pa.int64())])
@@ -490,7 +474,7 @@ def cut_counts(phrases: DataFrame, segments: DataFrame, how_many: int, wide: int
     def run(rows, segment):
         lang, words, keys = _entries(rows, wide)
         tags = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in rows.column("tags")])
-        slot, same = _slots(lang, words, keys, segment)
+        slot, same = _verified(PerfectHash.load(segment.column("mph")[0].as_py()), _hashes(lang, words, keys), (lang, words, keys), _stored(segment))
         n = np.frombuffer(segment.column("counts")[0].as_buffer(), np.int64)[slot]
         return pa.Table.from_arrays([pa.array(tags >> 6), pa.array((tags >> 1 & 31).astype(np.int32)), pa.array((tags & 1).astype(np.int32)), pa.array(np.where(same, n, 0))], schema=answer)
 
@@ -507,41 +491,41 @@ def _displaced(phrases: DataFrame, within: int) -> DataFrame:
     return phrases.join(held, ["lang", "w"]).where(F.col("longer") * 100 >= F.col("a") * within).select("lang", "w")
 
 
-def _texts(rows: DataFrame, found: DataFrame) -> DataFrame:
+def _texts(rows: DataFrame, segments: DataFrame) -> DataFrame:
     """``rows`` (id, w) with the phrase."""
     words = C.materialize(rows.select("id", F.posexplode("w").alias("at", "h")))
-    needed = words.select("h").distinct()
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b.column(0)[i].as_buffer(), np.int64)), b.column(1)[i].values], ["h", "text"])
+                _, size, keys = _stored(pa.Table.from_batches([b.slice(i, 1)]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[size == 1, 0].view(np.int64)), b.column(3)[i].values], ["h", "text"])
 
-    given = C.map_arrow(found.where("words = 1").select("keys", "texts"), run, "h long, text string")
-    known = given.join(C.checked_broadcast(needed), "h", "left_semi").groupBy("h").agg(F.min("text").alias("text"))
+    given = C.map_arrow(segments.where(F.col("seg") != TOTALS).select("lang", "words", "keys", "texts"), run, "h long, text string")
+    known = given.join(C.checked_broadcast(words.select("h").distinct()), "h", "left_semi").groupBy("h").agg(F.min("text").alias("text"))
     phrase = words.join(known, "h").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), " ").alias("phrase"))
     return rows.join(phrase, "id")
 
 
-def _totals(found: DataFrame) -> DataFrame:
+def _totals(segments: DataFrame) -> DataFrame:
     """lang and n of the words of each language."""
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([int.from_bytes(x, "little") for x in b.column(1).to_pylist()], pa.int64())], ["lang", "n"])
+            for i in range(b.num_rows):
+                yield pa.RecordBatch.from_arrays([b.column(0)[i].values, pa.array(np.frombuffer(b.column(1)[i].as_buffer(), np.int64))], ["lang", "n"])
 
-    return C.materialize(C.map_arrow(found.where("words = 0").select("lang", "n"), run, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")))
+    return C.materialize(C.map_arrow(segments.where(F.col("seg") == TOTALS).select("names", "counts"), run, "lang string, n long"))
 
 
 def mine(docs: DataFrame, words: int = WORDS, least: int = LEAST, top: int = TOP, within: int = WITHIN, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's best phrases of 2 to ``words`` words."""
     texts = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     how_many = max(1, -(-C.text_bytes(texts) // SEGMENT_BYTES))
-    found = occurrences(texts, least, words, how_many)
-    segments = counted(found.where("words > 0"), how_many, words)
-    phrases = C.materialize(phrases_of(segments, least).withColumn("id", F.monotonically_increasing_id()))
-    cuts = C.materialize(cut_counts(phrases, segments, how_many, words))
-    C.drop(segments)
+    segments = counted(occurrences(texts, least, words, how_many), words)
+    own = segments.where(F.col("seg") != TOTALS)
+    phrases = C.materialize(phrases_of(own, least).withColumn("id", F.monotonically_increasing_id()))
+    cuts = C.materialize(cut_counts(phrases, own.drop("texts"), how_many, words))
     scored = cuts.join(phrases, "id").withColumn("score", F.expr(SCORE))
     best = scored.groupBy("id", "lang", "w", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("x")).select("id", "lang", "w", "a", "x.score", "x.l", "x.r")
     kept = C.materialize(best.join(_displaced(phrases, within), ["lang", "w"], "left_anti"))
@@ -549,5 +533,5 @@ def mine(docs: DataFrame, words: int = WORDS, least: int = LEAST, top: int = TOP
     order = [F.desc("score"), F.desc("a")]
     salted = kept.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("rank", F.rank().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top).drop("salt")
     tied = C.materialize(salted.withColumn("rank", F.rank().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top).drop("rank"))
-    ranked = _texts(tied, found).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order, "phrase")).cast("long")).where(F.col("rank") <= top)
-    return ranked.join(C.checked_broadcast(_totals(found)), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    ranked = _texts(tied, segments).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order, "phrase")).cast("long")).where(F.col("rank") <= top)
+    return ranked.join(C.checked_broadcast(_totals(segments)), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
