@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from voxelspark.operators import packed, stencil
+from voxelspark.operators import packed, runs, stencil
 
 
 def cells(df):
@@ -67,3 +67,20 @@ def test_nothing(spark):
     none = made(spark, shape, 0.3).where("false")
     planes = packed.dilate_ball(packed.pack(none, {"m": F.lit(True)}, shape), "m", "o", 2, shape)
     assert packed.unpack(planes, "o", shape).count() == 0
+
+
+@pytest.mark.parametrize("shape", [{"x": 9, "y": 8, "z": 7}, {"x": 66, "y": 5, "z": 5}])
+def test_bounded_fill(spark, shape):
+    """After n rounds, what a walk of n steps from the border does not reach is filled; with many rounds, the holes."""
+    given = {c[1:] for c in map(tuple, made(spark, shape, 0.75, 4).where("vol = 0").collect())}
+    every = {(x, y, z) for x in range(shape["x"]) for y in range(shape["y"]) for z in range(shape["z"])}
+    mask = spark.createDataFrame(sorted(given), "x int, y int, z int")
+    planes = packed.pack(mask, {"m": F.lit(True)}, shape)
+    for rounds in (0, 1, 2, 30):
+        out = {c for c in every - given if any(v in (0, n - 1) for v, n in zip(c, shape.values(), strict=True))}
+        for _ in range(rounds):
+            out |= {c for c in every - given - out if any((*c[:i], c[i] + d, *c[i + 1 :]) in out for i in range(3) for d in (-1, 1))}
+        got = {tuple(r) for r in packed.unpack(packed.bounded_fill(planes, "m", "o", rounds, shape), "o", shape).collect()}
+        assert got == every - out
+    holes = {tuple(r) for r in runs.to_cells(runs.fill_holes(runs.from_cells(mask, shape), shape), shape).collect()}
+    assert got == holes

@@ -1,7 +1,9 @@
 """Volumes that arrive late and twice, observed figures of batches, and the SQL surface."""
 
 import datetime as dt
+import os
 import shutil
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,3 +93,26 @@ def test_sql_functions(spark):
     row = spark.sql("SELECT clamp(5, 0, 2) AS a, is_fat(2) AS b, is_fat(3) AS c, is_fat_fast(3) AS d, is_dense(0) AS e, is_dense(250) AS f, is_fat(NULL) AS g, wrapped(-1) AS h, at_index(array(1D, 2D), 5, 7) AS i, affine_point(array(array(2D, 0D, 0D, 1D), array(0D, 2D, 0D, 0D), array(0D, 0D, 2D, 0D), array(0D, 0D, 0D, 1D)), 1, 2, 3) AS j, voxel_label(true, 1, 5) AS k, voxel_label(false, 0, NULL) AS l").first()
     assert tuple(row) == (2.0, True, False, True, True, False, False, 255, 7.0, [3.0, 4.0, 6.0], 12, 9)
     assert spark.table("class_map").count() == 118 and spark.table("tissues").count() > 5
+
+
+def test_a_model_runs_on_planes(spark, tmp_path):
+    """Several inputs a call, one model for each worker, and failures that name the volume."""
+    cells = spark.range(2 * 48).select(F.when(F.col("id") < 48, "a").otherwise("b").alias("volume_id"), (F.col("id") % 4).cast("int").alias("x"), (F.floor(F.col("id") / 4) % 4).cast("int").alias("y"), (F.floor(F.col("id") / 16) % 3).cast("int").alias("z"), F.col("id").cast("int").alias("hu"), F.lit(2).alias("tot")).where("x <> 1 OR y <> 2")
+    log = str(tmp_path)
+
+    def load():
+        open(f"{log}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return 10
+
+    methods = registry.Registry()
+    methods.register("segmentation", "ten", registry.model_method(load, lambda model, p: p["hu"] // model + p["tot"], ("hu", "tot"), "ten"))
+    for kind in ("rendering", "pointcloud"):
+        methods.register(kind, "none", lambda cells, *rest, keys=(): cells)
+    config = registry.Config(segmentation="ten", rendering="none", pointcloud="none", keys=("volume_id",))
+    got = {tuple(r) for r in registry.run(cells, SHAPE, config, methods)["labels"].collect()}
+    assert got == {(r.volume_id, r.x, r.y, r.z, r.hu // 10 + 2) for r in cells.collect()}
+    pids = [n.split("-")[0] for n in os.listdir(log)]
+    assert len(pids) == len(set(pids)) > 0
+    methods.register("segmentation", "ten", registry.model_method(lambda: 0, lambda model, p: 1 // model, ("hu",), "bad"))
+    with pytest.raises(Exception, match="SegmentationError: volume_id [ab], z [012]: integer division"):
+        registry.run(cells, SHAPE, config, methods)["labels"].collect()

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import dealt
+from ..session import dealt, materialize
 
 Shape = dict[str, int]
 
@@ -190,6 +190,38 @@ def erode_flat(planes: DataFrame, column: str, into: str, n: int, shape: Shape)
     return planes.withColumn(into, reduce(lambda x, _: cross(x, shape, False), range(n), F.col(column)))
 
 
+def border(shape: Shape) -> Column:
+    """The cells of plane z that touch the volume's border."""
+    wide, h, last = words(shape), shape["y"], (shape["x"] - 1) % 64
+    ones = lambda n: F.lit((1 << n) - 1 if n < 64 else -1).cast("long")
+    high = 1 << last if last < 63 else -(1 << 63)
+    first = [ones(min(64, shape["x"] - 64 * k)) for k in range(wide)]
+    ends = [F.lit(((1 if k == 0 else 0) | (high if k == wide - 1 else 0))).cast("long") for k in range(wide)]
+    edge = F.col("z").isin(0, shape["z"] - 1)
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(h - 1)), lambda y: F.when(edge | (y == 0) | (y == h - 1), F.array(*first)).otherwise(F.array(*ends))))
+
+
+def bounded_fill(planes: DataFrame, column: str, into: str, rounds: int, shape: Shape, keys: tuple[str, ...] = (), stored: int = 4) -> DataFrame:
+    """``planes`` with the mask ``column`` and the background that is not reached from the border in ``rounds`` steps; with enough of them these are its holes.
+
+    Each round widens what is reached by one cross; planes are stored every ``stored`` rounds, so a plan stays short however many there are. It ends early when a stored round reaches nothing new.
+    """
+    kept = [c for c in planes.columns if c not in (into, "_out")]
+    found = planes.withColumn("_out", without(border(shape), F.col(column)))
+    count = lambda df: df.agg(F.sum(F.aggregate(F.transform("_out", lambda w: F.bit_count(w)), F.lit(0), lambda a, b: a + b))).first()[0]
+    reached = None
+    for k in range(rounds):
+        grown = dilate_ball(found, "_out", "_grown", 1, shape, keys)
+        found = grown.withColumn("_out", without(F.col("_grown"), F.col(column))).drop("_grown")
+        if k % stored == stored - 1:
+            found, old = materialize(found), reached
+            reached = count(found)
+            if reached == old:
+                break
+    full = F.transform(F.col("_out"), lambda w, i: _Plane(F.col("_out"), i, shape, 0).inside(F.bitwise_not(w)))
+    return found.withColumn("_new", full).select(*[c for c in kept if c != into], F.col("_new").alias(into))
+
+
 def lines(planes: DataFrame, column: str, shape: Shape, keys: tuple[str, ...] = ()) -> DataFrame:
     """``keys``, z, y and ``column``: the words of each line that is not empty."""
     wide = words(shape)

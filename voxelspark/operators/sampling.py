@@ -72,6 +72,12 @@ def axis_plane(spark, y: int, width: int, height: int) -> DataFrame:
     return spark.range(width * height).select((F.col("id") % width).cast("int").alias("x"), F.floor(F.col("id") / width).cast("int").alias("y"), F.lit(y).alias("z"))
 
 
+def axis_planes(volumes: DataFrame, z: int, width: int, height: int) -> DataFrame:
+    """The columns of ``volumes`` and x, y, z of the plane at ``z`` of each."""
+    cell = volumes.select("*", F.explode(F.sequence(F.lit(0), F.lit(width * height - 1))).alias("_cell"))
+    return cell.select(*volumes.columns, (F.col("_cell") % width).cast("int").alias("x"), F.floor(F.col("_cell") / width).cast("int").alias("y"), F.lit(z).alias("z"))
+
+
 def _drawn(draw: Column, seed: int, cells: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), draw.cast("string"))), 1, 12), 16, 10).cast("long") % cells
 

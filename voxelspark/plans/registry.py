@@ -6,10 +6,13 @@ import inspect
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import acoustics, labels, sampling
+from ..session import ship
 from . import exports, rendering
 
 KINDS = ("segmentation", "rendering", "pointcloud")
@@ -84,6 +87,50 @@ def predictor(cells: DataFrame, shape: dict[str, int], keys: tuple[str, ...] = (
     return labels.assemble(validated(_need(cells, *keys)), shape, box=3, keys=keys)
 
 
+_MODELS: dict = {}
+
+
+def model_method(load: Callable[[], object], apply: Callable[[object, dict[str, np.ndarray]], np.ndarray], inputs: tuple[str, ...] = ("hu",), name: str = "model") -> Callable[..., DataFrame]:
+    """A segmentation method that runs a model on planes: ``load`` makes the model, once in each worker, and ``apply`` (model, the plane's ``inputs`` as y, x arrays) gives the labels of a plane as an array of that shape.
+
+    Planes are made from cells by one shuffle and go to workers as Arrow batches, each with all inputs; absent cells are 0 and get no label. A failure of ``apply`` is a SegmentationError that names the volume and plane.
+    """
+
+    def method(cells: DataFrame, shape: dict[str, int], keys: tuple[str, ...] = ()) -> DataFrame:
+        w, h = shape["x"], shape["y"]
+        _need(cells, *keys, "x", "y", "z", *inputs)
+        rows = cells.groupBy(*keys, "z").agg(F.collect_list((F.col("y") * w + F.col("x")).cast("int")).alias("_at"), *[F.collect_list(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in inputs])
+        kinds = dict(cells.dtypes)
+        out = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "z int, _at array<int>, _label array<int>"])
+
+        def run(batches):
+            if name not in _MODELS:
+                _MODELS[name] = load()
+            for b in batches:
+                for i in range(b.num_rows):
+                    at = b.column("_at")[i].values.to_numpy()
+                    planes = {}
+                    for c in inputs:
+                        planes[c] = np.zeros(w * h)
+                        planes[c][at] = b.column(c)[i].values.to_numpy()
+                        planes[c] = planes[c].reshape(h, w)
+                    where = ", ".join(f"{k} {b.column(k)[i].as_py()}" for k in (*keys, "z"))
+                    try:
+                        found = np.asarray(apply(_MODELS[name], planes))
+                    except Exception as error:
+                        raise SegmentationError(f"{where}: {error}") from error
+                    if found.shape != (h, w):
+                        raise SegmentationError(f"{where}: labels of shape {found.shape}, not {(h, w)}")
+                    label = pa.array([found.ravel()[at].astype(np.int32)], pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, 1) for k in (*keys, "z", "_at")), label], [*keys, "z", "_at", "_label"])
+
+        ship(cells.sparkSession)
+        found = rows.mapInArrow(run, out).select(*keys, "z", F.explode(F.arrays_zip("_at", "_label")).alias("_c"))
+        return found.select(*keys, (F.col("_c._at") % w).alias("x"), F.floor(F.col("_c._at") / w).cast("int").alias("y"), "z", F.col("_c._label").alias("label"))
+
+    return method
+
+
 def prelabeled(cells: DataFrame, shape: dict[str, int], keys: tuple[str, ...] = ()) -> DataFrame:
     """Labels as given, without background filling."""
     return _need(cells, *keys, "x", "y", "z", "label").select(*keys, "x", "y", "z", F.pmod(F.col("label").cast("int"), F.lit(256)).alias("label"))

@@ -96,7 +96,9 @@ def body(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- labels
 
 query("label_remap", f"WITH {VOL}, {RUNS} SELECT x, y, z, coalesce(label, 0) AS label FROM vol LEFT JOIN lmap ON tot = cls")(lambda s, d: labels.remap(volume(s, d)).select("x", "y", "z", "label"))
-query("label_map_invert", f"WITH {RUNS} SELECT label, CAST(list(cls ORDER BY cls) AS VARCHAR) AS classes FROM lmap GROUP BY label")(lambda s, d: labels.invert_map(labels.class_table(s)).select("label", F.concat(F.lit("["), F.array_join("classes", ", "), F.lit("]")).alias("classes")))
+query("label_map_invert", f"WITH {VOL}, {RUNS} SELECT label, CAST(list(cls ORDER BY cls) AS VARCHAR) AS classes FROM (SELECT DISTINCT tot AS cls, coalesce(label, 0) AS label FROM vol LEFT JOIN lmap ON tot = cls) GROUP BY label")(
+    lambda s, d: labels.invert_map(labels.remap(volume(s, d)).select(F.col("tot").alias("cls"), "label").distinct()).select("label", F.concat(F.lit("["), F.array_join("classes", ", "), F.lit("]")).alias("classes"))
+)
 query("tissue_overlay", f"WITH {VOL}, {RUNS} SELECT x, y, z, CAST(CASE WHEN tis IN (1, 2) THEN 3 ELSE coalesce(label, 0) END AS INT) AS label FROM vol LEFT JOIN lmap ON tot = cls")(
     lambda s, d: labels.remap(volume(s, d)).select("x", "y", "z", F.when(labels.is_fat(F.col("tis")), 3).otherwise(F.col("label")).alias("label"))
 )
@@ -182,8 +184,11 @@ planes_query("disc_erode", f"{PM}, {plane_all_near('o', 'm', stencil.disc(1))} F
 planes_query("disc_closing", f"{PM}, {plane_near('g', 'm', DISC)}, {plane_all_near('o', 'g', DISC)} FROM o")(lambda ras: stencil.closing(plane_mask(ras), DISC, PLANE))
 KERNEL = acoustics.gaussian_kernel()
 KSQL = "k(i, j, w) AS (VALUES " + ", ".join(f"({i}, {j}, CAST({w!r} AS DOUBLE))" for (i, j), w in KERNEL.items()) + ")"
-query("gauss_kernel", "WITH g AS (SELECT i, j, exp(-0.5 * power(i / CAST(0.5 AS DOUBLE), 2)) * exp(-0.5 * power(j / CAST(1.5 AS DOUBLE), 2)) AS w FROM range(-3, 4) a(i), range(-3, 4) b(j)) SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(w / sum(w) OVER (), 9) AS w FROM g")(
-    lambda s, d: s.createDataFrame([(i, j, w) for (i, j), w in KERNEL.items()], "i int, j int, w double").select("i", "j", F.round("w", 9).alias("w"))
+planes_query(
+    "gauss_kernel",
+    f"WITH {RAS}, g AS (SELECT i, j, exp(-0.5 * power(i / CAST(0.5 AS DOUBLE), 2)) * exp(-0.5 * power(j / CAST(1.5 AS DOUBLE), 2)) AS w FROM range(-3, 4) a(i), range(-3, 4) b(j)), n AS (SELECT i, j, w / sum(w) OVER () AS w FROM g) SELECT plane, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(w * m, 9) AS w FROM n, (SELECT plane, avg(v) AS m FROM ras GROUP BY plane)",
+)(  # what each tap takes of a plane's mean
+    lambda ras: ras.groupBy("plane").agg(F.avg("v").alias("m")).withColumn("k", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(float(w)).alias("w")) for (i, j), w in KERNEL.items()]))).select("plane", "k.i", "k.j", F.round(F.col("k.w") * F.col("m"), 9).alias("w"))
 )
 planes_query("gauss_conv", f"WITH {RAS}, {KSQL} SELECT plane, CAST(r - i AS INT) AS r, CAST(c - j AS INT) AS c, round(sum(v * w), 6) AS v FROM ras, k WHERE r - i BETWEEN 0 AND 63 AND c - j BETWEEN 0 AND 63 GROUP BY ALL")(
     lambda ras: stencil.convolve(ras, KERNEL, PLANE).select("plane", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.round("v", 6).alias("v"))
@@ -244,6 +249,18 @@ query(
     f"WITH RECURSIVE {VOLUMES}, {STEP_3D}, vols AS (SELECT DISTINCT volume_id FROM vol), {near('m', 'vol', BALL1, 'volume_id, ')}, grid AS (SELECT volume_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(z AS INT) AS z FROM vols, range(32) a(x), range(32) b(y), range(16) c(z)), b AS MATERIALIZED (FROM grid EXCEPT FROM m), outside AS (SELECT * FROM b WHERE x IN (0, 31) OR y IN (0, 31) OR z IN (0, 15) UNION SELECT n.volume_id, n.x, n.y, n.z FROM (SELECT volume_id, x + i AS x, y + j AS y, z + k AS z FROM outside, step) w JOIN b n USING (volume_id, x, y, z)) FROM grid EXCEPT FROM outside",
 )(lambda s, d: runs.to_cells(runs.fill_holes(runs.from_cells(packed.unpack(packed.dilate_ball(packed.pack(volume(s, d, KEY), {"m": F.lit(True)}, SHAPE, KEY), "m", "m", 1, SHAPE, KEY), "m", SHAPE, KEY), SHAPE, KEY), SHAPE, KEY, TILE), SHAPE, KEY))
 
+
+def reached(n: int) -> str:
+    """Background that n steps from the border reach, round by round."""
+    outer = ["o0 AS MATERIALIZED (SELECT * FROM b WHERE x IN (0, 31) OR y IN (0, 31) OR z IN (0, 15))"]
+    outer += [f"o{k} AS MATERIALIZED (FROM o{k - 1} UNION SELECT n.volume_id, n.x, n.y, n.z FROM (SELECT volume_id, x + i AS x, y + j AS y, z + k AS z FROM o{k - 1}, step) w JOIN b n USING (volume_id, x, y, z))" for k in range(1, n + 1)]
+    return ", ".join(outer)
+
+
+query("bounded_fill_volumes", f"WITH {VOLUMES}, {STEP_3D}, vols AS (SELECT DISTINCT volume_id FROM vol), {near('m', 'vol', BALL1, 'volume_id, ')}, grid AS (SELECT volume_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(z AS INT) AS z FROM vols, range(32) a(x), range(32) b(y), range(16) c(z)), b AS MATERIALIZED (FROM grid EXCEPT FROM m), {reached(1)} FROM grid EXCEPT FROM o1")(
+    lambda s, d: packed.unpack(packed.bounded_fill(packed.dilate_ball(packed.pack(volume(s, d, KEY), {"m": F.lit(True)}, SHAPE, KEY), "m", "m", 1, SHAPE, KEY), "m", "m", 1, SHAPE, KEY), "m", SHAPE, KEY)
+)
+
 # ---------------------------------------------------------------- acoustics
 
 LABELLED_RASTER = f"{RAS}, {RUNS}, {TIS}, lr AS (SELECT plane, r, c, CAST(CASE WHEN label = 0 THEN 9 ELSE label END AS INT) AS label FROM ras JOIN lmap ON cls = ((plane * 64 + r) * 64 + c) % 118)"
@@ -339,6 +356,14 @@ query("us_render_volume", f"WITH {VOLUME_US}, {warp_sql('us', 32, 32)}, {picture
 )
 
 
+# the original's sizes: planes brought to 380 x 380, of which the middle 256 x 256 is rendered
+STANDARD_RASTER = f"{ASSEMBLED[5:]}, {TIS}, lr AS (SELECT z AS plane, CAST(i - 62 AS INT) AS r, CAST(j - 62 AS INT) AS c, label FROM range(62, 318) a(i), range(62, 318) b(j), lab WHERE z % {STEP} = 0 AND x = i * 32 // 380 AND y = j * 32 // 380)"
+STANDARD_US = US.replace(LABELLED_RASTER, STANDARD_RASTER).replace("0 AND 63", "0 AND 255").replace("/ 63)", "/ 255)")
+query("us_render_standard", f"WITH {STANDARD_US}, {warp_sql('us', 256, 256)}, {picture_sql()} SELECT plane AS z, r, c, round(v, 4) AS intensity FROM picture")(
+    lambda s, d: registry.run(volume(s, d), SHAPE, registry.Config(rendering="ultrasound", step=STEP, seed=5))["maps"].select("z", "r", "c", F.round("intensity", 4).alias("intensity"))
+)
+
+
 def us_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The volume's pictures as PNG files, read back."""
     cells = registry.run(volume(spark, sf_dir), SHAPE, registry.Config(rendering="ultrasound_plain", step=STEP, seed=5))["maps"]
@@ -375,9 +400,16 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("stratified_sample", f"{SAMPLE} FROM pts")(points)
 query("pcd_normalize", f"{SAMPLE} SELECT label, x / CAST(32 AS DOUBLE) - 0.5 AS x, y / CAST(32 AS DOUBLE) - 0.5 AS y, z / CAST(16 AS DOUBLE) - 0.5 AS z FROM pts")(lambda s, d: geometry.normalize_points(points(s, d), SHAPE))
 query("pcd_rotate", f"{SAMPLE} SELECT label, -(z / CAST(16 AS DOUBLE) - 0.5) AS x, -(y / CAST(32 AS DOUBLE) - 0.5) AS y, -(x / CAST(32 AS DOUBLE) - 0.5) AS z FROM pts")(lambda s, d: geometry.rotate_points(geometry.normalize_points(points(s, d), SHAPE)))
-query("axis_plane", "SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, 5 AS z FROM range(32) a(x), range(32) b(y)")(lambda s, d: sampling.axis_plane(s, 5, 32, 32))
+VOLS = "vols AS (SELECT DISTINCT CAST(l_orderkey // 4096 AS INT) AS volume_id FROM lineitem)"
+
+
+def volume_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 4096).cast("int").alias("volume_id")).distinct()
+
+
+query("axis_plane", f"WITH {VOLS} SELECT volume_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, 5 AS z FROM vols, range(32) a(x), range(32) b(y)")(lambda s, d: sampling.axis_planes(volume_ids(s, d), 5, 32, 32))
 AXIS = "axis AS (SELECT i AS draw, CAST(('0x' || substr(md5('3:' || i), 1, 12)) AS BIGINT) % 1024 AS cell FROM range(2000) g(i))"
-query("axis_sample", f"WITH {AXIS} SELECT draw, CAST(cell % 32 AS INT) AS x, CAST(cell // 32 AS INT) AS y, 5 AS z FROM axis")(lambda s, d: sampling.axis_sample(sampling.axis_plane(s, 5, 32, 32), 2000, 3, 32, 32))
+query("axis_sample", f"WITH {VOLS}, {AXIS} SELECT volume_id, CAST(cell % 32 AS INT) AS x, CAST(cell // 32 AS INT) AS y, 5 AS z FROM vols, axis")(lambda s, d: sampling.axis_draws(volume_ids(s, d), 5, 2000, 3, 32, 32))
 query("pcd_with_axis", f"{SAMPLE}, {AXIS} SELECT label, x, y, z FROM pts UNION ALL SELECT -1, CAST(cell % 32 AS INT), CAST(cell // 32 AS INT), 5 FROM axis")(
     lambda s, d: points(s, d).select("label", "x", "y", "z").unionByName(sampling.axis_sample(sampling.axis_plane(s, 5, 32, 32), 2000, 3, 32, 32).select(F.lit(-1).alias("label"), "x", "y", "z"))
 )
@@ -452,7 +484,9 @@ query("nifti_source_volumes", f"WITH {VOLUMES}, whole AS (SELECT volume_id, CAST
 planes_query("picture_round_trip", f"WITH {RAS}, {WHOLE} SELECT 'slice__' || plane || '.png' AS name, r, c, CAST(CASE WHEN ras.v IS NULL THEN 0 ELSE (r * 31 + c * 7) % 256 END AS INT) AS v FROM whole LEFT JOIN ras USING (plane, r, c)")(picture_round_trip)
 query("cloud_round_trip", f"{SAMPLE}, {PALETTE_SQL} SELECT 'one.glb' AS name, x, y, z, coalesce(red, 0) AS red, coalesce(green, 0) AS green, coalesce(blue, 0) AS blue, coalesce(alpha, 255) AS alpha FROM pts LEFT JOIN pal USING (label)")(cloud_round_trip)
 DEMO = lambda axis: f"CAST(('0x' || substr(md5('1:{axis}:' || label || ':' || id), 1, 12)) AS BIGINT)"
-query("demo_cloud", f"SELECT label, CAST({DEMO('x')} % 20 + 40 AS INT) AS x, CAST({DEMO('y')} % 20 + 40 AS INT) AS y, CAST({DEMO('z')} % 4 + label * 5 + 18 AS INT) AS z FROM range(200) g(id), (VALUES {', '.join(f'({k})' for k in sampling.DEFAULT_QUOTA)}) t(label)")(lambda s, d: demo.cloud(s, tuple(sampling.DEFAULT_QUOTA), 200, 1))
+query("demo_cloud", f"{ASSEMBLED} SELECT label, CAST({DEMO('x')} % 20 + 40 AS INT) AS x, CAST({DEMO('y')} % 20 + 40 AS INT) AS y, CAST({DEMO('z')} % 4 + label * 5 + 18 AS INT) AS z FROM range(200) g(id), (SELECT DISTINCT label FROM lab WHERE label <> 9) t")(
+    lambda s, d: demo.blocks(assembled(s, d).where("label <> 9").select("label").distinct(), 200, 1)
+)
 query("registry_counts", f"{ASSEMBLED} SELECT label, count(*) AS n FROM lab GROUP BY label")(lambda s, d: registry.run(volume(s, d), SHAPE)["counts"])
 query("stream_counts", "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n FROM events GROUP BY ALL")(
     lambda s, d: landing.drain(landing.windowed_counts(landing.arrivals(s, f"{d}/events.parquet*", table(s, d, "events").schema), "ts", "event_type", "1 hour", "1 day"))
