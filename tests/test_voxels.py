@@ -109,3 +109,15 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert {*__spark_entry__.oracle_sql()} <= {*__spark_entry__.queries()}
+
+
+def test_antialiasing_widens_with_the_scale(spark):
+    rows = spark.createDataFrame([(r, c, float(c % 2)) for r in range(8) for c in range(8)], "r int, c int, v double")
+    shape = {"r": 8, "c": 8}
+    plain, soft = ({(x.r, x.c): round(x.v, 9) for x in geometry.resize_bilinear(rows, shape, 2, antialias=a).collect()} for a in (False, True))
+    assert set(plain.values()) == {0.5} and all(abs(v - 0.5) < 0.1 for v in soft.values())
+    one = spark.createDataFrame([(r, c, 3.0) for r in range(8) for c in range(8)], "r int, c int, v double")
+    for size in (2, 3, 8, 13):
+        assert {round(x.v, 9) for x in geometry.resize_bilinear(one, shape, size, antialias=True).collect()} == {3.0}
+    up = [{(x.r, x.c): round(x.v, 9) for x in geometry.resize_bilinear(rows, shape, 16, antialias=a).collect()} for a in (False, True)]
+    assert up[0] == up[1]  # enlarged, both are the same

@@ -39,15 +39,28 @@ def polar_warp(raster: DataFrame, w: int, h: int, label_interp: str = "bilinear"
     return rays.pixels(rays.warped(found, shape, keys, label_interp), keys)
 
 
-def resize_bilinear(raster: DataFrame, shape: dict[str, int], size: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``keys``, the two axes of ``shape`` and v, resized to a square, bilinearly at half-pixel centres without antialiasing; rows, then columns. Both axes must be dense."""
+def _axis_taps(spark, axis: str, n: int, size: int, antialias: bool) -> DataFrame:
+    """o, ``axis`` and w: the weights of the n places for each of ``size`` outputs; at most (2 n / size + 2) * size rows."""
+    out = spark.range(size).select(F.col("id").cast("int").alias("o"))
+    if antialias:  # a triangle whose foot is as wide as an output's share of the input, or one place if that is less
+        wide = max(1.0, n / size)
+        center = (F.col("o") + 0.5) * (n / size)
+        low, high = F.greatest(F.floor(center - wide), F.lit(0)), F.least(F.ceil(center + wide), F.lit(n)) - 1
+        places = F.transform(F.sequence(low.cast("int"), high.cast("int")), lambda p: F.struct(p.alias("p"), F.greatest(F.lit(0.0), 1 - F.abs(p + 0.5 - center) / wide).alias("w")))
+        total = F.aggregate("_taps", F.lit(0.0), lambda acc, t: acc + t["w"])
+        return out.withColumn("_taps", places).withColumn("_total", total).select("o", "_total", F.explode("_taps").alias("t")).where("t.w > 0").select("o", F.col("t.p").alias(axis), (F.col("t.w") / F.col("_total")).alias("w"))
+    place = F.greatest((F.col("o") + 0.5) * (n / size) - 0.5, F.lit(0.0))
+    low = F.floor(place)
+    taps = F.array(F.struct(low.alias("p"), (1 - (place - low)).alias("w")), F.struct(F.least(low + 1, F.lit(n - 1)).alias("p"), (place - low).alias("w")))
+    return out.select("o", F.explode(taps).alias("t")).select("o", F.col("t.p").cast("int").alias(axis), F.col("t.w").alias("w"))
+
+
+def resize_bilinear(raster: DataFrame, shape: dict[str, int], size: int, keys: tuple[str, ...] = (), antialias: bool = False) -> DataFrame:
+    """``keys``, the two axes of ``shape`` and v, resized to a square, bilinearly at half-pixel centres; rows, then columns. Both axes should be dense, absent cells count as 0. With ``antialias`` the filter's support grows with the scale."""
     for axis, n in shape.items():
-        place = F.greatest((F.col("o") + 0.5) * (n / size) - 0.5, F.lit(0.0))
-        low = F.floor(place)
-        taps = F.array(F.struct(low.alias("p"), (1 - (place - low)).alias("w")), F.struct(F.least(low + 1, F.lit(n - 1)).alias("p"), (place - low).alias("w")))
-        table = raster.sparkSession.range(size).select(F.col("id").cast("int").alias("o")).select("o", F.explode(taps).alias("t")).select("o", F.col("t.p").cast("int").alias(axis), F.col("t.w").alias("w"))
         others = [*keys, *(a for a in shape if a != axis)]
-        raster = raster.join(F.broadcast(table), axis).groupBy(*others, "o").agg(F.sum(F.col("v") * F.col("w")).alias("v")).withColumnRenamed("o", axis)  # 2 * size rows
+        taps = F.broadcast(_axis_taps(raster.sparkSession, axis, n, size, antialias))
+        raster = raster.join(taps, axis).groupBy(*others, "o").agg(F.sum(F.col("v") * F.col("w")).alias("v")).withColumnRenamed("o", axis)
     return raster.select(*keys, *shape, "v")
 
 

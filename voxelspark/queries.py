@@ -346,6 +346,18 @@ planes_query("polar_warp", f"WITH {RAS}, {warp_sql('ras')} SELECT plane, i, j, r
 planes_query("us_render", f"WITH {US}, {warp_sql('us')}, {picture_sql()} SELECT plane, r, c, round(v, 4) AS v FROM picture")(us_picture)
 planes_query("warp_rotate", f"WITH {RAS} SELECT plane, c AS r, CAST(63 - r AS INT) AS c, v FROM ras")(lambda ras: geometry.rotate_warped(ras, 64, ("plane",)))
 planes_query("resize_nearest", f"WITH {RAS} SELECT plane, CAST(i AS INT) AS r, CAST(j AS INT) AS c, v FROM range(380) a(i), range(380) b(j), ras WHERE ras.r = i * 64 // 380 AND ras.c = j * 64 // 380")(lambda ras: geometry.resize_nearest(ras, PLANE, 380))
+
+
+def resized_sql(antialias: bool, size: int = 40) -> str:
+    """64 x 64 planes resized; the plain form takes the two nearest places, the other a triangle as wide as the scale."""
+    scale, wide = f"({64 / size!r}::DOUBLE)", f"({max(1.0, 64 / size) if antialias else 1.0!r}::DOUBLE)"
+    at = f"(o + 0.5::DOUBLE) * {scale}" if antialias else f"greatest((o + 0.5::DOUBLE) * {scale} - 0.5::DOUBLE, 0) + 0.5::DOUBLE"
+    taps = f"raw AS (SELECT CAST(o AS INT) AS o, CAST(p AS INT) AS p, greatest(0, 1 - abs(p + 0.5::DOUBLE - ({at})) / {wide}) AS w FROM range({size}) g(o), range(64) h(p)), taps AS MATERIALIZED (SELECT o, p, w / sum(w) OVER (PARTITION BY o) AS w FROM raw WHERE w > 0)"
+    return f"WITH {RAS}, {taps}, tall AS MATERIALIZED (SELECT plane, o AS r, c, sum(v * w) AS v FROM ras JOIN taps ON r = p GROUP BY ALL) SELECT plane, r, o AS c, round(sum(v * w), 6) AS v FROM tall JOIN taps ON c = p GROUP BY ALL"
+
+
+for _name, _soft in (("resize_bilinear", False), ("resize_antialiased", True)):
+    planes_query(_name, resized_sql(_soft))(lambda ras, soft=_soft: geometry.resize_bilinear(ras, PLANE, 40, ("plane",), soft).select("plane", "r", "c", F.round("v", 6).alias("v")))
 planes_query("center_crop", f"WITH {RAS} SELECT plane, CAST(i - 62 AS INT) AS r, CAST(j - 62 AS INT) AS c, v FROM range(62, 318) a(i), range(62, 318) b(j), ras WHERE ras.r = i * 64 // 380 AND ras.c = j * 64 // 380")(lambda ras: geometry.crop_center(geometry.resize_nearest(ras, PLANE, 380), 380, 256))
 # a volume's planes as rasters: ray x, depth y
 STEP = 4
