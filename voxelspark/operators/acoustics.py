@@ -34,9 +34,8 @@ def clamp(x: Column, low: float, high: float) -> Column:
 
 
 def clamp_maps(maps: DataFrame) -> DataFrame:
-    for name, high in (("imp", 10.0), ("alpha", 10.0), ("mu0", 1.0), ("mu1", 1.0), ("sigma0", 1.0)):
-        maps = maps.withColumn(name, clamp(F.col(name), 0.0, high))
-    return maps
+    highest = {"imp": 10.0, "alpha": 10.0, "mu0": 1.0, "mu1": 1.0, "sigma0": 1.0}
+    return maps.withColumns({name: clamp(F.col(name), 0.0, high) for name, high in highest.items()})
 
 
 def interfaces(maps: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
