@@ -4,12 +4,15 @@ import datetime
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from voxelspark.llm import pseudonyms
 
 KEY = "k"
+#: Prefixes of the issuers whose cards stand in these tests.
+PREFIXES = ("4", "51", "2221", "37", "6011", "62", "3530")
 
 
 def draw(kind, round_, seen, i=None):
@@ -63,7 +66,8 @@ def refilled(template, new):
 def plain(kind, m):
     d = re.sub(r"\D", "", m)
     if kind == "card":
-        body = plain_text(d[:-1], "card")
+        kept = next(n for n in (1, 2, 3, 4) if d[:n] in PREFIXES)
+        body = d[:kept] + plain_text(d[kept:-1], "card")
         return refilled(m, body + str((10 - luhn(body + "0")) % 10))
     if kind == "ipv4":
         n = plain_number(int.from_bytes(bytes(map(int, m.split(".")))), (65536, 65536), "ipv4")
@@ -137,6 +141,36 @@ def test_values_in_text(spark):
     assert all(rows[i].text == texts[i] and rows[i].n_pseudonyms == 0 for i in (4, 5, 6, 7))
 
 
+def test_only_cards_of_issuers_are_cards(spark):
+    """Valid check digits alone make no card; the issuer's prefix and length stay."""
+
+    def number(prefix, length, seed):
+        body = prefix + "".join(random.Random(seed).choices("0123456789", k=length - len(prefix) - 1))
+        return body + str((10 - luhn(body + "0")) % 10)
+
+    cards = [number(p, n, n) for p, n in (("4", 16), ("4", 13), ("51", 16), ("2221", 16), ("37", 15), ("6011", 16), ("62", 19), ("3530", 16))]
+    others = [number(p, n, s) for s in range(20) for p, n in (("9", 16), ("0", 16), ("1", 13), ("7", 16), ("4", 14), ("51", 15), ("37", 16), ("2720", 17), ("2721", 16), ("8", 19))]
+    years = "2001 2002 2003 2004 2005 2006 2007 2008 " * 20
+    frame = spark.createDataFrame([(i, f"n {x}.") for i, x in enumerate(cards)] + [(100 + i, f"n {x}.") for i, x in enumerate(others)] + [(999, years)], "id int, text string")
+    rows = {r.id: r for r in pseudonyms.pseudonymize(frame, KEY).collect()}
+    for i, x in enumerate(cards):
+        assert (rows[i].text, rows[i].n_pseudonyms) == (f"n {plain('card', x)}.", 1)
+    assert all((rows[100 + i].text, rows[100 + i].n_pseudonyms) == (f"n {x}.", 0) for i, x in enumerate(others))
+    assert (rows[999].text, rows[999].n_pseudonyms) == (years, 0)
+
+
+def test_long_runs_of_groups(spark):
+    """200,000 groups of one digit, and 3,000 cards in a row, take seconds."""
+    card = "4845 1681 1440 7329"
+    frame = spark.createDataFrame([(1, "7 " * 200_000), (2, f"{card} " * 3000), (3, "1 2 3 " + card + " 5 6 " + card)], "id int, text string")
+    began = time.time()
+    rows = {r.id: r for r in pseudonyms.pseudonymize(frame, KEY).collect()}
+    assert time.time() - began < 60
+    new = plain("card", card)
+    assert rows[1].text == "7 " * 200_000 and rows[2].text == f"{new} " * 3000 and rows[3].text == f"1 2 3 {new} 5 6 {new}"
+    assert [rows[i].n_pseudonyms for i in (1, 2, 3)] == [0, 3000, 2]
+
+
 def test_odd_tables(spark):
     text = "a 161.17.88.162 b"
     frame = spark.createDataFrame([(None, text, 7, "p", 1.5), (1, None, 8, None, None), (1, "", 9, "", 0.0), (2, text, 7, "p", 1.5), (2, text, 7, "p", 1.5), (3, ("word " * 40_000) + text, 0, "", 0.0)], "doc_id long, text string, n_pseudonyms int, _pseudonyms string, `a.b` double")

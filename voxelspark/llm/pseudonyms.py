@@ -1,9 +1,10 @@
 """Pseudonyms of personal numbers and dates: keyed Feistel permutations within each value's own format, in SQL expressions only.
 
-Found and validated are payment cards (Luhn), IBANs (mod 97), IPv4 addresses (octets), dates (calendar), social security numbers, phone numbers and e-mail addresses.
-Each is permuted within the set of valid values of its format: digits stay digits, letters letters, separators and domains stay, check digits are made anew, dates stay dates
+Found and validated are payment cards (issuer's prefix and length, Luhn), IBANs (mod 97), IPv4 addresses (octets), dates (calendar), social security numbers, phone numbers and e-mail addresses.
+Each is permuted within the set of valid values of its format: digits stay digits, letters letters, separators, domains and issuers' prefixes stay, check digits are made anew, dates stay dates
 between 1800 and 2199. The permutation depends on the key and the value alone, so equal values have equal pseudonyms in all documents. What fails
-validation is left as it is.
+validation is left as it is, and so are forms that are not looked for: IBANs in small letters, dates with month names or as 12-31-2024, IPv6 addresses, phone numbers that begin with 00,
+cards whose groups are parted by line breaks or several blanks.
 
 Defined results: a null text stays null and an empty one empty, with 0 pseudonyms; texts of any length are treated whole; repeated rows are treated alike; an empty table gives no rows;
 other columns stay as they are, also those with the name of the count.
@@ -42,6 +43,21 @@ PHONE = (
 #: A whole run of digit groups, in which ``_cards`` looks for cards.
 CARD = rf"(?<![\d.-])\d(?:(?:-| (?!{OTHER}))?\d){{12,}}+"
 CARD_SHAPE = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,4}|\d{4}([ -])\d{4}\2\d{4}\2\d{4}\2\d{1,3}|\d{4}([ -])\d{6}\3\d{4,5})[ -]?$"
+#: A card and its issuer's range. Prefixes, and numbers of digits after them.
+ISSUERS = (
+    (r"4", r"\d{12}|\d{15}|\d{18}"),
+    (r"5[1-5]", r"\d{14}"),
+    (r"222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720", r"\d{12}"),
+    (r"3[47]", r"\d{13}"),
+    (r"30[0-59]", r"\d{11,16}"),
+    (r"3[689]", r"\d{12,17}"),
+    (r"35(?:2[89]|[3-8]\d)", r"\d{12,15}"),
+    (r"6011", r"\d{12,15}"),
+    (r"64[4-9]", r"\d{13,16}"),
+    (r"6[25]", r"\d{14,17}"),
+    (r"50(?:18|20|38)|5893|6304|6759|676[123]", r"\d{9,15}"),
+)
+ISSUER = "^(?:" + "|".join(f"(?:{prefix})(?=(?:{rest})$)" for prefix, rest in ISSUERS) + ")"
 ANY = "|".join((EMAIL, IPV4, IBAN, DATE, SSN, PHONE, CARD))
 
 
@@ -124,7 +140,8 @@ def _refill(template: Column, digits: Column) -> Column:
 
 def _card(m: Column, key: Column) -> Column:
     d = _digits(m)
-    body = permute_text(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
+    kept = F.regexp_extract(d, ISSUER, 0)
+    body = C.bound(kept, lambda k: F.concat(k, permute_text(F.substring(d, F.length(k) + 1, F.length(d) - F.length(k) - 1), key, "card")))
     number = C.bound(body, lambda b: F.concat(b, ((10 - _luhn(F.concat(b, F.lit("0")))) % 10).cast("string")))
     return C.bound(number, lambda n: _refill(m, n))
 
@@ -133,6 +150,7 @@ def _cards(m: Column, key: Column) -> Column:
     """A run of digit groups with its cards replaced, and their number.
 
     From left to right, the longest neighbouring groups that are valid and in a card's grouping are a card. At the start of the run any grouping is tried too, up to 19 digits.
+    A card's grouping begins with 4 or at least 13 digits, so no other group but the run's first is tried as a start.
     """
 
     def treated(groups: Column) -> Column:
@@ -143,15 +161,22 @@ def _cards(m: Column, key: Column) -> Column:
             x = joined(i, j)
             n = F.length(_digits(x))
             longest = (i == 0) & ((j == last) | (F.length(_digits(joined(i, j + 1))) > 19))
-            return n.between(13, 19) & (longest | x.rlike(CARD_SHAPE)) & C.bound(_digits(x), lambda d: (_luhn(d) == 0) & ~d.rlike("^0*$"))
-
-        def step(s: Column, i: Column) -> Column:
-            end = F.array_max(F.filter(F.sequence(i, F.least(i + 18, last)), lambda j: valid(i, j)))
-            made = lambda text, n, to: F.struct(F.concat(s["text"], text).alias("text"), (s["n"] + n).alias("n"), to.alias("to"))
-            return F.when(i < s["to"], s).otherwise(C.bound(end, lambda e: F.when(e.isNull(), made(F.element_at(groups, i + 1), 0, i + 1)).otherwise(made(_card(joined(i, e), key), 1, e + 1))))
-
-        start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"), F.lit(0).alias("to"))
-        return F.aggregate(F.sequence(F.lit(0), last), start, step, lambda s: F.struct(F.when(s["n"] > 0, s["text"]).alias("text"), s["n"].alias("n")))
+            return n.between(13, 19) & (longest | x.rlike(CARD_SHAPE)) & C.bound(_digits(x), lambda d: d.rlike(ISSUER) & (_luhn(d) == 0))
+
+        starts = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | F.element_at(groups, i + 1).rlike(r"^(?:\d{4}|\d{13,19})[ -]?$"))
+        ends = F.transform(starts, lambda i: F.struct(i.alias("i"), F.array_max(F.filter(F.sequence(i, F.least(i + 18, last)), lambda j: valid(i, j))).alias("j")))
+        found = F.filter(ends, lambda s: s["j"].isNotNull())
+        none = F.array().cast("array<struct<i:int,j:int>>")
+        # of cards that overlap, the first in the text is taken
+        cards = F.aggregate(found, none, lambda taken, s: F.when((F.size(taken) > 0) & (s["i"] <= F.try_element_at(taken, F.lit(-1))["j"]), taken).otherwise(F.array_append(taken, s)))
+
+        def filled(taken: Column) -> Column:
+            before = lambda k: F.coalesce(F.get(taken, k - 1)["j"], F.lit(-1))
+            pieces = F.transform(taken, lambda s, k: F.concat(joined(before(k) + 1, s["i"] - 1), _card(joined(s["i"], s["j"]), key)))
+            text = F.concat(F.array_join(pieces, ""), joined(before(F.size(taken)) + 1, last))
+            return F.struct(F.when(F.size(taken) > 0, text).alias("text"), F.size(taken).alias("n"))
+
+        return C.bound(cards, filled)
 
     return C.bound(F.regexp_extract_all(m, F.lit(r"\d+[ -]?"), F.lit(0)), treated)
 
