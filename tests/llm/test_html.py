@@ -33,6 +33,27 @@ def test_class_names_of_paragraphs_do_not_count_within_an_article(tree):
     assert html_main.main_text("<article><h2 class=tags>One</h2><p class=side>two three</p></article>", tree) == "One two three"
 
 
+MISLEADING = ["social-history", "side-story", "comments-policy", "search_theory", "menu-engineering", "legal-studies", "tag-team", "notice-periods", "has-sidebar", "content-with-sidebar", "banner-story"]
+
+
+@pytest.mark.parametrize("name", MISLEADING)
+def test_names_that_mislead(tree, name):
+    """Main text in elements whose names only contain a word of boilerplate stays; lists of links and what stands outside the article go."""
+    for n in (1, 5, 40, 200):
+        text = " ".join(f"w{i}" for i in range(n))
+        for page in ("<div class={0}><p>{1}</p><p>{1}</p></div>", "<div id={0}><article><h1>t</h1><p>{1}</p><p>{1}</p></article></div>", "<article><p>{1}</p><div class={0}><p>{1}</p></div></article>", "<nav><a href=/>m</a></nav><main><section class={0}><h2>{1}</h2><p>{1}</p></section></main><footer>f</footer>"):
+            got = html_main.main_text(page.format(name, text), tree)
+            assert got.count(text) == page.count("{1}"), (page, n, got)
+    linked = "".join(f"<p><a href=/>y{i} y y</a></p>" for i in range(4))
+    assert html_main.main_text(f"<article><h1>t</h1><p>One two three</p><div class={name}>{linked}</div></article>", tree) == "t One two three"
+    assert html_main.main_text(f"<article><p>One two three</p></article><div class={name}><p>y y y y y</p></div>", tree) == "One two three"
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-slot", "ads-300x250", "page-footer", "site_nav", "social-icons", "related-posts", "cookie-notice", "newsletter-signup", "comments", "comment-body", "sidebar__inner", "x comments-list y", "top-bar", "story-tags"])
+def test_names_of_boilerplate(tree, name):
+    assert html_main.main_text(f"<article><p>One two</p><div class='{name}'><p>y y y</p></div></article><div class='{name}'><p>y y</p></div>", tree) == "One two"
+
+
 def test_parsing():
     texts = lambda page: [t for t, _ in html_main.blocks(page)]
     assert texts("<a href=x/>One</a> two<p>b<i>c<div>d</i>e</div>f") == ["One two", "bc", "de", "f"]

@@ -1,7 +1,8 @@
 """Main text of web pages from flat text blocks.
 
 A page becomes a flat list of text blocks. Each block has its own word count and link density, those of its neighbours, and what encloses it.
-A decision tree, trained on a small labelled table of made-up pages (``labelled_blocks``), tells main text from the rest.
+A decision tree, trained on a small labelled table of made-up pages (``labelled_blocks``), tells main text from the rest. Class names whose last word names boilerplate
+are one feature; those that only contain such a word stand on main text and on the rest in that table, so link densities and the block's place decide there.
 
 Defined results: a null or empty html gives an empty text; pages without main text too; repeated rows are judged alike; an empty table gives no rows;
 other columns of the input are ignored. Texts of any length are read whole.
@@ -47,14 +48,19 @@ FRAME = frozenset("nav header footer aside form menu dialog".split())
 HEADINGS, ITEMS = ("h1", "h2", "h3", "h4", "h5", "h6"), ("li", "dt", "dd")
 #: Within an article only these are judged by their class names.
 GROUPS = frozenset("div section ul ol dl table details figure span".split())
-HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav\w*|footer|foot|header|masthead|top-?bar|cookies?|consent|notices?|alert|comments?|respond|reply|replies|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|breadcrumbs?|pagination|pager|popup|modal|overlay|widget|login|search|toolbar|copyright|legal|disclaimer|tags?)(?=$|[\s_-])", re.I)
+#: Words of class names that stand on boilerplate; places and parts that may follow them; words that make a compound of them a property of the whole page.
+HINTS = r"ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav\w*|footer|foot|header|masthead|top-?bar|cookies?|consent|notices?|alert|comments?|respond|reply|replies|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|breadcrumbs?|pagination|pager|popup|modal|overlay|widget|login|search|toolbar|copyright|legal|disclaimer|tags?"
+PARTS = r"area|articles|author|bar|block|body|bottom|box|buttons?|cards?|col|column|container|content|date|field|form|group|heading|icons?|info|inner|inline|input|items?|label|left|lines?|links?|list|meta|module|more|now|outer|panel|placeholder|posts?|region|right|row|section|slot|sticky|stories|text|this|title|top|unit|us|wrap|wrapper|zone|\d+(?:x\d+)?"
+HINT = re.compile(rf"(?:^|[\s_-])(?:{HINTS})(?=$|[\s_-])", re.I)
+#: A compound is what its last word says, so "page-footer" and "social-icons" name boilerplate and "social-history" only may.
+NAMED = re.compile(rf"(?:^|\s)(?:ads?|advert\w*|sponsor\w*)(?=$|[\s_-])|(?:^|\s)(?!(?:has|no|with|without)[_-])(?:(?!with)[^\s_-]*[_-]+)*(?:{HINTS})(?:[_-]+(?:{PARTS}))*(?=$|\s)", re.I)
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?=$|[\s_-])", re.I)
 BODY = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|text|body)(?=$|[\s_-])", re.I)
 ROLES = {"navigation": "nav", "banner": "header", "contentinfo": "footer", "complementary": "aside", "search": "form", "main": "main", "article": "article"}
 PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>\"']*)>")
 TAG_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "framed", "hinted", "in_article", "in_body", "heading", "item", "framed_outside")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "framed", "hinted", "in_article", "in_body", "heading", "item", "framed_outside", "named")
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str, str, int]]:
@@ -161,7 +167,7 @@ class _Page:
             n = words.count(" ") + 1
             inside = len(entities.unescape(" ".join(self.linked)).split())
             f = self.flags
-            self.out.append((words, [n, min(1.0, inside / n), bool(f & 1), bool(f & 2), bool(f & 4), bool(f & 8), self.last(HEADINGS) >= 0, self.last(ITEMS) >= 0, bool(f & 16)]))
+            self.out.append((words, [n, min(1.0, inside / n), bool(f & 1), bool(f & 2), bool(f & 4), bool(f & 8), self.last(HEADINGS) >= 0, self.last(ITEMS) >= 0, bool(f & 16), bool(f & 32)]))
         self.text.clear()
         self.linked.clear()
 
@@ -200,7 +206,7 @@ class _Page:
             self.flags |= 0 if name == "header" and self.flags & 4 else 1
             self.flags |= 0 if self.flags & 4 else 16
         if name in ("article", "main"):
-            self.flags |= 4
+            self.flags = self.flags | 4 if self.flags & 4 else self.flags & ~32 | 4
         if attributes and name not in ("body", "html", *HIDDEN):
             self.marked(name, {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)})
 
@@ -214,8 +220,9 @@ class _Page:
         names = f"{found.get('class', '')} {found.get('id', '')}"
         inside = self.flags & 4
         if name not in ("article", "main") and (name in GROUPS or not inside):
-            if HINT.search(HEADER.sub(" ", names) if inside else names):
-                self.flags |= 2
+            asked = HEADER.sub(" ", names) if inside else names
+            if HINT.search(asked):
+                self.flags |= 2 if NAMED.search(asked) else 32
             elif name not in INLINE and BODY.search(names):
                 self.flags |= 8
         if "display:none" in found.get("style", "").replace(" ", "").lower() or "hidden" in found:
@@ -256,13 +263,19 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
 
 
 def features(found: list[tuple[str, list[float]]]) -> np.ndarray:
-    """(n, len(FEATURES)): each block's own features with word count and link density of the blocks before and after it."""
-    own = np.array([f for _, f in found], float).reshape(-1, 9)
+    """(n, len(FEATURES)): each block's own features with word count and link density of the blocks before and after it.
+
+    ``named`` is 1 in elements whose class name only may mean boilerplate, and 2 there if the page has an article, or an element named like one, and the block is not in it.
+    """
+    own = np.array([f for _, f in found], float).reshape(-1, 10)
     out = np.zeros((len(own), len(FEATURES)))
     out[:, :2] = own[:, :2]
     out[1:, 2:4] = own[:-1, :2]
     out[:-1, 4:6] = own[1:, :2]
     out[:, 6:] = own[:, 2:]
+    inside = (own[:, 4] > 0) | (own[:, 5] > 0)
+    if (inside & (own[:, 2] == 0) & (own[:, 3] == 0)).any():
+        out[:, -1] *= 2 - inside
     return out
 
 
@@ -281,16 +294,24 @@ def labelled_blocks(pages: int = 400, seed: int = 7) -> tuple[np.ndarray, np.nda
 
     many = lambda: round(300 ** r.random())  # noqa: E731 words of a block, main text or not: 1 to 300, so that length alone tells nothing
 
+    def misleading() -> str:
+        return pick(["social", "side", "comments", "share", "search", "legal", "notice", "promo", "related", "menu", "tag"]) + pick("-_") + pick(["history", "story", "policy", "study", "science", "theory", "life", "guide", "report"])
+
     def menu() -> str:
         items = "".join(f"<li>{link(r.randint(1, 5), 'y')}</li>" for _ in range(r.randint(2, 12)))
         return pick(["<nav><ul>{}</ul></nav>", '<div class="menu"><ul>{}</ul></div>', '<ul id="nav">{}</ul>', "<header><ul>{}</ul></header>", '<div role="navigation">{}</div>', "<ul>{}</ul>", "<div>{}</div>"]).format(items)
 
-    def boiler(inside: bool) -> str:
+    def boiler(inside: bool, alone: bool = False) -> str:
         body = words(many(), "y")
         shapes = ['<div class="ad">{}</div>', "<aside><p>{}</p></aside>", '<div class="sidebar"><h3>{}</h3></div>', '<div id="cookie-notice"><p>{}</p></div>', "<form><label>{}</label><input></form>", '<div class="comments"><p>{}</p><p>{}</p></div>', '<section id="comments"><div class="comment"><p>{}</p></div></section>', '<div class="share">{}</div>', '<div class="related-posts">{}</div>', '<div class="newsletter"><p>{}</p></div>', '<div class="banner">{}</div>', "<footer><p>{}</p></footer>", "<nav><h2>{}</h2></nav>", "<aside><ul><li>{}</li></ul></aside>"]
+        if r.random() < 0.2:  # names that mislead: links within an article or on a page without one, anything outside
+            links = "".join(f"<p>{link(r.randint(2, 9), 'y')} {words(r.randint(0, 1), 'y')}</p>" for _ in range(r.randint(2, 6)))
+            return f'<div class="{misleading()}">{links if inside or alone or r.random() < 0.5 else f"<p>{body}</p>"}</div>'
         return pick(shapes + ([] if inside else ["<header><p>{}</p></header>", "<header><h1>{}</h1></header>", '<p class="ad">{}</p>'])).replace("{}", body)
 
     def piece() -> str:
+        if r.random() < 0.1:
+            return pick(['<div class="{0}"><p>{1}</p></div>', '<section id="{0}"><h2>{2}</h2><p>{1}</p></section>']).format(misleading(), words(many(), "x"), words(r.randint(1, 8), "x"))
         shapes = ["<p>{}</p>"] * 6 + ["<p><b>{}</b></p>", "<h2>{}</h2>", "<h3>{}</h3>", "<ul><li>{}</li><li>{}</li></ul>", "<ol><li><p>{}</p></li></ol>", "<dl><dt>{}</dt><dd>{}</dd></dl>", "<blockquote><p>{}</p></blockquote>", "<pre>{}</pre>", "<figure><figcaption>{}</figcaption></figure>", "<table><tr><td>{}</td><td>{}</td></tr></table>", "<div>{}</div>", "<section><p>{}</p></section>", f"<p>{link(r.randint(1, 5), 'x')} {{}}</p>"]
         return pick(shapes).replace("{}", words(many(), "x"))
 
@@ -309,9 +330,10 @@ def labelled_blocks(pages: int = 400, seed: int = 7) -> tuple[np.ndarray, np.nda
     xs, ys = [], []
     for _ in range(pages):
         inside = pick(["<article>{}</article>", "<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>', '<div id="main-content">{}</div>', '<div class="post"><div class="entry-content">{}</div></div>', "bare"])
-        inside = pick(["<div>{}</div>", "{}"]).replace("{}", bare()) if inside == "bare" else inside.replace("{}", main())
+        alone = inside == "bare"
+        inside = pick(["<div>{}</div>", "{}"]).replace("{}", bare()) if alone else inside.replace("{}", main())
         foot = pick(["<footer>{}</footer>", '<div class="footer"><p>{}</p></div>', '<div id="copyright">{}</div>']).replace("{}", words(many(), "y"))
-        before, after = [menu()] + [boiler(False) for _ in range(r.randint(0, 2))], [boiler(False) for _ in range(r.randint(0, 3))] + [menu()] * r.randint(0, 1) + [foot]
+        before, after = [menu()] + [boiler(False, alone) for _ in range(r.randint(0, 2))], [boiler(False, alone) for _ in range(r.randint(0, 3))] + [menu()] * r.randint(0, 1) + [foot]
         found = blocks(f"<html><head><title>{words(4, 'y')}</title></head><body>{''.join(before)}{inside}{''.join(after)}</body></html>")
         xs.append(features(found))
         ys += ["x" in t for t, _ in found]
