@@ -106,3 +106,24 @@ def test_suffix_order_to_a_depth():
         assert sorted(got) == list(range(len(raw)))
         keys = [raw[i : i + depth].ljust(depth, b"\0") for i in got]
         assert keys == sorted(keys)
+
+
+@pytest.mark.parametrize("most", [1, 3, 64])
+def test_blocks_cross_the_network_once_and_packed(spark, monkeypatch, most):
+    """Small segments and chunks, with anchors too frequent for a segment: the same results, and a row for each segment of a chunk, not for each block."""
+    rows = rows_of(23)
+    units = [(i, (t or "").encode()) for i, t in rows]
+    want = sorted((i, len(u), sum(g), hashlib.sha256(bytes(b for b, x in zip(u, g, strict=True) if not x)).hexdigest()) for (i, u), g in zip(units, removed(units), strict=True) if i is not None)
+    monkeypatch.setattr(repeats, "HOT", most)
+    monkeypatch.setattr(repeats, "CHUNK", 500)
+    monkeypatch.setattr(repeats, "SEGMENT_BYTES", 9000)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_dedup.remove_repeated_bytes(frame).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got if r.doc_id is not None) == want
+    known = frame.where("doc_id IS NOT NULL AND text IS NOT NULL").selectExpr("doc_id", "text", "0L AS t").coalesce(1)
+    monkeypatch.setattr(repeats, "CHUNK", 1 << 19)
+    sent = repeats._packed(known, suffix_dedup.byte_units, suffix_dedup.K, suffix_dedup.WINDOW, 4).collect()
+    texts = [t.encode() for i, t in rows if i is not None and t is not None]
+    at = np.cumsum([0, *map(len, texts)])
+    assert {r.seg for r in sent if r.seg >= 0} == {0, 1, 2, 3} and len(sent) <= 9 and any(r.seg < 0 for r in sent) == (most < 64)
+    assert sum(r.many for r in sent if r.seg < 0) + sum((np.frombuffer(r.n, np.int16) > 0).sum() for r in sent if r.seg >= 0) == len(repeats.blocks(np.frombuffer(b"".join(texts), np.uint8), at, suffix_dedup.K, suffix_dedup.WINDOW)[0])

@@ -1,15 +1,15 @@
 """Long repeated spans: which windows of units (bytes or words) also start in a document with a smaller id.
 
 Comparing every window with every other is out of reach, so windows meet through anchors: of the k-mers of a window the one with the least hash (leftmost of equals). Equal windows
-have equal anchors. Consecutive windows with one anchor form a block; a block's anchor and content hash (128 bits together) stand for all its windows. So one row per block, not per window, is shuffled:
+have equal anchors. Consecutive windows with one anchor form a block; a block's anchor and content hash (128 bits together) stand for all its windows. So one block, not every window, is shuffled:
 
-1. anchors are counted, those that no two documents share are dropped, and those with several contents noted;
-2. the blocks of shared anchors are grouped by content, each with its least document and place;
+1. blocks are sent once, packed as arrays, to segments of anchors; a segment's task drops the anchors that no two documents share;
+2. where an anchor has one content, that content's windows have its least document, and its blocks in other documents are marked there;
 3. where an anchor has blocks of different content (the ends of repeated passages), or everywhere if the caller wants it (``whole``), one copy of each content is resolved window by window, by the
-   caller's method; else all windows of a block have the block's least document;
+   caller's method, and its blocks are joined with the result;
 4. windows whose least document is smaller than their own are marked, and covered units removed.
 
-Aggregates combine before they shuffle, and a hot anchor or content is a skewed join that Spark splits, so no task holds all of it. Long texts are read in pieces.
+Of an anchor that is frequent in a task's texts, a segment gets the ends of each content only; the blocks are joined with the result, a skewed join that Spark splits. So no task holds all of it. Long texts are read in pieces.
 
 Rows are told apart by id, and by text too where some share an id. Rows that share an id are never compared with each other. Rows without an id, null, empty and short texts are passed on whole.
 """
@@ -29,6 +29,10 @@ SLICE = 1 << 19
 #: Bits of a packed value that hold a place; a piece has fewer units.
 PLACE = np.uint64((1 << 20) - 1)
 PIECE = 1 << 19
+NAMES = ["h", "c", "doc", "t", "pos", "n"]
+TYPES = [np.uint64, np.int64, np.int64, np.int64, np.int32, np.int16]
+#: Blocks of a task that are sent together; bytes of text whose blocks make a segment; blocks of one anchor in a chunk that are sent one by one.
+CHUNK, SEGMENT_BYTES, HOT = 1 << 19, 8 << 20, 64
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]  # bytes, offsets -> codes (or bytes), offsets among codes
 
 
@@ -73,47 +77,123 @@ def _blocks(codes: np.ndarray, offsets: np.ndarray, k: int, window: int) -> tupl
     return row, begin, end - begin, kmer[(low[begin] & PLACE).astype(np.int64)], C.range_hash(prefix, begin, end - 1 + window)
 
 
-def _anchors(docs: DataFrame, units: Units, k: int, window: int) -> DataFrame:
-    """Anchors (h) that several documents have, and whether they have several contents (mixed)."""
-    names = ["h", "lo", "hi", "c0", "c1"]
+def _sent(held: list[tuple[np.ndarray, ...]], segments: int, most: int) -> list[pa.RecordBatch]:
+    """Blocks (h, c, doc, t, pos, n) as a row for each segment of h. Of an anchor with more than ``most`` of them, a segment gets the first and the last of each content, marked by a negative n, and the
+    blocks themselves go into a row of a negative segment; so a segment has few of an anchor's equal blocks, however many there are."""
+    h, c, doc, t, pos, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(h, kind="stable")
+    h, c, doc, t, pos, n = (x[order] for x in (h, c, doc, t, pos, n))
+    count = np.diff(np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h)))
+    hot = np.repeat(count > most, count)
+    parts = [(_segment(h[~hot], segments), *(x[~hot] for x in (h, c, doc, t, pos, n)))]
+    if hot.any():
+        h, c, doc, t, pos, n = (x[hot] for x in (h, c, doc, t, pos, n))
+        order = np.lexsort((pos, t, doc, c, h))
+        h, c, doc, t, pos, n = (x[order] for x in (h, c, doc, t, pos, n))
+        new = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]))
+        ends = new | np.append(new[1:], True)
+        parts.append((_segment(h[ends], segments), *(x[ends] for x in (h, c, doc, t, pos)), -n[ends]))
+        parts.append((np.full(len(h), -1 - int(doc[0]) % segments), h, c, doc, t, pos, n))
+    rows = []
+    for seg, *columns in parts:
+        first = np.flatnonzero(np.append(True, seg[1:] != seg[:-1])) if len(seg) else np.zeros(0, np.int64)
+        at = np.append(first, len(seg))
+        if not columns[3].any():
+            columns[3] = columns[3][:0]
+        packed = [pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((np.minimum(at, len(x)) * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))]) for x in columns]
+        many = pa.array(np.diff(at).astype(np.int32))
+        rows.append(pa.RecordBatch.from_arrays([pa.array(seg[first].astype(np.int32)), many, *packed], ["seg", "many", *NAMES]))
+    return pa.Table.from_batches(rows).combine_chunks().to_batches()
+
+
+def _segment(h: np.ndarray, segments: int) -> np.ndarray:
+    """Segments are ranges of h."""
+    return ((h >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
+
+
+def _packed(docs: DataFrame, units: Units, k: int, window: int, segments: int) -> DataFrame:
+    """All blocks, packed: seg, many and a binary column of each of ``NAMES``."""
 
     def run(batches):
+        held, many = [], 0
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
+            ids, texts = (b.column(x).to_numpy(zero_copy_only=False) for x in (0, 2))
             for i, _, data, offsets in C.slices(b.column(1), SLICE):
                 codes, o = units(data, offsets)
-                row, _, _, h, c = blocks(codes, o, k, window)
-                if not len(h):
-                    continue
-                order = np.argsort(h, kind="stable")
-                h, c, doc = h[order], c[order].view(np.int64), ids[i + row[order]]
-                first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-                columns = [h[first].view(np.int64), np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first), np.minimum.reduceat(c, first), np.maximum.reduceat(c, first)]
-                yield from _rows(columns, names)
+                row, begin, n, h, c = blocks(codes, o, k, window)
+                h = h << np.uint64(32) | h >> np.uint64(32)  # least hashes are small; their low bits are even
+                if len(h):
+                    held.append((h, c.view(np.int64), ids[i + row], texts[i + row], (begin - o[row]).astype(np.int32), n.astype(np.int16)))
+                    many += len(h)
+                if many >= CHUNK:
+                    yield from _sent(held, segments, HOT)
+                    held, many = [], 0
+        if many:
+            yield from _sent(held, segments, HOT)
 
-    found = C.map_arrow(docs.select("doc_id", "text"), run, ", ".join(f"{x} long" for x in names))
-    counted = found.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("c0").alias("c0"), F.max("c1").alias("c1"))
-    return counted.where("lo < hi").select("h", F.expr("c0 <> c1").alias("mixed"))
+    return C.map_arrow(docs.select("doc_id", "text", "t"), run, "seg int, many int, " + ", ".join(f"{x} binary" for x in NAMES))
 
 
-def _blocks_of(docs: DataFrame, units: Units, k: int, window: int) -> DataFrame:
-    """All blocks: h, c, doc, t, pos, n."""
-    names = ["h", "c", "doc", "t", "pos", "n"]
+#: Rows of ``_met``.
+MARK, HIT, CUT, PLAIN = range(4)
+MET = "kind byte, h long, c long, doc long, t long, pos int, n short, hi long"
 
-    def run(batches):
-        for b in batches:
-            ids, texts = (b.column(x).to_numpy(zero_copy_only=False) for x in (0, 2))
-            for i, _, data, offsets in C.slices(b.column(1), SLICE):
-                codes, o = units(data, offsets)
-                row, begin, many, h, c = blocks(codes, o, k, window)
-                yield from _rows([h.view(np.int64), c.view(np.int64), ids[i + row], texts[i + row], (begin - o[row]).astype(np.int32), many.astype(np.int16)], names)
 
-    return C.map_arrow(docs.select("doc_id", "text", "t"), run, "h long, c long, doc long, t long, pos int, n short")
+def _unpacked(table: pa.Table) -> list[np.ndarray]:
+    out = [C.utf8(table.column(x))[0].view(kind) for x, kind in zip(NAMES, TYPES, strict=True)]
+    if len(out[3]) < len(out[0]):  # rows without t have zeros
+        many = table.column("many").to_numpy()
+        t = np.zeros(len(out[0]), np.int64)
+        t[np.repeat(np.diff(C.utf8(table.column("t"))[1]) > 0, many)] = out[3]
+        out[3] = t
+    return out
+
 
+def _met(packed: DataFrame, whole: bool) -> DataFrame:
+    """What the blocks of a segment say together (``MET``):
+
+    MARK: a block (doc, t, pos, n windows) whose content is its anchor's only one and starts in a smaller document; HIT: a block whose content is to be resolved, or that was too frequent to be sent there;
+    CUT: the least place of a content to be resolved, and ``hi``; PLAIN: the least document of a content as in MARK that has hits.
+    """
 
-def _rows(columns: list[np.ndarray], names: list[str], most: int = 50_000):
-    for at in range(0, len(columns[0]), most):
-        yield pa.RecordBatch.from_arrays([pa.array(x[at : at + most]) for x in columns], names)
+    def rows(kind: int, pick: np.ndarray, **columns: np.ndarray) -> pa.Table:
+        made = {"kind": np.full(len(pick), kind, np.int8)} | {name: x[pick] for name, x in columns.items()}
+        return pa.table([pa.array(made[f.name]) if f.name in made else pa.nulls(len(pick), f.type) for f in schema], schema=schema)
+
+    schema = pa.schema([("kind", pa.int8()), ("h", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("t", pa.int64()), ("pos", pa.int32()), ("n", pa.int16()), ("hi", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        h, c, doc, t, pos, n = _unpacked(table)
+        if table.column("seg")[0].as_py() < 0:
+            return rows(HIT, np.arange(len(h)), h=h.view(np.int64), c=c, doc=doc, t=t, pos=pos)
+        order = np.argsort(h, kind="stable")
+        key, who, what = h[order], doc[order], c[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        shared = np.minimum.reduceat(who, first) < np.maximum.reduceat(who, first)
+        mixed = np.ones(len(first), bool) if whole else np.minimum.reduceat(what, first) != np.maximum.reduceat(what, first)
+        size = np.diff(np.append(first, len(key)))
+        kept, mixed = order[np.repeat(shared, size)], np.repeat(mixed, size)[np.repeat(shared, size)]
+        if not len(kept):
+            return rows(HIT, kept)
+        group = np.repeat(np.arange(int(shared.sum())), size[shared])
+        order = np.lexsort((pos[kept], t[kept], doc[kept], c[kept], group))
+        kept, mixed = kept[order], mixed[order]
+        h, c, doc, t, pos, n = h[kept].view(np.int64), c[kept], doc[kept], t[kept], pos[kept], n[kept]
+        first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
+        content = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+        low, hi = doc[first], doc[np.append(first[1:], len(h)) - 1]
+        sent, n = n > 0, np.abs(n)
+        lesser = low[content] < doc
+        plain = ~mixed[first] & (low < hi) & ~np.logical_and.reduceat(sent, first)
+        cut = np.flatnonzero(mixed[first])
+        return pa.concat_tables([
+            rows(MARK, np.flatnonzero(~mixed & sent & lesser), doc=doc, t=t, pos=pos, n=n),
+            rows(HIT, np.flatnonzero(mixed & sent), h=h, c=c, doc=doc, t=t, pos=pos),
+            rows(CUT, cut, h=h[first], c=c[first], doc=low, t=t[first], pos=pos[first], n=n[first], hi=hi),
+            rows(PLAIN, np.flatnonzero(plain), h=h[first], c=c[first], doc=low, n=n[first]),
+        ])
+
+    return packed.groupBy("seg").applyInArrow(run, MET)
 
 
 def marked(docs: DataFrame, units: Units, k: int, window: int, resolve: Callable[[DataFrame], DataFrame], whole: bool = False) -> DataFrame:
@@ -128,24 +208,17 @@ def marked(docs: DataFrame, units: Units, k: int, window: int, resolve: Callable
     tag = F.lit(0).cast("long") if several.isEmpty() else tag
     docs, known = docs.withColumn("t", tag), known.withColumn("t", tag)
     size, many = known.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    anchors = C.materialize(C.few(_anchors(known, units, k, window), size or 0, C.FILE_BYTES))
-    # an anchor's row is short and unique, so hashing that side spares sorting all blocks
-    hits = _blocks_of(known, units, k, window).join(anchors.hint("shuffle_hash"), "h").withColumn("mixed", F.lit(True) if whole else F.col("mixed"))
-    hits = C.materialize(C.few(hits, size or 0, C.FILE_BYTES))
-    C.drop(anchors)
-    rows = hits.count()
-    grouped = hits.groupBy("h", "c").agg(F.min(F.struct("doc", "t", "pos")).alias("source"), F.max("doc").alias("hi"), F.max("n").alias("n"), F.max("mixed").alias("mixed"))
-    contents = C.materialize(grouped.where("mixed OR source.doc < hi"), rows)
-    wanted = contents.where("mixed").select(F.col("source.doc").alias("doc_id"), F.col("source.t").alias("t"), F.struct("source.pos", "n", "h", "c", "hi").alias("cut"))
+    met = C.materialize(_met(_packed(known, units, k, window, max(1, -(-(size or 0) // SEGMENT_BYTES))), whole))
+    wanted = met.where(F.col("kind") == CUT).select(F.col("doc").alias("doc_id"), "t", F.struct("pos", "n", "h", "c", "hi").alias("cut"))
     wanted = wanted.groupBy("doc_id", "t").agg(F.collect_list("cut").alias("cuts"))
     runs = resolve(C.few(known.join(wanted, ["doc_id", "t"]).select("doc_id", "text", "cuts"), many, C.TASK_TEXTS))
-    plain = F.array(F.struct(F.lit(0).alias("at"), F.col("n").cast("int").alias("length"), F.col("source.doc").alias("least")))
-    least = C.materialize(contents.where("NOT mixed").select("h", "c", plain.alias("runs")).unionByName(runs), contents.count())
-    C.drop(contents, runs)
-    found = hits.select("h", "c", "doc", "t", "pos").join(least.hint("shuffle_hash"), ["h", "c"]).select("doc", "t", "pos", F.explode("runs").alias("run")).where("run.least < doc")
-    marks = found.groupBy("doc", "t").agg(F.collect_list(F.struct((F.col("pos") + F.col("run.at")).cast("int").alias("begin"), F.col("run.length").cast("int").alias("many"))).alias("marks"))
-    marks = C.materialize(marks.withColumnRenamed("doc", "doc_id"), rows)
-    C.drop(hits, least)
+    plain = F.array(F.struct(F.lit(0).alias("at"), F.col("n").cast("int").alias("length"), F.col("doc").alias("least")))
+    least = met.where(F.col("kind") == PLAIN).select("h", "c", plain.alias("runs")).unionByName(runs)
+    found = met.where(F.col("kind") == HIT).select("h", "c", "doc", "t", "pos").join(least.hint("shuffle_hash"), ["h", "c"]).select("doc", "t", "pos", F.explode("runs").alias("run")).where("run.least < doc")
+    found = found.select("doc", "t", F.struct((F.col("pos") + F.col("run.at")).cast("int").alias("begin"), F.col("run.length").cast("int").alias("many")).alias("mark"))
+    found = found.unionByName(met.where(F.col("kind") == MARK).select("doc", "t", F.struct(F.col("pos").alias("begin"), F.col("n").cast("int").alias("many")).alias("mark")))
+    marks = C.materialize(found.groupBy("doc", "t").agg(F.collect_list("mark").alias("marks")).withColumnRenamed("doc", "doc_id"), met.count())
+    C.drop(met, runs)
     return C.few(docs.join(marks, ["doc_id", "t"], "left").select("doc_id", "text", "marks"), many, C.TASK_TEXTS)
 
 

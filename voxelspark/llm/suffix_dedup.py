@@ -14,6 +14,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,12 +127,17 @@ def by_windows(pieces: DataFrame) -> DataFrame:
 def _resolve(segments: DataFrame) -> DataFrame:
     def cut(batches):
         for b in batches:
-            rows = []
-            for doc, text, cuts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                data = text.encode()
-                rows += [(x["h"], x["c"], doc, x["hi"], data[x["pos"] : x["pos"] + x["n"] - 1 + WINDOW]) for x in cuts]
-            columns = [*zip(*rows, strict=True)] or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 4 + [pa.binary()], strict=True)], ["h", "c", "lo", "hi", "seg"])
+            data, at = C.utf8(b.column(1))
+            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False))
+            cuts = {f.name: x.to_numpy(zero_copy_only=False) for f, x in zip(b.column(2).type.value_type, b.column(2).flatten().flatten(), strict=True)}
+            docs, size = b.column(0).to_numpy()[row], cuts["n"].astype(np.int64) - 1 + WINDOW
+            begin = at[row] + cuts["pos"]
+            for i in range(0, len(row), 10_000):
+                j = slice(i, i + 10_000)
+                to = C.from_offsets(size[j])
+                seg = data[np.arange(to[-1]) + np.repeat(begin[j] - to[:-1], size[j])]
+                seg = pa.BinaryArray.from_buffers(pa.binary(), len(to) - 1, [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(seg)])
+                yield pa.RecordBatch.from_arrays([pa.array(cuts["h"][j]), pa.array(cuts["c"][j]), pa.array(docs[j]), pa.array(cuts["hi"][j]), seg], ["h", "c", "lo", "hi", "seg"])
 
     pieces = C.materialize(C.map_arrow(segments, cut, "h long, c long, lo long, hi long, seg binary"))
     stored, hot = pieces, hot_anchors(pieces)
@@ -155,7 +161,8 @@ def _resolve(segments: DataFrame) -> DataFrame:
 
     C.ship(pieces.sparkSession)
     runs = pieces.groupBy(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")).applyInArrow(solve, repeats.RUNS)
-    out = C.materialize(runs if split is None else runs.unionByName(split), stored.count())
+    runs = C.few(runs, buckets, 2)  # a row is little, but a bucket is work
+    out = C.materialize(runs if split is None else runs.unionByName(split))
     C.drop(stored)
     return out
 
