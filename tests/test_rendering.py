@@ -163,3 +163,24 @@ def test_exports(spark, tmp_path):
         with timings.stage("render", batch):
             pass
     assert [b for b, *_ in timings.rows] == [0, 1] and timings.last()["render"] == timings.rows[1][2] and timings.total()["render"] == sum(t for *_, t in timings.rows)
+
+
+def test_pictures_are_gathers_of_planes(spark):
+    """Planes with absent cells and a struct for a key: the sector pictures turned and resized by joins give the same, and no pixel is an element of an interpreted function."""
+    import random
+
+    from voxelspark.operators import geometry, rays
+
+    r = random.Random(4)
+    cells = [((k, str(k)), i, j, r.random()) for k in (1, 7) for i in range(9) for j in range(6) if r.random() < 0.8]
+    frame = spark.createDataFrame(cells, "k struct<a: int, b: string>, r int, c int, v double")
+    shape = {"r": 9, "c": 6}
+    ours = geometry.sector_picture(frame, shape, ("k",), 32)
+    turned = geometry.polar_warp(frame, 9, 6, keys=("k",)).select("k", F.col("j").alias("r"), (359 - F.col("i")).alias("c"), "v")
+    want = {(x.k.a, x.r, x.c): x.v for x in geometry.resize_bilinear(turned, {"r": 220, "c": 360}, 32, ("k",)).collect()}
+    got = {(x.k.a, x.r, x.c): x.v for x in ours.collect()}
+    assert got.keys() == want.keys() and len(got) == 2 * 32 * 32 and max(got.values()) > 0.1
+    assert max(abs(got[k] - want[k]) for k in got) < 1e-9
+    planes = rays.planes(rays.pack(frame, ("k",)), "v", shape, ("k",))
+    plan = rays.pictures(planes, shape, 32, ("k",))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "sequence(0, 1023" not in plan

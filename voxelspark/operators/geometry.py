@@ -36,7 +36,7 @@ def polar_warp(raster: DataFrame, w: int, h: int, label_interp: str = "bilinear"
     """
     shape = {"r": w, "c": h}
     found = rays.planes(rays.pack(raster.select(*keys, "r", "c", "v"), keys), "v", shape, keys)
-    return rays.pixels(rays.warped(found, shape, keys, label_interp), keys)
+    return rays.sectors(found, shape, keys, label_interp)
 
 
 def _axis_taps(spark, axis: str, n: int, size: int, antialias: bool) -> DataFrame:
@@ -66,7 +66,7 @@ def resize_bilinear(raster: DataFrame, shape: dict[str, int], size: int, keys: t
 
 def sector_picture(raster: DataFrame, shape: dict[str, int], keys: tuple[str, ...] = (), size: int = 256) -> DataFrame:
     """The ``size`` x ``size`` pictures of rasters (ray r, depth c, v): warped to the sector, turned and resized."""
-    return rays.picture(rays.warped(rays.planes(rays.pack(raster.select(*keys, "r", "c", "v"), keys), "v", shape, keys), shape, keys), size, keys)
+    return rays.pictures(rays.planes(rays.pack(raster.select(*keys, "r", "c", "v"), keys), "v", shape, keys), shape, size, keys)
 
 
 def jittered(points: DataFrame, seed: int, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Rays packed as arrays: a ray is one row of structs in order of depth, a plane's rays are in one task, and what runs along depth or across rays is done by higher-order functions.
+"""Rays packed as arrays: a ray is one row of structs in order of depth, a plane's rays are in one task, and what runs along depth or across rays is done by higher-order functions; warps and resizes, whose places are the same for all planes, by gathers of Arrow batches.
 
 One shuffle (by plane) brings the cells of a plane together; differences, running products, blurs, warps and resizes then follow in the same stage. A table of rays has ``keys`` (columns that name a plane), r and
 ``ray`` (structs with c and values, sorted by c). Cells may be absent: neighbours along depth are the present ones, and blurs and warps take absent places as 0. A table of planes has ``keys`` and ``matrix``, an array of dense rays.
@@ -9,11 +9,13 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import BOUNDARY_SCALE, TGC
-from ..session import dealt
+from ..session import dealt, ship
 
 Keys = tuple[str, ...]
 
@@ -160,62 +162,80 @@ def planes(rays: DataFrame, value: str, shape: dict[str, int], keys: Keys = ())
 PIXELS = {"i": 360, "j": 220}
 
 
-def sector_taps(spark, w: int, h: int, label_interp: str = "bilinear") -> DataFrame:
-    """One row, ``taps``: for each pixel i * 220 + j of the sector picture its four weights (r, c, weight), or the nearest place's; none outside the sector. The picture's size is fixed, so this is a constant of about 5 MB."""
-    i, j = F.floor(F.col("id") / PIXELS["j"]).cast("int"), (F.col("id") % PIXELS["j"]).cast("int")
-    x, y = i - 180, j + 120
-    angle, radius = F.atan2(x.cast("double"), y.cast("double")), F.sqrt((x * x + y * y).cast("double"))
-    inside = (F.abs("angle") < math.pi / 6) & (F.col("radius") > 140) & (F.col("radius") < 340)
-    u, v = (F.col("angle") + F.lit(math.pi / 6)) / F.lit(math.pi / 3) * w, (F.col("radius") - 140) / F.lit(200.0) * h
-    fu, fv = F.col("u") - F.floor("u"), F.col("v") - F.floor("v")
-    four = [F.struct((F.floor("u") + a).cast("int").alias("r"), (F.floor("v") + b).cast("int").alias("c"), ((fu if a else 1 - fu) * (fv if b else 1 - fv)).alias("weight")) for a in (0, 1) for b in (0, 1)]
+def sector_taps(w: int, h: int, label_interp: str = "bilinear") -> list[tuple[np.ndarray, np.ndarray]]:
+    """Four (or one, ``nearest``) places r * h + c and weights for each pixel i * 220 + j of the sector picture; places outside the plane are w * h, weights outside the sector 0."""
+    i, j = (x.ravel() for x in np.divmod(np.arange(PIXELS["i"] * PIXELS["j"]), PIXELS["j"]))
+    x, y = (i - 180).astype(np.float64), (j + 120).astype(np.float64)
+    angle, radius = np.arctan2(x, y), np.sqrt(x * x + y * y)
+    inside = (np.abs(angle) < math.pi / 6) & (radius > 140) & (radius < 340)
+    u, v = (angle + math.pi / 6) / (math.pi / 3) * w, (radius - 140) / 200.0 * h
+
+    def tap(r: np.ndarray, c: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = inside & (r >= 0) & (r < w) & (c >= 0) & (c < h)
+        return np.where(found, r * h + c, w * h).astype(np.int64), np.where(found, weight, 0.0)
+
     if label_interp == "nearest":
-        four = [F.struct(F.round("u").cast("int").alias("r"), F.round("v").cast("int").alias("c"), F.lit(1.0).alias("weight"))]
-    place = spark.range(PIXELS["i"] * PIXELS["j"]).select("id", angle.alias("angle"), radius.alias("radius")).withColumn("u", u).withColumn("v", v)
-    own = F.when(inside, F.array(*four)).otherwise(F.array().cast("array<struct<r:int,c:int,weight:double>>"))
-    rows = place.select(F.struct("id", own.alias("taps")).alias("pixel")).groupBy().agg(F.sort_array(F.collect_list("pixel")).alias("all"))
-    return rows.select(F.lit(0).alias("_one"), F.transform("all", lambda p: p["taps"]).alias("taps"))
+        return [tap(np.floor(u + 0.5), np.floor(v + 0.5), np.ones(len(u)))]
+    fu, fv = u - np.floor(u), v - np.floor(v)
+    return [tap(np.floor(u) + a, np.floor(v) + b, (fu if a else 1 - fu) * (fv if b else 1 - fv)) for a in (0, 1) for b in (0, 1)]
 
 
-def warped(found: DataFrame, shape: dict[str, int], keys: Keys = (), label_interp: str = "bilinear") -> DataFrame:
-    """``keys`` and sector: the values of all pixels of the sector picture of each plane."""
-    w, h = shape.values()
-    taps = F.broadcast(sector_taps(found.sparkSession, w, h, label_interp))
-    value = lambda m, t: F.coalesce(F.get(F.get(m, t["r"]), t["c"]), F.lit(0.0)) * t["weight"]
-    joined = found.withColumn("_one", F.lit(0)).join(taps, "_one")
-    sector = lambda m: F.transform("taps", lambda p: F.aggregate(p, F.lit(0.0), lambda acc, t: acc + value(m, t)))
-    return joined.select(*keys, let(F.col("matrix"), sector).alias("sector"))
+def picture_taps(size: int) -> tuple[np.ndarray, ...]:
+    """The four places in a sector picture, turned a quarter, and the two shares for each pixel r * size + c of its ``size`` x ``size`` picture, bilinear at half-pixel centres."""
+    wide, high = PIXELS["i"], PIXELS["j"]
 
+    def place(o: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.maximum((o + 0.5) * (n / size) - 0.5, 0.0)
+        low = np.floor(at).astype(np.int64)
+        return low, np.minimum(low + 1, n - 1), at - low
 
-def pixels(found: DataFrame, keys: Keys = ()) -> DataFrame:
-    """``keys``, i, j, v of every pixel of ``warped``."""
-    rows = found.select(*keys, F.posexplode("sector").alias("_p", "v"))
-    return rows.select(*keys, F.floor(F.col("_p") / PIXELS["j"]).cast("int").alias("i"), (F.col("_p") % PIXELS["j"]).alias("j"), "v")
+    r, c = np.divmod(np.arange(size * size), size)
+    (r0, r1, pr), (c0, c1, pc) = place(r, high), place(c, wide)
+    see = lambda r, c: (wide - 1 - c) * high + r  # noqa: E731  the turned picture's r, c
+    return see(r0, c0), see(r0, c1), see(r1, c0), see(r1, c1), pr, pc
 
 
-def picture(found: DataFrame, size: int, keys: Keys = ()) -> DataFrame:
-    """``keys``, r, c, v of the ``size`` x ``size`` pictures: ``warped`` turned a quarter and resized bilinearly at half-pixel centres."""
-    wide, high = PIXELS["i"], PIXELS["j"]
+def _projected(found: DataFrame, shape: dict[str, int], keys: Keys, names: tuple[str, str], lines: int, label_interp: str, finish) -> DataFrame:
+    """``keys``, two places and v: a batch of rows for each plane, ``lines`` to a first place, of what ``finish`` makes of its sector. What comes from where is the same for all planes, so a plane is a few gathers; Spark deals the planes out."""
+    w, h = shape.values()
+    kinds = dict(found.dtypes)
+
+    def run(batches):
+        taps = sector_taps(w, h, label_interp)
+        turn, places = finish(), None
+        for b in batches:
+            values = b.column(b.num_columns - 1).flatten().flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, w * h)
+            for i, plane in enumerate(values):
+                plane = np.append(plane, 0.0)
+                sector = np.zeros(len(taps[0][0]))
+                for at, weight in taps:
+                    sector += plane[at] * weight
+                out = turn(sector)
+                if places is None:
+                    places = [pa.array(x.astype(np.int32)) for x in np.divmod(np.arange(len(out)), lines)]
+                own = [pa.repeat(b.column(k)[i], len(out)) for k in range(len(keys))]
+                yield pa.RecordBatch.from_arrays([*own, *places, pa.array(out)], [*keys, *names, "v"])
+
+    ship(found.sparkSession)
+    return found.select(*keys, "matrix").mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"{n} int" for n in names), "v double"]))
+
 
-    def place(o: Column, n: int) -> Column:
-        at = F.greatest((o + 0.5) * (n / size) - 0.5, F.lit(0.0))
-        return F.struct(F.floor(at).cast("int").alias("low"), F.least(F.floor(at) + 1, F.lit(n - 1)).cast("int").alias("high"), (at - F.floor(at)).alias("part"))
+def sectors(found: DataFrame, shape: dict[str, int], keys: Keys = (), label_interp: str = "bilinear") -> DataFrame:
+    """``keys``, i, j, v: the values of all pixels of the sector picture of each plane."""
+    return _projected(found, shape, keys, ("i", "j"), PIXELS["j"], label_interp, lambda: lambda sector: sector)
 
-    def body(sector):
-        see = lambda r, c: F.get(sector, (wide - 1 - c) * high + r)  # noqa: E731  the turned picture's r, c
 
-        def one(q):
-            both = F.struct(place(F.floor(q / size), high).alias("r"), place(q % size, wide).alias("c"))
+def pictures(found: DataFrame, shape: dict[str, int], size: int, keys: Keys = ()) -> DataFrame:
+    """``keys``, r, c, v of the ``size`` x ``size`` pictures: the sector pictures turned a quarter and resized bilinearly at half-pixel centres."""
 
-            def blend(p):
-                r, c = p["r"], p["c"]
-                upper = see(r["low"], c["low"]) * (1 - c["part"]) + see(r["low"], c["high"]) * c["part"]
-                lower = see(r["high"], c["low"]) * (1 - c["part"]) + see(r["high"], c["high"]) * c["part"]
-                return upper * (1 - r["part"]) + lower * r["part"]
+    def finish():
+        a, b, c, d, pr, pc = picture_taps(size)
 
-            return let(both, blend)
+        def turn(sector):
+            upper = sector[a] * (1 - pc) + sector[b] * pc
+            lower = sector[c] * (1 - pc) + sector[d] * pc
+            return upper * (1 - pr) + lower * pr
 
-        return F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), one)
+        return turn
 
-    rows = found.select(*keys, F.posexplode(let(F.col("sector"), body)).alias("_p", "v"))
-    return rows.select(*keys, F.floor(F.col("_p") / size).cast("int").alias("r"), (F.col("_p") % size).alias("c"), "v")
+    return _projected(found, shape, keys, ("r", "c"), size, "bilinear", finish)

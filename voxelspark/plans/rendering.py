@@ -44,8 +44,7 @@ def pictures(cells: DataFrame, shape: dict[str, int], step: int = 1, seed: int =
     planes, size = frame.planes(cells, shape, step, keys)
     names = (*keys, "z")
     lit = acoustics.lit(acoustics.clamp_maps(acoustics.lookup(planes)), size, seed, names)
-    found = rays.warped(rays.planes(lit, "intensity", size, names), size, names)
-    return rays.picture(found, PICTURE["r"], names).withColumnRenamed("v", "intensity")
+    return rays.pictures(rays.planes(lit, "intensity", size, names), size, PICTURE["r"], names).withColumnRenamed("v", "intensity")
 
 
 def warped_labels(cells: DataFrame, shape: dict[str, int], step: int = 1, keys: tuple[str, ...] = (), frame: Frame = STANDARD, label_interp: str = "nearest") -> DataFrame:

@@ -317,7 +317,7 @@ def us_slice(ras: DataFrame) -> DataFrame:
 
 def us_picture(ras: DataFrame) -> DataFrame:
     found = rays.planes(acoustics.lit(acoustics.clamp_maps(maps(ras)), PLANE, 5, ("plane",)), "intensity", PLANE, ("plane",))
-    return rays.picture(rays.warped(found, PLANE, ("plane",)), 256, ("plane",)).select("plane", "r", "c", F.round("v", 4).alias("v"))
+    return rays.pictures(found, PLANE, 256, ("plane",)).select("plane", "r", "c", F.round("v", 4).alias("v"))
 
 
 planes_query("us_intensity", f"WITH {US} SELECT plane, r, c, round(v, 4) AS intensity FROM us")(lambda ras: us_slice(ras).select("plane", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.round("intensity", 4).alias("intensity")))
