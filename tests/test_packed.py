@@ -84,3 +84,35 @@ def test_bounded_fill(spark, shape):
         assert got == every - out
     holes = {tuple(r) for r in runs.to_cells(runs.fill_holes(runs.from_cells(mask, shape), shape), shape).collect()}
     assert got == holes
+
+
+def test_runs_of_packed_lines_and_cleaned_planes(spark):
+    """Runs of lines of 1 to 130 cells against plain ones; planes of two keys, closed, widened and filled, as by cells, and by no row for a cell and an offset."""
+    import random
+
+    from voxelspark.operators import components, packed, stencil
+
+    r = random.Random(8)
+    for width in (1, 63, 64, 130):
+        shape = {"x": width, "y": 3, "z": 2}
+        cells = {(x, y, z) for x in range(width) for y in range(3) for z in range(2) if r.random() < 0.6} | {(0, 0, 0), (width - 1, 0, 0)}
+        frame = spark.createDataFrame(sorted(cells), "x int, y int, z int")
+        got = {tuple(x) for x in packed.runs(packed.pack(frame, {"m": F.lit(True)}, shape), "m", shape).select("z", "y", "first", "last").collect()}
+        want = set()
+        for x, y, z in cells:
+            if (x - 1, y, z) not in cells:
+                end = x
+                while (end + 1, y, z) in cells:
+                    end += 1
+                want.add((z, y, x, end))
+        assert got == want
+    plane = {"r": 21, "c": 30}
+    mask = spark.createDataFrame([(k, i, j) for k in (3, 5) for i in range(21) for j in range(30) if r.random() < 0.04 * k or i in (2, 9) and j > 25], "k int, r int, c int")
+    closed = stencil.closing(mask, stencil.ball(3, 2), plane)
+    want = {tuple(x) for x in components.fill_holes(stencil.dilate(closed, stencil.ball(2, 2), plane), plane, "k").collect()}
+    ours = components.cleaned(mask, plane, "k")
+    assert {tuple(x) for x in ours.collect()} == want and ours.count() == len(want)
+    from voxelspark import queries
+
+    cleanup = queries.QUERIES["mask_cleanup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert " _o#" not in cleanup and "explode([[" not in cleanup  # a mask's cells with offsets

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship
-from . import graphs, runs
+from . import graphs, packed, runs
 
 #: Cells along a side of the tiles in which ``fill_holes`` looks for components.
 PICTURE = 256
@@ -78,3 +78,13 @@ def blob_filter(labelled: DataFrame, key: str, low: int, high: int) -> DataFrame
 def fill_holes(mask: DataFrame, shape: dict[str, int], key: str) -> DataFrame:
     """``mask`` with the background components that do not touch the border; the background is taken as runs between those of the mask, in tiles of a picture's size."""
     return runs.to_cells(runs.fill_holes(runs.from_cells(mask, shape, (key,)), shape, (key,), PICTURE), shape, (key,))
+
+
+def cleaned(mask: DataFrame, shape: dict[str, int], key: str) -> DataFrame:
+    """``mask`` (``key``, r, c), closed by the L1 ball of radius 3, widened by that of radius 2 and filled, each plane by itself. Planes are bits and then runs until the result, so a cell is not a row for each offset."""
+    # a mask is a volume of one plane: x is c, y is r
+    flat = {"x": shape["c"], "y": shape["r"], "z": 1}
+    planes = packed.pack(mask.select(key, F.col("c").alias("x"), F.col("r").alias("y"), F.lit(0).alias("z")), {"m": F.lit(True)}, flat, (key,))
+    planes = packed.erode_flat(packed.dilate_flat(planes, "m", "m", 3, flat), "m", "m", 3, flat)
+    wide = materialize(packed.runs(packed.dilate_flat(planes, "m", "m", 2, flat), "m", flat, (key,)).select(key, F.col("y").alias("r"), "first", "last"))
+    return runs.to_cells(runs.fill_holes(wide, shape, (key,), PICTURE), shape, (key,))

@@ -238,3 +238,12 @@ def unpack(planes: DataFrame, column: str, shape: Shape, keys: tuple[str, ...] =
     """``keys``, x, y, z of the cells of a mask."""
     found = lines(planes, column, shape, keys).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(shape["x"] - 1))))
     return found.where(has(column, F.col("x"))).select(*keys, "x", "y", "z")
+
+
+def runs(planes: DataFrame, column: str, shape: Shape, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys``, z, y, first and last of the maximal runs along x of a mask; no cell is written."""
+    at, end = F.sequence(F.lit(0), F.lit(shape["x"] - 1)), shape["x"] - 1
+    first = F.filter(at, lambda x: has(column, x) & ((x == 0) | ~has(column, F.greatest(x - 1, F.lit(0)))))
+    last = F.filter(at, lambda x: has(column, x) & ((x == end) | ~has(column, F.least(x + 1, F.lit(end)))))
+    found = lines(planes, column, shape, keys).select(*keys, "z", "y", F.explode(F.arrays_zip(first.alias("first"), last.alias("last"))).alias("_r"))
+    return found.select(*keys, "z", "y", "_r.first", "_r.last")

@@ -10,8 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import acoustics, components, geometry, packed, rays
-from ..session import materialize
+from ..operators import acoustics, components, geometry, rays
 
 PICTURE = {"r": 256, "c": 256}
 BACKGROUND = 9
@@ -66,10 +65,5 @@ def masks(warped: DataFrame, keys: tuple[str, ...] = (), clean: bool = True) ->
     if not clean:
         return found
     names = (*keys, "z", "label")
-    # a mask is a volume of one plane: x is c, y is r
-    flat = {"x": PICTURE["c"], "y": PICTURE["r"], "z": 1}
-    one = found.select(*keys, F.struct(*names).alias("_mask"), F.col("c").alias("x"), F.col("r").alias("y"), F.lit(0).alias("z"))
-    planes = packed.pack(one.drop(*keys), {"m": F.lit(True)}, flat, ("_mask",))
-    planes = packed.erode_flat(packed.dilate_flat(planes, "m", "m", 3, flat), "m", "m", 3, flat)
-    wide = packed.unpack(packed.dilate_flat(planes, "m", "m", 2, flat), "m", flat, ("_mask",)).select("_mask", F.col("y").alias("r"), F.col("x").alias("c"))
-    return components.fill_holes(materialize(wide), PICTURE, "_mask").select("_mask.*", "r", "c")
+    one = found.select(F.struct(*names).alias("_mask"), "r", "c")
+    return components.cleaned(one, PICTURE, "_mask").select("_mask.*", "r", "c")

@@ -222,8 +222,7 @@ planes_query("fill_holes", f"WITH RECURSIVE {RAS}, {WHOLE}, m AS (SELECT plane,
 
 
 def cleaned(ras: DataFrame) -> DataFrame:
-    closed = stencil.closing(plane_mask(ras), stencil.ball(3, 2), PLANE)
-    return components.fill_holes(stencil.dilate(closed, stencil.ball(2, 2), PLANE), PLANE, "plane")
+    return components.cleaned(plane_mask(ras), PLANE, "plane")
 
 
 planes_query("mask_cleanup", f"{PM}, {WHOLE}, {plane_near('g', 'm', stencil.ball(3, 2))}, {plane_all_near('q', 'g', stencil.ball(3, 2))}, {plane_near('o', 'q', stencil.ball(2, 2))}, b AS MATERIALIZED (FROM whole EXCEPT FROM o), {OUTSIDE} FROM whole EXCEPT FROM outside")(cleaned)
